@@ -44,6 +44,7 @@ def get_spark(app: str = "signalspark", master: str | None = None,
     if master:
         b = b.master(master)
     b = (b.config("spark.ui.enabled", "false")
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.driver.memory", os.environ.get("SIGNALSPARK_DRIVER_MEM", "8g")))
     if shuffle_partitions:
