@@ -20,7 +20,7 @@ def _labels(lpart: Column) -> Column:
     pairs = F.filter(F.transform(F.split(lpart, ","), lambda p: utrim(p)), lambda p: F.locate("=", p) > 0)
     entries = F.transform(pairs, lambda p: F.struct(
         utrim(F.substring_index(p, "=", 1)).alias("key"),
-        F.trim(utrim(F.substring(p, F.locate("=", p) + 1, 1 << 30)), '"').alias("value")))
+        F.trim(utrim(F.substring(p, F.locate("=", p) + 1, 1 << 30)), F.lit('"')).alias("value")))
     return F.map_from_entries(entries)
 
 

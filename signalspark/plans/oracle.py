@@ -167,3 +167,82 @@ SELECT strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M:%S') AS tim
 
 ORACLE["c11_min_level"] = LOGS + """
 SELECT tenant_id, timestamp, level, service, message FROM logs WHERE level IN ('WARN', 'ERROR', 'FATAL')"""
+
+
+# ---------------------------------------------------------------- metrics side
+FLOAT_RE = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
+
+EXPO = """ex AS (
+  SELECT tenant_id || '/' || service || '/' || CAST(event_id // 64 AS VARCHAR) AS request_id,
+         tenant_id, service, min(ts) AS received_at,
+         string_agg('# TYPE ' || event_type || ' gauge' || chr(10) || event_type || '{user="' || CAST(user_id AS VARCHAR)
+                    || '",env="' || environment || '"} ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || 'e-2 '
+                    || CAST(epoch_ms(ts) AS VARCHAR)
+                    || CASE WHEN event_id % 7 = 0 THEN chr(10) || event_type || '_bad 1d' ELSE '' END,
+                    chr(10) ORDER BY ts, event_id) AS exposition
+  FROM ev GROUP BY ALL)"""
+
+
+def sorted_json_obj(keys: str, vals: str) -> str:
+    """JSON object text from parallel key/value lists, last duplicate wins, keys sorted."""
+    return ("('{' || array_to_string(list_transform(list_sort(list_filter(list_transform(" + keys
+            + ", lambda k, i: {'k': k, 'v': " + vals + "[i]}), lambda e, i: NOT list_contains(" + keys
+            + "[i + 1:], e.k))), lambda e: to_json(e.k) || ':' || to_json(e.v)), ',') || '}')")
+
+
+SAMPLES = """sl AS (
+  SELECT request_id, tenant_id, service, received_at,
+         CAST(unnest(generate_series(0, len(string_split(exposition, chr(10))) - 1)) AS BIGINT) AS sample_no,
+         unnest(string_split(exposition, chr(10))) AS l
+  FROM ex),
+sm AS (SELECT *, """ + trim_ws("l") + """ AS line FROM sl),
+sp AS (SELECT *, string_split(line, ' ') AS parts FROM sm WHERE line <> '' AND NOT starts_with(line, '#')),
+sq AS (SELECT *, parts[1] AS nl, strpos(parts[1], '{') AS brace FROM sp
+       WHERE len(parts) >= 2 AND regexp_matches(parts[2], """ + q(FLOAT_RE) + """)),
+sr AS (SELECT *, CASE WHEN brace = 0 THEN nl ELSE substr(nl, 1, brace - 1) END AS name,
+              list_filter(list_transform(string_split(substr(nl, brace + 1, length(nl) - 1 - brace), ','),
+                                         lambda p: """ + trim_ws("p") + """), lambda p: contains(p, '=')) AS lp,
+              TRY_CAST(parts[2] AS DOUBLE) AS value
+       FROM sq WHERE brace = 0 OR brace < length(nl)),
+samples AS (
+  SELECT request_id, tenant_id, service, received_at, sample_no, name, value,
+         CASE WHEN brace = 0 THEN '{}' ELSE """ + sorted_json_obj(
+    "list_transform(lp, lambda p: " + trim_ws("substr(p, 1, strpos(p, '=') - 1)") + ")",
+    "list_transform(lp, lambda p: trim(" + trim_ws("substr(p, strpos(p, '=') + 1)") + ", '\"'))") + """ END AS labels
+  FROM sr)"""
+
+METRICS = """metrics AS (
+  SELECT tenant_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp, event_type AS name, value, service,
+         environment, '{"user":"' || CAST(user_id AS VARCHAR) || '"}' AS labels
+  FROM ev)"""
+
+ORACLE["a7_parse_exposition"] = with_(EV, EXPO, SAMPLES) + """
+SELECT request_id, sample_no, name, labels, value FROM samples"""
+
+ORACLE["a8_prometheus_metric_rows"] = with_(EV, EXPO, SAMPLES) + """
+SELECT tenant_id, CAST(epoch_us(received_at) // 1000000 AS BIGINT) AS timestamp, name, value, service,
+       'production' AS environment, labels FROM samples"""
+
+ORACLE["b2_metric_rows"] = with_(EV, METRICS) + "SELECT * FROM metrics"
+
+ORACLE["c3_query_metrics"] = with_(EV, METRICS) + """
+SELECT tenant_id, timestamp, name, value, service FROM metrics
+WHERE tenant_id = 't2' AND name = 'purchase' AND timestamp BETWEEN 1704067200 AND 1705276799
+ORDER BY timestamp DESC, name, service, value LIMIT 500"""
+
+ORACLE["c4_latest_metrics"] = with_(EV, METRICS) + """
+SELECT * FROM (
+  SELECT tenant_id, name, value, service, timestamp,
+         CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY timestamp DESC, name, service, value DESC) AS INTEGER) AS rank
+  FROM metrics) WHERE rank <= 10"""
+
+ORACLE["a9_event_ids"] = with_(EV) + """
+SELECT event_id, tenant_id,
+       substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id
+FROM (SELECT event_id, tenant_id, sha256(concat_ws(chr(31), 'log', tenant_id, CAST(event_id AS VARCHAR))) AS h FROM ev)"""
+
+ORACLE["a13_route_signals"] = with_(EV, EXPO, SAMPLES) + """
+SELECT topic, tenant_id, CAST(count(*) AS BIGINT) AS events FROM (
+  SELECT 'logs' AS topic, tenant_id FROM ev
+  UNION ALL SELECT 'metrics' AS topic, tenant_id FROM samples)
+GROUP BY ALL"""

@@ -88,3 +88,62 @@ def _c11(spark, base):
     """C11: logs at WARN or above."""
     return Q.min_level(flows.event_log_rows(spark, base), "WARN").select(
         "tenant_id", "timestamp", "level", "service", "message")
+
+
+# ------------------------------------------------------------------ metrics side
+from ..operators.envelope import explode_metric_envelopes  # noqa: E402
+from ..operators.events import route_signals  # noqa: E402
+from ..operators.rows import metric_rows, sorted_map_json  # noqa: E402
+
+
+@register("a7_parse_exposition")
+def _a7(spark, base):
+    """Prometheus text bodies → samples; comments and bad lines dropped."""
+    s = explode_metric_envelopes(fx.exposition_envelopes(spark, base))
+    return s.select("request_id", "sample_no", "name", sorted_map_json("labels").alias("labels"), "value")
+
+
+@register("a8_prometheus_metric_rows")
+def _a8(spark, base):
+    """A8 → B2: samples become gauge events stamped with the receive time."""
+    return metric_rows(flows.exposition_metric_events(spark, base))
+
+
+@register("b2_metric_rows")
+def _b2(spark, base):
+    """B2: the metrics table (one gauge per event)."""
+    return flows.event_metric_rows(spark, base)
+
+
+@register("c3_query_metrics")
+def _c3(spark, base):
+    """Newest 500 'purchase' rows of tenant t2 in the first two weeks."""
+    import datetime as dt
+    return Q.query_metrics(flows.event_metric_rows(spark, base), "t2", name="purchase",
+                           from_=dt.datetime(2024, 1, 1), to=dt.datetime(2024, 1, 14, 23, 59, 59))
+
+
+@register("c4_latest_metrics")
+def _c4(spark, base):
+    """C4: the 10 newest metric rows of every tenant."""
+    return Q.latest_metrics(flows.event_metric_rows(spark, base), 10)
+
+
+@register("a9_event_ids")
+def _a9(spark, base):
+    """Deterministic event ids (stable across task retries)."""
+    from ..operators.events import stable_uuid
+    b = fx.event_base(fx.read_table(spark, base, "events"))
+    return b.select("event_id", "tenant_id", stable_uuid(F.lit("log"), "tenant_id", "event_id").alias("id"))
+
+
+@register("a13_route_signals")
+def _a13(spark, base):
+    """Events per topic and tenant after routing logs and metrics."""
+    ev = flows.event_log_events(spark, base).unionByName(flows.exposition_metric_events(spark, base))
+    topics = route_signals(ev)
+    parts = [df.select(F.lit(name).alias("topic"), "tenant_id") for name, df in topics.items()]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("topic", "tenant_id").agg(F.count(F.lit(1)).alias("events"))
