@@ -79,7 +79,7 @@ DEFAULT_INCIDENT_SEVERITY = "warning"
 ALERT_TITLE_FORMAT = "Anomaly detected: %s"
 ALERT_FALLBACK_DESCRIPTION = "Metric: %s"
 UNKNOWN_METRIC = "unknown"
-PAGERDUTY_SOURCE = "veloxx-alerting"
+PAGERDUTY_SOURCE = "signalspark-alerting"  # our own source name (a parameter)
 PAGERDUTY_SEVERITY = "critical"
 PAGERDUTY_ACTION = "trigger"
 INCIDENT_STATUSES = ["open", "acknowledged", "resolved"]

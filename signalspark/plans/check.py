@@ -25,11 +25,11 @@ def duckdb_run(sql: str, base: str) -> pd.DataFrame:
 
 
 def _norm_value(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "NaN"
+            return None
         return round(v, 6)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
@@ -45,8 +45,7 @@ def normalize(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
     rows = []
     for rec in df[cols].itertuples(index=False, name=None):
-        rows.append(tuple(_norm_value(None if (isinstance(x, float) and math.isnan(x) and False) else
-                                      (None if x is pd.NaT else x)) for x in rec))
+        rows.append(tuple(_norm_value(x) for x in rec))
     rows.sort(key=lambda r: tuple("" if x is None else str(x) for x in r))
     return rows
 

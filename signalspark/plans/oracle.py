@@ -246,3 +246,173 @@ SELECT topic, tenant_id, CAST(count(*) AS BIGINT) AS events FROM (
   SELECT 'logs' AS topic, tenant_id FROM ev
   UNION ALL SELECT 'metrics' AS topic, tenant_id FROM samples)
 GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- sequential operators
+from ..sources.metadata import LIMIT_OVERRIDES, RULES, TENANTS, USERS, sql_values  # noqa: E402
+
+RULE_COLS = ["id", "tenant_id", "name", "description", "severity", "rule_type", "rule_config", "channels",
+             "cooldown_secs", "is_enabled"]
+RULES_CTE = f"rules AS (SELECT * FROM {sql_values(RULES, RULE_COLS)})"
+TENANTS_CTE = ("tenants AS (SELECT * FROM " + sql_values(TENANTS, [
+    "id", "name", "slug", "plan", "ingest_rate_per_second", "retention_days", "max_users", "max_ws_connections",
+    "is_active"]) + ")")
+USERS_CTE = f"users AS (SELECT * FROM {sql_values(USERS, ['id', 'tenant_id', 'email', 'role', 'is_active'])})"
+OVERRIDES_CTE = f"overrides AS (SELECT * FROM {sql_values(LIMIT_OVERRIDES, ['tenant_id', 'lim'])})"
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+def token_bucket(src: str, name: str) -> str:
+    """Recursive token bucket over ``src(k, t, tie, cap, rate, cost, …)``."""
+    y = "least(i.cap, p.s + (i.t - p.t) * i.rate)"
+    return f"""{name}_in AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, tie) AS rn FROM {src}),
+{name}(k, rn, t, s, admitted) AS (
+  SELECT k, rn, t, CASE WHEN cap >= cost THEN cap - cost ELSE cap END, cap >= cost FROM {name}_in WHERE rn = 1
+  UNION ALL
+  SELECT i.k, i.rn, i.t, CASE WHEN {y} >= i.cost THEN {y} - i.cost ELSE {y} END, {y} >= i.cost
+  FROM {name} p JOIN {name}_in i ON i.k = p.k AND i.rn = p.rn + 1)"""
+
+
+REQ_A10 = """req AS (SELECT tenant_id AS k, epoch_us(ts) AS t, event_id AS tie, event_id, tenant_id,
+                  CAST(4 AS BIGINT) * 7200000000 AS cap, CAST(4 AS BIGINT) AS rate, CAST(7200000000 AS BIGINT) AS cost
+           FROM ev)"""
+
+ORACLE["a10_admission"] = with_rec(EV, REQ_A10, token_bucket("req", "tb")) + """
+SELECT i.event_id, i.tenant_id, p.admitted, CAST(p.s AS BIGINT) AS tokens_units
+FROM tb p JOIN tb_in i ON i.k = p.k AND i.rn = p.rn"""
+
+ORACLE["a11_admission_overrides"] = with_rec(EV, OVERRIDES_CTE, """req AS (
+  SELECT e.tenant_id AS k, epoch_us(e.ts) AS t, e.event_id AS tie, e.event_id, e.tenant_id,
+         CAST(COALESCE(o.lim, 4) AS BIGINT) * 3600000000 AS cap, CAST(COALESCE(o.lim, 4) AS BIGINT) AS rate,
+         CAST(3600000000 AS BIGINT) AS cost
+  FROM ev e LEFT JOIN overrides o ON e.tenant_id = o.tenant_id)""", token_bucket("req", "tb")) + """
+SELECT i.event_id, i.tenant_id, p.admitted, CAST(p.s AS BIGINT) AS tokens_units
+FROM tb p JOIN tb_in i ON i.k = p.k AND i.rn = p.rn"""
+
+ORACLE["a12_ingest_summary"] = with_rec(EV, """env AS (
+  SELECT tenant_id || '/' || service || '/' || environment || '/' || CAST(event_id // 64 AS VARCHAR) AS request_id,
+         tenant_id, min(ts) AS received_at, count(*) AS n_lines
+  FROM ev GROUP BY tenant_id, service, environment, event_id // 64)""", """req AS (
+  SELECT tenant_id AS k, epoch_us(received_at) AS t, request_id AS tie, tenant_id, n_lines,
+         CAST(4 AS BIGINT) * 7200000000 AS cap, CAST(4 AS BIGINT) AS rate, CAST(7200000000 AS BIGINT) AS cost
+  FROM env)""", token_bucket("req", "tb")) + """
+SELECT i.tenant_id, CAST(count(*) FILTER (WHERE p.admitted) AS BIGINT) AS accepted_requests,
+       CAST(count(*) FILTER (WHERE NOT p.admitted) AS BIGINT) AS rejected_requests,
+       CAST(COALESCE(sum(CASE WHEN p.admitted THEN i.n_lines ELSE 0 END), 0) AS BIGINT) AS accepted_lines
+FROM tb p JOIN tb_in i ON i.k = p.k AND i.rn = p.rn GROUP BY i.tenant_id"""
+
+AN = """an AS (
+  SELECT event_id AS anomaly_id, tenant_id, event_type AS metric_name, least(1.0, value / 200.0) AS anomaly_score, ts,
+         '{"anomaly_id":' || CAST(event_id AS VARCHAR) || ',"metric_name":"' || event_type || '","tenant_id":"'
+         || tenant_id || '"}' AS context
+  FROM ev)"""
+
+MT = """mt AS (
+  SELECT a.*, r.id AS rule_id, r.name AS rule_name, r.description AS rule_description, r.severity AS rule_severity,
+         r.rule_type, r.rule_config, r.channels, r.cooldown_secs,
+         'Anomaly detected: ' || r.name AS title,
+         COALESCE(r.description, 'Metric: ' || COALESCE(a.metric_name, 'unknown')) AS description
+  FROM an a JOIN rules r ON a.tenant_id = r.tenant_id
+  WHERE r.is_enabled AND r.rule_type = 'ai_anomaly'
+    AND COALESCE(a.anomaly_score, 0.0) >= COALESCE(
+        CASE WHEN json_type(r.rule_config, '$.threshold') IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'HUGEINT')
+             THEN CAST(json_extract(r.rule_config, '$.threshold') AS DOUBLE) END, 0.8))"""
+
+COOL = """cd_in AS (
+  SELECT *, epoch_us(ts) AS t,
+         CASE WHEN cooldown_secs < 0 THEN CAST(4611686018427387904 AS BIGINT)
+              ELSE CAST(cooldown_secs AS BIGINT) * 1000000 END AS cdus,
+         row_number() OVER (PARTITION BY rule_id ORDER BY epoch_us(ts), anomaly_id) AS rn
+  FROM mt),
+cd(rule_id, rn, last_t, stored, fired) AS (
+  SELECT rule_id, rn, t, cdus, true FROM cd_in WHERE rn = 1
+  UNION ALL
+  SELECT i.rule_id, i.rn,
+         CASE WHEN i.t - p.last_t >= p.stored THEN i.t ELSE p.last_t END,
+         CASE WHEN i.t - p.last_t >= p.stored THEN i.cdus ELSE p.stored END,
+         i.t - p.last_t >= p.stored
+  FROM cd p JOIN cd_in i ON i.rule_id = p.rule_id AND i.rn = p.rn + 1),
+alerts AS (SELECT i.*, p.fired FROM cd_in i JOIN cd p ON i.rule_id = p.rule_id AND i.rn = p.rn)"""
+
+INCIDENTS = """inc AS (
+  SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-'
+         || substr(h, 21, 12) AS id, tenant_id, alert_rule_id, title, description, severity, status, context, opened_at
+  FROM (SELECT sha256(concat_ws(chr(31), 'incident', rule_id, CAST(anomaly_id AS VARCHAR))) AS h, tenant_id,
+               rule_id AS alert_rule_id, title, description, 'warning' AS severity, 'open' AS status, context,
+               ts AS opened_at
+        FROM alerts WHERE fired))"""
+
+ALERT_BASE = with_rec(EV, AN, RULES_CTE, MT, COOL)
+
+ORACLE["e1_match_rules"] = with_(EV, AN, RULES_CTE, MT) + """
+SELECT anomaly_id, tenant_id, rule_id, metric_name, anomaly_score, title, description FROM mt"""
+
+ORACLE["e3_cooldown"] = ALERT_BASE + """
+SELECT anomaly_id, rule_id, CAST(epoch_us(ts) AS BIGINT) AS ts_us, fired FROM alerts"""
+
+ORACLE["e5_open_incidents"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS) + """
+SELECT id, tenant_id, alert_rule_id, title, description, severity, status, context,
+       CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM inc"""
+
+ORACLE["e6_open_unique"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS) + """
+SELECT id, tenant_id, alert_rule_id, CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, alert_rule_id ORDER BY opened_at, id) AS rn FROM inc)
+WHERE rn = 1"""
+
+RESOLVED = """res AS (
+  SELECT i.*, CASE WHEN i.alert_rule_id LIKE '%6' THEN 'resolved' ELSE i.status END AS status2,
+         CASE WHEN i.alert_rule_id LIKE '%6' THEN i.opened_at + INTERVAL 2 HOUR END AS resolved_at,
+         CASE WHEN i.alert_rule_id LIKE '%6' THEN 'u3' END AS resolved_by
+  FROM inc i)"""
+
+ORACLE["e7_resolve_incidents"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS, RESOLVED) + """
+SELECT id, tenant_id, status2 AS status, CAST(epoch_us(resolved_at) AS BIGINT) AS resolved_at_us, resolved_by
+FROM res"""
+
+ORACLE["e8_acknowledge_incidents"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS, RESOLVED) + """
+SELECT id, tenant_id,
+       CASE WHEN tenant_id IN ('t0', 't2') AND status2 = 'open' THEN 'acknowledged' ELSE status2 END AS status,
+       CAST(epoch_us(CASE WHEN tenant_id IN ('t0', 't2') AND status2 = 'open' THEN opened_at + INTERVAL 10 MINUTE END)
+            AS BIGINT) AS acknowledged_at_us,
+       CASE WHEN tenant_id IN ('t0', 't2') AND status2 = 'open' THEN 'u0' END AS acknowledged_by
+FROM res"""
+
+CHANNELS = """chan AS (
+  SELECT anomaly_id, tenant_id, rule_id, ts, title, description,
+         CAST(unnest(generate_series(0, len(chs) - 1)) AS INTEGER) AS channel_no, unnest(chs) AS ch
+  FROM (SELECT *, COALESCE(json_transform(channels, '[{"type":"VARCHAR","url":"VARCHAR","routing_key":"VARCHAR"}]'),
+                           []) AS chs
+        FROM alerts WHERE fired))"""
+
+ORACLE["e9_notifications"] = ALERT_BASE.rstrip("\n") + ",\n" + CHANNELS + """
+SELECT anomaly_id, tenant_id, rule_id, CAST(epoch_us(ts) AS BIGINT) AS ts_us, channel_no, ch.type AS channel_type,
+       CASE WHEN ch.type = 'pagerduty' THEN 'https://events.pagerduty.com/v2/enqueue' ELSE ch.url END AS target,
+       CASE ch.type
+         WHEN 'slack' THEN '{"text":' || to_json('*' || title || '*' || chr(10) || description) || '}'
+         WHEN 'pagerduty' THEN '{"event_action":"trigger","payload":{"severity":"critical","source":"signalspark-alerting","summary":'
+                               || to_json(title) || '},"routing_key":' || to_json(ch.routing_key) || '}'
+         WHEN 'webhook' THEN '{"description":' || to_json(description) || ',"timestamp":"'
+                             || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","title":' || to_json(title) || '}'
+       END AS payload
+FROM chan WHERE ch.type IN ('slack', 'pagerduty', 'webhook')"""
+
+ORACLE["e9_notification_rejects"] = ALERT_BASE.rstrip("\n") + ",\n" + CHANNELS + """
+SELECT anomaly_id, tenant_id, rule_id, CAST(epoch_us(ts) AS BIGINT) AS ts_us, channel_no, ch.type AS channel_type,
+       'unknown channel type' AS reason
+FROM chan WHERE ch.type IS NULL OR ch.type NOT IN ('slack', 'pagerduty', 'webhook')"""
+
+ORACLE["e10_threshold_rules"] = with_(EV, METRICS, RULES_CTE) + """
+SELECT tenant_id, rule_id, name, window_start, CAST(count(*) AS BIGINT) AS samples FROM (
+  SELECT m.tenant_id, r.id AS rule_id, m.name, m.value, json_extract_string(r.rule_config, '$.comparator') AS cmp,
+         CAST(json_extract(r.rule_config, '$.threshold') AS DOUBLE) AS thr,
+         CAST(floor(m.timestamp / CAST(json_extract(r.rule_config, '$.window_secs') AS BIGINT))
+              * CAST(json_extract(r.rule_config, '$.window_secs') AS BIGINT) AS BIGINT) AS window_start
+  FROM metrics m JOIN rules r ON m.tenant_id = r.tenant_id
+   AND m.name = json_extract_string(r.rule_config, '$.metric')
+  WHERE r.is_enabled AND r.rule_type = 'threshold')
+GROUP BY tenant_id, rule_id, name, window_start, cmp, thr
+HAVING (cmp = '>' AND avg(value) > thr) OR (cmp = '>=' AND avg(value) >= thr) OR (cmp = '<' AND avg(value) < thr)
+    OR (cmp = '<=' AND avg(value) <= thr) OR (cmp = '==' AND avg(value) = thr) OR (cmp = '!=' AND avg(value) <> thr)"""

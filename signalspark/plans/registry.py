@@ -147,3 +147,123 @@ def _a13(spark, base):
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.groupBy("topic", "tenant_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+# ------------------------------------------------------------- admission, alerting
+from ..operators import admission as AD  # noqa: E402
+from ..operators import alerting as AL  # noqa: E402
+from ..operators.envelope import ingest_summary  # noqa: E402
+from ..sources import metadata as MD  # noqa: E402
+
+
+@register("a10_admission")
+def _a10(spark, base):
+    """A10: token bucket per tenant, 4 tokens, refilled 4 per 2 hours."""
+    out = AD.admit(fx.admission_requests(spark, base), capacity=4, refill=4, period="2 hours")
+    return out.select("event_id", "tenant_id", "admitted", "tokens_units")
+
+
+@register("a11_admission_overrides")
+def _a11(spark, base):
+    """Per-tenant limit overrides (per hour), default 4."""
+    out = AD.admit(fx.admission_requests(spark, base), capacity=4, period="1 hour",
+                   limits=MD.limit_overrides(spark))
+    return out.select("event_id", "tenant_id", "admitted", "tokens_units")
+
+
+@register("a12_ingest_summary")
+def _a12(spark, base):
+    """Admit whole envelopes (one token per request), count per tenant."""
+    env = fx.log_envelopes(spark, base).select("request_id", "tenant_id", "received_at",
+                                               F.size("lines").cast("bigint").alias("n_lines"))
+    dec = AD.admit(env, ts="received_at", id_col="request_id", capacity=4, refill=4, period="2 hours")
+    return ingest_summary(dec)
+
+
+def alerts_df(spark, base):
+    """Anomalies matched to rules with cooldown applied."""
+    m = AL.match_rules(fx.anomalies(spark, base), MD.rules(spark))["matches"]
+    return AL.apply_cooldown(m)
+
+
+@register("e1_match_rules")
+def _e1(spark, base):
+    """Anomaly ⨝ enabled rules, threshold test, alert text."""
+    m = AL.match_rules(fx.anomalies(spark, base), MD.rules(spark))["matches"]
+    return m.select("anomaly_id", "tenant_id", "rule_id", "metric_name", "anomaly_score", "title", "description")
+
+
+@register("e3_cooldown")
+def _e3(spark, base):
+    """Cooldown per rule over the matched anomalies."""
+    return alerts_df(spark, base).select("anomaly_id", "rule_id", F.unix_micros("ts").alias("ts_us"), "fired")
+
+
+def incidents_df(spark, base):
+    return AL.open_incidents_from(alerts_df(spark, base))
+
+
+@register("e5_open_incidents")
+def _e5(spark, base):
+    """E5: one open incident per fired alert."""
+    return incidents_df(spark, base).select(
+        "id", "tenant_id", "alert_rule_id", "title", "description", "severity", "status", "context",
+        F.unix_micros("opened_at").alias("opened_at_us"))
+
+
+@register("e6_open_unique")
+def _e6(spark, base):
+    """At most one open incident per (tenant, rule)."""
+    return AL.open_unique(incidents_df(spark, base)).select(
+        "id", "tenant_id", "alert_rule_id", F.unix_micros("opened_at").alias("opened_at_us"))
+
+
+def _resolved(spark, base):
+    inc = incidents_df(spark, base)
+    r6 = inc.filter(F.col("alert_rule_id").endswith("6"))
+    res = r6.select("tenant_id", "id", (F.col("opened_at") + F.expr("INTERVAL 1 HOUR")).alias("resolved_at"),
+                    F.lit("u2").alias("resolved_by")).unionByName(
+          r6.select("tenant_id", "id", (F.col("opened_at") + F.expr("INTERVAL 2 HOURS")).alias("resolved_at"),
+                    F.lit("u3").alias("resolved_by")))
+    return AL.resolve_incidents(inc, res)
+
+
+@register("e7_resolve_incidents")
+def _e7(spark, base):
+    """Resolve rule-6 incidents twice; the later resolution wins."""
+    return _resolved(spark, base).select("id", "tenant_id", "status",
+                                         F.unix_micros("resolved_at").alias("resolved_at_us"), "resolved_by")
+
+
+@register("e8_acknowledge_incidents")
+def _e8(spark, base):
+    """Acknowledge t0/t2 incidents; only open ones change."""
+    inc = _resolved(spark, base)
+    acks = inc.filter(F.col("tenant_id").isin("t0", "t2")).select(
+        "tenant_id", "id", (F.col("opened_at") + F.expr("INTERVAL 10 MINUTES")).alias("acknowledged_at"),
+        F.lit("u0").alias("acknowledged_by"))
+    return AL.acknowledge_incidents(inc, acks).select(
+        "id", "tenant_id", "status", F.unix_micros("acknowledged_at").alias("acknowledged_at_us"), "acknowledged_by")
+
+
+@register("e9_notifications")
+def _e9(spark, base):
+    """One payload per fired alert and channel."""
+    n = AL.notifications(alerts_df(spark, base))["notifications"]
+    return n.select("anomaly_id", "tenant_id", "rule_id", F.unix_micros("ts").alias("ts_us"),
+                    F.col("channel_no").cast("int").alias("channel_no"), "channel_type", "target", "payload")
+
+
+@register("e9_notification_rejects")
+def _e9r(spark, base):
+    """Channels of unknown type are routed to a reject table."""
+    n = AL.notifications(alerts_df(spark, base))["rejects"]
+    return n.select("anomaly_id", "tenant_id", "rule_id", F.unix_micros("ts").alias("ts_us"),
+                    F.col("channel_no").cast("int").alias("channel_no"), "channel_type", "reason")
+
+
+@register("e10_threshold_rules")
+def _e10(spark, base):
+    """Threshold rules over tumbling windows of the metrics table."""
+    b = AL.evaluate_threshold_rules(flows.event_metric_rows(spark, base), MD.rules(spark))
+    return b.select("tenant_id", "rule_id", "name", "window_start", "samples")

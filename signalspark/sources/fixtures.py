@@ -127,3 +127,20 @@ def exposition_envelopes(spark: SparkSession, base: str) -> DataFrame:
         "received_at",
         F.array_join(F.transform("items", lambda x: x["t"]), "\n").alias("exposition"),
     )
+
+
+def anomalies(spark: SparkSession, base: str) -> DataFrame:
+    """One anomaly per event: score = least(1, value / 200); context = its JSON."""
+    b = event_base(read_table(spark, base, "events"))
+    score = F.least(F.lit(1.0), F.col("value") / F.lit(200.0))
+    ctx = F.concat(F.lit('{"anomaly_id":'), _s("event_id"), F.lit(',"metric_name":"'), F.col("event_type"),
+                   F.lit('","tenant_id":"'), F.col("tenant_id"), F.lit('"}'))
+    return b.select(F.col("event_id").alias("anomaly_id"), "tenant_id",
+                    F.col("event_type").alias("metric_name"), score.alias("anomaly_score"), "ts",
+                    ctx.alias("context"))
+
+
+def admission_requests(spark: SparkSession, base: str) -> DataFrame:
+    """Every event is one ingest request of its tenant."""
+    b = event_base(read_table(spark, base, "events"))
+    return b.select("event_id", "tenant_id", "ts")
