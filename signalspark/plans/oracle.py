@@ -416,3 +416,68 @@ SELECT tenant_id, rule_id, name, window_start, CAST(count(*) AS BIGINT) AS sampl
 GROUP BY tenant_id, rule_id, name, window_start, cmp, thr
 HAVING (cmp = '>' AND avg(value) > thr) OR (cmp = '>=' AND avg(value) >= thr) OR (cmp = '<' AND avg(value) < thr)
     OR (cmp = '<=' AND avg(value) <= thr) OR (cmp = '==' AND avg(value) = thr) OR (cmp = '!=' AND avg(value) <> thr)"""
+
+
+# ---------------------------------------------------------------- detection
+def c_sql(n: str) -> str:
+    return (f"(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 "
+            f"ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649) - 2.0 * ({n} - 1.0) / {n} END)")
+
+
+def series_ctes(limit: int) -> str:
+    return f"""ser AS (
+  SELECT * FROM (SELECT tenant_id, name, CAST(timestamp // 86400 AS BIGINT) AS day, timestamp, value,
+                        row_number() OVER (PARTITION BY tenant_id, name, timestamp // 86400
+                                           ORDER BY timestamp DESC, value DESC) AS rn
+                 FROM metrics) WHERE rn <= {limit}),
+cnt AS (SELECT tenant_id, name, day, count(*) AS n, max(timestamp) AS last_ts FROM ser GROUP BY ALL),
+dv AS (SELECT tenant_id, name, day, value AS x, count(*) AS mult,
+              row_number() OVER (PARTITION BY tenant_id, name, day ORDER BY value) AS k
+       FROM ser GROUP BY tenant_id, name, day, value),
+gaps AS (SELECT a.tenant_id, a.name, a.day, a.k AS j, a.x AS xj, b.x AS xj1
+         FROM dv a JOIN dv b ON a.tenant_id = b.tenant_id AND a.name = b.name AND a.day = b.day AND b.k = a.k + 1),
+dep AS (SELECT d.tenant_id, d.name, d.day, d.x,
+               COALESCE(sum(CASE WHEN g.j >= d.k THEN (g.xj1 - g.xj) / (g.xj1 - d.x)
+                                 ELSE (g.xj1 - g.xj) / (d.x - g.xj) END), 0.0) + {c_sql('CAST(d.mult AS DOUBLE)')} AS h
+        FROM dv d LEFT JOIN gaps g ON d.tenant_id = g.tenant_id AND d.name = g.name AND d.day = g.day
+        GROUP BY d.tenant_id, d.name, d.day, d.x, d.k, d.mult),
+pts AS (SELECT s.tenant_id, s.name, s.day, s.rn, c.n, c.last_ts,
+               -pow(2.0, -dep.h / {c_sql('CAST(least(c.n, 256) AS DOUBLE)')}) AS sc
+        FROM ser s JOIN dep ON s.tenant_id = dep.tenant_id AND s.name = dep.name AND s.day = dep.day AND s.value = dep.x
+        JOIN cnt c ON s.tenant_id = c.tenant_id AND s.name = c.name AND s.day = c.day),
+off AS (SELECT tenant_id, name, day, quantile_cont(sc, 0.1) AS offset FROM pts GROUP BY ALL),
+det AS (SELECT p.tenant_id, p.name, p.day, p.n, p.last_ts,
+               CASE WHEN p.n < 5 THEN 0.0 ELSE 0.5 - (p.sc - o.offset) END AS anomaly_score,
+               CASE WHEN p.n < 5 THEN false ELSE (p.sc - o.offset) < 0 END AS is_anomaly,
+               CASE WHEN p.n < 5 THEN 'Insufficient history' END AS reason
+        FROM pts p JOIN off o ON p.tenant_id = o.tenant_id AND p.name = o.name AND p.day = o.day WHERE p.rn = 1)"""
+
+
+ORACLE["d1_recent_values"] = with_(EV, METRICS) + """
+SELECT tenant_id, name, day, CAST(count(*) AS BIGINT) AS n_values, max(timestamp) AS last_ts,
+       string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY timestamp, rn DESC) AS values_cents
+FROM (SELECT tenant_id, name, CAST(timestamp // 86400 AS BIGINT) AS day, timestamp, value,
+             row_number() OVER (PARTITION BY tenant_id, name, timestamp // 86400 ORDER BY timestamp DESC, value DESC) AS rn
+      FROM metrics) WHERE rn <= 256
+GROUP BY tenant_id, name, day"""
+
+ORACLE["d2_short_history"] = with_(EV, METRICS, series_ctes(4)) + """
+SELECT tenant_id, name, day, anomaly_score, is_anomaly, reason FROM det"""
+
+ORACLE["d4_detect_expected"] = with_(EV, METRICS, series_ctes(256)) + """
+SELECT tenant_id, name, day, CAST(n AS BIGINT) AS n_values, round(anomaly_score, 6) AS anomaly_score, is_anomaly, reason
+FROM det"""
+
+ANOM_FROM_DET = """an AS (
+  SELECT tenant_id || '/' || name || '/' || CAST(day AS VARCHAR) || '/' || CAST(last_ts AS VARCHAR) AS anomaly_id,
+         tenant_id, name AS metric_name, anomaly_score, make_timestamp(last_ts * 1000000) AS ts
+  FROM det WHERE is_anomaly)"""
+
+ORACLE["d6_anomaly_events"] = with_(EV, METRICS, series_ctes(256), ANOM_FROM_DET) + """
+SELECT anomaly_id, tenant_id, metric_name, round(anomaly_score, 6) AS anomaly_score,
+       CAST(epoch_us(ts) AS BIGINT) AS ts_us FROM an"""
+
+ORACLE["e11_alert_flow"] = with_rec(EV, METRICS, series_ctes(256), ANOM_FROM_DET.replace(
+    "AS ts\n", "AS ts, '' AS context\n"), RULES_CTE, MT, COOL, INCIDENTS) + """
+SELECT id, tenant_id, alert_rule_id, title, description, severity, status,
+       CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM inc"""

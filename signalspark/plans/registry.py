@@ -267,3 +267,81 @@ def _e10(spark, base):
     """Threshold rules over tumbling windows of the metrics table."""
     b = AL.evaluate_threshold_rules(flows.event_metric_rows(spark, base), MD.rules(spark))
     return b.select("tenant_id", "rule_id", "name", "window_start", "samples")
+
+
+# ------------------------------------------------------------------ detection
+from ..operators import detect as DT  # noqa: E402
+
+SERIES_KEYS = ("tenant_id", "name", "day")
+
+
+def daily_series(spark, base, n=256):
+    """D1 over the metrics table: per (tenant, metric, day) the newest n values."""
+    m = flows.event_metric_rows(spark, base).withColumn("day", F.floor(F.col("timestamp") / 86400).cast("bigint"))
+    return DT.recent_values(m, n=n, keys=SERIES_KEYS)
+
+
+@register("d1_recent_values")
+def _d1(spark, base):
+    """Bounded series windows, oldest → newest (values shown in cents)."""
+    s = daily_series(spark, base)
+    return s.select("tenant_id", "name", "day", F.size("values").cast("bigint").alias("n_values"), "last_ts",
+                    F.array_join(F.transform("values", lambda v: F.round(v * 100).cast("bigint").cast("string")),
+                                 ",").alias("values_cents"))
+
+
+@register("d2_short_history")
+def _d2(spark, base):
+    """Series shorter than 5 values score 0 with 'Insufficient history'."""
+    return DT.detect_expected(daily_series(spark, base, n=4)).select(
+        "tenant_id", "name", "day", "anomaly_score", "is_anomaly", "reason")
+
+
+@register("d3_detect")
+def _d3(spark, base):
+    """D3: isolation forest (100 trees, ψ ≤ 256, contamination 0.1) per series."""
+    return DT.detect(daily_series(spark, base), keys=SERIES_KEYS).select(
+        "tenant_id", "name", "day", F.size("values").cast("bigint").alias("n_values"),
+        "anomaly_score", "is_anomaly", "reason")
+
+
+@register("d4_detect_expected")
+def _d4(spark, base):
+    """Deterministic expected-depth isolation score per series."""
+    return DT.detect_expected(daily_series(spark, base)).select(
+        "tenant_id", "name", "day", F.size("values").cast("bigint").alias("n_values"),
+        F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly", "reason")
+
+
+def anomaly_stream(spark, base, forest=False):
+    s = daily_series(spark, base)
+    d = DT.detect(s, keys=SERIES_KEYS) if forest else DT.detect_expected(s)
+    return DT.to_anomaly_events(d, keys=SERIES_KEYS, ts="last_ts").withColumnRenamed("name", "metric_name")
+
+
+@register("d6_anomaly_events")
+def _d6(spark, base):
+    """Anomalous detections published as anomaly events."""
+    return anomaly_stream(spark, base).select("anomaly_id", "tenant_id", "metric_name",
+                                              F.round("anomaly_score", 6).alias("anomaly_score"),
+                                              F.unix_micros("ts").alias("ts_us"))
+
+
+def _alert_flow(spark, base, forest=False):
+    an = anomaly_stream(spark, base, forest).withColumn("context", F.lit(""))
+    m = AL.match_rules(an, MD.rules(spark))["matches"]
+    return AL.open_incidents_from(AL.apply_cooldown(m))
+
+
+@register("e11_alert_flow")
+def _e11(spark, base):
+    """Series → D4 detection → anomalies → rules → cooldown → incidents."""
+    return _alert_flow(spark, base).select("id", "tenant_id", "alert_rule_id", "title", "description", "severity",
+                                           "status", F.unix_micros("opened_at").alias("opened_at_us"))
+
+
+@register("e11_alert_flow_iforest")
+def _e11f(spark, base):
+    """E11 with the isolation forest (D3) as detector (random: rows-only check)."""
+    return _alert_flow(spark, base, forest=True).select(
+        "id", "tenant_id", "alert_rule_id", "title", F.unix_micros("opened_at").alias("opened_at_us"))

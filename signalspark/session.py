@@ -25,12 +25,42 @@ _SCALE_CONFS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the result-relevant and scale settings to a live session."""
+    """Apply the result-relevant and scale settings to a live session and make
+    the package importable by the Python workers."""
     for k, v in {**_SCALE_CONFS, **_RESULT_CONFS}.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors once per SparkContext.
+
+    Pandas UDFs and kernels are pickled by reference, so every Python worker
+    must be able to import ``signalspark``; ``addPyFile`` ships a zip of it
+    through Spark's own file distribution (works the same on a cluster).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="signalspark-pkg-"), "signalspark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def get_spark(app: str = "signalspark", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's settings.
