@@ -481,3 +481,60 @@ ORACLE["e11_alert_flow"] = with_rec(EV, METRICS, series_ctes(256), ANOM_FROM_DET
     "AS ts\n", "AS ts, '' AS context\n"), RULES_CTE, MT, COOL, INCIDENTS) + """
 SELECT id, tenant_id, alert_rule_id, title, description, severity, status,
        CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM inc"""
+
+
+# ---------------------------------------------------------------- vectors
+def hashed_vectors(src: str, key: str, text: str, name: str) -> str:
+    """Signed MD5 feature hashing (dim 384) of whitespace tokens, as SQL."""
+    return f"""{name}_tok AS (SELECT {key} AS vid, unnest(regexp_split_to_array(lower({text}), '[ \\t\\n\\r]+')) AS t
+              FROM {src}),
+{name}_slot AS (SELECT vid, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 384 AS b,
+                       CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1.0 ELSE -1.0 END AS sg
+                FROM {name}_tok WHERE t <> ''),
+{name}_agg AS (SELECT vid, b, sum(sg) AS c FROM {name}_slot GROUP BY vid, b),
+{name} AS (SELECT a.vid, a.b, a.c, CASE WHEN sum(a.c * a.c) OVER (PARTITION BY a.vid) = 0 THEN 0.0
+                   ELSE a.c / sqrt(sum(a.c * a.c) OVER (PARTITION BY a.vid)) END AS x FROM {name}_agg a)"""
+
+
+ORACLE["b9_embed_documents"] = with_(hashed_vectors("documents", "doc_id", "text", "hv")) + """
+SELECT d.doc_id, CAST(COALESCE(s.nnz, 0) AS BIGINT) AS nnz, COALESCE(s.checksum, 0.0) AS checksum
+FROM documents d LEFT JOIN (
+  SELECT vid, count(*) FILTER (WHERE x <> 0) AS nnz,
+         round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * (b + 1)), 4) AS checksum
+  FROM hv GROUP BY vid) s ON d.doc_id = s.vid"""
+
+LOG_POINTS = """pts AS (
+  SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-'
+         || substr(h, 21, 12) AS id, tenant_id, message, timestamp, event_id
+  FROM (SELECT sha256(concat_ws(chr(31), 'log', tenant_id, CAST(event_id AS VARCHAR))) AS h, tenant_id, message,
+               CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp, event_id FROM pl))"""
+
+ORACLE["b8_vector_upsert"] = with_(EV, LL, parse_ctes("ll", "pl"), LOG_POINTS) + """
+SELECT id, tenant_id, CASE WHEN event_id % 3 = 0 THEN upper(message) ELSE message END AS message,
+       CASE WHEN event_id % 3 = 0 THEN timestamp + 60 ELSE timestamp END AS timestamp
+FROM pts"""
+
+ORACLE["c6_semantic_search"] = with_(EV, LL, parse_ctes("ll", "pl"), LOG_POINTS,
+                                    hashed_vectors("pts", "id", "message", "hv"),
+                                    hashed_vectors("(SELECT 'q' AS qid, 'error k1' AS qt)", "qid", "qt", "qv"),
+                                    """fv AS (SELECT vid, b, CAST(CAST(x AS FLOAT) AS DOUBLE) AS f FROM hv),
+fn AS (SELECT vid, b, CASE WHEN sum(f * f) OVER (PARTITION BY vid) = 0 THEN 0.0
+                           ELSE f / sqrt(sum(f * f) OVER (PARTITION BY vid)) END AS u FROM fv)""") + """
+SELECT p.id, p.tenant_id, p.message, p.timestamp, round(COALESCE(s.score, 0.0), 6) AS score
+FROM pts p LEFT JOIN (SELECT fn.vid, sum(fn.u * qv.x) AS score FROM fn JOIN qv ON fn.b = qv.b GROUP BY fn.vid) s
+  ON p.id = s.vid
+WHERE p.tenant_id = 't1'
+ORDER BY COALESCE(s.score, 0.0) DESC, p.id LIMIT 10"""
+
+ORACLE["c7_semantic_search_batch"] = """
+WITH ev AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS pos,
+                   CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+cen AS (SELECT label, pos, avg(x) AS c FROM ev GROUP BY label, pos),
+cn AS (SELECT label, pos, c / sqrt(sum(c * c) OVER (PARTITION BY label)) AS q FROM cen),
+vn AS (SELECT vec_id, label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS u FROM ev),
+sc AS (SELECT 'label-' || CAST(cn.label AS VARCHAR) AS query_id, 't' || CAST(cn.label % 5 AS VARCHAR) AS tenant_id,
+              CAST(vn.vec_id AS VARCHAR) AS id, sum(cn.q * vn.u) AS score
+       FROM cn JOIN vn ON cn.pos = vn.pos AND cn.label % 5 = vn.label % 5
+       GROUP BY cn.label, vn.vec_id)
+SELECT query_id, tenant_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5"""

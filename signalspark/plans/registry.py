@@ -345,3 +345,82 @@ def _e11f(spark, base):
     """E11 with the isolation forest (D3) as detector (random: rows-only check)."""
     return _alert_flow(spark, base, forest=True).select(
         "id", "tenant_id", "alert_rule_id", "title", F.unix_micros("opened_at").alias("opened_at_us"))
+
+
+# ------------------------------------------------------------------ vectors
+from ..operators import vectors as VC  # noqa: E402
+
+
+def _checksum(col="vector"):
+    return F.round(F.aggregate(F.zip_with(F.col(col), F.sequence(F.lit(1), F.size(col)),
+                                          lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, b: a + b), 4)
+
+
+@register("b9_embed_documents")
+def _b9(spark, base):
+    """Embed every whole document text (hashing encoder, dim 384)."""
+    d = VC.embed(fx.read_table(spark, base, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", F.size(F.filter("vector", lambda x: x != 0)).cast("bigint").alias("nnz"),
+                    _checksum().alias("checksum"))
+
+
+def log_vectors(spark, base):
+    return VC.vector_points(flows.event_log_events(spark, base))
+
+
+@register("b8_vector_upsert")
+def _b8(spark, base):
+    """Keyed upsert of log-message vectors; a newer existing point wins."""
+    ev = flows.event_log_events(spark, base)
+    pts = VC.vector_points(ev.withColumn("_eid", F.lit(0)))
+    ids = fx.log_lines(spark, base).select("event_id", "tenant_id")
+    from ..operators.events import stable_uuid
+    ids = ids.select(stable_uuid(F.lit("log"), "tenant_id", "event_id").alias("id"), "event_id")
+    tagged = pts.join(ids, "id")
+    existing = (tagged.filter(F.col("event_id") % 3 == 0)
+                      .withColumn("message", F.upper("message"))
+                      .withColumn("timestamp", F.col("timestamp") + 60).drop("event_id"))
+    merged = VC.upsert_vectors(existing, pts)
+    return merged.select("id", "tenant_id", "message", "timestamp")
+
+
+@register("c6_semantic_search")
+def _c6(spark, base):
+    """Embed 'error k1' and return the 10 most similar t1 log messages."""
+    q = VC.hash_embed("error k1")
+    r = VC.semantic_search(log_vectors(spark, base), q, "t1", limit=10)
+    return r.select("id", "tenant_id", "message", "timestamp", F.round("score", 6).alias("score"))
+
+
+def embedding_vectors(spark, base):
+    e = fx.read_table(spark, base, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("id"),
+                    F.concat(F.lit("t"), (F.col("label") % 5).cast("string")).alias("tenant_id"),
+                    F.col("label"), F.col("embedding").alias("vector"))
+
+
+def label_centroids(spark, base):
+    """Query vectors derived from the data: the mean vector of every label."""
+    e = fx.read_table(spark, base, "embeddings")
+    x = e.select("label", F.posexplode("embedding").alias("pos", "x"))
+    c = x.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    g = c.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("s"))
+    return g.select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("query_id"),
+                    F.concat(F.lit("t"), (F.col("label") % 5).cast("string")).alias("tenant_id"),
+                    F.transform("s", lambda z: z["c"]).alias("qvector"))
+
+
+@register("c7_semantic_search_batch")
+def _c7(spark, base):
+    """Top-5 vectors of the query's tenant for every label centroid."""
+    r = VC.semantic_search_batch(embedding_vectors(spark, base), label_centroids(spark, base), k=5)
+    return r.select("query_id", "tenant_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("c8_ann_search")
+def _c8(spark, base):
+    """LSH candidates + exact re-rank for the label-0 centroid in t0 (approximate)."""
+    vecs = embedding_vectors(spark, base)
+    q = label_centroids(spark, base).filter(F.col("query_id") == "label-0").first()["qvector"]
+    r = VC.ann_search(VC.ann_index(vecs), q, k=10, tenant_id="t0")
+    return r.select("id", "tenant_id", F.round("score", 6).alias("score"))
