@@ -538,3 +538,72 @@ sc AS (SELECT 'label-' || CAST(cn.label AS VARCHAR) AS query_id, 't' || CAST(cn.
        GROUP BY cn.label, vn.vec_id)
 SELECT query_id, tenant_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5"""
+
+
+# ---------------------------------------------------------------- insight
+SERVICES_CTE = ("svc AS (SELECT * FROM " + sql_values(
+    [(f"t{t}", s) for t in range(5) for s in ["checkout", "auth", "api", "search", "billing"]],
+    ["tenant_id", "service"]) + ")")
+
+ORACLE["f1_explain"] = LOGS.rstrip("\n") + ",\n" + SERVICES_CTE + """,
+rl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, service
+                                                  ORDER BY timestamp DESC, level, message, trace_id) AS rn FROM logs)
+       WHERE rn <= 3),
+g AS (SELECT tenant_id, service, bool_or(contains(lower(message), 'timeout')) AS tmo,
+             bool_or(contains(lower(message), 'error')) AS er, count(*) AS n FROM rl GROUP BY ALL)
+SELECT s.tenant_id, s.service, CAST(COALESCE(g.n, 0) AS BIGINT) AS n_logs,
+       'Root cause analysis for ' || s.service || ': ' ||
+       CASE WHEN COALESCE(g.n, 0) = 0 THEN 'Insufficient context to provide automated root cause.'
+            WHEN g.tmo THEN 'Dependency timeout detected in downstream service.'
+            WHEN g.er THEN 'Application level exceptions found in recent logs.'
+            ELSE 'Unusual log patterns detected; suggest manual audit.' END AS explanation
+FROM svc s LEFT JOIN g ON s.tenant_id = g.tenant_id AND s.service = g.service"""
+
+ORACLE["f2_explain_context"] = with_(EV, LL, parse_ctes("ll", "pl"), """logs AS (
+  SELECT tenant_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp, level, message, service,
+         COALESCE(trace_id, '') AS trace_id FROM pl)""", METRICS) + """,
+rl AS (SELECT tenant_id, service, string_agg(message, ' | ' ORDER BY rn DESC) AS recent_logs FROM (
+         SELECT *, row_number() OVER (PARTITION BY tenant_id, service ORDER BY timestamp DESC, level, message, trace_id) AS rn
+         FROM logs) WHERE rn <= 5 GROUP BY ALL),
+rm AS (SELECT tenant_id, service, string_agg(name || '=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ' | '
+                                              ORDER BY rn DESC) AS metric_data FROM (
+         SELECT *, row_number() OVER (PARTITION BY tenant_id, service ORDER BY timestamp DESC, name, value DESC) AS rn
+         FROM metrics) WHERE rn <= 5 GROUP BY ALL)
+SELECT COALESCE(rl.tenant_id, rm.tenant_id) AS tenant_id, COALESCE(rl.service, rm.service) AS service,
+       COALESCE(recent_logs, '') AS recent_logs, COALESCE(metric_data, '') AS metric_data
+FROM rl FULL JOIN rm ON rl.tenant_id = rm.tenant_id AND rl.service = rm.service"""
+
+ORACLE["f3_error_rate"] = LOGS + """
+SELECT tenant_id, CAST(floor(timestamp / 86400) * 86400 AS BIGINT) AS bucket_start, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE level IN ('ERROR', 'FATAL')) AS BIGINT) AS errors,
+       CAST(count(*) FILTER (WHERE level IN ('ERROR', 'FATAL')) AS DOUBLE) / count(*) AS error_rate
+FROM logs GROUP BY ALL"""
+
+ORACLE["f4_p99"] = with_(EV, METRICS) + """
+SELECT tenant_id, bucket_start, list_sort(vals)[CAST(greatest(1, ceil(0.99 * len(vals))) AS BIGINT)] AS p99,
+       CAST(len(vals) AS BIGINT) AS samples
+FROM (SELECT tenant_id, CAST(floor(timestamp / 86400) * 86400 AS BIGINT) AS bucket_start, list(value) AS vals
+      FROM metrics WHERE name = 'purchase' GROUP BY ALL)"""
+
+ORACLE["f5_throughput"] = LOGS + """
+SELECT tenant_id, CAST(floor(timestamp / 3600) * 3600 AS BIGINT) AS bucket_start, CAST(count(*) AS BIGINT) AS events,
+       CAST(count(*) AS DOUBLE) / 3600.0 AS events_per_sec
+FROM logs GROUP BY ALL"""
+
+ORACLE["f6_gauge_card"] = with_(EV, METRICS) + """
+SELECT tenant_id, arg_max(value, (timestamp, value)) AS latest_value, max(timestamp) AS latest_ts,
+       CAST(count(*) AS BIGINT) AS samples,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS mean_value
+FROM metrics WHERE name = 'view' GROUP BY tenant_id"""
+
+ORACLE["f7_pct_change"] = LOGS + """
+SELECT tenant_id, bucket_start, events, prev_value,
+       CASE WHEN prev_value <> 0 THEN CAST(events - prev_value AS DOUBLE) * 100.0 / prev_value END AS pct_change
+FROM (SELECT tenant_id, bucket_start, events, lag(events) OVER (PARTITION BY tenant_id ORDER BY bucket_start) AS prev_value
+      FROM (SELECT tenant_id, CAST(floor(timestamp / 86400) * 86400 AS BIGINT) AS bucket_start,
+                   CAST(count(*) AS BIGINT) AS events FROM logs GROUP BY ALL))"""
+
+ORACLE["f8_traffic"] = with_(EV) + """
+SELECT tenant_id, service, CAST(floor(epoch_us(ts) / 3600000000) * 3600 AS BIGINT) AS bucket_start,
+       CAST(count(*) AS BIGINT) AS requests
+FROM ev GROUP BY ALL"""

@@ -424,3 +424,65 @@ def _c8(spark, base):
     q = label_centroids(spark, base).filter(F.col("query_id") == "label-0").first()["qvector"]
     r = VC.ann_search(VC.ann_index(vecs), q, k=10, tenant_id="t0")
     return r.select("id", "tenant_id", F.round("score", 6).alias("score"))
+
+
+# ------------------------------------------------------------------ insight
+from ..operators import insight as IN  # noqa: E402
+
+
+def services_df(spark):
+    rows = [(f"t{t}", s) for t in range(5) for s in fx.SERVICES + ["billing"]]
+    return spark.createDataFrame(rows, "tenant_id STRING, service STRING")
+
+
+@register("f1_explain")
+def _f1(spark, base):
+    """root-cause sentence per (tenant, service) from its 3 newest logs."""
+    return IN.explain(services_df(spark), flows.event_log_rows(spark, base), k=3)
+
+
+@register("f2_explain_context")
+def _f2(spark, base):
+    """5 newest log messages and metric samples per (tenant, service)."""
+    c = IN.explain_context(flows.event_log_rows(spark, base), flows.event_metric_rows(spark, base), k=5)
+    return c.select("tenant_id", "service", F.array_join("recent_logs", " | ").alias("recent_logs"),
+                    F.array_join(F.transform("metric_data", lambda m: F.concat(
+                        m["name"], F.lit("="), F.round(m["value"] * 100).cast("bigint").cast("string"))), " | ")
+                    .alias("metric_data"))
+
+
+@register("f3_error_rate")
+def _f3(spark, base):
+    """daily error rate per tenant."""
+    return IN.error_rate(flows.event_log_rows(spark, base), "1 day")
+
+
+@register("f4_p99")
+def _f4(spark, base):
+    """daily p99 of 'purchase' per tenant (sketch; exact for small groups)."""
+    return IN.p99(flows.event_metric_rows(spark, base), "purchase", "1 day")
+
+
+@register("f5_throughput")
+def _f5(spark, base):
+    """hourly events per second per tenant."""
+    return IN.throughput(flows.event_log_rows(spark, base), "1 hour")
+
+
+@register("f6_gauge_card")
+def _f6(spark, base):
+    """latest and mean 'view' gauge per tenant."""
+    return IN.gauge_card(flows.event_metric_rows(spark, base), "view")
+
+
+@register("f7_pct_change")
+def _f7(spark, base):
+    """day-over-day change of the event count per tenant."""
+    kpi = IN.throughput(flows.event_log_rows(spark, base), "1 day").select("tenant_id", "bucket_start", "events")
+    return IN.pct_change(kpi, "events")
+
+
+@register("f8_traffic")
+def _f8(spark, base):
+    """F8: hourly requests per (tenant, service)."""
+    return IN.traffic(fx.event_base(fx.read_table(spark, base, "events")), "1 hour")
