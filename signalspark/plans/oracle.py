@@ -607,3 +607,33 @@ ORACLE["f8_traffic"] = with_(EV) + """
 SELECT tenant_id, service, CAST(floor(epoch_us(ts) / 3600000000) * 3600 AS BIGINT) AS bucket_start,
        CAST(count(*) AS BIGINT) AS requests
 FROM ev GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- storage, metadata, wire format
+ORACLE["a15_event_roundtrip"] = LOGS + "SELECT * FROM logs"
+ORACLE["a15_metric_roundtrip"] = with_(EV, METRICS) + "SELECT * FROM metrics"
+
+ORACLE["b5_partitioned_logs"] = LOGS + """
+SELECT CAST(strftime(make_timestamp(timestamp * 1000000), '%Y%m') AS INTEGER) AS yyyymm, tenant_id, timestamp, level,
+       message FROM logs"""
+
+ORACLE["b6_retention"] = LOGS + """
+SELECT tenant_id, timestamp, level, message FROM logs WHERE timestamp >= 1707523200 - 30 * 86400"""
+
+ORACLE["b7_plan_retention"] = LOGS.rstrip("\n") + ",\n" + TENANTS_CTE + """
+SELECT l.tenant_id, l.timestamp, l.level, l.message FROM logs l LEFT JOIN tenants t ON l.tenant_id = t.id
+WHERE l.timestamp >= 1706659200 - COALESCE(t.retention_days, 30) * 86400"""
+
+ORACLE["b10_purge_tenant"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS, RESOLVED) + """
+SELECT id, tenant_id, alert_rule_id, status2 AS status,
+       CASE WHEN tenant_id = 't2' AND status2 = 'open' THEN NULL END AS acknowledged_by
+FROM res WHERE tenant_id <> 't0'"""
+
+ORACLE["b11_audit_unique"] = LOGS + """
+SELECT tenant_id, message, CAST(count(*) AS BIGINT) AS count FROM logs GROUP BY tenant_id, message HAVING count(*) > 1"""
+
+ORACLE["a16_insert_ignore"] = with_(EV, TENANTS_CTE) + """
+SELECT id, name, plan, ingest_rate_per_second FROM tenants WHERE id IN ('t0', 't1')
+UNION ALL
+SELECT tenant_id AS id, 'tenant ' || tenant_id AS name, 'free' AS plan, 100 AS ingest_rate_per_second
+FROM (SELECT DISTINCT tenant_id FROM ev) WHERE tenant_id NOT IN ('t0', 't1')"""

@@ -486,3 +486,84 @@ def _f7(spark, base):
 def _f8(spark, base):
     """F8: hourly requests per (tenant, service)."""
     return IN.traffic(fx.event_base(fx.read_table(spark, base, "events")), "1 hour")
+
+
+# ------------------------------------------------------------------ storage, metadata, wire
+from ..operators import storage as ST  # noqa: E402
+from ..operators.rows import log_rows as _log_rows  # noqa: E402
+from ..sources import events_io as EIO  # noqa: E402
+
+
+@register("a15_event_roundtrip")
+def _a15(spark, base):
+    """Log events → wire JSON → events → log rows (must equal B1)."""
+    enc = EIO.encode_events(flows.event_log_events(spark, base))
+    return _log_rows(EIO.decode_events(enc))
+
+
+@register("a15_metric_roundtrip")
+def _a15m(spark, base):
+    """Metric events through the wire format (must equal B2)."""
+    ev = flows.event_metric_rows  # noqa: F841  (same rows as B2)
+    b = fx.event_base(fx.read_table(spark, base, "events"))
+    from ..operators.events import metric_events
+    samples = b.select(
+        F.col("event_id").cast("string").alias("request_id"), F.lit(0).alias("sample_no"),
+        "tenant_id", "service", F.lit("").alias("instance"), "environment", "ts",
+        F.col("event_type").alias("name"), "value",
+        F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"))
+    enc = EIO.encode_events(metric_events(samples, ts_col="ts", ingested_at=F.col("ts")))
+    return metric_rows(EIO.decode_events(enc))
+
+
+@register("b5_partitioned_logs")
+def _b5(spark, base):
+    """Month partition column and range/sort layout of the logs table."""
+    return ST.layout(flows.event_log_rows(spark, base), "logs").select(
+        "yyyymm", "tenant_id", "timestamp", "level", "message")
+
+
+@register("b6_retention")
+def _b6(spark, base):
+    """30-day retention as of 2024-02-10."""
+    import datetime as dt
+    r = ST.apply_retention(flows.event_log_rows(spark, base), dt.datetime(2024, 2, 10), 30)
+    return r.select("tenant_id", "timestamp", "level", "message")
+
+
+@register("b7_plan_retention")
+def _b7(spark, base):
+    """Per-plan retention (free 7 days, pro/enterprise 30) as of 2024-01-31."""
+    import datetime as dt
+    r = ST.apply_plan_retention(flows.event_log_rows(spark, base), MD.tenants(spark), dt.datetime(2024, 1, 31))
+    return r.select("tenant_id", "timestamp", "level", "message")
+
+
+@register("b10_purge_tenant")
+def _b10(spark, base):
+    """Purge tenant t0 from incidents, users and rules with cascades."""
+    inc = _resolved(spark, base)
+    acks = inc.filter(F.col("tenant_id").isin("t0", "t2")).select(
+        "tenant_id", "id", (F.col("opened_at") + F.expr("INTERVAL 10 MINUTES")).alias("acknowledged_at"),
+        F.lit("u0").alias("acknowledged_by"))
+    inc = AL.acknowledge_incidents(inc, acks)
+    tables = {"tenants": MD.tenants(spark), "users": MD.users(spark), "alert_rules": MD.rules(spark),
+              "incidents": inc}
+    out = ST.purge_tenants(tables, spark.createDataFrame([("t0",)], "tenant_id STRING"))
+    return out["incidents"].select("id", "tenant_id", "alert_rule_id", "status", "acknowledged_by")
+
+
+@register("b11_audit_unique")
+def _b11(spark, base):
+    """Repeated (tenant, message) pairs in the logs table."""
+    return ST.audit_unique(flows.event_log_rows(spark, base), ["tenant_id", "message"])
+
+
+@register("a16_insert_ignore")
+def _a16(spark, base):
+    """Seed tenants seen in the events into a table holding t0, t1 (insert-if-absent)."""
+    target = MD.tenants(spark).filter(F.col("id").isin("t0", "t1")).select("id", "name", "plan", "ingest_rate_per_second")
+    seen = fx.event_base(fx.read_table(spark, base, "events")).select(
+        F.col("tenant_id").alias("id"), F.concat(F.lit("tenant "), F.col("tenant_id")).alias("name"),
+        F.lit("free").alias("plan"), F.lit(100).alias("ingest_rate_per_second"), "ts")
+    return ST.insert_ignore(target, seen, ["id"], order=["ts"])
