@@ -21,9 +21,14 @@ def l2_norm(a) -> Column:
 
 
 def l2_normalize(a) -> Column:
-    """Unit-length copy of ``a`` as ``array<double>``; a zero vector stays zero."""
+    """Unit-length copy of ``a`` as ``array<double>``; a zero vector stays zero.
+
+    The norm is computed once per row outside any lambda (``array_repeat``)
+    so the cost stays O(d), not O(d²).
+    """
     n = l2_norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return F.zip_with(_c(a), F.array_repeat(n, F.size(_c(a))),
+                      lambda x, m: F.when(m > 0, x.cast("double") / m).otherwise(F.lit(0.0)))
 
 
 def cosine(a, b) -> Column:

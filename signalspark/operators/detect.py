@@ -73,6 +73,35 @@ def _tree_paths(sample_sorted: np.ndarray, x: np.ndarray, limit: int, rng: np.ra
     return np.asarray(leaf_len)[np.searchsorted(bounds, x, side="left")]
 
 
+def _forest_depths_full(x_sorted: np.ndarray, trees: int, limit: int, rng: np.random.Generator) -> np.ndarray:
+    """Summed path lengths of every sorted point over ``trees`` trees that are
+    all built on the full (sorted) sample, grown level by level for all trees
+    at once. A node is an index range [lo, hi) of the sorted values; a split
+    at a uniform threshold sends values ``<=`` it left, i.e. splits the range
+    at ``searchsorted(x, thr, 'right')``."""
+    n = len(x_sorted)
+    lo = np.zeros(trees, dtype=np.int64)
+    hi = np.full(trees, n, dtype=np.int64)
+    diff = np.zeros(n + 1)
+    depth = 0
+    while len(lo):
+        size = hi - lo
+        vmin, vmax = x_sorted[lo], x_sorted[hi - 1]
+        leaf = (depth >= limit) | (size <= 1) | (vmin == vmax)
+        if leaf.any():
+            val = depth + c_factor(size[leaf])
+            np.add.at(diff, lo[leaf], val)
+            np.add.at(diff, hi[leaf], -val)
+        lo, hi, vmin, vmax = lo[~leaf], hi[~leaf], vmin[~leaf], vmax[~leaf]
+        if not len(lo):
+            break
+        thr = rng.uniform(vmin, vmax)
+        mid = np.clip(np.searchsorted(x_sorted, thr, side="right"), lo, hi)
+        lo, hi = np.concatenate([lo, mid]), np.concatenate([mid, hi])
+        depth += 1
+    return np.cumsum(diff)[:n]
+
+
 def iforest_score_samples(values: np.ndarray, trees: int = IFOREST_TREES, max_samples: int = IFOREST_MAX_SAMPLES,
                           seed: int = 42) -> np.ndarray:
     """``score_samples`` (= −2^(−E[h]/c(ψ))) of every value, fitted on the values."""
@@ -81,10 +110,15 @@ def iforest_score_samples(values: np.ndarray, trees: int = IFOREST_TREES, max_sa
     psi = min(max_samples, n)
     limit = int(math.ceil(math.log2(max(psi, 2))))
     rng = np.random.default_rng(seed)
-    depth = np.zeros(n)
-    for _ in range(trees):
-        sample = x if psi == n else x[rng.choice(n, psi, replace=False)]
-        depth += _tree_paths(np.sort(sample), x, limit, rng)
+    if psi == n:  # every tree sees all points: vectorised over trees
+        order = np.argsort(x, kind="stable")
+        depth = np.empty(n)
+        depth[order] = _forest_depths_full(x[order], trees, limit, rng)
+    else:
+        depth = np.zeros(n)
+        for _ in range(trees):
+            sample = x[rng.choice(n, psi, replace=False)]
+            depth += _tree_paths(np.sort(sample), x, limit, rng)
     return -np.power(2.0, -(depth / trees) / float(c_factor([psi])[0]))
 
 

@@ -50,17 +50,43 @@ def _first_present(m: Column, keys) -> Column:
     return out
 
 
-def parse_log_columns(raw: Column) -> dict[str, Column]:
-    """Column expressions for the parsed fields of one raw line."""
-    line = utrim(raw)
-
-    # ---- JSON branch: accept only a complete, single JSON object ----------
-    as_array = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,variant>>", JSON_OPTS)
-    as_field = F.from_json(F.concat(F.lit('{"w":'), line, F.lit("}")), "struct<w:map<string,variant>>", JSON_OPTS)
-    is_json = (line.startswith("{")
-               & F.coalesce(F.size(as_array) == 1, F.lit(False))
-               & F.coalesce(as_field["w"].isNotNull(), F.lit(False)))
-    jm = F.map_from_entries(F.map_entries(as_field["w"]))  # last duplicate key wins
+def _stage_line(df: DataFrame, col: str) -> DataFrame:
+    """Stage 1: the trimmed line and the dispatch flags."""
+    line = utrim(F.col(col))
+    x = df.withColumn("_line", line)
+    ln = F.col("_line")
+    as_array = F.from_json(F.concat(F.lit("["), ln, F.lit("]")), "array<map<string,variant>>", JSON_OPTS)
+    as_field = F.from_json(F.concat(F.lit('{"w":'), ln, F.lit("}")), "struct<w:map<string,variant>>", JSON_OPTS)
+    # the object wrap is parsed only for lines starting with '{' and kept as a
+    # column, so later steps read the parsed map instead of re-parsing it
+    x = x.withColumn("_obj", F.when(ln.startswith("{"), as_field["w"]))
+    x = x.withColumn("_is_json", F.col("_obj").isNotNull()
+                     & F.coalesce(F.when(ln.startswith("{"), F.size(as_array) == 1), F.lit(False)))
+    x = x.withColumn("_is_logfmt", ~F.col("_is_json") & ln.contains("="))
+    return x
+
+
+def _stage_maps(x: DataFrame) -> DataFrame:
+    """Stage 2: the JSON map (last duplicate wins) and the logfmt pair map,
+    each built only for lines of that format."""
+    ln = F.col("_line")
+    pat = F.lit(LOGFMT_PAIR_RE)
+    pairs = F.arrays_zip(F.regexp_extract_all(ln, pat, 1).alias("k"),
+                         F.regexp_extract_all(ln, pat, 2).alias("q"),
+                         F.regexp_extract_all(ln, pat, 3).alias("u"))
+    lm = F.map_from_entries(F.transform(pairs, lambda p: F.struct(utrim(p["k"]).alias("key"),
+                                                                  F.concat(p["q"], p["u"]).alias("value"))))
+    x = x.withColumn("_jm", F.when(F.col("_is_json"), F.map_from_entries(F.map_entries("_obj"))))
+    x = x.withColumn("_lm", F.when(F.col("_is_logfmt"), lm))
+    x = x.withColumn("_prefix", F.when(~F.col("_is_json") & ~F.col("_is_logfmt"),
+                                       F.regexp_extract(ln, LEVEL_PREFIX_RE, 0)))
+    return x
+
+
+def _stage_out(x: DataFrame) -> DataFrame:
+    """Stage 3: the parsed columns."""
+    ln, jm, lm = F.col("_line"), F.col("_jm"), F.col("_lm")
+    is_json, is_logfmt = F.col("_is_json"), F.col("_is_logfmt")
     j_message = F.coalesce(*[_json_str(jm, k) for k in JSON_MESSAGE_KEYS], _sorted_json(jm))
     j_level = F.coalesce(*[_json_str(jm, k) for k in JSON_LEVEL_KEYS], F.lit("INFO"))
     j_trace = F.when(F.map_contains_key(jm, TRACE_ID_KEYS[0]), _json_str(jm, TRACE_ID_KEYS[0])) \
@@ -70,14 +96,6 @@ def parse_log_columns(raw: Column) -> dict[str, Column]:
     skip = F.array(*[F.lit(k) for k in JSON_MESSAGE_KEYS + JSON_LEVEL_KEYS + TRACE_ID_KEYS + SPAN_ID_KEYS])
     j_fields = _sorted_json(F.map_filter(jm, lambda k, v: ~F.array_contains(skip, k)))
 
-    # ---- logfmt branch ------------------------------------------------------
-    is_logfmt = ~is_json & line.contains("=")
-    pat = F.lit(LOGFMT_PAIR_RE)
-    pairs = F.arrays_zip(F.regexp_extract_all(line, pat, 1).alias("k"),
-                         F.regexp_extract_all(line, pat, 2).alias("q"),
-                         F.regexp_extract_all(line, pat, 3).alias("u"))
-    lm = F.map_from_entries(F.transform(pairs, lambda p: F.struct(utrim(p["k"]).alias("key"),
-                                                                  F.concat(p["q"], p["u"]).alias("value"))))
     msg_key = _first_present(lm, LOGFMT_MESSAGE_KEYS)
     lvl_key = _first_present(lm, LOGFMT_LEVEL_KEYS)
     trc_key = _first_present(lm, TRACE_ID_KEYS)
@@ -86,29 +104,30 @@ def parse_log_columns(raw: Column) -> dict[str, Column]:
         lm, lambda k, v: ~(k.eqNullSafe(msg_key) | k.eqNullSafe(lvl_key)
                            | k.eqNullSafe(trc_key) | k.eqNullSafe(spn_key))))
 
-    # ---- plain branch --------------------------------------------------------
-    prefix = F.regexp_extract(line, LEVEL_PREFIX_RE, 0)
-    p_level = F.when(F.length(prefix) > 0, F.regexp_extract(line, LEVEL_PREFIX_RE, 1)).otherwise(F.lit("INFO"))
-    p_message = F.substring(line, F.length(prefix) + 1, 1 << 30)
-
-    fmt = F.when(is_json, "json").when(is_logfmt, "logfmt").otherwise("plain")
-    return {
-        "log_format": fmt,
+    prefix = F.col("_prefix")
+    p_level = F.when(F.length(prefix) > 0, F.regexp_extract(ln, LEVEL_PREFIX_RE, 1)).otherwise(F.lit("INFO"))
+    p_message = F.substring(ln, F.length(prefix) + 1, 1 << 30)
+    cols = {
+        "log_format": F.when(is_json, "json").when(is_logfmt, "logfmt").otherwise("plain"),
         "level": normalize_level(F.when(is_json, j_level).when(is_logfmt, F.coalesce(lm[lvl_key], F.lit("INFO")))
                                  .otherwise(p_level)),
-        "message": F.when(is_json, j_message).when(is_logfmt, F.coalesce(lm[msg_key], line)).otherwise(p_message),
+        "message": F.when(is_json, j_message).when(is_logfmt, F.coalesce(lm[msg_key], ln)).otherwise(p_message),
         "trace_id": F.when(is_json, j_trace).when(is_logfmt, lm[trc_key]),
         "span_id": F.when(is_json, j_span).when(is_logfmt, lm[spn_key]),
         "fields": F.when(is_json, j_fields).when(is_logfmt, l_fields).otherwise(F.lit("{}")),
     }
+    return x.select("*", *[c.alias(n) for n, c in cols.items()])
+
+
+STAGE_COLS = ["_line", "_obj", "_is_json", "_is_logfmt", "_jm", "_lm", "_prefix"]
 
 
 def parse_logs(df: DataFrame, col: str = "raw", keep_raw: bool = True) -> DataFrame:
     """Add ``log_format, level, message, trace_id, span_id, fields`` parsed from ``col``.
 
     ``fields`` is the JSON object text of the extra keys, keys in byte order
-    (logfmt values as JSON strings, JSON values as they were).
+    (logfmt values as JSON strings, JSON values as they were). The parse is
+    staged so each line is JSON-decoded and pair-split at most once.
     """
-    cols = parse_log_columns(F.col(col))
-    out = df.select("*", *[c.alias(n) for n, c in cols.items()])
+    out = _stage_out(_stage_maps(_stage_line(df, col))).drop(*STAGE_COLS)
     return out if keep_raw else out.drop(col)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..constants import SEARCH_LIMIT
-from ..functions.vectors import dot, l2_normalize
+from ..functions.vectors import dot, l2_norm, l2_normalize
 from ..plans.joins import broadcast_if_small, estimated_size_bytes
 from .query import clamp_limit
 
@@ -98,7 +98,8 @@ def semantic_search(vectors: DataFrame, qvec, tenant_id: str, limit: int | None
     q = q / qn if qn > 0 else q
     qcol = F.array(*[F.lit(float(x)) for x in q])
     v = vectors.filter(F.col("tenant_id") == tenant_id)
-    score = dot(l2_normalize(vector_col), qcol)
+    nv = l2_norm(vector_col)
+    score = F.when(nv > 0, dot(vector_col, qcol) / nv).otherwise(F.lit(0.0))
     cols = [c for c in v.columns if c != vector_col]
     return v.select(*cols, score.alias("score")).orderBy(F.col("score").desc(), F.col("id")).limit(k)
 
