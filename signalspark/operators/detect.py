@@ -222,3 +222,108 @@ def to_anomaly_events(detections: DataFrame, keys=("tenant_id", "name"), ts: str
     return d.select(aid.alias("anomaly_id"),
                     F.col(keys[0]).alias("tenant_id"), F.col(keys[1]).alias("metric_name"),
                     "anomaly_score", t.alias("ts"), ctx.alias("context"))
+
+
+# ----------------------------------------------------------------------------- D5
+MODEL_DDL = "breaks ARRAY<DOUBLE>, paths ARRAY<DOUBLE>, psi BIGINT"
+
+
+def forest_step_function(sample: np.ndarray, trees: int = IFOREST_TREES, seed: int = 42):
+    """Mean path length of a forest fitted on ``sample`` as a step function of
+    the value: sorted ``breaks`` and ``paths`` (len(breaks) + 1 pieces)."""
+    s = np.sort(np.asarray(sample, dtype=float))
+    psi = len(s)
+    limit = int(math.ceil(math.log2(max(psi, 2))))
+    rng = np.random.default_rng(seed)
+    all_bounds, per_tree = [], []
+    for _ in range(trees):
+        bounds, leaf_len = [], []
+        stack = [(0, psi, 0)]
+        while stack:
+            lo, hi, d = stack.pop()
+            size = hi - lo
+            if d >= limit or size <= 1 or s[lo] == s[hi - 1]:
+                leaf_len.append(d + float(c_factor([size])[0]))
+                continue
+            thr = rng.uniform(s[lo], s[hi - 1])
+            mid = lo + int(np.searchsorted(s[lo:hi], thr, side="right"))
+            stack.append((mid, hi, d + 1))
+            stack.append((lo, mid, d + 1))
+            bounds.append(thr)
+        b = np.sort(np.asarray(bounds))
+        per_tree.append((b, np.asarray(leaf_len)))
+        all_bounds.append(b)
+    breaks = np.unique(np.concatenate(all_bounds)) if all_bounds else np.array([])
+    # evaluate each tree on one probe per piece: a break itself belongs to the left piece
+    probes = np.concatenate([breaks, [np.inf]]) if len(breaks) else np.array([0.0])
+    total = np.zeros(len(probes))
+    for b, ll in per_tree:
+        total += ll[np.searchsorted(b, probes, side="left")]
+    return breaks, total / trees, psi
+
+
+def fit_isolation(metrics: DataFrame, keys=("tenant_id", "name"), value: str = "value", id_cols=("timestamp",),
+                  max_samples: int = IFOREST_MAX_SAMPLES, trees: int = IFOREST_TREES) -> DataFrame:
+    """D5 fit: per series a forest on a bounded pseudo-random sample.
+
+    The sample is the ``max_samples`` rows with the smallest hash of
+    (key, id, value) — ``row_number() <= ψ`` is a WindowGroupLimit, so each
+    partition sends at most ψ rows per series to the fit.
+    """
+    h = F.xxhash64(*[F.col(c) for c in keys], *[F.col(c) for c in id_cols], F.col(value))
+    w = Window.partitionBy(*keys).orderBy(h, F.col(value))
+    samp = metrics.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_samples)
+    g = samp.groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_sample"))
+    seed_key = F.concat_ws("\u001f", *[F.col(k).cast("string") for k in keys])
+
+    @F.pandas_udf(T.StructType([T.StructField("breaks", T.ArrayType(T.DoubleType())),
+                                T.StructField("paths", T.ArrayType(T.DoubleType())),
+                                T.StructField("psi", T.LongType())]))
+    def fit(samples: pd.Series, sk: pd.Series) -> pd.DataFrame:
+        out = [forest_step_function(np.asarray(s), trees, series_seed(k)) for s, k in zip(samples, sk)]
+        return pd.DataFrame({"breaks": [o[0] for o in out], "paths": [o[1] for o in out],
+                             "psi": [o[2] for o in out]})
+
+    return g.select(*keys, fit(F.col("_sample"), seed_key).alias("m")).select(*keys, "m.*")
+
+
+def score_isolation(metrics: DataFrame, models: DataFrame, keys=("tenant_id", "name"), value: str = "value",
+                    id_cols=("timestamp",), rows_per_group: int = 200_000,
+                    contamination: float = IFOREST_CONTAMINATION) -> DataFrame:
+    """D5 score: every row of every series gets ``anomaly_score``/``is_anomaly``.
+
+    Rows are salted into ⌈rows/rows_per_group⌉ groups per series and the
+    series' model is replicated to each salt, so the cogroup never puts a hot
+    series in one task. The threshold is the ``contamination`` quantile of the
+    series' scores via ``percentile_approx`` (a mergeable sketch).
+    """
+    keys = list(keys)
+
+    def fresh(df: DataFrame) -> DataFrame:  # new attribute ids: both sides derive from `metrics`
+        return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+    models = fresh(models)
+    counts = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    salts = counts.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_group)).cast("int").alias("_salts"))
+    rows = fresh(metrics).join(fresh(salts), keys, "inner").withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in keys + list(id_cols)], F.col(value)), F.col("_salts")).cast("int"))
+    mods = models.join(fresh(salts), keys, "inner").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    in_cols = metrics.columns
+
+    def score(rpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
+        if rpdf.empty:
+            return pd.DataFrame(columns=in_cols + ["score_samples"])
+        m = mpdf.iloc[0]
+        breaks, paths = np.asarray(m["breaks"], dtype=float), np.asarray(m["paths"], dtype=float)
+        x = rpdf[value].to_numpy(dtype=float)
+        h = paths[np.searchsorted(breaks, x, side="left")]
+        out = rpdf[in_cols].copy()
+        out["score_samples"] = -np.power(2.0, -h / float(c_factor([int(m["psi"])])[0]))
+        return out
+
+    schema = T.StructType(list(metrics.schema.fields) + [T.StructField("score_samples", T.DoubleType())])
+    scored = rows.groupBy(*keys, "_salt").cogroup(mods.groupBy(*keys, "_salt")).applyInPandas(score, schema)
+    offs = scored.groupBy(*keys).agg(F.percentile_approx("score_samples", contamination, 10000).alias("_offset"))
+    j = fresh(scored).join(fresh(offs), keys, "inner")
+    decision = F.col("score_samples") - F.col("_offset")
+    return j.select(*in_cols, (F.lit(0.5) - decision).alias("anomaly_score"), (decision < 0).alias("is_anomaly"))

@@ -567,3 +567,13 @@ def _a16(spark, base):
         F.col("tenant_id").alias("id"), F.concat(F.lit("tenant "), F.col("tenant_id")).alias("name"),
         F.lit("free").alias("plan"), F.lit(100).alias("ingest_rate_per_second"), "ts")
     return ST.insert_ignore(target, seen, ["id"], order=["ts"])
+
+
+@register("d5_score_isolation")
+def _d5(spark, base):
+    """Fit a forest per (tenant, metric) on a bounded sample, score every row (random: rows-only)."""
+    m = flows.event_metric_rows(spark, base)
+    models = DT.fit_isolation(m)
+    s = DT.score_isolation(m, models)
+    return s.select("tenant_id", "name", "timestamp", "value", F.round("anomaly_score", 6).alias("anomaly_score"),
+                    "is_anomaly")
