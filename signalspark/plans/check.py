@@ -78,11 +78,14 @@ def main(argv: list[str]) -> int:
     spark = get_spark(shuffle_partitions=8)
     bad = 0
     for n in names:
+        import time
+        t0 = time.time()
         try:
             r = compare(spark, n, base)
         except Exception as e:  # report and continue
             r = {"name": n, "match": False, "error": f"{type(e).__name__}: {str(e)[:400]}"}
         bad += not r["match"]
+        r["sec"] = round(time.time() - t0, 1)
         print(r, flush=True)
     print(f"{len(names) - bad}/{len(names)} match")
     return 1 if bad else 0

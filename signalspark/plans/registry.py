@@ -497,7 +497,11 @@ from ..sources import events_io as EIO  # noqa: E402
 @register("a15_event_roundtrip")
 def _a15(spark, base):
     """Log events → wire JSON → events → log rows (must equal B1)."""
-    enc = EIO.encode_events(flows.event_log_events(spark, base))
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    # the wire format is a transport boundary (a topic in production): cut the
+    # lineage there so the decode plan does not re-inline the encode plan
+    enc = EIO.encode_events(flows.event_log_events(spark, base)).checkpoint(eager=True)
     return _log_rows(EIO.decode_events(enc))
 
 
@@ -512,7 +516,9 @@ def _a15m(spark, base):
         "tenant_id", "service", F.lit("").alias("instance"), "environment", "ts",
         F.col("event_type").alias("name"), "value",
         F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"))
-    enc = EIO.encode_events(metric_events(samples, ts_col="ts", ingested_at=F.col("ts")))
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    enc = EIO.encode_events(metric_events(samples, ts_col="ts", ingested_at=F.col("ts"))).checkpoint(eager=True)
     return metric_rows(EIO.decode_events(enc))
 
 

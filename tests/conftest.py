@@ -16,6 +16,7 @@ def spark():
     from signalspark.session import configure
     s = (SparkSession.builder.master("local[4]").appName("signalspark-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
