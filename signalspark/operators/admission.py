@@ -87,10 +87,12 @@ class TokenBucketKernel(Kernel):
                     nxt.append([lo, min(hi, cut - 1), 0, v])
                 if cut <= hi:
                     nxt.append([max(lo, cut), hi, 0, v - cost])
-            # merge neighbouring constant pieces of equal value
+            # merge neighbouring pieces that now agree (same kind and value):
+            # paths that admitted at different times re-converge, which keeps
+            # the piece count small instead of growing with the segment
             merged = []
             for pc in nxt:
-                if merged and pc[2] == 1 and merged[-1][2] == 1 and merged[-1][3] == pc[3] and merged[-1][1] + 1 == pc[0]:
+                if merged and merged[-1][2] == pc[2] and merged[-1][3] == pc[3] and merged[-1][1] + 1 == pc[0]:
                     merged[-1][1] = pc[1]
                 else:
                     merged.append(pc)
