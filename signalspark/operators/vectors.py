@@ -33,11 +33,15 @@ def _token_slots(tok: str, dim: int) -> tuple[int, float]:
     return int(h[:8], 16) % dim, (1.0 if int(h[8], 16) < 8 else -1.0)
 
 
-def hash_embed(text: str | None, dim: int = EMBED_DIM) -> np.ndarray:
-    """Signed hashing vector of the lower-cased whitespace tokens, unit length."""
+def hash_embed(text: str | None, dim: int = EMBED_DIM, cache: dict | None = None) -> np.ndarray:
+    """Signed hashing vector of the lower-cased whitespace tokens, unit length.
+
+    ``cache`` (token → slot) may be shared across texts, so a batch hashes
+    each distinct token once.
+    """
     v = np.zeros(dim, dtype=np.float64)
     if text:
-        cache: dict[str, tuple[int, float]] = {}
+        cache = {} if cache is None else cache
         for tok in _SPLIT.split(text.lower()):
             if not tok:
                 continue
@@ -50,11 +54,15 @@ def hash_embed(text: str | None, dim: int = EMBED_DIM) -> np.ndarray:
 
 
 def hashing_encoder(dim: int = EMBED_DIM):
-    """Iterator pandas UDF text → array<float>; per-worker setup happens once."""
+    """Iterator pandas UDF text → array<float>; the token-slot cache lives for
+    the whole task (bounded: cleared past 1M distinct tokens)."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict = {}
         for texts in batches:
-            yield pd.Series([hash_embed(t, dim).astype(np.float32) for t in texts])
+            if len(cache) > 1_000_000:
+                cache.clear()
+            yield pd.Series([hash_embed(t, dim, cache).astype(np.float32) for t in texts])
     return enc
 
 
