@@ -21,7 +21,7 @@ from signalspark.session import ship_package
 #: Labelled documents of each class that training takes at most (least hashes of the id first).
 TRAIN_ROWS = 10_000
 #: Hash buckets of terms; terms that the machine keeps at most; least |z| of a kept term.
-BUCKETS, TERMS, LEAST_Z = 1 << 20, 4096, 3.0
+BUCKETS, TERMS, LEAST_Z = 1 << 20, 4096, 2.5
 #: Bytes of a word whose beginnings are terms too.
 STEMS = (4, 5, 6)
 RANK, EPOCHS, RATE, DECAY = 8, 12, 0.1, 1e-4
@@ -81,7 +81,9 @@ class FactorizationMachine:
         return out
 
     def fit(self, y: np.ndarray, terms: list[np.ndarray], epochs: int = EPOCHS, seed: int = 11) -> None:
-        """AdaGrad on the logistic loss, in batches of 256 texts."""
+        """AdaGrad on the logistic loss, both classes of equal weight, in batches of 256 texts."""
+        share = float(y.mean())
+        weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         rng = np.random.default_rng(seed)
         g0, gw, gv = 1e-6, np.full(self.w.shape, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32)
         for _ in range(epochs):
@@ -93,7 +95,7 @@ class FactorizationMachine:
                     x[r, terms[i]] = 1
                 s = x @ self.v
                 z = self.w0 + x @ self.w + 0.5 * ((s * s).sum(1) - (x @ (self.v * self.v).sum(1)))
-                d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)).astype(np.float32)
+                d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
                 dw = x.T @ d
                 dv = x.T @ (d[:, None] * s) - dw[:, None] * self.v
                 used = x.any(0)
@@ -109,15 +111,15 @@ class FactorizationMachine:
 
 
 class Model:
-    """Index of the kept terms (bucket to place, or -1), the machine, and the class rates' offset."""
+    """Index of the kept terms (bucket to place, or -1) and the machine."""
 
-    def __init__(self, index: np.ndarray, machine: FactorizationMachine, offset: float):
-        self.index, self.machine, self.offset = index, machine, offset
+    def __init__(self, index: np.ndarray, machine: FactorizationMachine):
+        self.index, self.machine = index, machine
 
     def scores(self, column: pa.Array) -> np.ndarray:
         rows, terms = doc_terms(column)
         place = self.index[terms]
-        z = self.machine.logits(rows[place >= 0], place[place >= 0], len(column)) + self.offset
+        z = self.machine.logits(rows[place >= 0], place[place >= 0], len(column))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -135,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             .where(F.col("rank") <= TRAIN_ROWS).select(F.col("doc_id").alias("label_id"), "y"))
     rows = docs.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("y", "text")  # at most 2 * TRAIN_ROWS
     n0, n1 = F.sum("n0"), F.sum("n1")
-    counts = rows.mapInArrow(_term_counts, "term long, n0 long, n1 long").groupBy("term").agg(n0.alias("n0"), n1.alias("n1")).where("n0 + n1 >= 3")
+    counts = rows.mapInArrow(_term_counts, "term long, n0 long, n1 long").groupBy("term").agg(n0.alias("n0"), n1.alias("n1")).where("n0 + n1 >= 2")
     k0, k1 = (float(min(rates[c], TRAIN_ROWS)) for c in (0, 1))
     z = ((F.log((F.col("n1") + 0.5) / (k1 - F.col("n1") + 0.5).cast("double")) - F.log((F.col("n0") + 0.5) / (k0 - F.col("n0") + 0.5)))
          / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
@@ -143,16 +145,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     index = np.full(BUCKETS, -1, np.int32)
     index[[r.term for r in kept]] = np.arange(len(kept))
     data = rows.mapInArrow(partial(_kept_terms, index=index), "y int, terms array<int>").toArrow().combine_chunks()
-    if not kept or not data.num_rows:
+    y = data.column("y").to_numpy()
+    if not kept or not 0 < y.sum() < len(y):
         return None
-    lists, y = data.column("terms").combine_chunks(), data.column("y").to_numpy()
+    lists = data.column("terms").combine_chunks()
     order = sorted(range(len(y)), key=lambda i: (y[i], lists[i].as_py()))  # whatever order the tasks ended in
     terms = [lists[i].values.to_numpy() for i in order]
     machine = FactorizationMachine(len(kept))
     machine.fit(y[order].astype(np.float32), terms)
-    used = [max(1, int((y == c).sum())) for c in (0, 1)]
-    offset = float(np.log(rates[1] / rates[0]) - np.log(used[1] / used[0]))
-    return Model(index, machine, offset)
+    return Model(index, machine)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
