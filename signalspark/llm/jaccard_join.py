@@ -8,16 +8,17 @@ unrelated texts all lie at distance 1 of every pivot. So the regions are laid in
    its size. Rings of sizes are its regions; a set near the upper rim, within the window that
    the triangle inequality leaves to a partner in the next ring, is replicated there.
 2. In a ring, pivots spaced evenly on the hash line cut every set into its Voronoi parts. Linked
-   sets differ in at most D elements, so of D + 1 + s parts at least 1 + s are equal: a region
-   holds the sets with one and the same part, and linked sets share regions.
-3. A region joins recursively. Its least set is its pivot, and the exact distances of all others
-   to it are measured; members proven connected need no further pair. Others are compared only
-   if their distances to the pivot differ by at most the radius. A region with very many members
-   left is cut once more: by the pairs of crowded regions that its members have in common.
-
-Links are then counted inside each component by the same recursion with document pivots, whose
-distances do tell near copies apart (``count_links``). Copies with equal sets are one point
-throughout. Nothing is capped: sets, regions and windows cover all rows.
+   sets differ in at most D elements, so of D + need parts at least ``need`` are equal: a region
+   holds the sets with one and the same part, and linked sets share ``need`` regions or more.
+   The least set of a region is its pivot. Sets that share so many regions with one pivot form a
+   group; the few pairs that never meet in a group are found by counting their common regions.
+3. Groups join recursively (``_meet``): document pivots, whose distances do tell near copies
+   apart, make Voronoi regions, windows of twice the radius replicate boundary sets into other
+   regions, and each region joins by itself, down to small ones that compare all pairs at once.
+
+Links give components; inside each component the same recursion counts every set's links.
+Copies with equal sets are one point throughout. Nothing is capped: a group that is too large
+for a task is cut into tiles, and every pair of tiles is a task.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ from signalspark.llm.common import SPACE_WORDS, U64, Words, chunks, mix, shingle
 from signalspark.llm.components import connected_components
 from signalspark.session import checkpoint_dir, ship_package
 
-#: Members, beyond the proven ones, up to which a region compares its pairs directly.
+#: Members up to which a region lists its pairs; pairs of larger ones must share two of them.
 CROWDED = 200
-#: Sets that one task of count_links holds of one component, twice.
-TILE = 500
+#: Shingles (8 bytes each) of a tile; a task holds two tiles.
+TILE = 400_000
+#: Members from which a region is cut by pivots, and the pivots.
+LEAF, PIVOTS = 96, 6
 #: Set ids that may be broadcast to pick out sets (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -49,7 +52,7 @@ def rings(percent: int) -> list[tuple[int, int, int, int]]:
     while high < 2**40:
         low, high = high + 1, max(high + 3, high * 3 // 2)
         differ = 2 * high * (100 - percent) // (100 + percent)
-        spare = 0 if differ < 8 else 1 if differ < 20 else 2
+        spare = differ // 6
         out.append((low, high, differ + 1 + spare, spare))
     return out
 
@@ -72,10 +75,17 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def _contents(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(set_id, body) of every distinct set, once per task, so that copies cost little."""
+    done: set = set()
     for _, sets in _sets(batches, k):
-        yield pa.RecordBatch.from_arrays([
-            signed(np.array([set_id(s) for s in sets], U64)),
-            pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "body"])
+        new = {}
+        for s in sets:
+            if len(s) and (own := set_id(s)) not in done:
+                done.add(own)
+                new[own] = s.tobytes()
+        if len(done) > 1_000_000:
+            done.clear()
+        yield pa.RecordBatch.from_arrays([signed(np.array(list(new), U64)), pa.array(list(new.values()), pa.binary())], ["set_id", "body"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -109,7 +119,7 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
                     part = part[full]
                 keys.append(part)
                 ids.append(np.full(len(part), own, U64))
-                needs.append(np.full(len(part), 1 + spare, np.int8))
+                needs.append(np.full(len(part), 1 + spare, np.int32))
         if len(done) > 1_000_000:
             done.clear()
         if keys:
@@ -117,18 +127,6 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
                                               pa.array(np.concatenate(needs))], ["region", "set_id", "need"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same, either = [], []
-        for x, y in zip(batch.column("abody"), batch.column("bbody"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            n = len(np.intersect1d(x, y, assume_unique=True))
-            same.append(n)
-            either.append(len(x) + len(y) - n)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int64()),
-                                          pa.array(either, pa.int64())], ["a", "b", "same", "either"])
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -141,159 +139,181 @@ def described(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "
     return t.mapInArrow(partial(_describe, k=k), f"doc_id {kind}, n long, set_id long")
 
 
-class _Space:
-    """The sets of one table, with exact distances on demand."""
-
-    def __init__(self, texts: DataFrame, k: int, percent: int):
-        self.texts, self.k, self.percent = texts, k, percent
-
-    def bodies(self, ids: DataFrame) -> DataFrame:
-        """(set_id, body) of the wanted sets; copies meet in a partial aggregation."""
-        every = self.texts.mapInArrow(partial(_contents, k=self.k), "set_id long, body binary")
-        return (every.join(small(ids, BROADCAST_IDS), "set_id", "left_semi")
-                .groupBy("set_id").agg(F.min("body").alias("body")))
-
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, same, either): intersection and union sizes of the pairs of set ids."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        bodies = self.bodies(ids).checkpoint()
-        both = (pairs.join(bodies.select(F.col("set_id").alias("a"), F.col("body").alias("abody")), "a")
-                .join(bodies.select(F.col("set_id").alias("b"), F.col("body").alias("bbody")), "b"))
-        return both.mapInArrow(_compare, "a long, b long, same long, either long").checkpoint()
-
-    def linked(self, measured: DataFrame) -> DataFrame:
-        return measured.where(F.col("same") * 100 >= F.col("either") * self.percent).select("a", "b")
+def _bodies(texts: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (set_id, ...) with the body of their set; copies of a set may give a
+    row several times, once for each task that holds one."""
+    every = texts.mapInArrow(partial(_contents, k=k), "set_id long, body binary")
+    return every.join(small(wanted, BROADCAST_IDS), "set_id")
 
 
 def _regions(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(region, set_id, need, pivot) of every member but the pivot, the least one, of each region.
 
     The window streams a sorted region: it looks one row back and at the first, never at all."""
-    rows = texts.mapInArrow(partial(_parts, k=k, percent=percent), "region long, set_id long, need byte")
+    rows = texts.mapInArrow(partial(_parts, k=k, percent=percent), "region long, set_id long, need int")
     w = Window.partitionBy("region").orderBy("set_id")
     return (rows.withColumn("before", F.lag("set_id").over(w)).withColumn("pivot", F.first("set_id").over(w))
             .where("set_id <> pivot and set_id <> before").drop("before").checkpoint())
 
 
-def _left_pairs(regions: DataFrame, known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of region members that their pivot leaves open, from regions of several components.
-
-    A pair stays only if its distances to the pivot differ by at most the radius."""
-    apart = (regions.join(known.select(F.col("a").alias("pivot"), F.col("b").alias("set_id"),
-                                  (1 - F.col("same") / F.col("either")).alias("d")), ["pivot", "set_id"])
-             .join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
-             .withColumn("root", F.coalesce("root", "set_id")))
-    mixed = (apart.groupBy("region").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("region", "members"))
-    left = apart.join(mixed, "region").checkpoint()
-    direct = left.where((F.col("members") <= CROWDED) | (F.col("need") < 2)).select("region", "set_id", "root", "pivot", "d")
-    crowded = left.where((F.col("members") > CROWDED) & (F.col("need") >= 2))
-    # linked sets share `need` regions at least; if none is small, they share two crowded ones
-    several = crowded.groupBy("set_id", "root").agg(F.sort_array(F.collect_set("region")).alias("rs"))
-    twice = several.select("set_id", "root", F.expr(
-        "explode(flatten(transform(rs, (x, i) -> transform(slice(rs, i + 2, size(rs)), y -> xxhash64(x, y)))))").alias("region"))
-    out = None
-    for part in (direct, twice.withColumn("pivot", F.lit(None).cast("long")).withColumn("d", F.lit(0.0))):
-        x = part.select("region", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"))
-        y = part.select("region", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"))
-        pairs = (x.join(y, "region").where("a < b and ra <> rb")
-                 .where(F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9).select("a", "b").distinct())
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def join_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, root) of all sets that are linked with another, by distinct set ids."""
-    checkpoint_dir(docs.sparkSession)
-    ship_package(docs.sparkSession)
-    texts = _texts(docs, id_col, text_col)
-    space = _Space(texts, k, percent)
-    regions = _regions(texts, k, percent)
-    known = space.measured(regions.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct())
-    links = space.linked(known)
-    roots = connected_components(links).checkpoint()
-    pairs = _left_pairs(regions, known, roots, percent).checkpoint()
-    if pairs.isEmpty():
-        return roots
-    return connected_components(links.union(space.linked(space.measured(pairs)))).checkpoint()
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs: a product of membership matrices, in blocks of elements."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not len(x) or not len(y):
+        return out
+    sizes = np.array([len(s) for s in (*x, *y)])
+    values, code, n = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    some = n[code] > 1  # others are in one set only
+    code, row = (np.cumsum(n > 1) - 1)[code[some]], row[some]
+    by = np.argsort(code, kind="stable")
+    code, row = code[by], row[by]
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        lo, hi = np.searchsorted(code, (at, at + 4096))
+        m = np.zeros((len(sizes), 4096), np.float32)
+        m[row[lo:hi], code[lo:hi] - at] = 1
+        out += m[:len(x)] @ m[len(x):].T
+    return out
 
 
-def _count(rows: list[np.ndarray], home: np.ndarray, guest: np.ndarray, percent: int, found: dict) -> None:
+def _meet(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray, percent: int, found: list) -> None:
     """Links among ``home``, and between home and ``guest``, by recursive Voronoi regions.
 
-    A pair is met once: in the region both are at home in, or in the least of their two homes,
-    where the other one is a guest if the window lets it in."""
-    def near(i: int, j: int) -> float:
-        same = len(np.intersect1d(rows[i], rows[j], assume_unique=True))
-        return 1 - same / (len(rows[i]) + len(rows[j]) - same)
-
-    def test(i: int, j: int) -> None:
-        x, y = rows[i], rows[j]
-        least = min(len(x), len(y))
-        if 100 * least < percent * max(len(x), len(y)):
-            return
-        same = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * same >= percent * (len(x) + len(y) - same):
-            found.setdefault(i, []).append(j)
-            found.setdefault(j, []).append(i)
-
-    radius = 1 - percent / 100
-    pivots = home[:: max(1, len(home) // 6)][:6]
-    if len(home) > 48:
-        d = np.array([[near(i, p) for p in pivots] for i in home])
-        cell = d.argmin(1)
-        sizes = np.bincount(cell, minlength=len(pivots))
-        if sizes.max() < 0.8 * len(home):
-            g = np.array([[near(i, p) for p in pivots] for i in guest]).reshape(-1, len(pivots))
-            for c in range(len(pivots)):
-                window = d[:, c] <= d.min(1) + 2 * radius + 1e-9
-                visits = home[(cell > c) & window]
-                # any home set may be as near to its pivot as its own distance says, so guests face the same window
-                strangers = guest[g[:, c] <= g.min(1) + 2 * radius + 1e-9] if len(guest) else guest
-                _count(rows, home[cell == c], np.concatenate([visits, strangers]), percent, found)
+    A pair is met once: in the region that both are at home in, or in the lesser of their two
+    homes, where the other one is a guest if the window lets it in. found gets (i, j) arrays."""
+    sizes = np.array([len(s) for s in sets])
+
+    def same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = _common([sets[i] for i in a], [sets[i] for i in b])
+        return c, sizes[a][:, None] + sizes[b][None, :] - c
+
+    if len(home) > LEAF:
+        pivots = home[:: len(home) // PIVOTS][:PIVOTS]
+        c, u = same(np.concatenate([home, guest]), pivots)
+        d = 1 - c / u
+        near, cell = d.min(1), d.argmin(1)[:len(home)]
+        if np.bincount(cell).max() < 0.8 * len(home):
+            window = d <= near[:, None] + 2 * (1 - percent / 100) + 1e-6
+            for r in range(len(pivots)):
+                if (cell == r).any():
+                    visits = home[(cell > r) & window[:len(home), r]]
+                    _meet(sets, home[cell == r], np.concatenate([visits, guest[window[len(home):, r]]]), percent, found)
             return
-        # near the first pivot all: order by distance to it, so that windows bound the partners
-        lines, order = d[:, 0], np.argsort(d[:, 0], kind="stable")
-        for at, i in enumerate(order):
-            for j in order[at + 1:]:
-                if lines[j] - lines[i] > radius + 1e-9:
-                    break
-                test(home[i], home[j])
-    else:
-        for at, i in enumerate(home):
-            for j in home[at + 1:]:
-                test(i, j)
-    for i in home:
-        for j in guest:
-            test(i, j)
-
-
-def _count_tile(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    rows = [np.frombuffer(b, U64) for b in pdf["body"]]
-    left = np.flatnonzero(pdf["side"].to_numpy() <= 0)
-    right = np.flatnonzero(pdf["side"].to_numpy() > 0)
-    found: dict[int, list[int]] = {}
-    if len(right):
-        for i in left:
-            _count(rows, np.array([i]), right, percent, found)
-    else:
-        _count(rows, left, right, percent, found)
-    ids, copies = pdf["set_id"].to_numpy(), pdf["copies"].to_numpy()
-    return pd.DataFrame({"set_id": ids[list(found)], "links": [int(copies[j].sum()) for j in found.values()]})
-
-
-def count_links(bodies: DataFrame, percent: int) -> DataFrame:
-    """(set_id, links): rows of other sets that each set links with. bodies: (set_id, root,
-    copies, body). A component of more sets than a task should hold is cut into tiles by hash,
-    every pair of tiles being one task; a smaller one is one tile."""
-    tiles = F.ceil(F.count("*").over(Window.partitionBy("root")) / TILE).cast("int")
-    t = bodies.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
-    t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    t = t.select("set_id", "copies", "body", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-                 (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    # a tile meets itself with one side only
-    return (t.groupBy("root", "i", "j").applyInPandas(partial(_count_tile, percent=percent), "set_id long, links long")
-            .groupBy("set_id").agg(F.sum("links").alias("links")))
+    every = np.concatenate([home, guest])
+    c, u = same(home, every)
+    i, j = np.nonzero(np.triu(100 * c >= percent * u - 1e-3, 1))
+    found.append((home[i], every[j]))
+
+
+def _tile(pdf: pd.DataFrame, percent: int, count: bool) -> pd.DataFrame:
+    """Links of one pair of tiles: as counts for each set, or as edges that span what is linked."""
+    pdf = pdf.drop_duplicates("set_id")
+    sets = [np.frombuffer(b, U64) for b in pdf["body"]]
+    side = pdf["side"].to_numpy()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(right) and len(left):
+        for at in range(0, len(left), LEAF):  # pairs of a tile with itself are met elsewhere
+            part = left[at:at + LEAF]
+            c = _common([sets[i] for i in part], [sets[j] for j in right])
+            u = np.array([len(sets[i]) for i in part])[:, None] + np.array([len(sets[j]) for j in right])[None, :] - c
+            i, j = np.nonzero(100 * c >= percent * u - 1e-3)
+            found.append((part[i], right[j]))
+    elif bool(pdf["alone"].iloc[0]):
+        _meet(sets, np.arange(len(sets)), np.zeros(0, np.int64), percent, found)
+    i, j = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in (0, 1))
+    ids = pdf["set_id"].to_numpy()
+    if count:
+        copies = pdf["copies"].to_numpy()
+        links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        return pd.DataFrame({"set_id": ids, "links": links.astype(np.int64)})
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        if (label == before).all():
+            break
+    tied = label != np.arange(len(ids))
+    return pd.DataFrame({"a": ids[label[tied]], "b": ids[tied]})
+
+
+def _tiled(texts: DataFrame, k: int, percent: int, groups: DataFrame, sets: DataFrame, count: bool) -> DataFrame:
+    """Runs ``_tile`` on groups (gid, set_id): as edges (a, b), or as counts (set_id, links).
+
+    sets: (set_id, n, copies). A group of more shingles than a tile holds is cut by hash into
+    tiles; each pair of tiles, and each tile with itself, is one task."""
+    rows = groups.join(sets, "set_id")
+    cut = rows.groupBy("gid").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(cut, "gid").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("set_id", "copies", "gid", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+                       (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("alone"))
+    dealt = _bodies(texts, k, rows.checkpoint()).groupBy("gid", "i", "j")
+    return dealt.applyInPandas(partial(_tile, percent=percent, count=count), "set_id long, links long" if count else "a long, b long")
+
+
+def _across(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of rows with one key that differ in root and in main group, with the other
+    columns of both sides. The largest main group of a key meets the others only, never itself."""
+    main = (rows.groupBy(key, "main").agg(F.count("*").alias("n")).groupBy(key)
+            .agg(F.max(F.struct("n", "main")).alias("m"), F.count("*").alias("mains")).where("mains > 1").select(key, F.col("m.main").alias("most")))
+    rows = rows.join(main, key)
+    sides = [rows.select(key, "most", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in (key, "most")]) for x in "ab"]
+    return (sides[0].where("main_a <> most").join(sides[1].drop("most"), key)
+            .where("root_a <> root_b and main_a <> main_b and (main_b = most or set_id_a < set_id_b)"))
+
+
+def _stray_pairs(regions: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gid, set_id): groups of a set with all that it may link with though they share no group.
+
+    In each region that such a pair shares, one of the two isn't in the group of the pivot. So
+    all regions they share are listed here, and a pair must share ``need`` of them. Where regions
+    are crowded, pairs are listed by two crowded regions at once; a pair that is met in others
+    and in no two crowded ones may have one crowded region more."""
+    weak = met.where("n < need").select("pivot", "set_id", "need", F.lit(True).alias("weak"))
+    rows = regions.join(weak, ["pivot", "set_id", "need"], "left")
+    some = rows.groupBy("region", "need").agg((F.count("*") + 1).alias("members"), F.max("weak").alias("any"), F.min("pivot").alias("pivot")).where("any")
+    rows = rows.select("region", "set_id", F.coalesce("weak", F.lit(False)).alias("weak")).join(some.select("region", "need", "members"), "region")
+    rows = rows.unionByName(some.select("region", F.col("pivot").alias("set_id"), F.lit(False).alias("weak"), "need", "members"))
+    strong = met.where("n >= need")
+    main = (strong.select("set_id", "pivot", "n").union(strong.select("pivot", "pivot", "n")).groupBy("set_id", "pivot").agg(F.sum("n").alias("n"))
+            .groupBy("set_id").agg(F.max(F.struct("n", "pivot")).alias("m")).select("set_id", F.col("m.pivot").alias("main")))
+    rows = (rows.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").join(main, "set_id", "left")
+            .withColumn("root", F.coalesce("root", "set_id")).withColumn("main", F.coalesce("main", "set_id"))
+            .withColumn("crowded", (F.col("members") > CROWDED) & (F.col("need") > 1)).checkpoint())
+    crowds = rows.where("crowded").groupBy("set_id", "need").agg(F.count("*").alias("crowds"))
+    few = rows.where("not crowded").join(crowds, ["set_id", "need"], "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
+    ends = [F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b"), F.col("need_a").alias("need")]
+    pairs = (_across(few.select("region", "need", "set_id", "root", "main", "weak", "crowds"), "region").where("weak_a or weak_b")
+             .groupBy(*ends).agg(F.count("*").alias("n"), F.max(F.least("crowds_a", "crowds_b", F.lit(1))).alias("more")))
+    own = rows.where("crowded").groupBy("set_id", "root", "main", "need").agg(F.sort_array(F.collect_set("region")).alias("rs"))
+    twice = own.select("set_id", "root", "main", "need", F.expr(
+        "explode(flatten(transform(rs, (x, i) -> transform(slice(rs, i + 2, size(rs)), y -> xxhash64(x, y)))))").alias("both"))
+    # k common crowded regions are met k (k - 1) / 2 times
+    again = (_across(twice, "both").groupBy(*ends).agg(F.count("*").alias("met"))
+             .select("a", "b", "need", F.lit(0).alias("n"), F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).alias("more")))
+    pairs = pairs.union(again).groupBy("a", "b", "need").agg(F.sum("n").alias("n"), F.max("more").alias("more")).where("n + more >= need")
+    return pairs.select(F.col("a").alias("gid"), F.explode(F.array("a", "b")).alias("set_id")).distinct()
+
+
+def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, root) of all sets that link with another, by distinct set ids. sets: (set_id, n, copies)."""
+    checkpoint_dir(docs.sparkSession)
+    ship_package(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
+    regions = _regions(texts, k, percent)
+    met = regions.groupBy("pivot", "set_id", "need").agg(F.count("*").alias("n")).checkpoint()
+    strong = met.where("n >= need").select(F.col("pivot").alias("gid"), "set_id")
+    strong = strong.union(strong.select("gid", F.col("gid"))).distinct()
+    edges = _tiled(texts, k, percent, strong, sets, count=False).checkpoint()
+    roots = connected_components(edges).checkpoint()
+    stray = _stray_pairs(regions, met, roots).checkpoint()
+    if stray.isEmpty():
+        return roots
+    more = _tiled(texts, k, percent, stray, sets, count=False)
+    return connected_components(edges.union(more)).checkpoint()
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -313,24 +333,21 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         raise ValueError("percent must be from 50 to 100")
     checkpoint_dir(docs.sparkSession)
     rows = described(docs, k, id_col, text_col).checkpoint()
-    roots = join_sets(docs, k, percent, id_col, text_col)
-    rows = rows.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     full = rows.where("n > 0")
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = (full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id")
-           .unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
-                                                   F.col("doc_id").alias("component_id"), "set_id")))
-    if not links:
-        return out
-    copies = full.groupBy("set_id").agg(F.count("*").alias("copies"))
-    several = roots.withColumnRenamed("id", "set_id").join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
-    bodies = (_Space(_texts(docs, id_col, text_col), k, percent).bodies(several.select("set_id"))
-              .join(several, "set_id").join(copies, "set_id"))
-    more = copies.join(count_links(bodies, percent), "set_id", "left")
-    per_set = more.select("set_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return out.join(per_set, "set_id", "left").select(
-        "doc_id", "n_shingles", "component_id", "set_id",
-        F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+    sets = full.groupBy("set_id").agg(F.max("n").alias("n"), F.count("*").alias("copies")).checkpoint()
+    roots = join_sets(docs, k, percent, sets, id_col, text_col)
+    named = roots.withColumnRenamed("id", "set_id")
+    per_set = sets.join(named, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    if links:
+        linked = _tiled(_texts(docs, id_col, text_col), k, percent, named.withColumnRenamed("root", "gid"), sets, count=True)
+        per_set = per_set.join(linked.groupBy("set_id").agg(F.sum("links").alias("links")), "set_id", "left")
+        per_set = per_set.withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    least = full.join(per_set, "set_id").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    about = per_set.join(least, "root").select("set_id", "component_id", *["n_links"] * links)
+    out = full.join(about, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id", *["n_links"] * links)
+    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                                      "set_id", *[F.lit(0).cast("long").alias("n_links")] * links)
+    return out.unionByName(none)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
