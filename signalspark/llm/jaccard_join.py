@@ -266,7 +266,8 @@ def _across(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _stray_pairs(regions: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(gid, set_id): groups of a set with all that it may link with though they share no group.
+    """(gid, set_id): groups of the sets that may link though they share no group yet, as the
+    components of such pairs.
 
     In each region that such a pair shares, one of the two isn't in the group of the pivot. So
     all regions they share are listed here, and a pair must share ``need`` of them. Where regions
@@ -295,7 +296,7 @@ def _stray_pairs(regions: DataFrame, met: DataFrame, roots: DataFrame) -> DataFr
     again = (_across(twice, "both").groupBy(*ends).agg(F.count("*").alias("met"))
              .select("a", "b", "need", F.lit(0).alias("n"), F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).alias("more")))
     pairs = pairs.union(again).groupBy("a", "b", "need").agg(F.sum("n").alias("n"), F.max("more").alias("more")).where("n + more >= need")
-    return pairs.select(F.col("a").alias("gid"), F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    return connected_components(pairs.select("a", "b")).select(F.col("root").alias("gid"), F.col("id").alias("set_id"))
 
 
 def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
