@@ -1,8 +1,8 @@
 """Cross-entropy difference of two n-gram models (Moore and Lewis, 2010).
 
 The target model is counted over the documents labelled as good, the background model over all
-documents. Both are bigram models that back off to unigrams with the same smoothing, over one
-vocabulary: the most frequent words of the whole corpus, all others being one unknown word. A
+documents, its counts scaled to the target's size. Both are bigram models that back off to
+unigrams with the same smoothing, over one vocabulary: the most frequent words of the whole corpus, all others being one unknown word. A
 document's score is the mean, over its words, of target loss less background loss.
 """
 
@@ -94,10 +94,14 @@ class Models:
     def __init__(self, vocabulary: np.ndarray, pairs: np.ndarray, counts: np.ndarray, singles: np.ndarray):
         self.vocabulary, size = vocabulary, len(vocabulary) + 1
         self.alone, self.after = [], []
+        totals = singles.sum(1)
+        # matched: background counts are scaled to as many words as the target has, so that smoothing weighs alike
+        scale = (1.0, totals[0] / totals[1] if totals.all() else 1.0)
         for c in (0, 1):
-            p = (singles[c] + 1) / (singles[c].sum() + size)
+            single = singles[c] * scale[c]
+            p = (single + 1) / (single.sum() + size)
             joint = np.zeros(size * size, np.float32)
-            joint[pairs] = counts[c]
+            joint[pairs] = counts[c] * scale[c]
             joint = joint.reshape(size, size)
             self.alone.append(-np.log(p).astype(np.float32))
             self.after.append(-np.log((joint + BACKOFF * p.astype(np.float32)) / (joint.sum(1, keepdims=True) + BACKOFF)))
