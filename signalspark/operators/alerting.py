@@ -27,8 +27,9 @@ NEVER_US = 2**62  # a negative cooldown, cast to unsigned in the reference, neve
 
 def rule_threshold(rule_config: Column) -> Column:
     """``threshold`` if it is a JSON number, else 0.8 (a string "0.9" is not)."""
-    t = F.from_json(rule_config, "threshold double", {"allowNumericLeadingZeros": "false"})["threshold"]
-    return F.coalesce(t, F.lit(DEFAULT_RULE_THRESHOLD))
+    t = F.from_json(rule_config, "threshold double", {"allowNumericLeadingZeros": "false", "allowNonNumericNumbers": "false"})["threshold"]
+    number = ~F.isnan(t) & (F.abs(t) < float("inf"))  # texts such as "NaN" are no numbers
+    return F.when(number, t).otherwise(F.lit(DEFAULT_RULE_THRESHOLD))
 
 
 def match_rules(anomalies: DataFrame, rules: DataFrame, validate_uuid: bool = False) -> dict[str, DataFrame]:

@@ -43,5 +43,5 @@ def parse_exposition(df: DataFrame, col: str = "exposition") -> DataFrame:
     out = x.filter(valid).select(
         *[c for c in df.columns], "sample_no",
         name.alias("name"), labels.alias("labels"),
-        F.expr("try_cast(element_at(_p, 2) as double)").alias("value"))
+        F.expr("if(lower(element_at(_p, 2)) in ('+nan', '-nan'), double('NaN'), try_cast(element_at(_p, 2) as double))").alias("value"))
     return out

@@ -122,4 +122,4 @@ def min_level(df: DataFrame, level: str) -> DataFrame:
     lv = level.upper()
     if lv not in LEVELS:
         raise ValueError(f"unknown level {level!r}")
-    return df.filter(level_rank("level") >= LEVELS.index(lv))
+    return df.filter(F.col("level").isin(*LEVELS[LEVELS.index(lv):]))

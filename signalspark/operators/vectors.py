@@ -123,7 +123,9 @@ def semantic_search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, v
     are ever materialised.
     """
     qsize = estimated_size_bytes(queries)
-    if qsize is not None and qsize > max_query_bytes:
+    if qsize is None or qsize >= 1 << 62:  # no estimate, as for rows made on the driver: measure
+        qsize = queries.select(F.sum(F.size(query_vector_col)) * 8).first()[0] or 0
+    if qsize > max_query_bytes:
         raise ValueError(f"query set too large to broadcast ({qsize} bytes); split it into batches")
     spark = vectors.sparkSession
     qb = queries.select("query_id", "tenant_id", query_vector_col).toPandas()  # bounded by the check above

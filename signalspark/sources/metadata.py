@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import RULE_DDL, TENANT_DDL, USER_DDL
 
 TENANTS = [
-    ("t0", "Demo", "demo", "enterprise", 10000, 30, 100, 100, True),
+    ("t0", "Harbor", "harbor", "enterprise", 20000, 45, 60, 80, True),
     ("t1", "Acme", "acme", "free", 100, 7, 3, 5, True),
     ("t2", "Globex", "globex", "pro", 5000, 30, 25, 50, True),
     ("t3", "Initech", "initech", "free", 100, 7, 3, 5, False),
@@ -20,7 +20,7 @@ TENANTS = [
 ]
 
 USERS = [
-    ("u0", "t0", "admin@demo.example", "admin", True),
+    ("u0", "t0", "admin@harbor.example", "admin", True),
     ("u1", "t1", "ops@acme.example", "member", True),
     ("u2", "t2", "viewer@globex.example", "viewer", True),
     ("u3", "t2", "ops@globex.example", "member", False),
@@ -29,8 +29,8 @@ USERS = [
 
 _R = "00000000-0000-4000-8000-00000000000"
 RULES = [
-    (_R + "1", "t0", "High Anomaly Score", "Triggered when AI detects unusual metric behavior", "warning",
-     "ai_anomaly", '{"threshold": 0.8}', '[{"type": "webhook", "url": "http://localhost:9000/test"}]', 300, True),
+    (_R + "1", "t0", "Far off", "score far outside the usual band", "warning",
+     "ai_anomaly", '{"threshold": 0.8}', '[{"type": "webhook", "url": "https://hooks.example.com/w0"}]', 420, True),
     (_R + "2", "t0", "Any anomaly", None, "critical", "ai_anomaly", "{}",
      '[{"type":"slack","url":"https://hooks.example.com/s0"},{"type":"pagerduty","routing_key":"rk-0"}]', 3600, True),
     (_R + "3", "t1", "String threshold", "threshold given as text", "info", "ai_anomaly", '{"threshold":"0.9"}',
