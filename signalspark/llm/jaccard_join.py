@@ -11,7 +11,8 @@ unrelated texts all lie at distance 1 of every pivot. So the regions are laid in
    sets differ in at most D elements, so of D + need parts at least ``need`` are equal: a region
    holds the sets with one and the same part, and linked sets share ``need`` regions or more.
    The least set of a region is its pivot. Sets that share so many regions with one pivot form a
-   group; the few pairs that never meet in a group are found by counting their common regions.
+   group; pairs that never meet in a group are found by counting the common regions of groups,
+   and those groups then join as one.
 3. Groups join recursively (``_meet``): document pivots, whose distances do tell near copies
    apart, make Voronoi regions, windows of twice the radius replicate boundary sets into other
    regions, and each region joins by itself, down to small ones that compare all pairs at once.
@@ -42,6 +43,8 @@ CROWDED = 200
 TILE = 400_000
 #: Members from which a region is cut by pivots, and the pivots.
 LEAF, PIVOTS = 96, 6
+#: Rounds that take out what no stray pair can hold, and that merge units (each exact; more only save work).
+PEELS, MERGES = 2, 2
 #: Set ids that may be broadcast to pick out sets (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -147,13 +150,14 @@ def _bodies(texts: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
 
 
 def _regions(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(region, set_id, need, pivot) of every member but the pivot, the least one, of each region.
+    """(region, set_id, need, pivot, second) of every member but the pivot, the least one, of each
+    region; second marks the least of them.
 
     The window streams a sorted region: it looks one row back and at the first, never at all."""
     rows = texts.mapInArrow(partial(_parts, k=k, percent=percent), "region long, set_id long, need int")
     w = Window.partitionBy("region").orderBy("set_id")
     return (rows.withColumn("before", F.lag("set_id").over(w)).withColumn("pivot", F.first("set_id").over(w))
-            .where("set_id <> pivot and set_id <> before").drop("before").checkpoint())
+            .where("set_id <> pivot and set_id <> before").withColumn("second", F.col("before") == F.col("pivot")).drop("before").checkpoint())
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -254,49 +258,85 @@ def _tiled(texts: DataFrame, k: int, percent: int, groups: DataFrame, sets: Data
     return dealt.applyInPandas(partial(_tile, percent=percent, count=count), "set_id long, links long" if count else "a long, b long")
 
 
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b) of rows with one key that differ in root and in main group, with the other
-    columns of both sides. The largest main group of a key meets the others only, never itself."""
-    main = (rows.groupBy(key, "main").agg(F.count("*").alias("n")).groupBy(key)
-            .agg(F.max(F.struct("n", "main")).alias("m"), F.count("*").alias("mains")).where("mains > 1").select(key, F.col("m.main").alias("most")))
-    rows = rows.join(main, key)
-    sides = [rows.select(key, "most", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in (key, "most")]) for x in "ab"]
-    return (sides[0].where("main_a <> most").join(sides[1].drop("most"), key)
-            .where("root_a <> root_b and main_a <> main_b and (main_b = most or set_id_a < set_id_b)"))
-
-
-def _stray_pairs(regions: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(gid, set_id): groups of the sets that may link though they share no group yet, as the
-    components of such pairs.
-
-    In each region that such a pair shares, one of the two isn't in the group of the pivot. So
-    all regions they share are listed here, and a pair must share ``need`` of them. Where regions
-    are crowded, pairs are listed by two crowded regions at once; a pair that is met in others
-    and in no two crowded ones may have one crowded region more."""
+def _open_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` (region, need, unit, weak, ...) without the units that no stray pair can hold: its
+    units share ``need`` regions of several units with a weak one each. Exact at every round."""
+    for _ in range(PEELS):
+        several = rows.groupBy("region").agg(F.max("weak").alias("any"), (F.min("unit") < F.max("unit")).alias("several"))
+        rows = rows.join(several.where("any and several").select("region"), "region", "left_semi")
+        enough = rows.groupBy("unit", "need").agg(F.countDistinct("region").alias("n")).where("n >= need")
+        rows = rows.join(enough.select("unit", "need"), ["unit", "need"], "left_semi")
+    return rows.checkpoint()
+
+
+def _merge_units(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, edges): each unit that shares ``need`` regions with a unit that leads them becomes
+    one with it; edges (a, b) tell which. Each row meets its region's leader only, never all."""
+    degree = units.groupBy("unit").agg(F.count("*").alias("d"))
+    lead = units.join(degree, "unit").groupBy("region").agg(F.max(F.struct("d", "unit", "weak")).alias("lead"))
+    near = (units.join(lead, "region").where("unit <> lead.unit and (weak or lead.weak)")
+            .groupBy("unit", "need", F.col("lead.unit").alias("leader")).agg(F.count("*").alias("n")).where("n >= need")
+            .groupBy("unit").agg(F.max(F.struct("n", "leader")).alias("m")).select("unit", "m.leader").checkpoint())
+    units = (units.join(near, "unit", "left").withColumn("unit", F.coalesce("leader", "unit"))
+             .groupBy("region", "need", "unit").agg(F.max("weak").alias("weak")))
+    return units, near.select(F.col("unit").alias("a"), F.col("leader").alias("b"))
+
+
+def _met_in(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs of units of one key, with the other columns of both sides."""
+    sides = [rows.select(key, *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != key]) for x in "ab"]
+    return sides[0].join(sides[1], key).where("unit_a < unit_b")
+
+
+def _stray_groups(regions: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gid, set_id): groups of the sets that may link though they share no group yet.
+
+    In each region that such a pair shares, one of the two isn't in the group of the pivot, and
+    the pair shares ``need`` such regions. Sets of one main group have met, so main groups are
+    the units here; what two sets share, their units share. Units that share enough with the
+    leader of their regions become one (``_merge_units``), so that a large group of near copies
+    is few units, and only then are pairs of units listed. Where regions are still crowded, pairs
+    are listed by two crowded regions at once; a pair that is met in others and in no two crowded
+    ones may have one crowded region more."""
     weak = met.where("n < need").select("pivot", "set_id", "need", F.lit(True).alias("weak"))
-    rows = regions.join(weak, ["pivot", "set_id", "need"], "left")
-    some = rows.groupBy("region", "need").agg((F.count("*") + 1).alias("members"), F.max("weak").alias("any"), F.min("pivot").alias("pivot")).where("any")
-    rows = rows.select("region", "set_id", F.coalesce("weak", F.lit(False)).alias("weak")).join(some.select("region", "need", "members"), "region")
-    rows = rows.unionByName(some.select("region", F.col("pivot").alias("set_id"), F.lit(False).alias("weak"), "need", "members"))
+    rows = regions.join(weak, ["pivot", "set_id", "need"], "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
+    open_ = rows.groupBy("region").agg(F.max("weak").alias("any")).where("any")
+    # each region's pivot is a member too: it comes with the second one
+    rows = rows.join(open_, "region", "left_semi").select("region", "need", F.expr(
+        "inline(if(second, array(named_struct('set_id', set_id, 'weak', weak), named_struct('set_id', pivot, 'weak', false)), "
+        "array(named_struct('set_id', set_id, 'weak', weak))))"))
     strong = met.where("n >= need")
     main = (strong.select("set_id", "pivot", "n").union(strong.select("pivot", "pivot", "n")).groupBy("set_id", "pivot").agg(F.sum("n").alias("n"))
             .groupBy("set_id").agg(F.max(F.struct("n", "pivot")).alias("m")).select("set_id", F.col("m.pivot").alias("main")))
-    rows = (rows.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").join(main, "set_id", "left")
-            .withColumn("root", F.coalesce("root", "set_id")).withColumn("main", F.coalesce("main", "set_id"))
-            .withColumn("crowded", (F.col("members") > CROWDED) & (F.col("need") > 1)).checkpoint())
-    crowds = rows.where("crowded").groupBy("set_id", "need").agg(F.count("*").alias("crowds"))
-    few = rows.where("not crowded").join(crowds, ["set_id", "need"], "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
-    ends = [F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b"), F.col("need_a").alias("need")]
-    pairs = (_across(few.select("region", "need", "set_id", "root", "main", "weak", "crowds"), "region").where("weak_a or weak_b")
+    # first by sets: those of one root, or of too few open regions, are in no such pair
+    rows = rows.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("unit", F.col("set_id"))
+    several = rows.groupBy("region").agg((F.min(F.coalesce("root", "set_id")) < F.max(F.coalesce("root", "set_id"))).alias("several"))
+    rows = _open_rows(rows.join(several.where("several").select("region"), "region", "left_semi"))
+    rows = rows.join(main, "set_id", "left").withColumn("main", F.coalesce("main", "set_id")).checkpoint()
+    units, edges = rows.groupBy("region", "need", F.col("main").alias("unit")).agg(F.max("weak").alias("weak")), []
+    for _ in range(MERGES):
+        units, merged = _merge_units(_open_rows(units))
+        edges.append(merged)
+    units = _open_rows(units)
+    units = units.join(units.groupBy("region").agg(F.count("*").alias("members")), "region")
+    units = units.withColumn("crowded", (F.col("members") > CROWDED) & (F.col("need") > 1)).checkpoint()
+    crowds = units.where("crowded").groupBy("unit", "need").agg(F.count("*").alias("crowds"))
+    few = units.where("not crowded").join(crowds, ["unit", "need"], "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
+    ends = [F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), F.col("need_a").alias("need")]
+    pairs = (_met_in(few.select("region", "need", "unit", "weak", "crowds"), "region").where("weak_a or weak_b")
              .groupBy(*ends).agg(F.count("*").alias("n"), F.max(F.least("crowds_a", "crowds_b", F.lit(1))).alias("more")))
-    own = rows.where("crowded").groupBy("set_id", "root", "main", "need").agg(F.sort_array(F.collect_set("region")).alias("rs"))
-    twice = own.select("set_id", "root", "main", "need", F.expr(
+    own = units.where("crowded").groupBy("unit", "need").agg(F.sort_array(F.collect_set("region")).alias("rs"))
+    twice = own.select("unit", "need", F.expr(
         "explode(flatten(transform(rs, (x, i) -> transform(slice(rs, i + 2, size(rs)), y -> xxhash64(x, y)))))").alias("both"))
     # k common crowded regions are met k (k - 1) / 2 times
-    again = (_across(twice, "both").groupBy(*ends).agg(F.count("*").alias("met"))
+    again = (_met_in(twice, "both").groupBy(*ends).agg(F.count("*").alias("met"))
              .select("a", "b", "need", F.lit(0).alias("n"), F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).alias("more")))
     pairs = pairs.union(again).groupBy("a", "b", "need").agg(F.sum("n").alias("n"), F.max("more").alias("more")).where("n + more >= need")
-    return connected_components(pairs.select("a", "b")).select(F.col("root").alias("gid"), F.col("id").alias("set_id"))
+    joined = pairs.select("a", "b")
+    for merged in edges:
+        joined = joined.union(merged)
+    group = connected_components(joined)
+    return rows.select("set_id", "main").distinct().join(group, F.col("main") == F.col("id")).select(F.col("root").alias("gid"), "set_id").distinct()
 
 
 def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +350,7 @@ def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: st
     strong = strong.union(strong.select("gid", F.col("gid"))).distinct()
     edges = _tiled(texts, k, percent, strong, sets, count=False).checkpoint()
     roots = connected_components(edges).checkpoint()
-    stray = _stray_pairs(regions, met, roots).checkpoint()
+    stray = _stray_groups(regions, met, roots).checkpoint()
     if stray.isEmpty():
         return roots
     more = _tiled(texts, k, percent, stray, sets, count=False)
