@@ -1,9 +1,9 @@
 """Metric series windows and isolation-forest anomaly scores.
 
-D1 bounds every series to its newest ``n`` values with ``row_number() <= n``
-(planned as WindowGroupLimit: a partial top-n per partition before the
-shuffle), so a hot series never ships more than n rows per partition and the
-per-series arrays are bounded.
+D1 gives whole series, or on request their newest ``n`` values (``row_number() <= n``,
+planned as WindowGroupLimit: a partial top-n per partition before the shuffle).
+D3 and D5 never hold a series: forests are fitted on bounded samples, rows are
+scored in salted groups, and the threshold is an exact aggregate over all rows.
 """
 
 from __future__ import annotations
@@ -21,14 +21,19 @@ from pyspark.sql.window import Window
 from ..constants import (EULER_GAMMA, IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES,
                          INSUFFICIENT_HISTORY, MIN_HISTORY)
 
+#: Cells of one block of D4's distance matrix.
+DEPTH_CELLS = 1 << 20
+
 DETECT_DDL = "anomaly_score DOUBLE, is_anomaly BOOLEAN, reason STRING"
 
 
-def recent_values(metrics: DataFrame, n: int = IFOREST_MAX_SAMPLES, keys=("tenant_id", "name"),
+def recent_values(metrics: DataFrame, n: int | None = None, keys=("tenant_id", "name"),
                   ts: str = "timestamp", value: str = "value") -> DataFrame:
-    """Per series the newest ``n`` values as ``values`` (oldest → newest)."""
+    """Per series all values, or the newest ``n``, as ``values`` (oldest → newest)."""
     w = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(value).desc())
-    top = metrics.select(*keys, ts, value).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    top = metrics.select(*keys, ts, value).withColumn("_rn", F.row_number().over(w))
+    if n is not None:
+        top = top.filter(F.col("_rn") <= n)
     g = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("_rn").alias("r"),
                                                                     F.col(value).alias("v")))).alias("_s"),
                                F.max(ts).alias("last_ts"))
@@ -151,11 +156,34 @@ def _detect_udf(values: pd.Series, seed_key: pd.Series) -> pd.DataFrame:
 _detect_once = _detect_udf.asNondeterministic()
 
 
+def detect_series(metrics: DataFrame, keys=("tenant_id", "name"), ts: str = "timestamp", value: str = "value",
+                  id_cols=("timestamp",), contamination: float = IFOREST_CONTAMINATION) -> DataFrame:
+    """D2 + D3: verdict on the newest value of every whole series.
+
+    (keys, last_ts, n_values, anomaly_score, is_anomaly, reason). The forest comes
+    from ``fit_isolation``; every row is scored in salted groups and the threshold is
+    the exact, interpolated quantile over all rows: a forest is a step function, so a
+    series has a bounded number of distinct scores. Of values that tie in time the
+    greatest is the newest. A series without non-null values has no row."""
+    m = metrics.select(*keys, ts, value).where(F.col(value).isNotNull())
+    models = fit_isolation(m, keys, value, id_cols)
+    scored = _score_rows(m, models, keys, value, id_cols)
+    g = scored.groupBy(*keys).agg(F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_values"),
+                                  F.percentile("score_samples", contamination).alias("_offset"),
+                                  F.max_by("score_samples", F.struct(ts, value)).alias("_last"))
+    short = F.col("n_values") < MIN_HISTORY
+    decision = F.col("_last") - F.col("_offset")
+    return g.select(*keys, "last_ts", "n_values",
+                    F.when(short, F.lit(0.0)).otherwise(F.lit(0.5) - decision).alias("anomaly_score"),
+                    F.when(short, F.lit(False)).otherwise(decision < 0).alias("is_anomaly"),
+                    F.when(short, F.lit(INSUFFICIENT_HISTORY)).alias("reason"))
+
+
 def detect(series: DataFrame, values: str = "values", keys=("tenant_id", "name")) -> DataFrame:
-    """D3: isolation-forest verdict on the last value of every bounded series.
+    """D3 on arrays that D1 made: isolation-forest verdict on the last value.
 
-    Runs as an Arrow-batched pandas UDF, in parallel over series; the forest
-    for one series is ≤ 256 points, so each call is bounded.
+    Runs as an Arrow-batched pandas UDF, in parallel over series, each of which is
+    held whole; ``detect_series`` is the form for series of any length.
     """
     seed_key = F.concat_ws("\u001f", *[F.col(k).cast("string") for k in keys])
     return series.withColumn("_d", _detect_once(F.col(values), seed_key)).select("*", "_d.*").drop("_d")
@@ -163,7 +191,7 @@ def detect(series: DataFrame, values: str = "values", keys=("tenant_id", "name")
 
 # ----------------------------------------------------------------------------- D4
 def expected_verdict(values, contamination: float = IFOREST_CONTAMINATION) -> tuple[float, bool, str | None]:
-    """D4 on one series: exact expected depths, vectorised O(m²) over ≤ 256 values."""
+    """D4 on one series: exact expected depths, in blocks of the m distinct values."""
     x = np.asarray(values if values is not None else [], dtype=float)
     n = len(x)
     if n < MIN_HISTORY:
@@ -173,12 +201,14 @@ def expected_verdict(values, contamination: float = IFOREST_CONTAMINATION) -> tu
     h = np.zeros(m)
     if m >= 2:
         g = np.diff(d)                           # gap j lies between d[j] and d[j+1]
-        k = np.arange(m)[:, None]
         j = np.arange(m - 1)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            right = np.where(j >= k, g[None, :] / (d[1:][None, :] - d[:, None]), 0.0)
-            left = np.where(j < k, g[None, :] / (d[:, None] - d[:-1][None, :]), 0.0)
-        h = right.sum(axis=1) + left.sum(axis=1)
+        step = max(1, DEPTH_CELLS // m)
+        for at in range(0, m, step):
+            k, x_k = np.arange(m)[at:at + step, None], d[at:at + step, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                right = np.where(j >= k, g[None, :] / (d[1:][None, :] - x_k), 0.0)
+                left = np.where(j < k, g[None, :] / (x_k - d[:-1][None, :]), 0.0)
+            h[at:at + step] = right.sum(axis=1) + left.sum(axis=1)
     h = h + c_factor(mult)
     psi = min(n, IFOREST_MAX_SAMPLES)
     s_d = -np.power(2.0, -h / float(c_factor([psi])[0]))
@@ -200,9 +230,8 @@ def detect_expected(series: DataFrame, values: str = "values") -> DataFrame:
 
     For sorted distinct values d₁<…<d_m, a point at d_k has expected depth
     Σ_{j≥k} g_j/(d_{j+1}−d_k) + Σ_{j<k} g_j/(d_k−d_j) + c(multiplicity), with
-    g_j = d_{j+1}−d_j. Computed per bounded series (m ≤ 256) as one numpy
-    matrix in an Arrow-batched UDF, in parallel over series; no pair rows are
-    emitted. Not a substitute for D3 (no height limit), but reproducible and
+    g_j = d_{j+1}−d_j. Computed per series in blocks of a numpy matrix in an
+    Arrow-batched UDF, in parallel over series; no pair rows are emitted. Not a substitute for D3 (no height limit), but reproducible and
     SQL-checkable.
     """
     return series.withColumn("_x", _expected_udf(F.col(values))).select("*", "_x.*").drop("_x")
@@ -228,15 +257,18 @@ def to_anomaly_events(detections: DataFrame, keys=("tenant_id", "name"), ts: str
 MODEL_DDL = "breaks ARRAY<DOUBLE>, paths ARRAY<DOUBLE>, psi BIGINT"
 
 
-def forest_step_function(sample: np.ndarray, trees: int = IFOREST_TREES, seed: int = 42):
+def forest_step_function(sample: np.ndarray, trees: int = IFOREST_TREES, seed: int = 42,
+                         max_samples: int = IFOREST_MAX_SAMPLES):
     """Mean path length of a forest fitted on ``sample`` as a step function of
-    the value: sorted ``breaks`` and ``paths`` (len(breaks) + 1 pieces)."""
-    s = np.sort(np.asarray(sample, dtype=float))
-    psi = len(s)
+    the value: sorted ``breaks`` and ``paths`` (len(breaks) + 1 pieces). Every
+    tree draws its own ``max_samples`` values."""
+    pool = np.sort(np.asarray(sample, dtype=float))
+    psi = min(max_samples, len(pool))
     limit = int(math.ceil(math.log2(max(psi, 2))))
     rng = np.random.default_rng(seed)
     all_bounds, per_tree = [], []
     for _ in range(trees):
+        s = pool if psi == len(pool) else np.sort(rng.choice(pool, psi, replace=False))
         bounds, leaf_len = [], []
         stack = [(0, psi, 0)]
         while stack:
@@ -264,15 +296,15 @@ def forest_step_function(sample: np.ndarray, trees: int = IFOREST_TREES, seed: i
 
 def fit_isolation(metrics: DataFrame, keys=("tenant_id", "name"), value: str = "value", id_cols=("timestamp",),
                   max_samples: int = IFOREST_MAX_SAMPLES, trees: int = IFOREST_TREES) -> DataFrame:
-    """D5 fit: per series a forest on a bounded pseudo-random sample.
+    """D5 fit: per series a forest whose trees each draw ``max_samples`` rows.
 
-    The sample is the ``max_samples`` rows with the smallest hash of
-    (key, id, value) — ``row_number() <= ψ`` is a WindowGroupLimit, so each
-    partition sends at most ψ rows per series to the fit.
+    They draw from the ``trees * max_samples`` rows with the smallest hash of
+    (key, id, value): ``row_number() <= n`` is a WindowGroupLimit, so each
+    partition sends at most so many rows per series to the fit.
     """
     h = F.xxhash64(*[F.col(c) for c in keys], *[F.col(c) for c in id_cols], F.col(value))
     w = Window.partitionBy(*keys).orderBy(h, F.col(value))
-    samp = metrics.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_samples)
+    samp = metrics.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= trees * max_samples)
     g = samp.groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_sample"))
     seed_key = F.concat_ws("\u001f", *[F.col(k).cast("string") for k in keys])
 
@@ -280,28 +312,26 @@ def fit_isolation(metrics: DataFrame, keys=("tenant_id", "name"), value: str = "
                                 T.StructField("paths", T.ArrayType(T.DoubleType())),
                                 T.StructField("psi", T.LongType())]))
     def fit(samples: pd.Series, sk: pd.Series) -> pd.DataFrame:
-        out = [forest_step_function(np.asarray(s), trees, series_seed(k)) for s, k in zip(samples, sk)]
+        out = [forest_step_function(np.asarray(s), trees, series_seed(k), max_samples) for s, k in zip(samples, sk)]
         return pd.DataFrame({"breaks": [o[0] for o in out], "paths": [o[1] for o in out],
                              "psi": [o[2] for o in out]})
 
     return g.select(*keys, fit(F.col("_sample"), seed_key).alias("m")).select(*keys, "m.*")
 
 
-def score_isolation(metrics: DataFrame, models: DataFrame, keys=("tenant_id", "name"), value: str = "value",
-                    id_cols=("timestamp",), rows_per_group: int = 200_000,
-                    contamination: float = IFOREST_CONTAMINATION) -> DataFrame:
-    """D5 score: every row of every series gets ``anomaly_score``/``is_anomaly``.
+def _fresh(df: DataFrame) -> DataFrame:
+    """New attribute ids, for joins of two sides that derive from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
-    Rows are salted into ⌈rows/rows_per_group⌉ groups per series and the
-    series' model is replicated to each salt, so the cogroup never puts a hot
-    series in one task. The threshold is the ``contamination`` quantile of the
-    series' scores via ``percentile_approx`` (a mergeable sketch).
-    """
-    keys = list(keys)
 
-    def fresh(df: DataFrame) -> DataFrame:  # new attribute ids: both sides derive from `metrics`
-        return df.select(*[F.col(c).alias(c) for c in df.columns])
+def _score_rows(metrics: DataFrame, models: DataFrame, keys, value: str, id_cols,
+                rows_per_group: int = 200_000) -> DataFrame:
+    """Every row with its ``score_samples``.
 
+    Rows are salted into ⌈rows/rows_per_group⌉ groups per series and the
+    series' model is replicated to each salt, so the cogroup never puts a hot
+    series in one task."""
+    keys, fresh = list(keys), _fresh
     models = fresh(models)
     counts = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     salts = counts.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_group)).cast("int").alias("_salts"))
@@ -322,8 +352,19 @@ def score_isolation(metrics: DataFrame, models: DataFrame, keys=("tenant_id", "n
         return out
 
     schema = T.StructType(list(metrics.schema.fields) + [T.StructField("score_samples", T.DoubleType())])
-    scored = rows.groupBy(*keys, "_salt").cogroup(mods.groupBy(*keys, "_salt")).applyInPandas(score, schema)
-    offs = scored.groupBy(*keys).agg(F.percentile_approx("score_samples", contamination, 10000).alias("_offset"))
-    j = fresh(scored).join(fresh(offs), keys, "inner")
+    return rows.groupBy(*keys, "_salt").cogroup(mods.groupBy(*keys, "_salt")).applyInPandas(score, schema)
+
+
+def score_isolation(metrics: DataFrame, models: DataFrame, keys=("tenant_id", "name"), value: str = "value",
+                    id_cols=("timestamp",), rows_per_group: int = 200_000,
+                    contamination: float = IFOREST_CONTAMINATION) -> DataFrame:
+    """D5 score: every row of every series gets ``anomaly_score``/``is_anomaly``.
+
+    The threshold is the exact ``contamination`` quantile of the series' scores;
+    a forest is a step function, so a series has a bounded number of them."""
+    keys = list(keys)
+    scored = _score_rows(metrics, models, keys, value, id_cols, rows_per_group)
+    offs = scored.groupBy(*keys).agg(F.percentile("score_samples", contamination).alias("_offset"))
+    j = _fresh(scored).join(_fresh(offs), keys, "inner")
     decision = F.col("score_samples") - F.col("_offset")
-    return j.select(*in_cols, (F.lit(0.5) - decision).alias("anomaly_score"), (decision < 0).alias("is_anomaly"))
+    return j.select(*metrics.columns, (F.lit(0.5) - decision).alias("anomaly_score"), (decision < 0).alias("is_anomaly"))

@@ -77,14 +77,21 @@ def error_rate(logs: DataFrame, every="1 day") -> DataFrame:
     return g.withColumn("error_rate", F.col("errors").cast("double") / F.col("total"))
 
 
-def p99(metrics: DataFrame, name: str, every="1 day", q: float = 0.99, exact: bool = False,
-        accuracy: int = 10000) -> DataFrame:
-    """99th percentile of a metric per tenant and period (approximate sketch by default)."""
-    b = _bucket("timestamp", every)
-    agg = F.percentile("value", q) if exact else F.percentile_approx("value", q, accuracy)
-    return (metrics.filter(F.col("name") == name)
-                   .groupBy("tenant_id", b.alias("bucket_start"))
-                   .agg(agg.alias("p99"), F.count(F.lit(1)).alias("samples")))
+def p99(metrics: DataFrame, name: str, every="1 day", q: float = 0.99, sketch_accuracy: int | None = None) -> DataFrame:
+    """99th percentile of a metric per tenant and period: the least value that at least
+    ``q`` of the samples don't exceed. Exact unless a sketch is asked for: equal values are
+    counted before the shuffle and a running sum of the counts finds the value."""
+    m = metrics.filter(F.col("name") == name).withColumn("bucket_start", _bucket("timestamp", every))
+    keys = ["tenant_id", "bucket_start"]
+    if sketch_accuracy is not None:
+        return m.groupBy(*keys).agg(F.percentile_approx("value", q, sketch_accuracy).alias("p99"),
+                                    F.count(F.lit(1)).alias("samples"))
+    counts = m.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("value")
+    upto = counts.select(*keys, "value", "_n", F.sum("_n").over(w).alias("_upto"),
+                         F.sum("_n").over(Window.partitionBy(*keys)).alias("samples"))
+    enough = F.col("_upto") >= F.ceil(F.lit(q) * F.col("samples"))
+    return upto.where(enough).groupBy(*keys).agg(F.min("value").alias("p99"), F.max("samples").alias("samples"))
 
 
 def throughput(events: DataFrame, every="1 hour", keys=("tenant_id",)) -> DataFrame:

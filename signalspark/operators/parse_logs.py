@@ -116,7 +116,9 @@ def _stage_out(x: DataFrame) -> DataFrame:
         "span_id": F.when(is_json, j_span).when(is_logfmt, lm[spn_key]),
         "fields": F.when(is_json, j_fields).when(is_logfmt, l_fields).otherwise(F.lit("{}")),
     }
-    return x.select("*", *[c.alias(n) for n, c in cols.items()])
+    # a generator's output is never substituted into later filters, so the parser
+    # stays in the plan once; filters on the other columns still pass below it
+    return x.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
 STAGE_COLS = ["_line", "_obj", "_is_json", "_is_logfmt", "_jm", "_lm", "_prefix"]
@@ -127,7 +129,8 @@ def parse_logs(df: DataFrame, col: str = "raw", keep_raw: bool = True) -> DataFr
 
     ``fields`` is the JSON object text of the extra keys, keys in byte order
     (logfmt values as JSON strings, JSON values as they were). The parse is
-    staged so each line is JSON-decoded and pair-split at most once.
+    staged so each line is JSON-decoded and pair-split at most once, also under
+    later filters on the parsed columns.
     """
     out = _stage_out(_stage_maps(_stage_line(df, col))).drop(*STAGE_COLS)
     return out if keep_raw else out.drop(col)

@@ -372,6 +372,10 @@ ORACLE["e7_resolve_incidents"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS
 SELECT id, tenant_id, status2 AS status, CAST(epoch_us(resolved_at) AS BIGINT) AS resolved_at_us, resolved_by
 FROM res"""
 
+ORACLE["c5_open_incidents"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS, RESOLVED) + """
+SELECT id, title, description, severity, status2 AS status, context, CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us
+FROM res WHERE tenant_id = 't1' AND status2 <> 'resolved' ORDER BY opened_at DESC, id LIMIT 50"""
+
 ORACLE["e8_acknowledge_incidents"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS, RESOLVED) + """
 SELECT id, tenant_id,
        CASE WHEN tenant_id IN ('t0', 't2') AND status2 = 'open' THEN 'acknowledged' ELSE status2 END AS status,
@@ -424,12 +428,11 @@ def c_sql(n: str) -> str:
             f"ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649) - 2.0 * ({n} - 1.0) / {n} END)")
 
 
-def series_ctes(limit: int) -> str:
-    return f"""ser AS (
-  SELECT * FROM (SELECT tenant_id, name, CAST(timestamp // 86400 AS BIGINT) AS day, timestamp, value,
-                        row_number() OVER (PARTITION BY tenant_id, name, timestamp // 86400
-                                           ORDER BY timestamp DESC, value DESC) AS rn
-                 FROM metrics) WHERE rn <= {limit}),
+def series_ctes(seconds: int = 86400) -> str:
+    return f"""ser AS (SELECT tenant_id, name, CAST(timestamp // {seconds} AS BIGINT) AS day, timestamp, value,
+               row_number() OVER (PARTITION BY tenant_id, name, timestamp // {seconds}
+                                  ORDER BY timestamp DESC, value DESC) AS rn
+        FROM metrics),
 cnt AS (SELECT tenant_id, name, day, count(*) AS n, max(timestamp) AS last_ts FROM ser GROUP BY ALL),
 dv AS (SELECT tenant_id, name, day, value AS x, count(*) AS mult,
               row_number() OVER (PARTITION BY tenant_id, name, day ORDER BY value) AS k
@@ -458,13 +461,15 @@ SELECT tenant_id, name, day, CAST(count(*) AS BIGINT) AS n_values, max(timestamp
        string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY timestamp, rn DESC) AS values_cents
 FROM (SELECT tenant_id, name, CAST(timestamp // 86400 AS BIGINT) AS day, timestamp, value,
              row_number() OVER (PARTITION BY tenant_id, name, timestamp // 86400 ORDER BY timestamp DESC, value DESC) AS rn
-      FROM metrics) WHERE rn <= 256
+      FROM metrics)
 GROUP BY tenant_id, name, day"""
 
-ORACLE["d2_short_history"] = with_(EV, METRICS, series_ctes(4)) + """
-SELECT tenant_id, name, day, anomaly_score, is_anomaly, reason FROM det"""
+ORACLE["d2_short_history"] = with_(EV, METRICS, series_ctes(21600)) + """
+SELECT tenant_id, name, day AS quarter_day, CAST(n AS BIGINT) AS n_values, round(anomaly_score, 6) AS anomaly_score,
+       is_anomaly, reason
+FROM det"""
 
-ORACLE["d4_detect_expected"] = with_(EV, METRICS, series_ctes(256)) + """
+ORACLE["d4_detect_expected"] = with_(EV, METRICS, series_ctes()) + """
 SELECT tenant_id, name, day, CAST(n AS BIGINT) AS n_values, round(anomaly_score, 6) AS anomaly_score, is_anomaly, reason
 FROM det"""
 
@@ -473,11 +478,11 @@ ANOM_FROM_DET = """an AS (
          tenant_id, name AS metric_name, anomaly_score, make_timestamp(last_ts * 1000000) AS ts
   FROM det WHERE is_anomaly)"""
 
-ORACLE["d6_anomaly_events"] = with_(EV, METRICS, series_ctes(256), ANOM_FROM_DET) + """
+ORACLE["d6_anomaly_events"] = with_(EV, METRICS, series_ctes(), ANOM_FROM_DET) + """
 SELECT anomaly_id, tenant_id, metric_name, round(anomaly_score, 6) AS anomaly_score,
        CAST(epoch_us(ts) AS BIGINT) AS ts_us FROM an"""
 
-ORACLE["e11_alert_flow"] = with_rec(EV, METRICS, series_ctes(256), ANOM_FROM_DET.replace(
+ORACLE["e11_alert_flow"] = with_rec(EV, METRICS, series_ctes(), ANOM_FROM_DET.replace(
     "AS ts\n", "AS ts, '' AS context\n"), RULES_CTE, MT, COOL, INCIDENTS) + """
 SELECT id, tenant_id, alert_rule_id, title, description, severity, status,
        CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM inc"""
@@ -548,7 +553,7 @@ SERVICES_CTE = ("svc AS (SELECT * FROM " + sql_values(
 ORACLE["f1_explain"] = LOGS.rstrip("\n") + ",\n" + SERVICES_CTE + """,
 rl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, service
                                                   ORDER BY timestamp DESC, level, message, trace_id) AS rn FROM logs)
-       WHERE rn <= 3),
+       WHERE rn <= 100),
 g AS (SELECT tenant_id, service, bool_or(contains(lower(message), 'timeout')) AS tmo,
              bool_or(contains(lower(message), 'error')) AS er, count(*) AS n FROM rl GROUP BY ALL)
 SELECT s.tenant_id, s.service, CAST(COALESCE(g.n, 0) AS BIGINT) AS n_logs,

@@ -228,6 +228,13 @@ def _resolved(spark, base):
     return AL.resolve_incidents(inc, res)
 
 
+@register("c5_open_incidents")
+def _c5(spark, base):
+    """The 50 newest unresolved incidents of t1."""
+    return Q.open_incidents(_resolved(spark, base), "t1").select(
+        "id", "title", "description", "severity", "status", "context", F.unix_micros("opened_at").alias("opened_at_us"))
+
+
 @register("e7_resolve_incidents")
 def _e7(spark, base):
     """Resolve rule-6 incidents twice; the later resolution wins."""
@@ -275,15 +282,19 @@ from ..operators import detect as DT  # noqa: E402
 SERIES_KEYS = ("tenant_id", "name", "day")
 
 
-def daily_series(spark, base, n=256):
-    """D1 over the metrics table: per (tenant, metric, day) the newest n values."""
-    m = flows.event_metric_rows(spark, base).withColumn("day", F.floor(F.col("timestamp") / 86400).cast("bigint"))
-    return DT.recent_values(m, n=n, keys=SERIES_KEYS)
+def daily_metrics(spark, base, seconds=86400):
+    """The metrics table with ``day``, the number of the period of so many seconds."""
+    return flows.event_metric_rows(spark, base).withColumn("day", F.floor(F.col("timestamp") / seconds).cast("bigint"))
+
+
+def daily_series(spark, base, seconds=86400):
+    """D1 over the metrics table: all values per (tenant, metric, day)."""
+    return DT.recent_values(daily_metrics(spark, base, seconds), keys=SERIES_KEYS)
 
 
 @register("d1_recent_values")
 def _d1(spark, base):
-    """Bounded series windows, oldest → newest (values shown in cents)."""
+    """Whole series, oldest → newest (values shown in cents)."""
     s = daily_series(spark, base)
     return s.select("tenant_id", "name", "day", F.size("values").cast("bigint").alias("n_values"), "last_ts",
                     F.array_join(F.transform("values", lambda v: F.round(v * 100).cast("bigint").cast("string")),
@@ -292,17 +303,17 @@ def _d1(spark, base):
 
 @register("d2_short_history")
 def _d2(spark, base):
-    """Series shorter than 5 values score 0 with 'Insufficient history'."""
-    return DT.detect_expected(daily_series(spark, base, n=4)).select(
-        "tenant_id", "name", "day", "anomaly_score", "is_anomaly", "reason")
+    """Whole series of six hours; those of under 5 values score 0 with 'Insufficient history'."""
+    return DT.detect_expected(daily_series(spark, base, seconds=21600)).select(
+        "tenant_id", "name", F.col("day").alias("quarter_day"), F.size("values").cast("bigint").alias("n_values"),
+        F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly", "reason")
 
 
 @register("d3_detect")
 def _d3(spark, base):
     """D3: isolation forest (100 trees, ψ ≤ 256, contamination 0.1) per series."""
-    return DT.detect(daily_series(spark, base), keys=SERIES_KEYS).select(
-        "tenant_id", "name", "day", F.size("values").cast("bigint").alias("n_values"),
-        "anomaly_score", "is_anomaly", "reason")
+    return DT.detect_series(daily_metrics(spark, base), keys=SERIES_KEYS).select(
+        "tenant_id", "name", "day", "n_values", "anomaly_score", "is_anomaly", "reason")
 
 
 @register("d4_detect_expected")
@@ -314,8 +325,10 @@ def _d4(spark, base):
 
 
 def anomaly_stream(spark, base, forest=False):
-    s = daily_series(spark, base)
-    d = DT.detect(s, keys=SERIES_KEYS) if forest else DT.detect_expected(s)
+    if forest:
+        d = DT.detect_series(daily_metrics(spark, base), keys=SERIES_KEYS)
+    else:
+        d = DT.detect_expected(daily_series(spark, base))
     return DT.to_anomaly_events(d, keys=SERIES_KEYS, ts="last_ts").withColumnRenamed("name", "metric_name")
 
 
@@ -328,7 +341,7 @@ def _d6(spark, base):
 
 
 def _alert_flow(spark, base, forest=False):
-    an = anomaly_stream(spark, base, forest).withColumn("context", F.lit(""))
+    an = anomaly_stream(spark, base, forest)
     m = AL.match_rules(an, MD.rules(spark))["matches"]
     return AL.open_incidents_from(AL.apply_cooldown(m))
 
@@ -344,7 +357,7 @@ def _e11(spark, base):
 def _e11f(spark, base):
     """E11 with the isolation forest (D3) as detector (random: rows-only check)."""
     return _alert_flow(spark, base, forest=True).select(
-        "id", "tenant_id", "alert_rule_id", "title", F.unix_micros("opened_at").alias("opened_at_us"))
+        "id", "tenant_id", "alert_rule_id", "title", "context", F.unix_micros("opened_at").alias("opened_at_us"))
 
 
 # ------------------------------------------------------------------ vectors
@@ -437,8 +450,8 @@ def services_df(spark):
 
 @register("f1_explain")
 def _f1(spark, base):
-    """root-cause sentence per (tenant, service) from its 3 newest logs."""
-    return IN.explain(services_df(spark), flows.event_log_rows(spark, base), k=3)
+    """root-cause sentence per (tenant, service) from its 100 newest logs."""
+    return IN.explain(services_df(spark), flows.event_log_rows(spark, base))
 
 
 @register("f2_explain_context")
@@ -459,7 +472,7 @@ def _f3(spark, base):
 
 @register("f4_p99")
 def _f4(spark, base):
-    """daily p99 of 'purchase' per tenant (sketch; exact for small groups)."""
+    """daily p99 of 'purchase' per tenant (exact order statistic)."""
     return IN.p99(flows.event_metric_rows(spark, base), "purchase", "1 day")
 
 
