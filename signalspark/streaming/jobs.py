@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -123,27 +123,41 @@ def start_table_writer(events: DataFrame, logs_path: str, metrics_path: str, che
     return w.start()
 
 
+LATEST_DDL = "tenant_id string, name string, value double, service string, timestamp bigint, rank int, epoch bigint, slot int"
+
+
+def read_latest_metrics(spark: SparkSession, table_path: str) -> DataFrame:
+    """C4 (stream): the rows of the newest complete epoch of the live table."""
+    table = spark.read.schema(LATEST_DDL).parquet(table_path)
+    newest = table.agg(F.max("epoch").alias("epoch"))
+    return table.join(F.broadcast(newest), "epoch", "left_semi").drop("epoch", "slot")
+
+
+def merge_latest_metrics(batch: DataFrame, epoch_id: int, table_path: str, n: int = LIVE_METRIC_ROWS) -> None:
+    """Write epoch ``epoch_id`` of the live table: the newest ``n`` rows per tenant of the
+    batch and the epoch before.
+
+    Even and odd epochs have a partition each, replaced as a whole, so the epoch before
+    stays readable until the next one is written, a replayed epoch starts from the same
+    rows again, and nothing piles up. A read that fails fails the batch."""
+    spark = batch.sparkSession
+    cols = ["tenant_id", "name", "value", "service", "timestamp"]
+    spark.createDataFrame([], LATEST_DDL).write.mode("ignore").partitionBy("slot").parquet(table_path)
+    before = spark.read.schema(LATEST_DDL).parquet(table_path).where((F.col("epoch") < epoch_id) & (F.col("slot") != epoch_id % 2))
+    w = Window.partitionBy("tenant_id").orderBy(F.col("timestamp").desc(), "name", "service", F.col("value").desc())
+    top = (batch.select(*cols).unionByName(before.select(*cols))
+           .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
+    (top.withColumn("epoch", F.lit(epoch_id).cast("bigint")).withColumn("slot", F.lit(epoch_id % 2))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(table_path))
+
+
 def start_latest_metrics(metric_rows_stream: DataFrame, table_path: str, checkpoint: str, n: int = LIVE_METRIC_ROWS,
                          trigger_seconds: int = 1, available_now: bool = False):
     """C4 (stream): keep the newest ``n`` metric rows per tenant in a small table,
-    merging each micro-batch's top-n with the current table (1 s trigger)."""
-    from pyspark.sql.window import Window
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = ["tenant_id", "name", "value", "service", "timestamp"]
-        cur = batch.select(*cols)
-        try:
-            cur = cur.unionByName(spark.read.parquet(table_path).select(*cols))
-        except Exception:  # first batch: no table yet
-            pass
-        w = Window.partitionBy("tenant_id").orderBy(F.col("timestamp").desc(), "name", "service", F.col("value").desc())
-        top = cur.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-        tmp = table_path.rstrip("/") + f"__epoch{epoch_id}"
-        top.write.mode("overwrite").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").parquet(table_path)
-
-    w = metric_rows_stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    merging each micro-batch's top-n with the epoch before (1 s trigger)."""
+    w = (metric_rows_stream.writeStream
+         .foreachBatch(lambda batch, epoch_id: merge_latest_metrics(batch, epoch_id, table_path, n))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
 

@@ -64,3 +64,34 @@ def test_d5_spark_runs_and_flags_share(spark):
     assert len(rows) == 1000
     share = sum(r.is_anomaly for r in rows) / len(rows)
     assert 0.0 < share < 0.3
+
+
+def test_long_series_are_judged_whole(spark):
+    """A series of far more rows than a tree's sample: nothing is cut, the outlier at its end stands out."""
+    from signalspark.operators.detect import detect_series, recent_values
+    rng = np.random.default_rng(5)
+    rows = [("t", "long", i, float(v)) for i, v in enumerate(rng.normal(0, 1, 3000))] + [("t", "long", 3000, 50.0)]
+    rows += [("t", "short", i, 1.0) for i in range(4)] + [("t", "flat", i, 2.0) for i in range(9)] + [("t", "none", 0, None)]
+    m = spark.createDataFrame(rows, "tenant_id string, name string, timestamp long, value double")
+    got = {r.name: r for r in detect_series(m).collect()}
+    assert set(got) == {"long", "short", "flat"}
+    assert got["long"].n_values == 3001 and got["long"].is_anomaly and got["long"].anomaly_score > 0.5
+    assert got["short"].reason == "Insufficient history" and got["short"].anomaly_score == 0.0
+    assert got["flat"].anomaly_score == pytest.approx(0.5) and not got["flat"].is_anomaly
+    sizes = {r.name: len(r["values"]) for r in recent_values(m.where("value is not null")).collect()}
+    assert sizes == {"long": 3001, "short": 4, "flat": 9}
+
+
+def test_expected_verdict_in_blocks(monkeypatch):
+    from signalspark.operators import detect
+    x = np.random.default_rng(6).normal(0, 1, 300)
+    whole = expected_verdict(x)
+    monkeypatch.setattr(detect, "DEPTH_CELLS", 1000)
+    assert expected_verdict(x)[0] == pytest.approx(whole[0], abs=1e-12)
+
+
+def test_short_and_long_series_both_occur(spark):
+    from conftest import SF01
+    from signalspark.plans.registry import QUERIES
+    reasons = {r.reason for r in QUERIES["d2_short_history"](spark, SF01).select("reason").distinct().collect()}
+    assert reasons == {None, "Insufficient history"}

@@ -69,3 +69,11 @@ def test_level_normalisation(spark):
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     got = {r.s: r.lv for r in df.select("s", normalize_level(F.col("s")).alias("lv")).collect()}
     assert got == cases
+
+
+def test_filters_hold_no_copy_of_the_parser(spark):
+    from conftest import SF001
+    from signalspark.plans.registry import QUERIES
+    for name in ("b1_log_rows", "c2_search_logs", "c2_search_logs_filtered", "c11_min_level"):
+        plan = QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") <= 2, name

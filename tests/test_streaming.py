@@ -87,3 +87,21 @@ def test_table_writer_batches(spark):
     logs = spark.read.parquet(os.path.join(out, "logs"))
     assert logs.count() == ev.count()
     assert "yyyymm" in logs.columns
+
+
+def test_latest_metrics_replay_and_failure(spark, tmp_path):
+    table = str(tmp_path / "latest")
+    ddl = "tenant_id string, name string, value double, service string, timestamp bigint"
+    batch = lambda *rows: spark.createDataFrame(list(rows), ddl)
+    read = lambda: sorted((r.tenant_id, r.timestamp, r["rank"]) for r in jobs.read_latest_metrics(spark, table).collect())
+    jobs.merge_latest_metrics(batch(("a", "m", 1.0, "s", 1), ("a", "m", 1.0, "s", 2), ("b", "m", 1.0, "s", 1)), 0, table, 2)
+    assert read() == [("a", 1, 2), ("a", 2, 1), ("b", 1, 1)]
+    for _ in range(2):  # the epoch is replayed: its rows count once
+        jobs.merge_latest_metrics(batch(("a", "m", 1.0, "s", 3)), 1, table, 2)
+        assert read() == [("a", 2, 2), ("a", 3, 1), ("b", 1, 1)]
+    jobs.merge_latest_metrics(batch(), 2, table, 2)
+    assert read() == [("a", 2, 2), ("a", 3, 1), ("b", 1, 1)]
+    broken = tmp_path / "latest" / "slot=0" / "part-broken.snappy.parquet"
+    broken.write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        jobs.merge_latest_metrics(batch(("a", "m", 1.0, "s", 9)), 3, table, 2)
