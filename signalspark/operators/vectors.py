@@ -117,9 +117,9 @@ def semantic_search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, v
     """Top-k per query vector, restricted to the query's tenant.
 
     The query matrix is broadcast after a size check; each partition scores
-    its vectors against the queries of the same tenant with one matrix product
-    and keeps only its local top-k per query, so at most k·partitions rows per
-    query reach the final ``row_number() <= k``. No (vector, query) pair rows
+    its vectors against the queries of the same tenant, a matrix product for each
+    Arrow batch, of which only the top-k per query go on to the final
+    ``row_number() <= k``. Ties go by id. No (vector, query) pair rows
     are ever materialised.
     """
     qsize = estimated_size_bytes(queries)
@@ -146,13 +146,14 @@ def semantic_search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, v
                 qids, qm = tab[t]
                 vm = np.stack([np.asarray(x, dtype=float) for x in g[vector_col]])
                 vm = vm / np.maximum(np.linalg.norm(vm, axis=1, keepdims=True), 1e-300)
-                s = vm @ qm.T  # rows: vectors, cols: queries
+                s = np.round(vm @ qm.T, 12)  # rows: vectors, cols: queries; equal vectors score the same
                 ids = g["id"].to_numpy()
                 kk = min(k, len(ids))
                 for j, qid in enumerate(qids):
                     col = s[:, j]
-                    idx = np.argpartition(-col, kk - 1)[:kk] if kk < len(col) else np.arange(len(col))
-                    outs.append(pd.DataFrame({"query_id": qid, "tenant_id": t, "id": ids[idx], "score": col[idx]}))
+                    idx = np.flatnonzero(col >= np.partition(col, -kk)[-kk])  # with all ties of the k-th score
+                    best = pd.DataFrame({"query_id": qid, "tenant_id": t, "id": ids[idx], "score": col[idx]})
+                    outs.append(best.sort_values(["score", "id"], ascending=[False, True]).head(kk))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
 

@@ -95,3 +95,12 @@ def test_short_and_long_series_both_occur(spark):
     from signalspark.plans.registry import QUERIES
     reasons = {r.reason for r in QUERIES["d2_short_history"](spark, SF01).select("reason").distinct().collect()}
     assert reasons == {None, "Insufficient history"}
+
+
+def test_batch_search_breaks_ties_by_id(spark):
+    from signalspark.operators.vectors import semantic_search_batch
+    vecs = spark.createDataFrame([(f"{i:03d}", "t", [1.0, 2.0, 3.0]) for i in reversed(range(400))],
+                                 "id string, tenant_id string, vector array<double>")
+    query = spark.createDataFrame([("q", "t", [3.0, 2.0, 1.0])], "query_id string, tenant_id string, qvector array<double>")
+    got = semantic_search_batch(vecs, query, k=5).orderBy("rank").collect()
+    assert [r.id for r in got] == ["000", "001", "002", "003", "004"]
