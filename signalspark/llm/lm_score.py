@@ -2,8 +2,14 @@
 
 The target model is counted over the documents labelled as good, the background model over all
 documents, its counts scaled to the target's size. Both are bigram models that back off to
-unigrams with the same smoothing, over one vocabulary: the most frequent words of the whole corpus, all others being one unknown word. A
-document's score is the mean, over its words, of target loss less background loss.
+unigrams with the same smoothing, over one vocabulary: all words of the corpus. A document's
+score is the mean, over its words, of target loss less background loss.
+
+No table of the models is ever in one place. Every word of every text is dealt to a bucket by
+its hash, with the word before it; a bucket so holds all that is counted for its words, and sums
+the losses of each text there. A word of more than an eighth of an even bucket is dealt by its
+pairs, and a pair of so many goes anywhere: their counts are made first, as a table that has at
+most some eight rows a bucket. Losses are summed as whole numbers, so order changes nothing.
 """
 
 from __future__ import annotations
@@ -16,17 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import SPACE_WORDS, Words, chunks, signed, small, text_bytes
+from signalspark.llm.common import SPACE_WORDS, U64, Words, chunks, mix, small, text_bytes
 from signalspark.session import checkpoint_dir, ship_package
 
-#: Words of the shared vocabulary, the unknown word included: the size of the models.
-VOCABULARY = 2048
 #: Mass of the unigram model in each bigram estimate, in counts.
 BACKOFF = 50.0
 #: Distinct n-grams that a task sums up before it hands them on.
 HELD = 1_000_000
 #: Labels that may be broadcast.
 BROADCAST_LABELS = 2_000_000
+#: Words of an even bucket (some 100 bytes each in a task), and bytes of text taken for one word.
+BUCKET, WORD_BYTES = 1_000_000, 7
+#: Bytes of text that a task deals out at once.
+DEALT_BYTES = 3 * 1024 * 1024
+#: Units of a summed loss in a nat.
+UNIT = 2.0**30
+#: Stand for the place before a text's first word, and after its last.
+HEAD, TAIL = U64(0x9D8A6B1F5C3E7721), U64(0x4F1BBCDCBFA53E0B)
 
 
 class _Sums:
@@ -63,76 +75,160 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sums.flush()
 
 
-def _ids(words: Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the sorted vocabulary from 1 on; 0 is the unknown word."""
-    h = words.hashes.view(np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-    return np.where(vocabulary[at] == h, at + 1, 0) if len(vocabulary) else np.zeros(len(h), np.int64)
-
-
-def _heads(words: Words) -> np.ndarray:
-    """Whether each word is the first of its text."""
+def _before(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word (HEAD: none), and whether a word is the last of its text."""
     first = np.zeros(len(words.hashes) + 1, bool)
     first[words.first] = True
-    return first[:-1]
+    before = np.concatenate([[HEAD], words.hashes])[:-1].astype(U64)
+    before[first[:-1]] = HEAD
+    return before, first[1:]
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before + U64(0x2545F491)) + word)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
-    sums, size = _Sums(), len(vocabulary) + 1
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the sorted table, and its place there."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the pairs of two heavy words, and of heavy words as a text's first and last."""
+    sums = _Sums()
     for part in chunks(batches, "text"):
         words, n = _words(part)
-        ids, target = _ids(words, vocabulary), np.repeat(part.column("target").to_numpy(), n)
-        inner = ~_heads(words)[1:]
-        sums.add((ids[:-1] * size + ids[1:])[inner], target[1:][inner])
+        before, last = _before(words)
+        here, target = _find(heavy, words.hashes)[0], np.repeat(part.column("target").to_numpy(), n)
+        both, ends = here & ((before == HEAD) | _find(heavy, before)[0]), here & last
+        keys = np.concatenate([_pair(before[both], words.hashes[both]), _pair(words.hashes[ends], np.full(int(ends.sum()), TAIL))])
+        sums.add(keys.view(np.int64), np.concatenate([target[both], target[ends]]))
         yield from sums.flush(HELD)
     yield from sums.flush()
 
 
-class Models:
-    """Losses of both models over one vocabulary: of a word alone, and after a word."""
+class Heavy:
+    """Sizes of the corpus, and the counts (target, all) of heavy words and pairs.
 
-    def __init__(self, vocabulary: np.ndarray, pairs: np.ndarray, counts: np.ndarray, singles: np.ndarray):
-        self.vocabulary, size = vocabulary, len(vocabulary) + 1
-        self.alone, self.after = [], []
-        totals = singles.sum(1)
+    words, pairs: sorted hashes; counts: 2 rows each; ended: how often a heavy word ends a text."""
+
+    def __init__(self, buckets: int, distinct: int, totals: tuple, words: list, pairs: list, limit: float):
+        self.buckets, self.distinct, self.totals = buckets, distinct, np.array(totals, float)
         # matched: background counts are scaled to as many words as the target has, so that smoothing weighs alike
-        scale = (1.0, totals[0] / totals[1] if totals.all() else 1.0)
-        for c in (0, 1):
-            single = singles[c] * scale[c]
-            p = (single + 1) / (single.sum() + size)
-            joint = np.zeros(size * size, np.float32)
-            joint[pairs] = counts[c] * scale[c]
-            joint = joint.reshape(size, size)
-            self.alone.append(-np.log(p).astype(np.float32))
-            self.after.append(-np.log((joint + BACKOFF * p.astype(np.float32)) / (joint.sum(1, keepdims=True) + BACKOFF)))
-
-    def losses(self, words: Words) -> list[np.ndarray]:
-        ids, heads = _ids(words, self.vocabulary), _heads(words)
-        before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-        return [np.where(heads, self.alone[c][ids], self.after[c][before, ids]) for c in (0, 1)]
-
-
-def _score(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, "text"):
+        self.scale = (1.0, self.totals[0] / self.totals[1] if self.totals.all() else 1.0)
+        self.words, self.word_counts = self._table(words)
+        keys, counts = self._table(pairs)
+        there, at = _find(keys, _pair(self.words, np.full(len(self.words), TAIL)))
+        self.ended = np.where(there, counts[:, at], 0) if len(keys) else np.zeros((2, len(self.words)))
+        much = counts[1] > limit
+        self.pairs, self.pair_counts = keys[much], counts[:, much]
+
+    @staticmethod
+    def _table(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array([r[0] for r in rows], np.int64).view(U64)
+        by = np.argsort(keys)
+        return keys[by], np.array([[r[1] for r in rows], [r[2] for r in rows]], float).reshape(2, -1)[:, by]
+
+
+def _deal(batches: Iterator[pa.RecordBatch], heavy: Heavy) -> Iterator[pa.RecordBatch]:
+    """Every word with the one before it, by bucket: texts (key; 2 * words + target), the distinct
+    words met, and for each word its place there, that of the word before, and if it is the last."""
+    for part in chunks(batches, "text", DEALT_BYTES):
         words, n = _words(part)
-        means = [np.diff(np.concatenate([[0], np.cumsum(x, dtype=float)])[words.first]) / np.maximum(n, 1) for x in models.losses(words)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, means), pa.array(means[0] - means[1])],
-                                         ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-
-def lm_models(rows: DataFrame) -> Models:
-    """Models from rows (text, target: 1 or 0). All texts are counted, in Spark; only the tables
-    of the fixed vocabulary reach the driver (at most VOCABULARY ** 2 counts)."""
+        h = words.hashes
+        if not len(h):
+            continue
+        keys, target = part.column("key").to_numpy().view(U64), part.column("target").to_numpy().astype(np.int64)
+        before, last = _before(words)
+        owner, pair = np.repeat(np.arange(len(n)), n), _pair(before, h)
+        by_pair = _find(heavy.words, h)[0]
+        route = np.where(by_pair, pair, h)
+        free = by_pair & _find(heavy.pairs, pair)[0]
+        route[free] = (np.arange(len(h), dtype=U64) // U64(1024) + mix(keys[:1] + U64(len(h))))[free]
+        bucket = (mix(route + U64(0x6A09)) % U64(heavy.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        every, code = np.unique(h, return_inverse=True)
+        code_before = np.concatenate([[0], code[:-1]])
+        code_before[before == HEAD] = len(every)
+        every = np.append(every, HEAD)
+        out: list[list] = [[] for _ in range(7)]
+        for s in np.split(order, cuts[1:]):
+            some, place = np.unique(np.concatenate([code[s], code_before[s]]), return_inverse=True)
+            place = place.astype(np.uint16 if len(some) <= 65536 else np.uint32)
+            begin = np.flatnonzero(np.diff(owner[s], prepend=-1))
+            whose = owner[s][begin]
+            sizes = np.diff(np.append(begin, len(s)))
+            for column, x in zip(out, (int(bucket[s[0]]), keys[whose], 2 * sizes + target[whose], every[some],
+                                       place[:len(s)], place[len(s):], last[s]), strict=True):
+                column.append(x if isinstance(x, int) else x.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
+                                         ["bucket", "texts", "sizes", "words", "word", "before", "last"])
+
+
+def _bucket_losses(table: pa.Table, heavy: Heavy) -> pa.Table:
+    """(key, n, t, b): words of each text in a bucket, and the sums of both losses in units."""
+    read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    last = read("last", bool)
+    w, v = [], []
+    for some, mine, prior, flags in zip(read("words", U64), table.column("word").to_pylist(), table.column("before").to_pylist(), last, strict=True):
+        kind = np.uint16 if len(mine) == 2 * len(flags) else np.uint32
+        w.append(some[np.frombuffer(mine, kind)])
+        v.append(some[np.frombuffer(prior, kind)])
+    w, v, last, sizes = np.concatenate(w), np.concatenate(v), np.concatenate(last), np.concatenate(read("sizes", np.int64))
+    target, texts = np.repeat(sizes & 1, sizes >> 1), np.repeat(np.concatenate(read("texts", U64)), sizes >> 1)
+    pairs, pair = np.unique(_pair(v, w), return_inverse=True)
+    words, word = np.unique(w, return_inverse=True)
+    head = v == HEAD
+    del w, v
+    much, at = _find(heavy.words, words)
+    much2, at2 = _find(heavy.pairs, pairs)
+    sums = []
+    for c, weight in enumerate((target, None)):
+        count = lambda code, n: np.bincount(code, weight, n).astype(float)  # noqa: B023, E731
+        single, joint = count(word, len(words)), count(pair, len(pairs))
+        ended = np.bincount(word[last], None if weight is None else weight[last], len(words)).astype(float)
+        if len(heavy.words):
+            single = np.where(much, heavy.word_counts[c][at], single)
+            ended = np.where(much, heavy.ended[c][at], ended)
+        if len(heavy.pairs):
+            joint = np.where(much2, heavy.pair_counts[c][at2], joint)
+        p = (single * heavy.scale[c] + 1) / (heavy.totals[c] * heavy.scale[c] + heavy.distinct)
+        after = np.log((single - ended) * heavy.scale[c] + BACKOFF)  # the part of the next word's loss that is this word's
+        loss = np.where(head, -np.log(p)[word], -np.log(joint[pair] * heavy.scale[c] + BACKOFF * p[word])) + np.where(last, 0, after[word])
+        sums.append(np.rint(loss * UNIT).astype(np.int64))
+    by = np.argsort(texts, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], texts[by][1:] != texts[by][:-1]]))
+    return pa.table([pa.array(texts[by][begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(by)))),
+                     *(pa.array(np.add.reduceat(x[by], begin)) for x in sums)], ["key", "n", "t", "b"])
+
+
+def lm_heavy(rows: DataFrame) -> Heavy:
+    """From rows (text, target: 1 or 0). All texts are counted, in Spark; only totals and the
+    counts of n-grams of more than an eighth of an even bucket reach the driver."""
+    size = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / WORD_BYTES
+    buckets = max(int(size / BUCKET) + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = size / (8 * buckets)
     summed = lambda x: x.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    words = summed(rows.mapInArrow(_count_words, "key long, t long, b long")).checkpoint()
-    top = words.orderBy(F.desc("b"), "key").limit(VOCABULARY - 1).collect()
-    total = words.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    top = sorted(top, key=lambda r: r.key)
-    vocabulary = np.array([r.key for r in top], np.int64)
-    known = np.array([[r.t for r in top], [r.b for r in top]], float).reshape(2, -1)
-    singles = np.concatenate([np.array([[total.t], [total.b]]) - known.sum(1, keepdims=True), known], 1)
-    pairs = summed(rows.mapInArrow(partial(_count_pairs, vocabulary=vocabulary), "key long, t long, b long")).toArrow()
-    return Models(vocabulary, pairs.column("key").to_numpy(), np.stack([pairs.column(c).to_numpy() for c in "tb"]), singles)
+    words = summed(rows.mapInArrow(_count_words, "key long, t long, b long"))
+    total = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"),
+                      F.collect_list(F.when(F.col("b") > limit, F.struct("key", "t", "b"))).alias("heavy")).first()
+    pairs = []
+    if total.heavy:
+        known = np.sort(np.array([r.key for r in total.heavy], np.int64).view(U64))
+        counted = summed(rows.mapInArrow(partial(_count_pairs, heavy=known), "key long, t long, b long"))
+        ends = _pair(known, np.full(len(known), TAIL)).view(np.int64).tolist()
+        marks = rows.sparkSession.createDataFrame([(x,) for x in ends], "key long").withColumn("end", F.lit(True))
+        pairs = counted.join(F.broadcast(marks), "key", "left").where((F.col("b") > limit) | F.col("end")).select("key", "t", "b").collect()
+    return Heavy(buckets, total.n, (total.t, total.b), total.heavy, pairs, limit)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in chunks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(_words(part)[1].astype(np.int64))], ["doc_id", "key", "n_words"])
 
 
 def lm_score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,9 +243,20 @@ def lm_score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     checkpoint_dir(docs.sparkSession)
     ship_package(docs.sparkSession)
     good = labels.where(F.col(label_col) == 1).select(F.col("doc_id").alias("good_id")).where("good_id is not null").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     rows = texts.join(small(good, BROADCAST_LABELS), F.col("doc_id") == F.col("good_id"), "left").select(
-        "text", F.col("good_id").isNotNull().cast("int").alias("target"))
+        "key", "text", F.col("good_id").isNotNull().cast("int").alias("target"))
+    heavy = lm_heavy(rows)
+    dealt = rows.mapInArrow(partial(_deal, heavy=heavy), "bucket int, texts binary, sizes binary, words binary, word binary, before binary, last binary")
+
+    def losses(table: pa.Table) -> pa.Table:  # applyInArrow refuses a partial
+        return _bucket_losses(table, heavy)
+
+    # copies of a text have one key: their sums are divided by the words of all of them
+    sums = (dealt.groupBy("bucket").applyInArrow(losses, "key long, n long, t long, b long")
+            .groupBy("key").agg(*[F.sum(c).alias(c) for c in "ntb"]))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(partial(_score, models=lm_models(rows)),
-                            f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    out = texts.mapInArrow(_sizes, f"doc_id {kind}, key long, n_words long").join(sums, "key", "left")
+    mean = lambda x: F.coalesce(x / F.lit(UNIT) / F.col("n"), F.lit(0.0))
+    return out.select("doc_id", "n_words", mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"),
+                      mean(F.col("t") - F.col("b")).alias("score"))

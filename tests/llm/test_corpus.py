@@ -214,3 +214,32 @@ def test_pipeline(spark):
         ids = known.encode(r.text or "", add_special_tokens=False).ids
         assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     assert len(got) == d.count()
+
+
+def test_lm_counts_every_word(spark):
+    """Losses equal those of plain counts over all words; words of one use tell texts apart."""
+    rng = random.Random(4)
+    texts = [" ".join([*(f"r{rng.randrange(4000)}" for _ in range(60)), *(rng.choice("the of and a to".split()) for _ in range(30))]) for _ in range(200)]
+    texts += [" ".join(f"law{i * 40 + j}" for j in range(40)) for i in range(5)] * 2 + ["", "a"]
+    labels = [(i, int(200 <= i < 205)) for i in range(len(texts))]
+    out = lm_score.lm_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r for r in out.collect()}
+    split = [t.split() for t in texts]
+    losses = []
+    totals = [sum(len(split[i]) for i, y in labels if y), sum(map(len, split))]
+    distinct = len({w for ws in split for w in ws})
+    for c in (0, 1):
+        single, joint, after, scale = {}, {}, {}, totals[0] / totals[c]
+        for i, ws in enumerate(split):
+            if c or labels[i][1]:
+                for j, w in enumerate(ws):
+                    single[w] = single.get(w, 0) + scale
+                    if j:
+                        joint[ws[j - 1], w] = joint.get((ws[j - 1], w), 0) + scale
+                        after[ws[j - 1]] = after.get(ws[j - 1], 0) + scale
+        p = lambda w: (single.get(w, 0) + 1) / (totals[0] + distinct)  # noqa: B023, E731
+        losses.append([[-np.log(p(w) if not j else (joint.get((ws[j - 1], w), 0) + 50 * p(w)) / (after.get(ws[j - 1], 0) + 50)) for j, w in enumerate(ws)] for ws in split])
+    for i, ws in enumerate(split):
+        want = [sum(x[i]) / max(len(ws), 1) for x in losses]
+        assert got[i].n_words == len(ws) and np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [*want, want[0] - want[1]], atol=1e-7)
+    assert len({round(got[i].score, 9) for i in range(0, 200)}) > 100 and got[200].score < 0 and got[200].score == got[205].score
