@@ -243,3 +243,21 @@ def test_lm_counts_every_word(spark):
         want = [sum(x[i]) / max(len(ws), 1) for x in losses]
         assert got[i].n_words == len(ws) and np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [*want, want[0] - want[1]], atol=1e-7)
     assert len({round(got[i].score, 9) for i in range(0, 200)}) > 100 and got[200].score < 0 and got[200].score == got[205].score
+
+
+def test_lines_of_short_runs(spark):
+    """Every two-line passage of 30 words or more goes, and all lines of a run of which the earliest copy of an inner pair holds less."""
+    words = lambda name, n: " ".join(f"{name}.{i}" for i in range(n))
+    rows, want = [], {}
+    for k in range(40):
+        x, y = words(f"x{k}", 28), words(f"y{k}", 28)
+        rows += [(4 * k, f"a{k}\nb{k}\n{x}\n{y}\nc{k}"), (4 * k + 1, f"d{k}\n{x}\n{y}\ne{k}\nf{k}")]
+        want[4 * k + 1] = f"d{k}\ne{k}\nf{k}"
+        run = f"run{k}\nrun{k} one\nrun{k} two\nrun{k} three"
+        rows += [(1000 + 3 * k, f"g{k}\nrun{k} one\nrun{k} two\nh{k}"), (1001 + 3 * k, f"i{k}\n{run}\nj{k}"), (1002 + 3 * k, f"k{k}\n{run}\nl{k}")]
+        want[1002 + 3 * k] = f"k{k}\nl{k}"
+        z = words(f"z{k}", 35)
+        rows += [(2000 + 3 * k, f"m{k}\n{z}\nn{k}"), (2001 + 3 * k, f"o{k}\n{z}\ntail{k}\np{k}"), (2002 + 3 * k, f"q{k}\n{z}\ntail{k}\nr{k}")]
+        want[2002 + 3 * k] = f"q{k}\nr{k}"
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d] for d in want} == want
