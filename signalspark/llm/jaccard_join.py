@@ -6,9 +6,10 @@ unrelated texts all lie at distance 1 of every pivot. So the regions are laid in
 
 1. The empty set is the first pivot: by the symmetric difference, a set lies at the distance of
    its size. Rings of sizes are its regions; a set near the upper rim, within the window that
-   the triangle inequality leaves to a partner in the next ring, is replicated there.
+   the triangle inequality leaves to a partner in a higher ring, is replicated there.
 2. In a ring, pivots spaced evenly on the hash line cut every set into its Voronoi parts. Linked
-   sets differ in at most D elements, so of D + need parts at least ``need`` are equal: a region
+   sets differ in at most D elements, so of D + need + spare parts at least ``need`` + spare are
+   equal, and ``need`` that aren't empty if one of the two has ``spare`` empty ones at most. A region
    holds the sets with one and the same part, and linked sets share ``need`` regions or more.
    The least set of a region is its pivot. Sets that share so many regions with one pivot form a
    group; pairs that never meet in a group are found by counting the common regions of groups,
@@ -56,7 +57,7 @@ def rings(percent: int) -> list[tuple[int, int, int, int]]:
         low, high = high + 1, max(high + 3, high * 3 // 2)
         differ = 2 * high * (100 - percent) // (100 + percent)
         spare = differ // 6
-        out.append((low, high, differ + 1 + spare, spare))
+        out.append((low, high, differ + 1 + 2 * spare, spare))  # need is 1 + spare; as many empty parts as spare may be left out
     return out
 
 
@@ -92,8 +93,8 @@ def _contents(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Region keys of every distinct set: one row for each of its parts in its ring, and in the
-    next ring if it lies in the rim. A set is emitted once per task, so that copies cost little."""
+    """Region keys of every distinct set: one row for each of its parts in its ring, and in each
+    higher ring that a partner may lie in. A set is emitted once per task, so that copies cost little."""
     bands, done = rings(percent), set()
     highs = np.array([b[1] for b in bands])
     cuts: dict[int, np.ndarray] = {}
@@ -106,9 +107,11 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
             done.add(own)
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(s + U64(0x51ED)))])
             ring = int(np.searchsorted(highs, len(s)))
-            for r in (ring, ring + 1):
+            for r in range(ring, len(bands)):
                 low, _, n, spare = bands[r]
-                if n == 1 or (r > ring and 100 * len(s) < percent * low):
+                if r > ring and 100 * len(s) < percent * low:
+                    break
+                if n == 1:
                     continue
                 if n not in cuts:
                     if len(cuts) > 64:
@@ -117,7 +120,7 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
                 edge = np.concatenate([[0], np.searchsorted(s, cuts[n]), [len(s)]])
                 part = mix(sums[edge[1:]] - sums[edge[:-1]] + mix(np.arange(n, dtype=U64) + U64(r << 40)))
                 full = edge[1:] > edge[:-1]
-                # equal empty parts matter only where a set has more of them than may be equal by chance of the spare
+                # up to spare empty parts are left out: linked sets have 1 + 2 * spare equal parts, so 1 + spare full ones
                 if n - int(full.sum()) <= spare:
                     part = part[full]
                 keys.append(part)

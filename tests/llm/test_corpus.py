@@ -261,3 +261,18 @@ def test_lines_of_short_runs(spark):
         want[2002 + 3 * k] = f"q{k}\nr{k}"
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: got[d] for d in want} == want
+
+
+@pytest.mark.parametrize("percent,less,more", [(85, 36, 42), (85, 52, 61), (60, 28, 46), (50, 6, 12)])
+def test_linked_sets_share_enough_regions(percent, less, more):
+    """Pairs at the greatest difference share ``need`` regions, whatever parts are empty."""
+    n = 4000
+    texts = [" ".join(f"{i}.{j}" for j in range(size)) for i in range(n) for size in (less, more)]
+    regions = {}
+    for out in jaccard_join._parts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), 1, percent):
+        for region, own, need in zip(*(out.column(c).to_pylist() for c in ("region", "set_id", "need")), strict=True):
+            regions.setdefault(own, {}).setdefault(need, set()).add(region)
+    words = jaccard_join.Words(*jaccard_join.text_bytes(pa.array(texts)), jaccard_join.SPACE_WORDS)
+    ids = np.array([jaccard_join.set_id(s) for s in jaccard_join.shingle_sets(words, 1)], np.uint64).view(np.int64).tolist()
+    lost = [i for i in range(n) if not any(len(a & regions[ids[2 * i + 1]].get(need, set())) >= need for need, a in regions[ids[2 * i]].items())]
+    assert not lost
