@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, chat, decontaminate, jaccard_join, line_dedup, lm_score, quality, secret_scan, suffix_dedup, toxicity
+from signalspark.llm import bpe, chat, decontaminate, jaccard_join, line_dedup, lm_score, merkle, quality, secret_scan, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,6 +71,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, against a copy whose n_chars is one more where 7 divides the id's checksum."""
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    told = merkle.merkle_manifest(_read(spark, sf_dir, "documents"), claimed={"n_chars": changed})
+    return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over documents."""
     import corpus_pipeline
@@ -79,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_line_dedup, op4_secret_scan, op5_quality_rules,
-                            op6_toxicity, op7_suffix_array_dedup, op8_chat_formatting, op9_lm_scoring, op10_bpe, pipeline)}
+                            op6_toxicity, op7_suffix_array_dedup, op8_chat_formatting, op9_lm_scoring, op10_bpe, op11_merkle_manifest, pipeline)}
 
 _SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,6 +128,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size + CASE WHEN before = role THEN 8 ELSE 12 + name + 1 + 11 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295) AS crc FROM documents),
+v AS (SELECT r, doc_id, lang, [n_chars, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END] AS counts,
+  [CASE WHEN x IS NULL THEN '-' ELSE CAST(octet_length(encode(x)) AS VARCHAR) || ':' || x END FOR x IN [CAST(doc_id AS VARCHAR), source, lang, text]] AS e FROM d),
+l AS (SELECT r, doc_id, lang, [sha256(e[1] || e[2] || e[3] || coalesce(length(CAST(c AS VARCHAR)) || ':' || CAST(c AS VARCHAR), '-') || e[4]) FOR c IN counts] AS h FROM v),
+p AS (SELECT r, doc_id, coalesce('1' || lang, '0') AS g, h[1] AS leaf, h[2] AS claim,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h[1], r) - 1 AS place FROM l),
+tree AS (SELECT g, 0 AS lv, place, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p
+  UNION ALL SELECT g, lv + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), any_value((n + 1) // 2) FROM tree WHERE n > 1 GROUP BY g, lv, place // 2),
+sub AS (SELECT g, lv, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lv, i, h, n FROM sub
+  UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM top WHERE n > 1 GROUP BY lv, i // 2),
+steps AS (SELECT p.r, t.lv, (t.place & 1) = 1 AS on_left, coalesce(s.h, '') AS h FROM p JOIN tree t ON t.g = p.g AND t.n > 1 AND t.place = p.place >> t.lv
+    LEFT JOIN tree s ON s.g = t.g AND s.lv = t.lv AND s.place = xor(t.place, 1)
+  UNION ALL SELECT p.r, sub.lv + t.lv, (t.i & 1) = 1, coalesce(s.h, '') FROM p JOIN sub ON sub.g = p.g JOIN top t ON t.n > 1 AND t.i = sub.i >> t.lv
+    LEFT JOIN top s ON s.lv = t.lv AND s.i = xor(t.i, 1)),
+proofs AS (SELECT r, sha256(string_agg(h, '' ORDER BY lv)) AS proof_sha256 FROM steps GROUP BY r),
+folded AS (SELECT r, 0 AS lv, claim AS h FROM p
+  UNION ALL SELECT f.r, f.lv + 1, sha256(CASE WHEN on_left THEN s.h || f.h ELSE f.h || s.h END) FROM folded f JOIN steps s ON s.r = f.r AND s.lv = f.lv)
+SELECT p.doc_id, p.leaf, sub.h AS subroot, root.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM p JOIN sub USING (g) JOIN top root ON root.n = 1 LEFT JOIN proofs USING (r) JOIN (SELECT r, arg_max(h, lv) AS h FROM folded GROUP BY r) f USING (r)""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_SPACE_WORDS.format("t")} AS ws FROM d),
