@@ -97,6 +97,13 @@ def _dealt(df: DataFrame, tasks: int) -> DataFrame:
     return df.repartition(tasks, "grp", "block")
 
 
+def _tasks(nodes: DataFrame, size: int) -> tuple[int, int]:
+    """Tasks that deal a round's superblocks, and the nodes of its largest tree."""
+    rows, most = nodes.agg(F.count("*"), F.max("n")).first()
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(spread, -(-rows // size)), -(-rows // TASK_ROWS)), most or 0
+
+
 def _reduce(pdf: pd.DataFrame, run: int, levels: int) -> pd.DataFrame:
     pdf = pdf.sort_values("pos")
     n = int(pdf["n"].iloc[0])
@@ -104,17 +111,20 @@ def _reduce(pdf: pd.DataFrame, run: int, levels: int) -> pd.DataFrame:
     return pd.DataFrame({"grp": pdf["grp"].iloc[:1], "pos": pdf["block"].iloc[:1], "n": [-(-n // run ** levels)], "h": [top]})
 
 
-def _climb(nodes: DataFrame, run: int, levels: int, tasks: int) -> list[DataFrame]:
-    """The nodes and, round by round, the roots of their superblocks, up to one node a group."""
+def _climb(nodes: DataFrame, run: int, levels: int) -> list[tuple[DataFrame, int]]:
+    """The nodes and, round by round, the roots of their superblocks, up to one node a group; with
+    the number of tasks that deals each."""
     size = run ** levels
     block = F.expr(f"pos div {size}")
-    rounds = [nodes.withColumn("block", block)]
-    most = rounds[0].agg(F.max("n")).first()[0] or 0
+    nodes = nodes.withColumn("block", block)
+    tasks, most = _tasks(nodes, size)
+    rounds = [(nodes, tasks)]
     while most > 1:
-        up = (_dealt(rounds[-1].select("grp", "block", "pos", "n", "h"), tasks).groupBy("grp", "block")
+        up = (_dealt(nodes.select("grp", "block", "pos", "n", "h"), tasks).groupBy("grp", "block")
               .applyInPandas(lambda nodes: _reduce(nodes, run, levels), NODE).checkpoint())
-        rounds.append(up.withColumn("block", block))
-        most = -(-most // size)
+        nodes = up.withColumn("block", block)
+        tasks, most = _tasks(nodes, size)
+        rounds.append((nodes, tasks))
     return rounds
 
 
@@ -143,9 +153,9 @@ def _finish(leaves: pd.DataFrame, outer: pd.DataFrame, run: int, levels: int, pr
     return out
 
 
-def _outer_nodes(rounds: list[DataFrame], outer: DataFrame, run: int, levels: int, tasks: int) -> DataFrame:
+def _outer_nodes(rounds: list[tuple[DataFrame, int]], outer: DataFrame, run: int, levels: int) -> DataFrame:
     """Outer nodes of every superblock of rounds[0], handed down round by round from those of the last but one."""
-    for nodes in reversed(rounds[1:-1]):
+    for nodes, tasks in reversed(rounds[1:-1]):
         outer = (_dealt(nodes.select("grp", "block", "pos", "n", "h"), tasks).groupBy("grp", "block").cogroup(_dealt(outer, tasks).groupBy("grp", "block"))
                  .applyInPandas(lambda own, above: _share(own, above, run, levels), OUTER).checkpoint())
     return outer
@@ -168,8 +178,7 @@ def merkle_manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group:
     Nulls are leaves like any value, a null ``order`` and empty texts too; texts are hashed whole
     in the JVM. An empty table gives an empty result. No task holds more than a superblock,
     ``run ** levels`` nodes of 64 hex digits."""
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     types = dict(docs.dtypes)
     claim = leaf((claimed or {}).get(c, F.col(c)) for c in columns)
     own = leaf(F.col(c) for c in columns)
@@ -177,19 +186,18 @@ def merkle_manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group:
     rows = docs.select(F.col(order).alias("key"), marked.alias("grp"), own.alias("h"),
                        (F.nullif(claim, own) if claimed else F.lit(None).cast("string")).alias("claim"))
     rows = _numbered(rows, "grp", ["key"], ["h"])
-    total = rows.agg(F.count("*")).first()[0]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
-    rounds = _climb(rows, run, levels, tasks)
-    tops = rounds[-1].select(F.lit("").alias("all"), F.col("grp").alias("key"), "h")
-    heads = _climb(_numbered(tops, "all", ["key"], []).select(F.col("all").alias("grp"), "key", "pos", "n", "h"), run, levels, tasks)
-    above = heads[-1].select("grp", "block", F.lit("").alias("path"), F.lit("").alias("subroot"), F.col("h").alias("root"))
-    paths = _outer_nodes([heads[0], *heads], above, run, levels, tasks)
-    outer = (heads[0].select("pos", "key", "h").join(paths.select(F.col("block").alias("pos"), "path", "root"), "pos")
+    rounds = _climb(rows, run, levels)
+    tops = _numbered(rounds[-1][0].select(F.lit("").alias("all"), F.col("grp").alias("key"), "h"), "all", ["key"], [])
+    heads = _climb(tops.select(F.col("all").alias("grp"), "key", "pos", "n", "h"), run, levels)
+    above = heads[-1][0].select("grp", "block", F.lit("").alias("path"), F.lit("").alias("subroot"), F.col("h").alias("root"))
+    paths = _outer_nodes([heads[0], *heads], above, run, levels)
+    outer = (heads[0][0].select("pos", "key", "h").join(paths.select(F.col("block").alias("pos"), "path", "root"), "pos")
              .select(F.col("key").alias("grp"), F.lit(0).cast("long").alias("block"), "path", F.col("h").alias("subroot"), "root"))
-    outer = _outer_nodes(rounds, outer, run, levels, tasks)
+    outer = _outer_nodes(rounds, outer, run, levels)
+    leaves, tasks = rounds[0]
     schema = (f"key {types[order]}, grp string, pos long, leaf string, subroot string, root string, proof_sha256 string, "
               f"folded_root string, verified boolean" + (", proof array<string>" if proofs else ""))
-    made = (_dealt(rounds[0].select("key", "grp", "block", "pos", "n", "h", "claim"), tasks).groupBy("grp", "block")
+    made = (_dealt(leaves.select("key", "grp", "block", "pos", "n", "h", "claim"), tasks).groupBy("grp", "block")
             .cogroup(_dealt(outer, tasks).groupBy("grp", "block"))
             .applyInPandas(lambda own, above: _finish(own, above, run, levels, proofs), schema))
     named = F.when(F.col("grp") == "0", F.lit(None)).otherwise(F.substring("grp", 2, 2**31 - 1)).cast(types[group])
