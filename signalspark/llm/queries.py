@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, chat, decontaminate, jaccard_join, line_dedup, lm_score, merkle, quality, secret_scan, suffix_dedup, toxicity
+from signalspark.llm import bpe, chat, decontaminate, hard_negatives, jaccard_join, line_dedup, lm_score, merkle, quality, secret_scan, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,6 +78,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50, among all vectors."""
+    vectors = _read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(vectors, anchors=F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over documents."""
     import corpus_pipeline
@@ -86,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_line_dedup, op4_secret_scan, op5_quality_rules,
-                            op6_toxicity, op7_suffix_array_dedup, op8_chat_formatting, op9_lm_scoring, op10_bpe, op11_merkle_manifest, pipeline)}
+                            op6_toxicity, op7_suffix_array_dedup, op8_chat_formatting, op9_lm_scoring, op10_bpe, op11_merkle_manifest, op12_hard_negatives, pipeline)}
 
 _SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -150,6 +157,16 @@ folded AS (SELECT r, 0 AS lv, claim AS h FROM p
   UNION ALL SELECT f.r, f.lv + 1, sha256(CASE WHEN on_left THEN s.h || f.h ELSE f.h || s.h END) FROM folded f JOIN steps s ON s.r = f.r AND s.lv = f.lv)
 SELECT p.doc_id, p.leaf, sub.h AS subroot, root.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
 FROM p JOIN sub USING (g) JOIN top root ON root.n = 1 LEFT JOIN proofs USING (r) JOIN (SELECT r, arg_max(h, lv) AS h FROM folded GROUP BY r) f USING (r)""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_SPACE_WORDS.format("t")} AS ws FROM d),
