@@ -78,11 +78,11 @@ class CoverTree:
             radii.append(float(far.max(initial=0.0)))
             heads.append((len(order), len(rows)))
             if len(rows) <= LEAF or radii[-1] == 0.0:
-                order.extend(rows)
+                order.extend(rows[np.argsort(ids[rows], kind="stable")])
                 continue
             heads[-1] = (-1, 0)
             rows = np.concatenate([[middle], rows[rows != middle]])
-            picked, owner = spread_out(full[rows], FANOUT, radii[-1] / 2)
+            picked, owner = spread_out(full[rows], min(FANOUT, max(2, -(-len(rows) // LEAF))), radii[-1] / 2)
             for k, c in enumerate(picked):
                 parent.append(node)
                 centres.append(int(rows[c]))
@@ -99,7 +99,8 @@ class CoverTree:
         return middle - reach - slack, middle + reach + slack
 
     def leaves(self, alive: np.ndarray, upper: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(anchors, leaf, their bounds) in rounds: every anchor's best leaf, then its second, and so on.
+        """(anchors, leaf, their bounds) best first, in rounds: every anchor's best leaf, its next two, its
+        next four and so on, so that anchors which need a leaf in one round share its product.
 
         ``alive`` says which nodes an anchor may need; nodes under one that it doesn't are skipped."""
         for node in range(1, len(self.parent)):
@@ -107,12 +108,12 @@ class CoverTree:
         who, leaf = np.nonzero(alive & (self.heads[:, 0] >= 0))
         turn = np.lexsort((-upper[who, leaf], who))
         who, leaf = who[turn], leaf[turn]
-        rank = np.arange(len(who)) - np.searchsorted(who, who)
-        for r in range(int(rank.max(initial=-1)) + 1):
-            now = rank == r
-            for x in np.unique(leaf[now]):
-                some = who[now & (leaf == x)]
-                yield some, int(x), upper[some, x]
+        turn = np.log2(1 + np.arange(len(who)) - np.searchsorted(who, who)).astype(np.int64)
+        group = np.lexsort((who, leaf, turn))
+        who, leaf, turn = who[group], leaf[group], turn[group]
+        heads = np.flatnonzero(np.diff(leaf, prepend=-1) | np.diff(turn, prepend=-1))
+        for at, to in zip(heads, [*heads[1:], len(who)]):
+            yield who[at:to], int(leaf[at]), upper[who[at:to], leaf[at]]
 
     def scores(self, q: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lo, n = self.heads[leaf]
@@ -129,12 +130,17 @@ class _Best:
         return self.score[:, -1]
 
     def add(self, slots: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """``score`` has a row a slot and a column an id, -inf where an id doesn't count."""
-        some = (score >= np.maximum(self.worst()[slots], np.finfo(np.float64).min)[:, None]).any(1)
-        slots, score = slots[some], score[some]
+        """``score`` has a row a slot and a column an id (ascending), -inf where an id doesn't count."""
+        some = np.flatnonzero(score.max(1, initial=-np.inf) >= np.maximum(self.worst()[slots], np.finfo(np.float64).min))
+        slots, score, each = slots[some], score[some], np.arange(len(some))
+        s, i = [self.score[slots]], [self.id[slots]]
+        for _ in range(min(self.score.shape[1], score.shape[1]) if len(slots) else 0):
+            top = score.argmax(1)  # the first of equal ones, so the smallest id
+            s.append(score[each, top][:, None])
+            i.append(np.where(np.isfinite(s[-1]), ids[top][:, None], _LONG.max))
+            score[each, top] = -np.inf
         if len(slots):
-            s = np.column_stack([self.score[slots], score])
-            i = np.column_stack([self.id[slots], np.broadcast_to(ids, score.shape)])
+            s, i = np.concatenate(s, 1), np.concatenate(i, 1)
             best = np.lexsort((i, -s), axis=1)[:, :self.score.shape[1]]
             self.score[slots], self.id[slots] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
 
