@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import bpe, chat, decontaminate, hard_negatives, jaccard_join, line_dedup, lm_score, merkle, quality, secret_scan, suffix_dedup, toxicity
+from signalspark.llm import bpe, chat, decontaminate, hard_negatives, jaccard_join, line_dedup, lm_score, merkle, pii, quality, secret_scan, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, anchors=F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over documents."""
     import corpus_pipeline
@@ -93,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_line_dedup, op4_secret_scan, op5_quality_rules,
-                            op6_toxicity, op7_suffix_array_dedup, op8_chat_formatting, op9_lm_scoring, op10_bpe, op11_merkle_manifest, op12_hard_negatives, pipeline)}
+                            op6_toxicity, op7_suffix_array_dedup, op8_chat_formatting, op9_lm_scoring, op10_bpe, op11_merkle_manifest, op12_hard_negatives, op13_pii, pipeline)}
 
 _SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
