@@ -409,4 +409,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # rows that repeat a kept row, id and text alike
     twice = left["doc_id"].eqNullSafe(again["id"]) & (F.xxhash64(left["text"]) == again["th"])
     return left.join(again, twice, "left_anti").unionByName(
-        left.join(again, twice, "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th"))
+        left.join(again, twice, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"))
+        .groupBy("row.doc_id", F.xxhash64("row.text").alias("th")).agg(F.first("row").alias("row")).select("row.*"))

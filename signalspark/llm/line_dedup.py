@@ -144,8 +144,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return runs.join(who, "doc").select("doc_id", "text_hash", "start", "lines")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted, plus n_lines and n_deleted.
+def line_dedup(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """``docs`` with later repeated runs of lines deleted, plus two ``counts``, of its lines and of those deleted.
 
     Lines are parted by \\n; a line of white space only is never matched, is skipped by runs,
     and stays unless it stands inside a deleted run (between two of its lines). A run matches
@@ -157,22 +157,26 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     A null text stays null; empty and blank texts stay as they are. Repeated rows (same id and
     text) count as one text and fare alike, so a caller that wants one of them drops the rest.
     A text whose lines all go becomes empty. n_chars, if there, follows the text; other columns
-    stay as they are. An empty table gives an empty result."""
+    stay as they are, whatever their names, but for any named as the ``counts``, which are replaced.
+    An empty table gives an empty result."""
     runs = repeated_runs(docs.select("doc_id", "text"))
     gone = (runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
-            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("runs").alias("_runs")))
-    own = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own["_key"] == gone["_th"]), "left")
-    lines = (joined.withColumn("_all", F.split(F.col("text").cast("string"), "\n", -1))
-             .withColumn("_at", F.expr(f"filter(sequence(0, size(_all) - 1), i -> {_blank('_all[i]')} <> '')")))
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "runs"))
+    names = [c for c in docs.columns if c not in counts]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("body"))
+    joined = own.join(gone, own["id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64("body") == gone["gone_hash"]), "left")
+    lines = (joined.withColumn("every", F.split(F.col("body"), "\n", -1))
+             .withColumn("at", F.expr(f"filter(sequence(0, size(every) - 1), i -> {_blank('every[i]')} <> '')")))
     # the runs as spans of line numbers, from the first to the last line of each
-    cut = lines.withColumn("_gone", F.expr(
-        "array_distinct(flatten(transform(_runs, r -> sequence(_at[r.start], _at[r.start + r.lines - 1]))))"))
-    kept = cut.withColumn("_new", F.when(F.col("_gone").isNotNull(), F.expr(
-        "array_join(transform(array_except(sequence(0, size(_all) - 1), _gone), i -> _all[i]), '\n')"))
-        .otherwise(F.col("text")))
-    out = [(F.col("_new").alias("text") if c == "text" else
-            F.when(F.col("_gone").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c))
-           for c in docs.columns]
-    return kept.select(*out, F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("n_lines"),
-                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    cut = lines.withColumn("cut", F.expr(
+        "array_distinct(flatten(transform(runs, r -> sequence(at[r.start], at[r.start + r.lines - 1]))))"))
+    kept = cut.withColumn("left", F.when(F.col("cut").isNotNull(), F.expr(
+        "array_join(transform(array_except(sequence(0, size(every) - 1), cut), i -> every[i]), '\n')"))
+        .otherwise(F.col("body")))
+    kinds = dict(docs.dtypes)
+    out = [(F.col("left") if c == "text" else
+            F.when(F.col("cut").isNotNull(), F.length("left")).otherwise(F.col("row")[c]).cast(kinds[c]) if c == "n_chars" else F.col("row")[c]).alias(c)
+           for c in names]
+    # one struct through a generator: a later filter on the result can't copy the line logic below it
+    made = F.struct(*out, *[F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(c) for c, lines in zip(counts, ("at", "cut"))])
+    return kept.select(F.inline(F.array(made)))
