@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import PAYLOAD_DDL
 from .tables import read_table
 
 REQUEST_BLOCK = 64  # event ids per synthetic ingest request
@@ -144,3 +145,32 @@ def admission_requests(spark: SparkSession, base: str) -> DataFrame:
     """Every event is one ingest request of its tenant."""
     b = event_base(read_table(spark, base, "events"))
     return b.select("event_id", "tenant_id", "ts")
+
+
+def signal_events(spark: SparkSession, base: str) -> DataFrame:
+    """Typed events of every payload kind, one per event row, dealt by ``event_id % 6``: log, gauge,
+    counter, histogram, summary, trace."""
+    b = event_base(read_table(spark, base, "events"))
+    n, eid = F.col("event_id") % 6, _s("event_id")
+    double, none = (lambda c: F.col(c).cast("double")), (lambda t: F.lit(None).cast(t))
+    log = F.struct(F.col("src_level").alias("level"), F.col("src_message").alias("message"),
+                   F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("tr"), eid)).alias("trace_id"), none("string").alias("span_id"),
+                   F.lit("{}").alias("fields"))
+    value = F.struct(
+        F.element_at(F.array(*[F.lit(k) for k in ("gauge", "counter", "histogram", "summary")]), F.greatest(F.least(n, F.lit(4)), F.lit(1)).cast("int")).alias("kind"),
+        F.when(n == 1, double("value")).when(n == 2, double("user_id")).alias("value"),
+        F.when(n == 3, F.array(F.struct(F.lit(50.0).alias("le"), F.lit(1).cast("bigint").alias("count")),
+                               F.struct(F.lit(500.0).alias("le"), F.lit(2).cast("bigint").alias("count")))).alias("buckets"),
+        F.when(n == 4, F.array(F.struct(F.lit(0.5).alias("q"), double("value").alias("v")))).alias("quantiles"),
+        F.when(n.isin(3, 4), double("value") * 2).alias("sum"), F.when(n.isin(3, 4), F.lit(2).cast("bigint")).alias("count"))
+    metric = F.struct(F.col("event_type").alias("name"), value.alias("value"), none("string").alias("unit"))
+    trace = F.struct(F.concat(F.lit("tr"), eid).alias("trace_id"), F.concat(F.lit("sp"), eid).alias("span_id"), none("string").alias("parent_span_id"),
+                     F.col("event_type").alias("operation_name"), F.col("ts").alias("start_time"),
+                     (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("end_time"),
+                     F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.lit("{}").alias("attributes"))
+    payload = F.struct(F.when(n == 0, "log").when(n == 5, "trace").otherwise("metric").alias("type"), F.when(n == 0, log).alias("log"),
+                       F.when(n.between(1, 4), metric).alias("metric"), F.when(n == 5, trace).alias("trace"))
+    source = F.struct("service", F.lit("").alias("instance"), "environment", none("string").alias("k8s_context"))
+    return b.select(F.concat(F.lit("ev"), eid).alias("id"), "tenant_id", source.alias("source"), payload.cast(PAYLOAD_DDL).alias("payload"),
+                    F.col("ts").alias("timestamp"), F.col("ts").alias("ingested_at"),
+                    F.create_map(F.lit("user"), _s("user_id")).alias("labels"))

@@ -1,5 +1,5 @@
-"""Streaming jobs: stateful admission and cooldown, micro-batch table writer,
-live latest-metrics table, windowed traffic.
+"""Streaming jobs: stateful admission and cooldown, live latest-metrics table, windowed traffic
+(the micro-batch table writer is in ``tables``).
 
 Event time is ``ts``/``timestamp``; state per key lives in the checkpointed
 state store, so a restarted query resumes exactly where it stopped. Input
@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..constants import DEFAULT_ADMISSION_LIMIT, FLUSH_SECONDS, LIVE_METRIC_ROWS
+from ..constants import DEFAULT_ADMISSION_LIMIT, LIVE_METRIC_ROWS
 from ..operators.admission import _period_us
 from ..operators.alerting import NEVER_US
-from ..operators.events import route_signals
-from ..operators.rows import log_rows, metric_rows
-from ..operators.storage import write_table
+from .tables import start_table_writer  # noqa: F401
 
 IDLE_TTL_MS = 3600 * 1000
 
@@ -100,29 +98,6 @@ def cooldown_stream(matches: DataFrame, key: str = "rule_id", ts: str = "ts", id
                                                   GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def start_table_writer(events: DataFrame, logs_path: str, metrics_path: str, checkpoint: str,
-                       trigger_seconds: int = FLUSH_SECONDS, available_now: bool = False):
-    """Every micro-batch (5 s by default) flattens and appends the log and
-    metric rows to their month-partitioned tables; traces are dropped.
-
-    The batch is persisted once so both sinks read the input a single time;
-    ``foreachBatch`` with a checkpoint gives at-least-once delivery, and event
-    ids are deterministic, so a replayed batch is recognisable downstream.
-    """
-    def flush(batch: DataFrame, epoch_id: int) -> None:
-        batch.persist()
-        try:
-            topics = route_signals(batch)
-            write_table(log_rows(topics["logs"]), logs_path, "logs", mode="append")
-            write_table(metric_rows(topics["metrics"]), metrics_path, "metrics", mode="append")
-        finally:
-            batch.unpersist()
-
-    w = events.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
-    return w.start()
-
-
 LATEST_DDL = "tenant_id string, name string, value double, service string, timestamp bigint, rank int, epoch bigint, slot int"
 
 
