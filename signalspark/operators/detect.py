@@ -2,8 +2,8 @@
 
 D1 gives whole series, or on request their newest ``n`` values (``row_number() <= n``,
 planned as WindowGroupLimit: a partial top-n per partition before the shuffle).
-D3 and D5 never hold a series: forests are fitted on bounded samples, rows are
-scored in salted groups, and the threshold is an exact aggregate over all rows.
+D3 and D5 never hold a series: forests are fitted on bounded samples (see ``forest``),
+rows are scored in salted groups, and the threshold is an exact aggregate over all rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 
 from ..constants import (EULER_GAMMA, IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES,
                          INSUFFICIENT_HISTORY, MIN_HISTORY)
+from ..plans.joins import broadcast_if_small
+from . import forest
 
 #: Cells of one block of D4's distance matrix.
 DEPTH_CELLS = 1 << 20
@@ -165,7 +167,7 @@ def detect_series(metrics: DataFrame, keys=("tenant_id", "name"), ts: str = "tim
     the exact, interpolated quantile over all rows: a forest is a step function, so a
     series has a bounded number of distinct scores. Of values that tie in time the
     greatest is the newest. A series without non-null values has no row."""
-    m = metrics.select(*keys, ts, value).where(F.col(value).isNotNull())
+    m = metrics.select(*dict.fromkeys([*keys, ts, value, *id_cols])).where(F.col(value).isNotNull())
     models = fit_isolation(m, keys, value, id_cols)
     scored = _score_rows(m, models, keys, value, id_cols)
     g = scored.groupBy(*keys).agg(F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_values"),
@@ -254,7 +256,9 @@ def to_anomaly_events(detections: DataFrame, keys=("tenant_id", "name"), ts: str
 
 
 # ----------------------------------------------------------------------------- D5
-MODEL_DDL = "breaks ARRAY<DOUBLE>, paths ARRAY<DOUBLE>, psi BIGINT"
+MODEL_DDL = "breaks ARRAY<DOUBLE>, paths ARRAY<BIGINT>, psi BIGINT"
+#: A series of more than so many times the pool is thinned by hash before the shuffle.
+POOL_SHARE = 4
 
 
 def forest_step_function(sample: np.ndarray, trees: int = IFOREST_TREES, seed: int = 42,
@@ -294,29 +298,41 @@ def forest_step_function(sample: np.ndarray, trees: int = IFOREST_TREES, seed: i
     return breaks, total / trees, psi
 
 
-def fit_isolation(metrics: DataFrame, keys=("tenant_id", "name"), value: str = "value", id_cols=("timestamp",),
-                  max_samples: int = IFOREST_MAX_SAMPLES, trees: int = IFOREST_TREES) -> DataFrame:
-    """D5 fit: per series a forest whose trees each draw ``max_samples`` rows.
-
-    They draw from the ``trees * max_samples`` rows with the smallest hash of
-    (key, id, value): ``row_number() <= n`` is a WindowGroupLimit, so each
-    partition sends at most so many rows per series to the fit.
-    """
-    h = F.xxhash64(*[F.col(c) for c in keys], *[F.col(c) for c in id_cols], F.col(value))
-    w = Window.partitionBy(*keys).orderBy(h, F.col(value))
-    samp = metrics.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= trees * max_samples)
-    g = samp.groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_sample"))
-    seed_key = F.concat_ws("\u001f", *[F.col(k).cast("string") for k in keys])
+def _series_key(keys) -> Column:
+    return F.concat_ws("\u001f", *[F.col(k).cast("string") for k in keys])
 
-    @F.pandas_udf(T.StructType([T.StructField("breaks", T.ArrayType(T.DoubleType())),
-                                T.StructField("paths", T.ArrayType(T.DoubleType())),
-                                T.StructField("psi", T.LongType())]))
-    def fit(samples: pd.Series, sk: pd.Series) -> pd.DataFrame:
-        out = [forest_step_function(np.asarray(s), trees, series_seed(k), max_samples) for s, k in zip(samples, sk)]
-        return pd.DataFrame({"breaks": [o[0] for o in out], "paths": [o[1] for o in out],
-                             "psi": [o[2] for o in out]})
 
-    return g.select(*keys, fit(F.col("_sample"), seed_key).alias("m")).select(*keys, "m.*")
+def fit_isolation(metrics: DataFrame, keys=("tenant_id", "name"), value: str = "value", id_cols=("timestamp",),
+                  max_samples: int = IFOREST_MAX_SAMPLES, trees: int = IFOREST_TREES) -> DataFrame:
+    """D5 fit: per series a forest whose trees each draw ``max_samples`` rows, with its number of rows n.
+
+    They draw from the ``trees * max_samples`` rows of least hash. Of a series of more than
+    ``POOL_SHARE`` times as many, rows beyond a hash that about so many reach are left out before
+    the shuffle, so that no task sorts a hot series; of the others each task sends at most the
+    pool (``row_number() <= n`` is a WindowGroupLimit: see ``session``). A model of a series that
+    the pool holds whole has one step a distinct value."""
+    keys, pool = list(keys), trees * max_samples
+    h = F.conv(F.substring(F.md5(F.concat_ws("\u001f", *[F.col(c).cast("string") for c in [*keys, *id_cols]])), 1, forest.HASH_DIGITS), 16, 10).cast("bigint")
+    counts = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = _fresh(metrics).join(broadcast_if_small(_fresh(counts)), keys, "inner").withColumn("_h", h)
+    most = POOL_SHARE * pool
+    near = rows.where((F.col("_n") <= most) | (F.col("_h") < 16.0**forest.HASH_DIGITS * most / F.col("_n")))
+    w = Window.partitionBy(*keys).orderBy("_h", *id_cols, value)
+    samp = near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= pool)
+    g = samp.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("_sample"),
+                                F.max("_n").alias("n"))
+
+    @F.pandas_udf(MODEL_DDL)
+    def fit(samples: pd.Series, key: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, k, rows in zip(samples, key, n):
+            model = forest.fit(s, k, trees, max_samples)
+            out.append(forest.at_values(model, np.unique(s)) if len(s) == rows else model)
+        return pd.DataFrame({"breaks": [m[0] for m in out], "paths": [m[1] for m in out], "psi": [m[2] for m in out]})
+
+    # so many tasks as asked for: a merged one would fit every series alone
+    spread = g.repartition(int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return spread.select(*keys, "n", fit(F.col("_sample"), _series_key(keys), F.col("n")).alias("m")).select(*keys, "n", F.lit(trees).alias("trees"), "m.*")
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -332,27 +348,28 @@ def _score_rows(metrics: DataFrame, models: DataFrame, keys, value: str, id_cols
     series' model is replicated to each salt, so the cogroup never puts a hot
     series in one task."""
     keys, fresh = list(keys), _fresh
-    models = fresh(models)
-    counts = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    salts = counts.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_group)).cast("int").alias("_salts"))
-    rows = fresh(metrics).join(fresh(salts), keys, "inner").withColumn(
+    salted = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / rows_per_group)).cast("int")
+    models = fresh(models).withColumn("_salts", salted("n"))
+    counts = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, salted("_n").alias("_salts"))
+    rows = fresh(metrics).join(broadcast_if_small(fresh(counts)), keys, "inner").withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in keys + list(id_cols)], F.col(value)), F.col("_salts")).cast("int"))
-    mods = models.join(fresh(salts), keys, "inner").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    mods = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     in_cols = metrics.columns
+    tasks = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def score(rpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
         if rpdf.empty:
             return pd.DataFrame(columns=in_cols + ["score_samples"])
         m = mpdf.iloc[0]
-        breaks, paths = np.asarray(m["breaks"], dtype=float), np.asarray(m["paths"], dtype=float)
-        x = rpdf[value].to_numpy(dtype=float)
-        h = paths[np.searchsorted(breaks, x, side="left")]
+        breaks, paths = np.asarray(m["breaks"], dtype=float), np.asarray(m["paths"], dtype=np.int64)
+        h = paths[np.searchsorted(breaks, rpdf[value].to_numpy(dtype=float), side="left")] / forest.UNIT / int(m["trees"])
         out = rpdf[in_cols].copy()
-        out["score_samples"] = -np.power(2.0, -h / float(c_factor([int(m["psi"])])[0]))
+        out["score_samples"] = -np.power(2.0, -h / float(c_factor([int(m["psi"])])[0])) if m["psi"] > 1 else -1.0
         return out
 
     schema = T.StructType(list(metrics.schema.fields) + [T.StructField("score_samples", T.DoubleType())])
-    return rows.groupBy(*keys, "_salt").cogroup(mods.groupBy(*keys, "_salt")).applyInPandas(score, schema)
+    return (rows.repartition(tasks, *keys, "_salt").groupBy(*keys, "_salt")
+            .cogroup(mods.repartition(tasks, *keys, "_salt").groupBy(*keys, "_salt")).applyInPandas(score, schema))
 
 
 def score_isolation(metrics: DataFrame, models: DataFrame, keys=("tenant_id", "name"), value: str = "value",
@@ -363,7 +380,7 @@ def score_isolation(metrics: DataFrame, models: DataFrame, keys=("tenant_id", "n
     The threshold is the exact ``contamination`` quantile of the series' scores;
     a forest is a step function, so a series has a bounded number of them."""
     keys = list(keys)
-    scored = _score_rows(metrics, models, keys, value, id_cols, rows_per_group)
+    scored = _score_rows(metrics.where(F.col(value).isNotNull()), models, keys, value, id_cols, rows_per_group)
     offs = scored.groupBy(*keys).agg(F.percentile("score_samples", contamination).alias("_offset"))
     j = _fresh(scored).join(_fresh(offs), keys, "inner")
     decision = F.col("score_samples") - F.col("_offset")

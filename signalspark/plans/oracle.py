@@ -8,9 +8,12 @@ complete statements.
 
 from __future__ import annotations
 
-from ..constants import (JSON_LEVEL_KEYS, JSON_MESSAGE_KEYS, LEVEL_PREFIX_WORDS,
+from ..constants import (EULER_GAMMA, IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES, INSUFFICIENT_HISTORY,
+                         JSON_LEVEL_KEYS, JSON_MESSAGE_KEYS, LEVEL_PREFIX_WORDS,
                          LEVEL_SPELLINGS, LOGFMT_LEVEL_KEYS, LOGFMT_MESSAGE_KEYS,
-                         SPAN_ID_KEYS, TRACE_ID_KEYS, WS_CHARS)
+                         MIN_HISTORY, SPAN_ID_KEYS, TRACE_ID_KEYS, WS_CHARS)
+from ..operators.detect import POOL_SHARE
+from ..operators.forest import HASH_DIGITS, LEFT, MODULUS, RIGHT, UNIT
 
 WS = f"[{WS_CHARS}]"
 PAIR_RE = WS + '*([^=]*)=(?:"([^"]*)"?|([^ ]*))'
@@ -488,6 +491,56 @@ SELECT id, tenant_id, alert_rule_id, title, description, severity, status,
        CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM inc"""
 
 
+# ---------------------------------------------------------------- isolation forest
+def forest_ctes(keys: str, src: str) -> list[str]:
+    """Forests of all series of ``src`` and the score of each distinct value (``scored``)."""
+    text = f"concat_ws(chr(31), {keys})"
+    units = f"""CASE WHEN len(s) <= 1 THEN 0 WHEN len(s) = 2 THEN {UNIT}
+      ELSE CAST(round({UNIT} * (2 * (ln(len(s) - 1) + {EULER_GAMMA!r}) - 2.0 * (len(s) - 1) / len(s))) AS BIGINT) END"""
+    pool = IFOREST_TREES * IFOREST_MAX_SAMPLES
+    return [f"""fr AS (SELECT *, {text} AS sk, count(*) OVER (PARTITION BY {keys}) AS n,
+  CAST('0x' || substr(md5(concat_ws(chr(31), {text}, timestamp)), 1, {HASH_DIGITS}) AS BIGINT) AS h FROM {src} WHERE value IS NOT NULL)""",
+            f"""pool AS (SELECT sk, value, row_number() OVER (PARTITION BY sk ORDER BY h, timestamp, value) - 1 AS r FROM fr
+  WHERE n <= {POOL_SHARE * pool} OR h < {16.0**HASH_DIGITS * POOL_SHARE * pool!r} / n QUALIFY r < {pool})""",
+            f"""drawn AS (SELECT sk, list(value ORDER BY r) AS vs, count(*) AS p, least(count(*), {IFOREST_MAX_SAMPLES}) AS psi,
+  CAST(ceil(log2(greatest(least(count(*), {IFOREST_MAX_SAMPLES}), 2))) AS INT) AS deepest FROM pool GROUP BY sk)""",
+            f"""node AS (SELECT sk, t, CAST('0x' || substr(md5(sk || '#' || t), 1, {HASH_DIGITS}) AS BIGINT) + 1 AS k, 0 AS d, deepest,
+    list_sort([vs[(t * psi + i) % p + 1] FOR i IN range(psi)]) AS s, xs
+  FROM drawn JOIN (SELECT sk, list(DISTINCT value) AS xs FROM fr GROUP BY sk) USING (sk), range({IFOREST_TREES}) AS trees(t)
+  UNION ALL
+  SELECT sk, t, k * CASE side WHEN 0 THEN {LEFT} ELSE {RIGHT} END % {MODULUS}, d + 1, deepest, [v FOR v IN s IF (v <= cut) = (side = 0)], [x FOR x IN xs IF (x <= cut) = (side = 0)]
+  FROM (SELECT *, s[1] + (s[-1] - s[1]) * (CAST(k AS DOUBLE) / {MODULUS}) AS cut FROM node WHERE d < deepest AND len(s) > 1 AND s[1] < s[-1]), (VALUES (0), (1)) AS c(side))""",
+            f"""paths AS (SELECT sk, x, sum(path) AS total FROM (SELECT sk, unnest(xs) AS x, CAST(d AS BIGINT) * {UNIT} + {units} AS path
+  FROM node WHERE NOT (d < deepest AND len(s) > 1 AND s[1] < s[-1])) GROUP BY sk, x)""",
+            f"""scored AS (SELECT paths.sk, x, CASE WHEN psi <= 1 THEN -1.0 ELSE -pow(2.0, -(total / CAST({UNIT} AS DOUBLE) / {IFOREST_TREES})
+    / CASE WHEN psi = 2 THEN 1.0 ELSE 2 * (ln(psi - 1) + {EULER_GAMMA!r}) - 2.0 * (psi - 1) / psi END) END AS score
+  FROM paths JOIN drawn USING (sk))"""]
+
+
+def forest_verdicts(keys: str, src: str) -> list[str]:
+    """Verdict on the newest value of every series: the shape of ``det``."""
+    return [*forest_ctes(keys, src), f"""det AS (SELECT *, round(CASE WHEN n < {MIN_HISTORY} THEN 0.0 ELSE 0.5 - (last - cut) END, 6) AS anomaly_score, n >= {MIN_HISTORY} AND last < cut AS is_anomaly,
+    CASE WHEN n < {MIN_HISTORY} THEN '{INSUFFICIENT_HISTORY}' END AS reason
+  FROM (SELECT {keys}, any_value(n) AS n, max(timestamp) AS last_ts, quantile_cont(score, {IFOREST_CONTAMINATION}) AS cut, arg_max(score, (timestamp, value)) AS last
+        FROM fr JOIN scored ON scored.sk = fr.sk AND x = value GROUP BY {keys}))"""]
+
+
+DAILY = "daily AS (SELECT *, CAST(floor(timestamp / 86400) AS BIGINT) AS day FROM metrics)"
+FOREST_DET = [DAILY, *forest_verdicts("tenant_id, name, day", "daily")]
+
+ORACLE["d3_detect"] = with_rec(EV, METRICS, *FOREST_DET) + """
+SELECT tenant_id, name, day, CAST(n AS BIGINT) AS n_values, anomaly_score, is_anomaly, reason FROM det"""
+
+ORACLE["d5_score_isolation"] = with_rec(EV, METRICS, *forest_ctes("tenant_id, name", "metrics")) + f"""
+SELECT tenant_id, name, timestamp, value, round(0.5 - (score - cut), 6) AS anomaly_score, score < cut AS is_anomaly
+FROM (SELECT fr.*, score, quantile_cont(score, {IFOREST_CONTAMINATION}) OVER (PARTITION BY fr.sk) AS cut FROM fr JOIN scored ON scored.sk = fr.sk AND x = value)"""
+
+ORACLE["e11_alert_flow_iforest"] = with_rec(EV, METRICS, *FOREST_DET, ANOM_FROM_DET.replace(
+    "AS ts\n", "AS ts, '{\"anomaly_score\":' || CAST(anomaly_score AS VARCHAR) || ',\"is_anomaly\":true,\"metric_name\":\"' || name || '\",\"tenant_id\":\"' || tenant_id || '\"}' AS context\n"),
+    RULES_CTE, MT, COOL, INCIDENTS) + """
+SELECT id, tenant_id, alert_rule_id, title, context, CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM inc"""
+
+
 # ---------------------------------------------------------------- vectors
 def hashed_vectors(src: str, key: str, text: str, name: str) -> str:
     """Signed MD5 feature hashing (dim 384) of whitespace tokens, as SQL."""

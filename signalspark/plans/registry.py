@@ -313,7 +313,7 @@ def _d2(spark, base):
 def _d3(spark, base):
     """D3: isolation forest (100 trees, ψ ≤ 256, contamination 0.1) per series."""
     return DT.detect_series(daily_metrics(spark, base), keys=SERIES_KEYS).select(
-        "tenant_id", "name", "day", "n_values", "anomaly_score", "is_anomaly", "reason")
+        "tenant_id", "name", "day", "n_values", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly", "reason")
 
 
 @register("d4_detect_expected")
@@ -326,7 +326,7 @@ def _d4(spark, base):
 
 def anomaly_stream(spark, base, forest=False):
     if forest:
-        d = DT.detect_series(daily_metrics(spark, base), keys=SERIES_KEYS)
+        d = DT.detect_series(daily_metrics(spark, base), keys=SERIES_KEYS).withColumn("anomaly_score", F.round("anomaly_score", 6))
     else:
         d = DT.detect_expected(daily_series(spark, base))
     return DT.to_anomaly_events(d, keys=SERIES_KEYS, ts="last_ts").withColumnRenamed("name", "metric_name")
@@ -355,7 +355,7 @@ def _e11(spark, base):
 
 @register("e11_alert_flow_iforest")
 def _e11f(spark, base):
-    """E11 with the isolation forest (D3) as detector (random: rows-only check)."""
+    """E11 with the isolation forest (D3) as detector, scores to six digits."""
     return _alert_flow(spark, base, forest=True).select(
         "id", "tenant_id", "alert_rule_id", "title", "context", F.unix_micros("opened_at").alias("opened_at_us"))
 
@@ -590,7 +590,7 @@ def _a16(spark, base):
 
 @register("d5_score_isolation")
 def _d5(spark, base):
-    """Fit a forest per (tenant, metric) on a bounded sample, score every row (random: rows-only)."""
+    """Fit a forest per (tenant, metric) on a bounded sample, score every row."""
     m = flows.event_metric_rows(spark, base)
     models = DT.fit_isolation(m)
     s = DT.score_isolation(m, models)

@@ -21,6 +21,8 @@ _SCALE_CONFS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # a top-n per key is cut in each task before the shuffle up to this n (a forest's pool is 25,600)
+    "spark.sql.optimizer.windowGroupLimitThreshold": "32768",
 }
 
 
