@@ -20,11 +20,20 @@ from ..plans.joins import broadcast_if_small
 from ..plans.ordered_scan import Kernel, ordered_scan
 from .events import stable_uuid
 
-UUID_RE = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
+_HYPHENATED = r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+#: The accepted texts of a UUID: hyphenated, in braces, as a URN, or 32 digits.
+UUID_RE = r"^(" + _HYPHENATED + r"|\{" + _HYPHENATED + r"\}|urn:uuid:" + _HYPHENATED + r"|[0-9a-fA-F]{32})$"
 CHANNELS_DDL = "array<struct<type:string,url:string,routing_key:string>>"
 NEVER_US = 2**62  # a negative cooldown, cast to unsigned in the reference, never expires
 
 
+def canonical_uuid(c: Column) -> Column:
+    """The hyphenated lower-case text of a UUID in any accepted form; NULL for any other text."""
+    x = F.lower(F.regexp_replace(F.regexp_replace(c, "^urn:uuid:", ""), "[-{}]", ""))
+    told = F.concat_ws("-", F.substring(x, 1, 8), F.substring(x, 9, 4), F.substring(x, 13, 4), F.substring(x, 17, 4), F.substring(x, 21, 12))
+    return F.when(c.rlike(UUID_RE), told)
+
+
 def rule_threshold(rule_config: Column) -> Column:
     """``threshold`` if it is a JSON number, else 0.8 (a string "0.9" is not)."""
     t = F.from_json(rule_config, "threshold double", {"allowNumericLeadingZeros": "false", "allowNonNumericNumbers": "false"})["threshold"]
@@ -36,15 +45,18 @@ def match_rules(anomalies: DataFrame, rules: DataFrame, validate_uuid: bool = Fa
     """E1+E2+E4: anomalies ⨝ enabled rules of the same tenant that fire on score.
 
     Returns ``{"matches": …, "rejects": …}``; an anomaly without a (valid)
-    tenant id goes to ``rejects`` instead of failing the batch.
+    tenant id goes to ``rejects`` instead of failing the batch. ``validate_uuid`` asks for a
+    UUID; matches then bear its hyphenated lower-case form, which the rules must use.
     """
     tid = F.col("tenant_id")
     ok = tid.isNotNull() & (tid != "")
     if validate_uuid:
-        ok = ok & tid.rlike(UUID_RE)
+        ok = ok & canonical_uuid(tid).isNotNull()
     rejects = anomalies.filter(~F.coalesce(ok, F.lit(False))).withColumn(
         "reason", F.when(tid.isNull() | (tid == ""), "missing tenant_id").otherwise("invalid tenant_id"))
     good = anomalies.filter(F.coalesce(ok, F.lit(False)))
+    if validate_uuid:
+        good = good.withColumn("tenant_id", canonical_uuid(tid))
     r = rules.filter(F.col("is_enabled")).select(
         "tenant_id", F.col("id").alias("rule_id"), F.col("name").alias("rule_name"),
         F.col("description").alias("rule_description"), F.col("severity").alias("rule_severity"),
@@ -115,14 +127,41 @@ class CooldownKernel(Kernel):
         return prev_exit
 
 
-def apply_cooldown(matches: DataFrame, key: str = "rule_id", ts: str = "ts", id_col: str = "anomaly_id",
-                   cooldown_col: str = "cooldown_secs", num_partitions: int | None = None) -> DataFrame:
-    """Add ``fired`` — per rule, suppress while inside the stored cooldown."""
+STATE_DDL = "rule_id STRING, last_us BIGINT, cooldown_us BIGINT"
+
+
+def _cooldown_us(cooldown_col: str) -> Column:
     cd = F.col(cooldown_col).cast("bigint")
-    df = matches.withColumn("_t", F.unix_micros(F.col(ts))) \
-                .withColumn("_cd", F.when(cd < 0, F.lit(NEVER_US)).otherwise(cd * 1_000_000))
-    out = ordered_scan(df, key, "_t", id_col, CooldownKernel(), num_partitions)
-    return out.drop("_t", "_cd")
+    return F.when(cd < 0, F.lit(NEVER_US)).otherwise(cd * 1_000_000)
+
+
+def apply_cooldown(matches: DataFrame, key: str = "rule_id", ts: str = "ts", id_col: str = "anomaly_id",
+                   cooldown_col: str = "cooldown_secs", num_partitions: int | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Add ``fired`` — per rule, suppress while inside the stored cooldown.
+
+    ``state`` (see ``cooldown_state``) carries on from earlier matches: until a rule's last firing
+    plus its cooldown none fires, late ones neither; the first match from then on does, as if it
+    were the rule's first."""
+    df = matches.withColumn("_t", F.unix_micros(F.col(ts))).withColumn("_cd", _cooldown_us(cooldown_col))
+    held = None
+    if state is not None:
+        until = state.select(F.col("rule_id").alias(key), (F.col("last_us") + F.col("cooldown_us")).alias("_until"))
+        df = df.join(broadcast_if_small(until), key, "left")
+        waits = F.coalesce(F.col("_t") < F.col("_until"), F.lit(False))
+        held, df = df.filter(waits).withColumn("fired", F.lit(False)), df.filter(~waits).drop("_until")
+    out = ordered_scan(df, key, "_t", id_col, CooldownKernel(), num_partitions).drop("_t", "_cd")
+    return out if held is None else out.unionByName(held.select(*out.columns))
+
+
+def cooldown_state(alerts: DataFrame, before: DataFrame | None = None, ts: str = "ts", id_col: str = "anomaly_id",
+                   cooldown_col: str = "cooldown_secs") -> DataFrame:
+    """Per rule its last firing and the cooldown stored then: what ``apply_cooldown`` needs to go on."""
+    fired = alerts.filter(F.col("fired")).select("rule_id", F.unix_micros(F.col(ts)).alias("last_us"), _cooldown_us(cooldown_col).alias("cooldown_us"),
+                                                 F.col(id_col).cast("string").alias("_id"))
+    if before is not None:
+        fired = before.withColumn("_id", F.lit("")).unionByName(fired)
+    last = F.max_by(F.struct("last_us", "cooldown_us"), F.struct("last_us", "_id"))
+    return fired.groupBy("rule_id").agg(last.alias("x")).select("rule_id", "x.*")
 
 
 def cooldown_reference(rows):
@@ -208,12 +247,16 @@ def iso_utc(ts: Column) -> Column:
 def notifications(alerts: DataFrame, source: str = PAGERDUTY_SOURCE) -> dict[str, DataFrame]:
     """One payload row per (fired alert, channel); JSON keys in sorted order.
 
-    Unknown channel types go to ``rejects`` (the reference aborts the rest of
-    the evaluation there; we keep the incident and the other channels).
+    What can't be sent goes to ``rejects`` with a reason, and neither the incident nor the other
+    channels suffer (the reference aborts the rest of the evaluation there): a channel of unknown
+    type, one without its address, and channels that are no JSON list (``channel_no`` -1). NULL
+    channels are none.
     """
     a = alerts.filter(F.col("fired")) if "fired" in alerts.columns else alerts
-    x = a.select("*", F.posexplode(F.coalesce(F.from_json("channels", CHANNELS_DDL),
-                                              F.array().cast(CHANNELS_DDL))).alias("channel_no", "ch"))
+    listed = F.when(F.trim("channels").startswith("["), F.from_json("channels", CHANNELS_DDL))
+    broken = F.array(F.struct(F.lit(-1).alias("channel_no"), F.lit(None).cast("struct<type:string,url:string,routing_key:string>").alias("ch")))
+    numbered = F.transform(listed, lambda c, i: F.struct(i.alias("channel_no"), c.alias("ch")))
+    x = a.select("*", F.inline(F.when(F.col("channels").isNotNull(), F.coalesce(numbered, broken))))
     typ = F.col("ch.type")
     slack = F.to_json(F.struct(F.concat(F.lit("*"), F.col("title"), F.lit("*\n"), F.col("description")).alias("text")))
     pd_ = F.to_json(F.struct(
@@ -223,14 +266,30 @@ def notifications(alerts: DataFrame, source: str = PAGERDUTY_SOURCE) -> dict[str
         F.col("ch.routing_key").alias("routing_key")))
     hook = F.to_json(F.struct(F.col("description").alias("description"), iso_utc(F.col("ts")).alias("timestamp"),
                               F.col("title").alias("title")))
+    address = F.when(typ == "pagerduty", F.col("ch.routing_key")).when(typ.isin("slack", "webhook"), F.col("ch.url"))
     target = F.when(typ == "pagerduty", F.lit("https://events.pagerduty.com/v2/enqueue")).otherwise(F.col("ch.url"))
     payload = F.when(typ == "slack", slack).when(typ == "pagerduty", pd_).when(typ == "webhook", hook)
-    x = x.withColumn("channel_type", typ).withColumn("target", target).withColumn("payload", payload)
+    reason = (F.when(F.col("channel_no") < 0, "channels are no list").when(payload.isNull(), "unknown channel type")
+              .when(F.coalesce(address, F.lit("")) == "", "missing address"))
+    x = x.withColumn("channel_type", typ).withColumn("target", target).withColumn("payload", payload).withColumn("reason", reason)
     keep = [c for c in ("anomaly_id", "tenant_id", "rule_id", "ts") if c in a.columns]
-    ok = x.filter(F.col("payload").isNotNull()).select(*keep, "channel_no", "channel_type", "target", "payload")
-    bad = x.filter(F.col("payload").isNull()).select(*keep, "channel_no", "channel_type",
-                                                     F.lit("unknown channel type").alias("reason"))
-    return {"notifications": ok, "rejects": bad}
+    return {"notifications": x.filter(F.col("reason").isNull()).select(*keep, "channel_no", "channel_type", "target", "payload"),
+            "rejects": x.filter(F.col("reason").isNotNull()).select(*keep, "channel_no", "channel_type", "reason")}
+
+
+def run_alerting(anomalies: DataFrame, rules: DataFrame, state: DataFrame | None = None, validate_uuid: bool = False,
+                 severity_from_rule: bool = False, source: str = PAGERDUTY_SOURCE) -> dict[str, DataFrame]:
+    """Anomalies against rules (E1, E2), cooldown (E3), incidents (E4, E5) and notifications.
+
+    Returns ``alerts`` (every match, with ``fired``), ``incidents``, ``notifications``,
+    ``rejects`` (anomalies of no valid tenant), ``notification_rejects`` and ``state``, which the
+    next call takes to carry cooldowns on; calls on consecutive slices of time, each with the state
+    of the one before, give together what one call on all of them gives."""
+    m = match_rules(anomalies, rules, validate_uuid)
+    alerts = apply_cooldown(m["matches"], state=state)
+    sent = notifications(alerts, source)
+    return {"alerts": alerts, "incidents": open_incidents_from(alerts, severity_from_rule), "notifications": sent["notifications"],
+            "rejects": m["rejects"], "notification_rejects": sent["rejects"], "state": cooldown_state(alerts, state)}
 
 
 COMPARATORS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b,
