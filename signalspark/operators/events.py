@@ -68,15 +68,39 @@ def metric_events(samples: DataFrame, id_cols=("request_id", "sample_no"), ts_co
         F.col("labels"))
 
 
-SIGNALS = ("log", "metric", "trace", "anomaly")
+#: Topics by the type of payload that they take; anomalies come from the detectors.
+TOPICS = {"log": "logs", "metric": "metrics", "trace": "traces", "anomaly": "anomalies"}
 
 
-def route_signals(events: DataFrame) -> dict[str, DataFrame]:
-    """One filtered DataFrame per signal topic (logs, metrics, traces).
+def route_signals(events: DataFrame, anomalies: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One filtered DataFrame per signal topic (logs, metrics, traces, and anomalies if given).
 
     Each is a filter on ``payload.type`` over the same plan, so writing them
     from one ``foreachBatch`` reads the input once when it is cached there.
+    ``write_signals`` writes all of them in one pass instead.
     """
     t = F.col("payload.type")
-    return {"logs": events.filter(t == "log"), "metrics": events.filter(t == "metric"),
-            "traces": events.filter(t == "trace")}
+    out = {topic: events.filter(t == kind) for kind, topic in TOPICS.items() if kind != "anomaly"}
+    return out if anomalies is None else {**out, "anomalies": anomalies}
+
+
+def signal_rows(events: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+    """(topic, key, value) of every signal: its topic, its tenant as key, its wire JSON."""
+    from ..sources.events_io import encode_events
+    kind = F.col("payload.type")
+    topic = F.create_map(*[F.lit(x) for kv in TOPICS.items() for x in kv])[kind]
+    out = encode_events(events.where(kind.isin(*TOPICS)).withColumn("topic", topic), keep=("topic",))
+    if anomalies is None:
+        return out
+    body = F.to_json(F.struct("anomaly_id", "tenant_id", "metric_name", "anomaly_score", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "context"))
+    return out.unionByName(anomalies.select(F.lit(TOPICS["anomaly"]).alias("topic"), F.col("tenant_id").alias("key"), body.alias("value")))
+
+
+def write_signals(events: DataFrame, path: str, anomalies: DataFrame | None = None, mode: str = "append") -> None:
+    """One write of all topics, a folder each; the input is read once and nothing is shuffled."""
+    signal_rows(events, anomalies).write.mode(mode).partitionBy("topic").parquet(path)
+
+
+def read_signals(spark, path: str, topic: str) -> DataFrame:
+    """One topic of ``write_signals`` as (key, value); only its folder is opened."""
+    return spark.read.schema("key STRING, value STRING, topic STRING").parquet(path).where(F.col("topic") == topic).select("key", "value")

@@ -45,3 +45,15 @@ def metric_rows(events: DataFrame) -> DataFrame:
         metric_value(F.col("payload.metric.value")).alias("value"),
         F.col("source.service").alias("service"), F.col("source.environment").alias("environment"),
         sorted_map_json("labels").alias("labels"))
+
+
+def trace_rows(events: DataFrame) -> DataFrame:
+    """Trace events → span rows: the whole span with its length, attributes as they came."""
+    e = events.filter(F.col("payload.type") == "trace")
+    t = F.col("payload.trace")
+    start, end = F.unix_micros(t["start_time"]), F.unix_micros(t["end_time"])
+    return e.select("tenant_id", t["trace_id"].alias("trace_id"), t["span_id"].alias("span_id"),
+                    F.coalesce(t["parent_span_id"], F.lit("")).alias("parent_span_id"), t["operation_name"].alias("operation_name"),
+                    start.alias("start_us"), (end - start).alias("duration_us"), t["status"].alias("status"),
+                    F.col("source.service").alias("service"), F.col("source.environment").alias("environment"),
+                    sorted_map_json("labels").alias("labels"))

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import RETENTION_DAYS
+from ..constants import PLAN_LIMITS, RETENTION_DAYS
 from ..plans.joins import broadcast_if_small
 
 SORT_KEYS = {"logs": ["tenant_id", "timestamp"], "metrics": ["tenant_id", "name", "timestamp"]}
@@ -66,15 +66,68 @@ def apply_retention(df: DataFrame, as_of, days: int = RETENTION_DAYS) -> DataFra
     return out
 
 
+def retention_days(tenants: DataFrame, default_days: int = RETENTION_DAYS) -> DataFrame:
+    """(tenant_id, days): a tenant's own number, else its plan's (7/30/365), else the default."""
+    by_plan = F.create_map(*[F.lit(x) for plan, limits in PLAN_LIMITS.items() for x in (plan, limits[1])])
+    return tenants.select(F.col("id").alias("tenant_id"),
+                          F.coalesce(F.col("retention_days"), F.try_element_at(by_plan, F.lower("plan")), F.lit(default_days)).alias("days"))
+
+
 def apply_plan_retention(df: DataFrame, tenants: DataFrame, as_of, default_days: int = RETENTION_DAYS) -> DataFrame:
-    """Per-tenant retention days (7/30/365 by plan, overridable per tenant)."""
-    t = tenants.select(F.col("id").alias("tenant_id"), F.col("retention_days").alias("_days"))
+    """Per-tenant retention days (7/30/365 by plan, overridable per tenant).
+
+    The longest retention of any tenant goes in as a fixed bound, so that older months of a stored
+    table are pruned and older rows never reach the join."""
+    t = retention_days(tenants, default_days).withColumnRenamed("days", "_days")
     base = _cutoff(as_of, 0)
-    j = df.join(broadcast_if_small(t), "tenant_id", "left")
+    longest = max(t.agg(F.max("_days")).first()[0] or 0, default_days)
+    j = apply_retention(df, base, longest).join(broadcast_if_small(t), "tenant_id", "left")
     days = F.coalesce(F.col("_days"), F.lit(default_days))
     return j.filter(F.col("timestamp") >= F.lit(base) - days * 86400).drop("_days")
 
 
+def _month_seconds(yyyymm: int) -> tuple[int, int]:
+    """First second of a month, and of the next one."""
+    year, month = divmod(yyyymm, 100)
+    ends = [_dt.datetime(y, m, 1, tzinfo=_dt.timezone.utc) for y, m in ((year, month), (year + month // 12, month % 12 + 1))]
+    return int(ends[0].timestamp()), int(ends[1].timestamp())
+
+
+def expire_table(spark: SparkSession, path: str, tenants: DataFrame, as_of, kind: str = "logs", default_days: int = RETENTION_DAYS) -> dict[str, list[int]]:
+    """B7 on a table that ``write_table`` wrote: delete expired rows, touching as little as possible.
+
+    Months that are older than every tenant's retention go as folders, by listing alone. Months that
+    every tenant still keeps stay as they are. Only the months between are read, filtered and
+    written anew: first aside, then over the month's folder, so a failure before that loses nothing
+    and the call can be repeated. Returns the months ``dropped``, ``rewritten`` and ``kept``."""
+    t = retention_days(tenants, default_days)
+    least, most = t.agg(F.min("days"), F.max("days")).first()
+    least, most = min(default_days, least if least is not None else default_days), max(default_days, most or 0)
+    base = _cutoff(as_of, 0)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    months = sorted(int(f.getPath().getName()[7:]) for f in store.listStatus(folder) if f.getPath().getName().startswith("yyyymm="))
+    out: dict[str, list[int]] = {"dropped": [], "rewritten": [], "kept": []}
+    for month in months:
+        first, after = _month_seconds(month)
+        what = "dropped" if after <= base - most * 86400 else "kept" if first >= base - least * 86400 else "rewritten"
+        out[what].append(month)
+        if what == "dropped":
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/yyyymm={month}"), True)
+    if out["rewritten"]:
+        aside = f"{path}/_expiring"
+        old = spark.read.parquet(path).where(F.col("yyyymm").isin(out["rewritten"]))
+        left = layout(apply_plan_retention(old, tenants, base, default_days).drop("yyyymm"), kind)
+        left.write.mode("overwrite").partitionBy("yyyymm").parquet(aside)
+        for month in out["rewritten"]:
+            new, place = (spark._jvm.org.apache.hadoop.fs.Path(f"{at}/yyyymm={month}") for at in (aside, path))
+            store.delete(place, True)
+            if store.exists(new):
+                store.rename(new, place)
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+    return out
+
+
 def purge_tenants(tables: dict[str, DataFrame], tenant_ids: DataFrame) -> dict[str, DataFrame]:
     """Tenant delete with the schema's cascades.
 

@@ -83,14 +83,16 @@ def vector_points(events: DataFrame, encoder=None) -> DataFrame:
 
 
 def upsert_vectors(existing: DataFrame | None, points: DataFrame, version_col: str = "timestamp") -> DataFrame:
-    """Keyed upsert — the newest point per id wins (new over old on ties)."""
-    new = points.withColumn("_src", F.lit(1))
+    """Keyed upsert — a point replaces the stored one of its id, whatever their times.
+
+    Of points of one id in ``points`` the newest counts, then the greatest in its other columns.
+    Points are reduced to one an id before the join (a partial maximum in each task), and stored
+    points pass it without being sorted or grouped."""
+    rest = [c for c in points.columns if c not in ("id", version_col)]
+    new = points.groupBy("id").agg(F.max(F.struct(version_col, *rest)).alias("p")).select("id", "p.*").select(*points.columns)
     if existing is None:
-        allp = new
-    else:
-        allp = existing.withColumn("_src", F.lit(0)).unionByName(new)
-    w = Window.partitionBy("id").orderBy(F.col(version_col).desc(), F.col("_src").desc())
-    return allp.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_src")
+        return new
+    return existing.join(new.select("id"), "id", "left_anti").select(*points.columns).unionByName(new)
 
 
 def semantic_search(vectors: DataFrame, qvec, tenant_id: str, limit: int | None = None,

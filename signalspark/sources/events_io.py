@@ -50,13 +50,13 @@ def _payload_json() -> Column:
     return F.when(p["type"] == "log", log_json).when(p["type"] == "metric", metric_json).otherwise(trace_json)
 
 
-def encode_events(events: DataFrame, out: str = "value") -> DataFrame:
-    """Event rows → one JSON text per event in ``out`` (plus ``tenant_id`` as key)."""
+def encode_events(events: DataFrame, out: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Event rows → one JSON text per event in ``out`` (plus ``tenant_id`` as key, and ``keep``)."""
     body = F.to_json(F.struct(
         F.col("id"), F.col("tenant_id"), F.col("source"), F.parse_json(_payload_json()).alias("payload"),
         F.date_format("timestamp", TS_FMT).alias("timestamp"), F.date_format("ingested_at", TS_FMT).alias("ingested_at"),
         F.col("labels")))
-    return events.select(F.col("tenant_id").alias("key"), body.alias(out))
+    return events.select(*keep, F.col("tenant_id").alias("key"), body.alias(out))
 
 
 def _get(path: str, typ: str) -> Column:
