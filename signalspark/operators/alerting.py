@@ -197,13 +197,17 @@ def open_incidents_from(alerts: DataFrame, severity_from_rule: bool = False) ->
 
 def open_unique(new_incidents: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Open only if no unresolved incident exists for (tenant, rule);
-    among new ones keep the earliest per key."""
-    n = new_incidents
+    among new ones keep the earliest per key.
+
+    New incidents come down to one a key in each task before they are shuffled; only those meet
+    the unresolved ones."""
+    cols = new_incidents.columns
+    first = F.min_by(F.struct(*cols), F.struct("opened_at", "id"))
+    n = new_incidents.groupBy("tenant_id", "alert_rule_id").agg(first.alias("_i")).select("_i.*")
     if existing is not None:
-        live = existing.filter(F.col("status") != "resolved").select("tenant_id", "alert_rule_id")
-        n = n.join(live, ["tenant_id", "alert_rule_id"], "left_anti")
-    w = Window.partitionBy("tenant_id", "alert_rule_id").orderBy("opened_at", "id")
-    return n.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+        live = existing.filter(F.col("status") != "resolved").select("tenant_id", "alert_rule_id").distinct()
+        n = n.join(live, ["tenant_id", "alert_rule_id"], "left_anti").select(*cols)
+    return n
 
 
 def _latest(updates: DataFrame, ts_col: str, cols: list[str]) -> DataFrame:
@@ -296,26 +300,61 @@ COMPARATORS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a
                "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
 
+def _threshold_rules(rules: DataFrame) -> DataFrame:
+    """Enabled threshold rules with their settings; a rule without a window has one of 60 seconds."""
+    cfg = F.from_json("rule_config", "metric string, comparator string, threshold double, window_secs bigint")
+    return (rules.filter(F.col("is_enabled") & (F.col("rule_type") == "threshold"))
+            .select("tenant_id", F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), cfg.alias("c"))
+            .select("tenant_id", "rule_id", "rule_name", F.col("c.metric").alias("name"),
+                    F.col("c.comparator").alias("comparator"), F.col("c.threshold").alias("threshold"),
+                    F.coalesce(F.col("c.window_secs"), F.lit(60)).alias("window_secs")))
+
+
+#: Values and thresholds as decimals: a window's sum is exact, whatever the order of its rows.
+EXACT, EXACT_THRESHOLD = "decimal(38,9)", "decimal(19,9)"
+THRESHOLD_KEYS = ("tenant_id", "rule_id", "rule_name", "name", "comparator", "threshold", "window_secs")
+
+
+def _window_sums() -> list[Column]:
+    return [F.sum(F.col("value").cast(EXACT)).alias("window_sum"), F.count("value").alias("samples")]
+
+
+def _crossed(g: DataFrame) -> DataFrame:
+    """Windows whose exact mean the rule's comparator takes: the sum against threshold times count."""
+    limit = F.col("threshold").cast(EXACT_THRESHOLD) * F.col("samples").cast("decimal(18,0)")
+    cmp = None
+    for op, fn in COMPARATORS.items():
+        c = (F.col("comparator") == op) & fn(F.col("window_sum"), limit)
+        cmp = c if cmp is None else (cmp | c)
+    return g.filter(cmp).withColumn("window_mean", F.col("window_sum").cast("double") / F.col("samples"))
+
+
 def evaluate_threshold_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """``threshold`` rules — mean of a metric per tumbling ``window_secs``
     window of the rule's tenant, compared with the threshold.
 
-    The reference only declares this rule type; the window mean is our choice.
-    Partial aggregation happens before the shuffle on (rule, window).
+    The reference only declares this rule type; the window mean is our choice. The comparison is
+    exact in decimals of nine places. Partial aggregation happens before the shuffle on (rule, window).
     """
-    cfg = F.from_json("rule_config", "metric string, comparator string, threshold double, window_secs bigint")
-    r = (rules.filter(F.col("is_enabled") & (F.col("rule_type") == "threshold"))
-              .select("tenant_id", F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), cfg.alias("c"))
-              .select("tenant_id", "rule_id", "rule_name", F.col("c.metric").alias("name"),
-                      F.col("c.comparator").alias("comparator"), F.col("c.threshold").alias("threshold"),
-                      F.coalesce(F.col("c.window_secs"), F.lit(60)).alias("window_secs")))
-    m = metrics.join(broadcast_if_small(r), ["tenant_id", "name"], "inner")
+    m = metrics.join(broadcast_if_small(_threshold_rules(rules)), ["tenant_id", "name"], "inner")
     start = (F.floor(F.col("timestamp") / F.col("window_secs")) * F.col("window_secs")).cast("bigint")
-    g = (m.groupBy("tenant_id", "rule_id", "rule_name", "name", "comparator", "threshold", "window_secs",
-                   start.alias("window_start"))
-          .agg(F.avg("value").alias("window_mean"), F.count(F.lit(1)).alias("samples")))
-    cmp = None
-    for op, fn in COMPARATORS.items():
-        c = (F.col("comparator") == op) & fn(F.col("window_mean"), F.col("threshold"))
-        cmp = c if cmp is None else (cmp | c)
-    return g.filter(cmp)
+    return _crossed(m.groupBy(*THRESHOLD_KEYS, start.alias("window_start")).agg(*_window_sums()))
+
+
+def threshold_stream(metrics: DataFrame, rules: DataFrame, watermark: str = "1 minute") -> DataFrame:
+    """E10 (stream): the windows of ``evaluate_threshold_rules``, each told once it is final.
+
+    A window is final when the watermark (newest time seen less ``watermark``) passes its end; rows
+    that come later than that are left out of it (Spark counts them). Rules of one window length
+    share an aggregation over event-time windows; the lengths, a handful, are read from the rules
+    when the query starts."""
+    r = _threshold_rules(rules)
+    lengths = sorted(x.window_secs for x in r.select("window_secs").distinct().collect())
+    timed = metrics.withColumn("_at", F.timestamp_seconds("timestamp")).withWatermark("_at", watermark)
+    out = None
+    for secs in lengths:
+        m = timed.join(broadcast_if_small(r.where(F.col("window_secs") == secs)), ["tenant_id", "name"], "inner")
+        g = m.groupBy(*THRESHOLD_KEYS, F.window("_at", f"{secs} seconds").alias("w")).agg(*_window_sums())
+        found = _crossed(g.withColumn("window_start", F.unix_seconds("w.start")).drop("w"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -169,12 +169,11 @@ def audit_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """INSERT … ON CONFLICT DO NOTHING — rows whose key exists are dropped;
-    among new rows with the same key the first by ``order`` is inserted."""
-    from pyspark.sql.window import Window
-    new = rows.join(target.select(*keys), keys, "left_anti")
-    if order:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        new = new.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    else:
-        new = new.dropDuplicates(keys)
-    return target.unionByName(new.select(*target.columns))
+    among new rows with the same key the first by ``order`` (then by its other columns) is inserted.
+
+    Rows come down to one a key in each task before the shuffle, so a flood of events of few keys
+    never travels; what is left meets the keys of the target."""
+    rest = [c for c in target.columns if c not in keys]
+    first = F.min(F.struct(*(order or []), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(rest)])).alias("_f")
+    new = rows.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_f._v{i}").alias(c) for i, c in enumerate(rest)])
+    return target.unionByName(new.join(target.select(*keys), keys, "left_anti").select(*target.columns))

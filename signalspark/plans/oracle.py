@@ -411,6 +411,27 @@ SELECT anomaly_id, tenant_id, rule_id, CAST(epoch_us(ts) AS BIGINT) AS ts_us, ch
        'unknown channel type' AS reason
 FROM chan WHERE ch.type IS NULL OR ch.type NOT IN ('slack', 'pagerduty', 'webhook')"""
 
+_CHANNEL_FIELDS = '[{"type":"VARCHAR","url":"VARCHAR","routing_key":"VARCHAR"}]'
+_PAYLOAD = ORACLE["e9_notifications"][ORACLE["e9_notifications"].index("SELECT anomaly_id, tenant_id, rule_id, CAST(epoch_us(ts) AS BIGINT) AS ts_us, channel_no"):]
+
+ORACLE["e9_unsendable"] = with_rec(EV, AN, """rules AS (SELECT * REPLACE (CASE tenant_id WHEN 't0' THEN 'oops'
+    WHEN 't2' THEN '[{"type":"slack"},{"url":"https://example.com"},{"type":"webhook","url":"https://example.com/ok"}]' ELSE '{"type":"slack","url":"https://example.com"}' END AS channels)
+  FROM (SELECT * FROM """ + sql_values(RULES, RULE_COLS) + """))""", MT, COOL) + """
+SELECT tenant_id, rule_id, channel_no, channel_type, reason, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT tenant_id, rule_id, -1 AS channel_no, CAST(NULL AS VARCHAR) AS channel_type, 'channels are no list' AS reason FROM alerts WHERE fired AND tenant_id <> 't2'
+  UNION ALL SELECT tenant_id, rule_id, c.no, c.type, c.reason FROM alerts, (VALUES (0, 'slack', 'missing address'), (1, NULL, 'unknown channel type'), (2, 'webhook', 'sent')) AS c(no, type, reason)
+  WHERE fired AND tenant_id = 't2') GROUP BY ALL"""
+
+ORACLE["e1_tenant_ids"] = with_(EV, AN, RULES_CTE, MT) + """,
+u AS (SELECT a.anomaly_id, '00000000-0000-4000-8000-0000000000A' || substr(a.tenant_id, 2, 1) AS u FROM an a)
+SELECT lower(u) AS tenant_id, rule_id AS what, CAST(count(*) AS BIGINT) AS n FROM mt JOIN u USING (anomaly_id) WHERE anomaly_id % 8 <= 4 GROUP BY ALL
+UNION ALL SELECT CASE anomaly_id % 8 WHEN 5 THEN substr(u, 1, 35) WHEN 6 THEN '' END, CASE WHEN anomaly_id % 8 = 5 THEN 'invalid tenant_id' ELSE 'missing tenant_id' END, count(*)
+FROM u WHERE anomaly_id % 8 > 4 GROUP BY ALL"""
+
+ORACLE["e6_open_unique_existing"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS) + """
+SELECT id, tenant_id, alert_rule_id, CAST(epoch_us(opened_at) AS BIGINT) AS opened_at_us FROM inc
+WHERE right(alert_rule_id, 1) NOT IN ('2', '6') QUALIFY row_number() OVER (PARTITION BY tenant_id, alert_rule_id ORDER BY opened_at, id) = 1"""
+
 ORACLE["e10_threshold_rules"] = with_(EV, METRICS, RULES_CTE) + """
 SELECT tenant_id, rule_id, name, window_start, CAST(count(*) AS BIGINT) AS samples FROM (
   SELECT m.tenant_id, r.id AS rule_id, m.name, m.value, json_extract_string(r.rule_config, '$.comparator') AS cmp,
@@ -485,6 +506,8 @@ ORACLE["d6_anomaly_events"] = with_(EV, METRICS, series_ctes(), ANOM_FROM_DET) +
 SELECT anomaly_id, tenant_id, metric_name, round(anomaly_score, 6) AS anomaly_score,
        CAST(epoch_us(ts) AS BIGINT) AS ts_us FROM an"""
 
+ORACLE["e11_notifications"] = with_rec(EV, METRICS, series_ctes(), ANOM_FROM_DET.replace("AS ts\n", "AS ts, '' AS context\n"), RULES_CTE, MT, COOL, CHANNELS) + "\n" + _PAYLOAD
+
 ORACLE["e11_alert_flow"] = with_rec(EV, METRICS, series_ctes(), ANOM_FROM_DET.replace(
     "AS ts\n", "AS ts, '' AS context\n"), RULES_CTE, MT, COOL, INCIDENTS) + """
 SELECT id, tenant_id, alert_rule_id, title, description, severity, status,
@@ -567,10 +590,13 @@ LOG_POINTS = """pts AS (
   FROM (SELECT sha256(concat_ws(chr(31), 'log', tenant_id, CAST(event_id AS VARCHAR))) AS h, tenant_id, message,
                CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp, event_id FROM pl))"""
 
-ORACLE["b8_vector_upsert"] = with_(EV, LL, parse_ctes("ll", "pl"), LOG_POINTS) + """
-SELECT id, tenant_id, CASE WHEN event_id % 3 = 0 THEN upper(message) ELSE message END AS message,
-       CASE WHEN event_id % 3 = 0 THEN timestamp + 60 ELSE timestamp END AS timestamp
-FROM pts"""
+ORACLE["b8_vector_upsert"] = with_(EV, LL, parse_ctes("ll", "pl"), LOG_POINTS,
+                                   """now AS (SELECT id, tenant_id, CASE WHEN event_id % 2 = 0 THEN message ELSE 'old ' || event_id END AS message,
+  timestamp + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 60 END AS timestamp FROM pts WHERE event_id % 2 = 0 OR event_id % 3 = 0)""",
+                                   hashed_vectors("now", "id", "message", "hv")) + """
+SELECT n.id, n.tenant_id, n.message, n.timestamp, CAST(COALESCE(s.nnz, 0) AS BIGINT) AS nnz, COALESCE(s.checksum, 0.0) AS checksum
+FROM now n LEFT JOIN (SELECT vid, count(*) FILTER (WHERE x <> 0) AS nnz, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * (b + 1)), 4) AS checksum
+  FROM hv GROUP BY vid) s ON n.id = s.vid"""
 
 ORACLE["c6_semantic_search"] = with_(EV, LL, parse_ctes("ll", "pl"), LOG_POINTS,
                                     hashed_vectors("pts", "id", "message", "hv"),
@@ -682,6 +708,42 @@ ORACLE["b7_plan_retention"] = LOGS.rstrip("\n") + ",\n" + TENANTS_CTE + """
 SELECT l.tenant_id, l.timestamp, l.level, l.message FROM logs l LEFT JOIN tenants t ON l.tenant_id = t.id
 WHERE l.timestamp >= 1706659200 - COALESCE(t.retention_days, 30) * 86400"""
 
+ORACLE["b7_plan_days"] = LOGS.rstrip("\n") + ",\n" + TENANTS_CTE + """
+SELECT tenant_id, CAST(count(*) AS BIGINT) AS n, min(timestamp) AS oldest FROM (
+  SELECT l.tenant_id, l.timestamp, CASE WHEN t.id = 't2' THEN 12 WHEN t.id = 't4' THEN 30 WHEN t.plan = 'free' THEN 7 WHEN t.plan = 'pro' THEN 30 WHEN t.plan = 'enterprise' THEN 365 ELSE 30 END AS days
+  FROM logs l LEFT JOIN tenants t ON l.tenant_id = t.id) WHERE timestamp >= 1707004800 - days * 86400 GROUP BY tenant_id"""
+
+ORACLE["b10_purge_tables"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS, TENANTS_CTE, USERS_CTE) + """
+SELECT 'tenants' AS table_name, id AS tenant_id, id AS row_id FROM tenants WHERE id NOT IN ('t0', 't4')
+UNION ALL SELECT 'users', tenant_id, id FROM users WHERE tenant_id NOT IN ('t0', 't4')
+UNION ALL SELECT 'alert_rules', tenant_id, id FROM rules WHERE tenant_id NOT IN ('t0', 't4')
+UNION ALL SELECT 'incidents', tenant_id, id FROM inc WHERE tenant_id NOT IN ('t0', 't4')"""
+
+ORACLE["c9_capped_limit"] = LOGS + """
+SELECT timestamp, level, service, message FROM logs WHERE tenant_id = 't1' ORDER BY timestamp DESC, level, message, trace_id LIMIT 1000"""
+
+KINDS = """sg AS (SELECT *, ['log', 'metric', 'metric', 'metric', 'metric', 'trace'][event_id % 6 + 1] AS payload_type,
+    [src_level, 'gauge', 'counter', 'histogram', 'summary', CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END][event_id % 6 + 1] AS kind,
+    CASE event_id % 6 WHEN 1 THEN CAST(value AS DOUBLE) WHEN 2 THEN CAST(user_id AS DOUBLE) WHEN 3 THEN value * 2 WHEN 4 THEN value * 2 END AS metric_value FROM ev)"""
+
+ORACLE["a13_signals"] = with_(EV, KINDS) + """
+SELECT topic, tenant_id, CAST(count(*) AS BIGINT) AS signals FROM (SELECT CASE payload_type WHEN 'log' THEN 'logs' WHEN 'metric' THEN 'metrics' ELSE 'traces' END AS topic, tenant_id FROM sg
+  UNION ALL SELECT 'anomalies', tenant_id FROM ev) GROUP BY ALL"""
+
+ORACLE["b2_metric_kinds"] = with_(EV, KINDS) + """
+SELECT tenant_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp, event_type AS name, metric_value AS value, service, environment, '{"user":"' || user_id || '"}' AS labels
+FROM sg WHERE payload_type = 'metric'"""
+
+ORACLE["b3_trace_rows"] = with_(EV, KINDS) + """
+SELECT tenant_id, 'tr' || event_id AS trace_id, 'sp' || event_id AS span_id, '' AS parent_span_id, event_type AS operation_name, CAST(epoch_us(ts) AS BIGINT) AS start_us,
+  CAST(1000000 AS BIGINT) AS duration_us, kind AS status, service, environment, '{"user":"' || user_id || '"}' AS labels FROM sg WHERE payload_type = 'trace'"""
+
+ORACLE["a14_event_source"] = with_(EV, KINDS) + """
+SELECT 'ev' || event_id AS id, tenant_id, payload_type, kind, CASE payload_type WHEN 'log' THEN src_message ELSE event_type END AS name, metric_value AS value,
+  CAST(CASE kind WHEN 'histogram' THEN 2 WHEN 'summary' THEN 1 ELSE 0 END AS BIGINT) AS parts, CAST(epoch_us(ts) AS BIGINT) AS ts_us, '' AS reason FROM sg
+UNION ALL SELECT NULL, NULL, NULL, NULL, CASE WHEN event_id % 100 = 0 THEN '{"id": oops ' || event_id ELSE '{"id":"x","n":' || event_id || '}' END, NULL, 0, 0,
+  CASE WHEN event_id % 100 = 0 THEN 'not a JSON object' ELSE 'missing tenant_id' END FROM ev WHERE event_id % 50 = 0"""
+
 ORACLE["b10_purge_tenant"] = with_rec(EV, AN, RULES_CTE, MT, COOL, INCIDENTS, RESOLVED) + """
 SELECT id, tenant_id, alert_rule_id, status2 AS status,
        CASE WHEN tenant_id = 't2' AND status2 = 'open' THEN NULL END AS acknowledged_by

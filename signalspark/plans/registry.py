@@ -92,6 +92,7 @@ def _c11(spark, base):
 
 # ------------------------------------------------------------------ metrics side
 from ..operators.envelope import explode_metric_envelopes  # noqa: E402
+from ..operators.events import log_events  # noqa: E402
 from ..operators.events import route_signals  # noqa: E402
 from ..operators.rows import metric_rows, sorted_map_json  # noqa: E402
 
@@ -218,6 +219,15 @@ def _e6(spark, base):
         "id", "tenant_id", "alert_rule_id", F.unix_micros("opened_at").alias("opened_at_us"))
 
 
+@register("e6_open_unique_existing")
+def _e6x(spark, base):
+    """Against a live table: keys with an unresolved incident open nothing, resolved ones don't count."""
+    inc = incidents_df(spark, base)
+    first = inc.where(F.col("alert_rule_id").substr(-1, 1).isin("1", "2", "6")).withColumn("status", F.when(F.col("alert_rule_id").endswith("1"), "resolved")
+                                                                                           .when(F.col("alert_rule_id").endswith("2"), "acknowledged").otherwise("open"))
+    return AL.open_unique(inc, first).select("id", "tenant_id", "alert_rule_id", F.unix_micros("opened_at").alias("opened_at_us"))
+
+
 def _resolved(spark, base):
     inc = incidents_df(spark, base)
     r6 = inc.filter(F.col("alert_rule_id").endswith("6"))
@@ -256,11 +266,38 @@ def _e8(spark, base):
 @register("e9_notifications")
 def _e9(spark, base):
     """One payload per fired alert and channel."""
-    n = AL.notifications(alerts_df(spark, base))["notifications"]
+    return _notified(AL.notifications(alerts_df(spark, base))["notifications"])
+
+
+def _notified(n):
     return n.select("anomaly_id", "tenant_id", "rule_id", F.unix_micros("ts").alias("ts_us"),
                     F.col("channel_no").cast("int").alias("channel_no"), "channel_type", "target", "payload")
 
 
+@register("e9_unsendable")
+def _e9u(spark, base):
+    """Rules whose channels are no list, lack an address or have no type; nothing else is lost."""
+    odd = MD.rules(spark).where("is_enabled and rule_type = 'ai_anomaly'").withColumn(
+        "channels", F.when(F.col("tenant_id") == "t0", "oops").when(F.col("tenant_id") == "t2", '[{"type":"slack"},{"url":"https://example.com"},{"type":"webhook","url":"https://example.com/ok"}]')
+        .otherwise('{"type":"slack","url":"https://example.com"}'))
+    out = AL.run_alerting(fx.anomalies(spark, base), odd)
+    sent, bad = out["notifications"].withColumn("reason", F.lit("sent")), out["notification_rejects"]
+    keys = ["tenant_id", "rule_id", F.col("channel_no").cast("int").alias("channel_no"), "channel_type", "reason"]
+    return sent.select(*keys).unionByName(bad.select(*keys)).groupBy("tenant_id", "rule_id", "channel_no", "channel_type", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("e1_tenant_ids")
+def _e1u(spark, base):
+    """Tenants as UUIDs in every accepted form and in broken ones: matches by tenant, rejects by reason."""
+    uuid = lambda c: F.concat(F.lit("00000000-0000-4000-8000-0000000000A"), F.substring(c, 2, 1))
+    an, u, n = fx.anomalies(spark, base), uuid("tenant_id"), F.col("anomaly_id") % 8
+    text = (F.when(n == 0, u).when(n == 1, F.lower(u)).when(n == 2, F.concat(F.lit("{"), u, F.lit("}"))).when(n == 3, F.concat(F.lit("urn:uuid:"), u))
+            .when(n == 4, F.replace(u, F.lit("-"))).when(n == 5, F.substring(u, 1, 35)).when(n == 6, ""))
+    out = AL.match_rules(an.withColumn("tenant_id", text), MD.rules(spark).withColumn("tenant_id", F.lower(uuid("tenant_id"))), validate_uuid=True)
+    told = lambda df, what: df.select("tenant_id", what.alias("what"))
+    return told(out["matches"], F.col("rule_id")).unionByName(told(out["rejects"], F.col("reason"))).groupBy("tenant_id", "what").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("e9_notification_rejects")
 def _e9r(spark, base):
     """Channels of unknown type are routed to a reject table."""
@@ -341,22 +378,26 @@ def _d6(spark, base):
 
 
 def _alert_flow(spark, base, forest=False):
-    an = anomaly_stream(spark, base, forest)
-    m = AL.match_rules(an, MD.rules(spark))["matches"]
-    return AL.open_incidents_from(AL.apply_cooldown(m))
+    return AL.run_alerting(anomaly_stream(spark, base, forest), MD.rules(spark))
 
 
 @register("e11_alert_flow")
 def _e11(spark, base):
     """Series → D4 detection → anomalies → rules → cooldown → incidents."""
-    return _alert_flow(spark, base).select("id", "tenant_id", "alert_rule_id", "title", "description", "severity",
-                                           "status", F.unix_micros("opened_at").alias("opened_at_us"))
+    return _alert_flow(spark, base)["incidents"].select("id", "tenant_id", "alert_rule_id", "title", "description", "severity",
+                                                        "status", F.unix_micros("opened_at").alias("opened_at_us"))
+
+
+@register("e11_notifications")
+def _e11n(spark, base):
+    """The notifications of the same flow."""
+    return _notified(_alert_flow(spark, base)["notifications"])
 
 
 @register("e11_alert_flow_iforest")
 def _e11f(spark, base):
     """E11 with the isolation forest (D3) as detector, scores to six digits."""
-    return _alert_flow(spark, base, forest=True).select(
+    return _alert_flow(spark, base, forest=True)["incidents"].select(
         "id", "tenant_id", "alert_rule_id", "title", "context", F.unix_micros("opened_at").alias("opened_at_us"))
 
 
@@ -383,18 +424,12 @@ def log_vectors(spark, base):
 
 @register("b8_vector_upsert")
 def _b8(spark, base):
-    """Keyed upsert of log-message vectors; a newer existing point wins."""
-    ev = flows.event_log_events(spark, base)
-    pts = VC.vector_points(ev.withColumn("_eid", F.lit(0)))
-    ids = fx.log_lines(spark, base).select("event_id", "tenant_id")
-    from ..operators.events import stable_uuid
-    ids = ids.select(stable_uuid(F.lit("log"), "tenant_id", "event_id").alias("id"), "event_id")
-    tagged = pts.join(ids, "id")
-    existing = (tagged.filter(F.col("event_id") % 3 == 0)
-                      .withColumn("message", F.upper("message"))
-                      .withColumn("timestamp", F.col("timestamp") + 60).drop("event_id"))
-    merged = VC.upsert_vectors(existing, pts)
-    return merged.select("id", "tenant_id", "message", "timestamp")
+    """Stored points of every third event, incoming ones of every second: the incoming one wins."""
+    lines = fx.log_lines(spark, base)
+    events = lambda every, lines: VC.vector_points(log_events(parse_logs(lines.where(F.col("event_id") % every == 0)), id_cols=("event_id",), ts_col="ts"))
+    old = events(3, lines.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE")).withColumn("raw", F.concat(F.lit("old "), F.col("event_id").cast("string"))))
+    merged = VC.upsert_vectors(old, events(2, lines))
+    return merged.select("id", "tenant_id", "message", "timestamp", F.size(F.filter("vector", lambda x: x != 0)).cast("bigint").alias("nnz"), _checksum().alias("checksum"))
 
 
 @register("c6_semantic_search")
@@ -558,6 +593,79 @@ def _b7(spark, base):
     return r.select("tenant_id", "timestamp", "level", "message")
 
 
+@register("b7_plan_days")
+def _b7p(spark, base):
+    """Days from the plan (7/30/365), one tenant with its own number, one of an unknown plan."""
+    import datetime as dt
+    t = MD.tenants(spark).withColumn("retention_days", F.when(F.col("id") == "t2", 12)).withColumn("plan", F.when(F.col("id") == "t4", "trial").otherwise(F.col("plan")))
+    r = ST.apply_plan_retention(flows.event_log_rows(spark, base), t, dt.datetime(2024, 2, 4))
+    return r.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("oldest"))
+
+
+@register("b10_purge_tables")
+def _b10t(spark, base):
+    """What every table keeps after the purge of t0 and t4."""
+    tables = {"tenants": MD.tenants(spark), "users": MD.users(spark), "alert_rules": MD.rules(spark), "incidents": incidents_df(spark, base)}
+    out = ST.purge_tenants(tables, spark.createDataFrame([("t0",), ("t4",)], "tenant_id STRING"))
+    rows = None
+    for name, df in out.items():
+        part = df.select(F.lit(name).alias("table_name"), (F.col("id") if name == "tenants" else F.col("tenant_id")).alias("tenant_id"), F.col("id").alias("row_id"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@register("c9_capped_limit")
+def _c9(spark, base):
+    """A limit of 100,000 comes down to the cap of 1,000."""
+    return Q.search_logs(flows.event_log_rows(spark, base), "t1", limit=100_000).select("timestamp", "level", "service", "message")
+
+
+# ------------------------------------------------------------------ every kind of signal
+@register("a13_signals")
+def _a13s(spark, base):
+    """Logs, metrics, traces and anomalies in one pass: signals by topic and tenant."""
+    from ..operators.events import signal_rows
+    rows = signal_rows(fx.signal_events(spark, base), fx.anomalies(spark, base))
+    return rows.groupBy("topic", F.col("key").alias("tenant_id")).agg(F.count(F.lit(1)).alias("signals"))
+
+
+@register("b2_metric_kinds")
+def _b2k(spark, base):
+    """B2: gauges, counters, histograms and summaries as metric rows."""
+    return metric_rows(fx.signal_events(spark, base))
+
+
+@register("b3_trace_rows")
+def _b3t(spark, base):
+    """Spans keep their own rows; logs and metrics drop out."""
+    from ..operators.rows import trace_rows
+    return trace_rows(fx.signal_events(spark, base))
+
+
+@register("a14_event_source")
+def _a14(spark, base):
+    """Events of every kind, and malformed lines, through JSON-lines segments and the event
+    source: what comes back, and the rejects with their reasons."""
+    import uuid
+    from ..session import checkpoint_dir
+    topic = f"{checkpoint_dir(spark)}/topic-{uuid.uuid4()}"
+    ev = fx.read_table(spark, base, "events").select("event_id")
+    bad = ev.where(F.col("event_id") % 50 == 0).select(F.concat(F.when(F.col("event_id") % 100 == 0, '{"id": oops ').otherwise('{"id":"x","n":'),
+                                                              F.col("event_id").cast("string"), F.when(F.col("event_id") % 100 == 0, "").otherwise("}")).alias("value"))
+    EIO.encode_events(fx.signal_events(spark, base)).select("value").unionByName(bad).write.text(topic)
+    got = EIO.read_events(spark, topic, fmt="signal_events", rejects=True)
+    p = F.col("payload")
+    v = p["metric"]["value"]
+    good = got["events"].select(
+        "id", "tenant_id", p["type"].alias("payload_type"), F.coalesce(v["kind"], p["log"]["level"], p["trace"]["status"]).alias("kind"),
+        F.coalesce(p["log"]["message"], p["metric"]["name"], p["trace"]["operation_name"]).alias("name"), F.coalesce(v["value"], v["sum"]).alias("value"),
+        F.coalesce(F.size(v["buckets"]), F.size(v["quantiles"]), F.lit(0)).cast("bigint").alias("parts"), F.unix_micros("timestamp").alias("ts_us"), F.lit("").alias("reason"))
+    rejects = got["rejects"].select(*[F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("tenant_id", "string"), ("payload_type", "string"), ("kind", "string"))],
+                                    F.col("value").cast("string").alias("name"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("bigint").alias("parts"),
+                                    F.lit(0).cast("bigint").alias("ts_us"), "reason")
+    return good.unionByName(rejects)
+
+
 @register("b10_purge_tenant")
 def _b10(spark, base):
     """Purge tenant t0 from incidents, users and rules with cascades."""
