@@ -21,7 +21,8 @@ from pyspark.sql.window import Window
 
 from ..constants import SEARCH_LIMIT
 from ..functions.vectors import dot, l2_norm, l2_normalize
-from ..plans.joins import broadcast_if_small, estimated_size_bytes
+from ..plans.joins import estimated_size_bytes
+from ..session import checkpoint_dir
 from .query import clamp_limit
 
 EMBED_DIM = 384
@@ -122,13 +123,27 @@ def semantic_search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, v
     its vectors against the queries of the same tenant, a matrix product for each
     Arrow batch, of which only the top-k per query go on to the final
     ``row_number() <= k``. Ties go by id. No (vector, query) pair rows
-    are ever materialised.
+    are ever materialised. A query set beyond ``max_query_bytes`` is cut by the hash of the query
+    into blocks below it; each is searched in a pass of its own over all vectors and its result
+    written to the checkpoint folder before the next one is broadcast.
     """
     qsize = estimated_size_bytes(queries)
-    if qsize is None or qsize >= 1 << 62:  # no estimate, as for rows made on the driver: measure
+    if qsize is None or qsize >= 1 << 62 or qsize > max_query_bytes:  # no estimate, or too large a one: measure
         qsize = queries.select(F.sum(F.size(query_vector_col)) * 8).first()[0] or 0
-    if qsize > max_query_bytes:
-        raise ValueError(f"query set too large to broadcast ({qsize} bytes); split it into batches")
+    if qsize <= max_query_bytes:
+        return _search_block(vectors, queries, k, vector_col, query_vector_col)[0]
+    checkpoint_dir(vectors.sparkSession)
+    blocks, out = -(-2 * qsize // max_query_bytes), None
+    for n in range(blocks):
+        found, sent = _search_block(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n), k, vector_col, query_vector_col)
+        found = found.checkpoint()
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search_block(vectors: DataFrame, queries: DataFrame, k: int, vector_col: str, query_vector_col: str):
+    """Top-k of a bounded set of queries, and the broadcast that holds them."""
     spark = vectors.sparkSession
     qb = queries.select("query_id", "tenant_id", query_vector_col).toPandas()  # bounded by the check above
     by_tenant = {}
@@ -162,7 +177,7 @@ def semantic_search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, v
     schema = "query_id STRING, tenant_id STRING, id STRING, score DOUBLE"
     part = vectors.select("id", "tenant_id", vector_col).mapInPandas(topk, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), bq
 
 
 def ann_index(vectors: DataFrame, vector_col: str = "vector", bucket_length: float = 0.5, tables: int = 8,

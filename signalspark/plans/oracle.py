@@ -623,6 +623,9 @@ sc AS (SELECT 'label-' || CAST(cn.label AS VARCHAR) AS query_id, 't' || CAST(cn.
 SELECT query_id, tenant_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5"""
 
+ORACLE["c8_ivf_all_cells"] = ORACLE["c7_semantic_search_batch"].rsplit("SELECT query_id", 1)[0] + """
+SELECT id, tenant_id, round(score, 6) AS score FROM sc WHERE query_id = 'label-0' ORDER BY sc.score DESC, id LIMIT 10"""
+
 
 # ---------------------------------------------------------------- insight
 SERVICES_CTE = ("svc AS (SELECT * FROM " + sql_values(

@@ -474,6 +474,34 @@ def _c8(spark, base):
     return r.select("id", "tenant_id", F.round("score", 6).alias("score"))
 
 
+@register("c8_ivf_all_cells")
+def _c8i(spark, base):
+    """The inverted-file index, searched in all cells: the exact top 10 of t0 for the label-0 centroid."""
+    import uuid
+    from ..operators.ivf import build_ivf
+    from ..session import checkpoint_dir
+    index = build_ivf(embedding_vectors(spark, base), f"{checkpoint_dir(spark)}/ivf-{uuid.uuid4()}")
+    q = label_centroids(spark, base).filter(F.col("query_id") == "label-0").first()["qvector"]
+    return index.search(q, 10, "t0", probes=len(index.centroids)).select("id", "tenant_id", F.round("score", 6).alias("score"))
+
+
+@register("c8_ivf_recall")
+def _c8r(spark, base):
+    """Recall of the index at its default probes for every label centroid in its tenant (k = 10)."""
+    import uuid
+    from ..operators.ivf import build_ivf
+    from ..session import checkpoint_dir
+    vecs, queries = embedding_vectors(spark, base), label_centroids(spark, base)
+    index = build_ivf(vecs, f"{checkpoint_dir(spark)}/ivf-{uuid.uuid4()}")
+    true = VC.semantic_search_batch(vecs, queries, k=10).select("query_id", "id")
+    found = None
+    for r in queries.collect():  # one query vector a label
+        got = index.search(r.qvector, 10, r.tenant_id).select(F.lit(r.query_id).alias("query_id"), "id")
+        found = got if found is None else found.unionByName(got)
+    hit = true.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return hit.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 # ------------------------------------------------------------------ insight
 from ..operators import insight as IN  # noqa: E402
 
