@@ -15,18 +15,19 @@ CHUNK_BYTES = 2 * 1024 * 1024
 U64 = np.uint64
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240229))
     values = rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+    cased = values.copy()
     values[65:91] = values[97:123]  # A-Z count as a-z
     space = np.ones(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = False
     alnum = np.zeros(256, bool)
     alnum[48:58] = alnum[65:91] = alnum[97:123] = alnum[128:] = True
-    return values, space, alnum, rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
+    return values, cased, space, alnum, rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
-_BYTE, SPACE_WORDS, ALNUM_WORDS, _STEP = _tables()
+_BYTE, _CASED, SPACE_WORDS, ALNUM_WORDS, _STEP = _tables()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,9 +66,9 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYT
 class Words:
     """The words of some texts: byte spans, 64-bit hashes and each text's range of words.
 
-    Hashes ignore the case of A-Z. ``first[i]:first[i + 1]`` are the words of text i."""
+    Hashes ignore the case of A-Z unless ``cased``. ``first[i]:first[i + 1]`` are the words of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cased: bool = False):
         n = len(data)
         inside = table[data]
         begin = np.zeros(n + 1, bool)
@@ -80,10 +81,10 @@ class Words:
         ends = np.flatnonzero(inside & (~goes_on | begin[1:])) + 1
         self.starts, self.ends = starts, ends
         self.first = np.searchsorted(starts, offsets)
-        self.hashes = self._hash(data, starts, ends)
+        self.hashes = self._hash(data, starts, ends, _CASED if cased else _BYTE)
 
     @staticmethod
-    def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
         if not len(starts):
             return np.zeros(0, U64)
         lengths = ends - starts
@@ -91,7 +92,7 @@ class Words:
         place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
         letters = data[place + np.repeat(starts, lengths)]
         powers = np.multiply.accumulate(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, U64))
-        sums = np.add.reduceat(_BYTE[letters] * powers[place], heads)
+        sums = np.add.reduceat(values[letters] * powers[place], heads)
         return mix(sums + lengths.astype(U64))
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -175,8 +175,7 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
     "op5_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_SPACE_WORDS.format("t")} AS ws FROM d),
-a AS (SELECT r, {_SPACE_WORDS.format(_LOWER.replace("text", "t"))} AS ws FROM d),
-g AS (SELECT r, unnest(range(1, len(ws) - 6)) AS p, unnest([array_to_string(ws[i:i + 7], ' ') FOR i IN range(1, len(ws) - 6)]) AS g FROM a WHERE len(ws) >= 8),
+g AS (SELECT r, unnest(range(1, len(ws) - 6)) AS p, unnest([array_to_string(ws[i:i + 7], ' ') FOR i IN range(1, len(ws) - 6)]) AS g FROM w WHERE len(ws) >= 8),
 f AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM f) GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
@@ -185,12 +184,13 @@ c AS (SELECT w.r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coale
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-x AS (SELECT *, [base_failed, n_words > 0 AND 100 * n_symbols > 30 * n_words, n_lines > 0 AND 100 * n_dup_lines > 50 * n_lines,
+x AS (SELECT *, [n_words > 0 AND 100 * n_symbols > 30 * n_words, n_lines > 0 AND 100 * n_dup_lines > 50 * n_lines,
   n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)] AS fails FROM b),
-h AS (SELECT source, rule, count(*) AS n, CAST(sum(CAST(fails[rule] AS INT)) AS DOUBLE) AS failed FROM x, range(1, 5) AS rules(rule) GROUP BY 1, 2),
+h AS (SELECT source, rule, count(*) AS n, CAST(sum(CAST(fails[rule] AS INT)) AS DOUBLE) AS failed FROM x, range(1, 4) AS rules(rule) GROUP BY 1, 2),
 m AS (SELECT rule, sum(failed) / sum(n) AS m, var_pop(failed / n) AS v0, avg(1.0 / n) AS noise FROM h GROUP BY rule),
 prior AS (SELECT rule, m, greatest(1.0, least(1000.0, m * (1 - m) / greatest(1e-6, v0 - m * (1 - m) * noise) - 1)) AS weight FROM m),
-bad AS (SELECT source, list(h.rule) AS rules FROM h JOIN prior USING (rule) WHERE (failed + m * weight) / (n + weight) > 0.5 GROUP BY source)
+post AS (SELECT source, rule, m, (failed + m * weight) / (n + weight) AS rate, n + weight + 1 AS seen FROM h JOIN prior USING (rule)),
+bad AS (SELECT source, list(rule) AS rules FROM post WHERE rate > 0 AND rate < 1 AND (rate - m) / sqrt(rate * (1 - rate) / seen) > 1.645 GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(list_bool_or([fails[i] FOR i IN rules]), false) AS kept
 FROM x LEFT JOIN bad ON bad.source IS NOT DISTINCT FROM x.source""",

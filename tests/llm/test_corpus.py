@@ -123,14 +123,26 @@ def test_quality(docs, empty):
     assert out.count() == docs.count() and quality.quality(empty).count() == 0
     for r in out.join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d")).collect():
         w = brute.SPACE_WORD.findall(r.text or "")
-        low = brute.SPACE_WORD.findall((r.text or "").translate(brute.LOW))
-        grams = [tuple(low[i:i + 8]) for i in range(len(low) - 7)]
+        grams = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
         hit = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 8)} if len(grams) < 900 else set()
         lines = [x for x in (r.text or "").split("\n") if brute.SPACE_WORD.search(x)]
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(hit))
         assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_quality_keeps_case_and_judges_hosts(spark):
+    words = [f"word{i}" for i in range(24)]
+    marked = " ".join(w + "###" for w in words)
+    rows = [(1, " ".join(words[:12]) + " " + " ".join(words[:12]).upper() + " a b c d e f g h", "h0")]
+    # host 0 is far worse than the others; a marked text goes there and stays elsewhere
+    rows += [(100 + 100 * h + i, marked if i < (60 if h == 0 else 2) else " ".join(words), f"h{h}") for h in range(6) for i in range(100)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].n_repeat_words == 0 and not got[1].base_failed and got[1].kept
+    assert sum(not r.kept for r in got.values()) == 60 and not got[100].kept and got[160].kept and got[200].kept
+    same = [(i, marked if i % 7 == 0 else " ".join(words), f"h{i % 4}") for i in range(4000)]
+    assert quality.quality(spark.createDataFrame(same, "doc_id long, text string, source string")).where("not kept").count() == 0
+
+
 def test_toxicity_learns_a_pair_of_terms(spark, empty):
     rng = random.Random(9)
     rows, labels = [], []
