@@ -3,9 +3,11 @@
 Base patterns find the credentials that label themselves (a key word before, a fixed prefix, a
 long hexadecimal run). A bounded sample of them, per kind, is the training set: its prefix tree
 is folded into a probabilistic automaton by merging statistically compatible states (ALERGIA,
-Carrasco and Oncina, 1994). A second automaton is learned from ordinary long tokens. Every long
-token of every text is then scored by its format likelihood under each grammar against the
-ordinary one, and what reads like a credential becomes a span beside the base ones.
+Carrasco and Oncina, 1994). A second automaton is learned from ordinary tokens. Every token of
+every text is then scored by its format likelihood under each grammar against the ordinary one,
+and what is a credential by far more likely, rare as credentials are, becomes a span beside the
+base ones. As the ordinary sample holds unlabelled secrets too, each half of it is judged by an
+automaton of the other half first, and what reads like a credential is left out.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import hashlib
 import heapq
 import math
 import re
+import string
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -31,18 +35,28 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
                     r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What may be a credential: a token of these characters, of at least so many.
-MIN_TOKEN = 16
+#: What may be a credential: a token of these characters, of at least so many (as base credentials).
+MIN_TOKEN = 6
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
 
-#: Credentials of a kind, and ordinary tokens, that training takes at most (least hashes first).
-SAMPLE = 2000
-#: Significance of ALERGIA's Hoeffding test, and characters of a token that training reads.
-ALPHA, DEPTH = 0.05, 64
-#: A token is a secret if its likelihood ratio exceeds so many nats per character ...
-MARGIN = 0.35
-#: ... and its own likelihood is within the range of so large a share of the kind's sample.
-SHARE = 0.99
+#: Credentials of a kind (distinct values), and occurrences of ordinary tokens, that training takes
+#: at most (least hashes first), and characters of them; a text offers every STRIDE-th token.
+SAMPLE, TRAIN_CHARS, STRIDE = 1000, 400_000, 61
+#: Significance of ALERGIA's Hoeffding test.
+ALPHA = 0.05
+#: A token is a secret if it is one with so much probability, given how rare credentials are among
+#: the corpus's tokens ...
+SURE = 0.99
+#: ... and its likelihood is typical of what the grammar makes: within so many standard deviations,
+#: to both sides. What is more regular than any credential (digits alone under a grammar of hex
+#: digits) is none.
+TYPICAL = 2.58
+#: Tokens per credential where no corpus was counted.
+RARITY = 1000.0
+
+# Character classes that the grammars read: digit, a-f, g-z, A-F, G-Z; a sign is its own class.
+_CLASSES = str.maketrans({c: k for k, cs in (("0", string.digits), ("a", "abcdef"), ("g", string.ascii_lowercase[6:]), ("A", "ABCDEF"), ("G", string.ascii_uppercase[6:]))
+                          for c in cs})
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,15 +69,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in found]
 
 
-def symbol(c: str) -> str:
-    """Character class that the grammars read: digit, a-f, g-z, A-F, G-Z, or the sign itself."""
-    if c.isdigit():
-        return "0"
-    if c.islower():
-        return "a" if c <= "f" else "g"
-    if c.isupper():
-        return "A" if c <= "F" else "G"
-    return c
+def shape(word: str) -> str:
+    """The classes of a word's characters; words of one shape score alike."""
+    return word.translate(_CLASSES)
 
 
 def learn(sample: list[str], alpha: float = ALPHA) -> tuple[list[dict], list[float]]:
@@ -74,7 +82,7 @@ def learn(sample: list[str], alpha: float = ALPHA) -> tuple[list[dict], list[flo
     for word in sorted(sample):
         s = 0
         arrive[0] += 1
-        for c in map(symbol, word[:DEPTH]):
+        for c in shape(word):
             if c not in kids[s]:
                 kids[s][c] = len(kids)
                 kids.append({})
@@ -139,35 +147,71 @@ def learn(sample: list[str], alpha: float = ALPHA) -> tuple[list[dict], list[flo
 
 
 def score(grammar: tuple[list[dict], list[float]], word: str) -> float:
-    """Log likelihood per character; a step that the grammar lacks costs as much as e ** -6 and
+    """Log likelihood per character, its end counting as one; a step that the grammar lacks costs as much as e ** -6 and
     leads back to its start."""
     states, ends = grammar
     s, total = 0, 0.0
-    for c in map(symbol, word):
+    for c in shape(word):
         to, p = states[s].get(c, (0, 0.0025))
         total += math.log(p)
         s = to
     return (total + math.log(ends[s])) / (len(word) + 1)
 
 
+def strangeness(grammar: tuple[list[dict], list[float]], word: str) -> float:
+    """How many standard deviations the log likelihood of a word's characters lies off what the
+    states on its way make on average, steps of under 1 % aside; one that the grammar lacks counts
+    as in ``score``."""
+    states, _ = grammar
+    s, off, spread = 0, 0.0, 1e-9
+    for c in shape(word):
+        ways = [p for _, p in states[s].values() if p >= 0.01]
+        mean = sum(p * math.log(p) for p in ways) / max(sum(ways), 1e-9)
+        spread += sum(p * (math.log(p) - mean) ** 2 for p in ways) / max(sum(ways), 1e-9)
+        to, p = states[s].get(c, (0, 0.0025))
+        off += math.log(p) - mean
+        s = to
+    return off / math.sqrt(spread) if abs(off) > 1e-6 else 0.0
+
+
+def _bounded(words: list[str]) -> list[str]:
+    """Words up to TRAIN_CHARS characters in all, whole ones."""
+    out, n = [], 0
+    for w in words:
+        n += len(w)
+        if n > TRAIN_CHARS and out:
+            break
+        out.append(w)
+    return out
+
+
 class Grammars:
-    """An automaton for each kind of credential and one for ordinary tokens."""
+    """An automaton for each kind of credential and one for ordinary tokens.
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.ordinary = learn(samples.get("ordinary", []) or ["word"])
+    ``samples``: words by kind, ``ordinary`` the occurrences of other tokens. ``rarity``: tokens per
+    credential in the corpus."""
+
+    def __init__(self, samples: dict[str, list[str]], rarity: float = RARITY):
+        self.evidence = math.log(max(rarity, 1.0)) + math.log(SURE / (1 - SURE))
         self.kinds = {}
         for kind in sorted(set(samples) - {"ordinary"}):
-            words = [w for w in samples[kind] if len(w) >= MIN_TOKEN]
+            words = _bounded([w for w in samples[kind] if len(w) >= MIN_TOKEN])
             if len(words) >= 20:
-                grammar = learn(words)
-                own = sorted(score(grammar, w) for w in words)
-                self.kinds[kind] = (grammar, own[int((1 - SHARE) * len(own))])
+                self.kinds[kind] = learn(words)
+        ordinary = _bounded(samples.get("ordinary", [])) or ["word"]
+        for _ in range(2):
+            halves = ordinary[::2], ordinary[1::2]
+            grammars = [learn(half or ["word"]) for half in halves]
+            ordinary = [w for n, half in enumerate(halves) for w in half if not self.reads(w, grammars[1 - n])] or ["word"]
+        self.ordinary = learn(ordinary)
+
+    def reads(self, word: str, plain: tuple[list[dict], list[float]]) -> bool:
+        """Whether a word reads like a credential of some kind rather than by the grammar ``plain``."""
+        usual = score(plain, word)
+        return any((score(g, word) - usual) * (len(word) + 1) >= self.evidence and abs(strangeness(g, word)) <= TYPICAL for g in self.kinds.values())
 
     def secret(self, word: str) -> bool:
-        if not any(c.isdigit() for c in word):
-            return False
-        plain = score(self.ordinary, word)
-        return any((s := score(g, word)) >= least and s - plain >= MARGIN for g, least in self.kinds.values())
+        return self.reads(word, self.ordinary)
 
 
 def _hash(word: str) -> int:
@@ -175,20 +219,22 @@ def _hash(word: str) -> int:
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to SAMPLE distinct values of each kind that a task sees, those of the least hashes."""
+    """Up to SAMPLE values of each kind that a task sees, those of the least hashes: distinct
+    credentials, occurrences of ordinary tokens; and how many of both there are (h null)."""
     heaps: dict[str, list] = defaultdict(list)
     held: dict[str, set] = defaultdict(set)
+    seen = Counter()
 
-    def offer(kind: str, word: str) -> None:
-        if word in held[kind]:
+    def offer(kind: str, word: str, h: int) -> None:
+        item = (-h, word)
+        if item in held[kind]:
             return
-        item = (-_hash(word), word)
         if len(heaps[kind]) < SAMPLE:
             heapq.heappush(heaps[kind], item)
-            held[kind].add(word)
+            held[kind].add(item)
         elif item > heaps[kind][0]:
-            held[kind].add(word)
-            held[kind].discard(heapq.heapreplace(heaps[kind], item)[1])
+            held[kind].add(item)
+            held[kind].discard(heapq.heapreplace(heaps[kind], item))
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
@@ -196,32 +242,49 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             for a, b, kind in spans:
                 word = text[a:b]
-                offer(kind, ASSIGN.match(word)[2] if kind == "assign" else word)
-            for m in TOKEN.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b, _ in spans):
-                    offer("ordinary", m[0])
-    rows = [(k, w, -h) for k, heap in heaps.items() for h, w in heap]
+                word = ASSIGN.match(word)[2] if kind == "assign" else word
+                offer(kind, word, _hash(word))
+            words = _free(text, spans) if spans else TOKEN.findall(text)
+            seen.update({"credentials": len(spans), "tokens": len(words)})
+            seed = zlib.crc32(text.encode())
+            for n in range(seed % STRIDE, len(words), STRIDE):
+                word = words[n][2] if spans else words[n]
+                offer("ordinary", word, zlib.crc32(word.encode(), seed + n & 0xFFFFFFFF))
+    rows = [(k, w, -h) for k, heap in heaps.items() for h, w in heap] + [(k, str(n), None) for k, n in seen.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in
                                       enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "word", "h"])
 
 
+def _free(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, token) of the tokens that no base span touches; both go by start."""
+    out, at, far = [], 0, 0
+    for m in TOKEN.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            far, at = max(far, spans[at][1]), at + 1
+        if far <= m.start():
+            out.append((m.start(), m.end(), m[0]))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch], grammars: Grammars) -> Iterator[pa.RecordBatch]:
     known: dict[str, bool] = {}
+
+    def secret(word: str) -> bool:
+        form = shape(word)
+        if form not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[form] = grammars.secret(word)
+        return known[form]
+
     for batch in batches:
         cols: list[list] = [[], [], [], [], []]
         for text in batch.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
-            more = []
-            for m in TOKEN.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b, _ in base):
-                    continue
-                if (word := m[0]) not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[word] = grammars.secret(word)
-                if known[word]:
-                    more.append((m.start(), m.end(), "grammar"))
+            # most texts hold no token of a credential's shape
+            some = grammars.kinds and any(map(secret, set(TOKEN.findall(text))))
+            more = [(a, b, "grammar") for a, b, word in _free(text, base) if secret(word)] if some else []
             n = Counter(k for _, _, k in base)
             said = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
             every = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]))))
@@ -233,14 +296,17 @@ def _scan(batches: Iterator[pa.RecordBatch], grammars: Grammars) -> Iterator[pa.
 
 
 def train(texts: DataFrame) -> Grammars:
-    """Grammars from a bounded sample: per kind the SAMPLE distinct values of the least hashes."""
+    """Grammars from a bounded sample: per kind the SAMPLE values of the least hashes; how rare
+    credentials are is counted over all tokens."""
+    found = texts.select("text").mapInArrow(_samples, "kind string, word string, h long").checkpoint()
+    counts = {r.kind: r.n for r in found.where("h is null").groupBy("kind").agg(F.sum(F.col("word").cast("long")).alias("n")).collect()}
     w = Window.partitionBy("kind").orderBy("h", "word")
-    rows = (texts.select("text").mapInArrow(_samples, "kind string, word string, h long").distinct()
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE).select("kind", "word").collect())
+    rows = (found.where("h is not null").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE)
+            .select("kind", "word", "rank").collect())
     samples: dict[str, list[str]] = defaultdict(list)
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r.kind, r["rank"])):
         samples[r.kind].append(r.word)
-    return Grammars(samples)
+    return Grammars(samples, counts.get("tokens", 0) / max(counts.get("credentials", 0), 1))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +315,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spans lists kind:start:end, comma-joined, by start and then by kind (KINDS order): all base
     spans, and as kind ``grammar`` the tokens outside them that a learned grammar accepts.
     Offsets count code points, the end is exclusive. A null or empty text has no span. With
-    fewer than 20 long credentials of a kind, no grammar of that kind is learned. Repeated rows
+    fewer than 20 credentials of a kind, no grammar of that kind is learned. Repeated rows
     stay rows of their own; other columns are ignored; an empty table gives an empty result.
     Two passes over whole texts, no shuffle but that of the bounded samples."""
     checkpoint_dir(docs.sparkSession)

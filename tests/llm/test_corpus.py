@@ -118,6 +118,34 @@ def test_grammar_learns_a_format():
     assert not any(g.secret(w) for w in ("internationalisation-2024", "a1" + "bcdefgh" * 4, "plainlowercasewords"))
 
 
+def test_unlabelled_secrets_beside_ordinary_words(spark):
+    """Secrets without a label stand in the same table that the ordinary sample is drawn from."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 18)))
+    make = lambda: "sk-" + "".join(rng.choice("0123456789ABCDEFGHIJ") for _ in range(28))
+    rows, planted = [], {}
+    for i in range(3000):
+        words = [word() for _ in range(30)]
+        if i % 8 == 0:
+            words.insert(7, f"token={make()}")
+        if i % 30 == 1:
+            planted[i] = make()
+            words.insert(9, planted[i])
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    texts = dict(rows)
+    found = {i: [texts[i][int(a):int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "grammar"] for i, r in got.items()}
+    assert sum(planted[i] in found[i] for i in planted) >= 0.95 * len(planted)
+    assert sum(w != planted.get(i) for i, ws in found.items() for w in ws) <= 3 and sum(r.n_assign for r in got.values()) == 375
+
+
+def test_free_tokens_touch_no_span():
+    text = "abcdef token=abcdefgh ijklmn 0123456789abcdef0123456789abcdef zzzzzz"
+    spans = secret_scan.base_spans(text)
+    want = [(m.start(), m.end(), m[0]) for m in secret_scan.TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+    assert secret_scan._free(text, spans) == want == [(0, 6, "abcdef"), (22, 28, "ijklmn"), (62, 68, "zzzzzz")]
+
+
 def test_quality(docs, empty):
     out = quality.quality(docs)
     assert out.count() == docs.count() and quality.quality(empty).count() == 0
