@@ -29,6 +29,15 @@ DEPTH_CELLS = 1 << 20
 DETECT_DDL = "anomaly_score DOUBLE, is_anomaly BOOLEAN, reason STRING"
 
 
+def recent_rows(metrics: DataFrame, n: int | None = None, keys=("tenant_id", "name"), ts: str = "timestamp", value: str = "value") -> DataFrame:
+    """D1 as rows: the newest ``n`` samples of every series (or all) with ``rank``, 1 the newest.
+
+    No series is gathered in one row; with an ``n`` each task cuts its part before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(value).desc())
+    out = metrics.select(*keys, ts, value).withColumn("rank", F.row_number().over(w))
+    return out if n is None else out.filter(F.col("rank") <= n)
+
+
 def recent_values(metrics: DataFrame, n: int | None = None, keys=("tenant_id", "name"),
                   ts: str = "timestamp", value: str = "value") -> DataFrame:
     """Per series all values, or the newest ``n``, as ``values`` (oldest → newest)."""

@@ -497,6 +497,10 @@ ORACLE["d4_detect_expected"] = with_(EV, METRICS, series_ctes()) + """
 SELECT tenant_id, name, day, CAST(n AS BIGINT) AS n_values, round(anomaly_score, 6) AS anomaly_score, is_anomaly, reason
 FROM det"""
 
+ORACLE["d1_recent_rows"] = with_(EV, METRICS) + """
+SELECT tenant_id, name, timestamp, value, CAST(row_number() OVER (PARTITION BY tenant_id, name ORDER BY timestamp DESC, value DESC) AS INTEGER) AS rank
+FROM metrics QUALIFY rank <= 20"""
+
 ANOM_FROM_DET = """an AS (
   SELECT tenant_id || '/' || name || '/' || CAST(day AS VARCHAR) || '/' || CAST(last_ts AS VARCHAR) AS anomaly_id,
          tenant_id, name AS metric_name, anomaly_score, make_timestamp(last_ts * 1000000) AS ts

@@ -68,18 +68,24 @@ def _segments(keys: pd.Series):
     """(start, end) index ranges of equal consecutive keys."""
     if len(keys) == 0:
         return []
-    change = keys.ne(keys.shift()).to_numpy()
-    starts = change.nonzero()[0].tolist()
+    codes, _ = pd.factorize(keys)  # all nulls are one key
+    starts = [0, *((codes[1:] != codes[:-1]).nonzero()[0] + 1).tolist()]
     ends = starts[1:] + [len(keys)]
     return list(zip(starts, ends))
 
 
+def _name(key) -> str:
+    """A key as text, null apart from any other."""
+    return "null" if pd.isna(key) else f"={key}"
+
+
 def ordered_scan(df: DataFrame, key: str, time_col: str, tiebreak: str, kernel: Kernel,
                  num_partitions: int | None = None) -> DataFrame:
     """Run ``kernel`` over ``df`` ordered by (``time_col``, ``tiebreak``) within ``key``.
 
     ``time_col`` must be integral (e.g. epoch microseconds). Returns every
-    input column plus the kernel's output columns.
+    input column plus the kernel's output columns. Rows of a null key follow one another as those
+    of any key.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -106,9 +112,9 @@ def ordered_scan(df: DataFrame, key: str, time_col: str, tiebreak: str, kernel:
         else:
             last_exit = None
         yield pd.DataFrame({
-            "_blk": [int(p["_blk"].iloc[0])], "first_key": [str(p[key].iloc[0])],
+            "_blk": [int(p["_blk"].iloc[0])], "first_key": [_name(p[key].iloc[0])],
             "first_t": [int(first[time_col].iloc[0])], "first_last_t": [int(first[time_col].iloc[-1])],
-            "fn": [json.dumps(fn)], "single": [len(segs) == 1], "last_key": [str(p[key].iloc[-1])],
+            "fn": [json.dumps(fn)], "single": [len(segs) == 1], "last_key": [_name(p[key].iloc[-1])],
             "last_t": [int(last[time_col].iloc[-1])], "last_exit": [json.dumps(last_exit)]})
 
     summaries = x.mapInPandas(summarise, SUMMARY_DDL)

@@ -338,6 +338,12 @@ def _d1(spark, base):
                                  ",").alias("values_cents"))
 
 
+@register("d1_recent_rows")
+def _d1r(spark, base):
+    """D1 as rows: the 20 newest samples of every (tenant, metric)."""
+    return DT.recent_rows(flows.event_metric_rows(spark, base), n=20)
+
+
 @register("d2_short_history")
 def _d2(spark, base):
     """Whole series of six hours; those of under 5 values score 0 with 'Insufficient history'."""

@@ -26,16 +26,22 @@ from .tables import start_table_writer  # noqa: F401
 IDLE_TTL_MS = 3600 * 1000
 
 
+def bucket_ttl_ms(capacity: int, refill: int, period_us: int) -> int | None:
+    """Milliseconds after which an idle bucket's state may go: None if it never fills up."""
+    return None if refill <= 0 else max(IDLE_TTL_MS, 2 * -(-capacity * period_us // (refill * 1000)))
+
+
 def admit_stream(requests: DataFrame, key: str = "tenant_id", ts: str = "ts", id_col: str = "event_id",
                  capacity: int = DEFAULT_ADMISSION_LIMIT, refill: int | None = None, period="1 second") -> DataFrame:
     """A10 (stream): token bucket per key with the bucket kept in the state store.
 
-    Idle state expires after an hour of processing time; a bucket idle for
-    longer than capacity/refill is full anyway, so expiry never changes a
-    decision when that refill time is under the TTL.
+    Idle state expires after the time in which an empty bucket fills up, twice over, and an hour
+    at least: a bucket that idle is full, as a new one is, so expiry changes no decision of a
+    stream that keeps up with its event time. A bucket that never refills never expires.
     """
     refill = capacity if refill is None else refill
     p_us = _period_us(period)
+    ttl = bucket_ttl_ms(capacity, refill, p_us)
     cap, rate, cost = capacity * p_us, refill, p_us
     x = requests.select(F.col(key).alias("_k"), F.unix_micros(F.col(ts)).alias("_t"),
                         F.col(id_col).alias("_id"), *[F.col(c) for c in requests.columns])
@@ -58,7 +64,8 @@ def admit_stream(requests: DataFrame, key: str = "tenant_id", ts: str = "ts", id
             last = int(t[i]) if last is None else max(last, int(t[i]))
             tok[i] = s
         state.update((int(s), int(last)))
-        state.setTimeoutDuration(IDLE_TTL_MS)
+        if ttl is not None:
+            state.setTimeoutDuration(ttl)
         out = pdf.drop(columns=["_k", "_t", "_id"]).copy()
         out["admitted"], out["tokens_units"] = adm, tok
         yield out

@@ -107,3 +107,18 @@ def test_channels_that_cannot_be_sent(spark):
     assert sorted((r.anomaly_id, r.channel_no, r.reason) for r in out["rejects"].collect()) == [
         (0, 1, "missing address"), (0, 2, "missing address"), (0, 3, "missing address"), (0, 4, "unknown channel type"), (0, 5, "unknown channel type"),
         (1, -1, "channels are no list"), (2, -1, "channels are no list")]
+
+
+def test_null_keys_are_one_key(spark):
+    from signalspark.operators.admission import admit
+    rows = [(i, None if i % 2 else "t", i * 1_000_000) for i in range(40)]
+    req = spark.createDataFrame(rows, "event_id long, tenant_id string, us long").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    got = {r.event_id: r.admitted for r in admit(req, capacity=2, refill=1, period="4 seconds", num_partitions=5).collect()}
+    want = {r.event_id: r.admitted for r in admit(req.fillna("x", ["tenant_id"]), capacity=2, refill=1, period="4 seconds", num_partitions=5).collect()}
+    assert got == want and 0 < sum(got.values()) < 40
+
+
+def test_bucket_state_outlives_its_refill():
+    from signalspark.streaming.jobs import IDLE_TTL_MS, bucket_ttl_ms
+    assert bucket_ttl_ms(1000, 1000, 1_000_000) == IDLE_TTL_MS
+    assert bucket_ttl_ms(4, 4, 7_200_000_000) == 14_400_000 and bucket_ttl_ms(10, 0, 1) is None

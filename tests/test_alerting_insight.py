@@ -31,7 +31,7 @@ def test_alert_text_and_notifications(spark):
                                "ts timestamp, context string")
     m = AL.match_rules(an, MD.rules(spark))["matches"]
     rows = {r.rule_id[-1]: r for r in m.collect()}
-    assert rows["1"].title == "Anomaly detected: High Anomaly Score"
+    assert rows["1"].title == "Anomaly detected: Out of band"
     assert rows["2"].description == "Metric: unknown"
     n = AL.notifications(m)["notifications"].collect()
     by = {(r.rule_id[-1], r.channel_type): json.loads(r.payload) for r in n}
