@@ -163,7 +163,7 @@ def line_dedup(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_deleted
     gone = (runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
             .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "runs"))
     names = [c for c in docs.columns if c not in counts]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("body"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("body"))
     joined = own.join(gone, own["id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64("body") == gone["gone_hash"]), "left")
     lines = (joined.withColumn("every", F.split(F.col("body"), "\n", -1))
              .withColumn("at", F.expr(f"filter(sequence(0, size(every) - 1), i -> {_blank('every[i]')} <> '')")))
