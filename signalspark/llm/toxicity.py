@@ -20,11 +20,15 @@ from signalspark.session import ship_package
 
 #: Labelled documents of each class that training takes at most (least hashes of the id first).
 TRAIN_ROWS = 10_000
-#: Hash buckets of terms; terms that the machine keeps at most; least |z| of a kept term.
+#: Hash buckets of terms; terms that the machine keeps at most by their own association with the
+#: label; least |z| of such a term.
 BUCKETS, TERMS, LEAST_Z = 1 << 20, 4096, 2.5
+#: Terms kept for their frequency alone, whatever their association: a term may matter only in pairs.
+#: Those of more than so large a share of the texts are in every pair and tell nothing.
+FREQUENT, USUAL = 256, 0.95
 #: Bytes of a word whose beginnings are terms too.
 STEMS = (4, 5, 6)
-RANK, EPOCHS, RATE, DECAY = 8, 12, 0.1, 1e-4
+RANK, EPOCHS, RATE, DECAY = 8, 20, 0.1, 1e-4
 
 
 def doc_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +145,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     k0, k1 = (float(min(rates[c], TRAIN_ROWS)) for c in (0, 1))
     z = ((F.log((F.col("n1") + 0.5) / (k1 - F.col("n1") + 0.5).cast("double")) - F.log((F.col("n0") + 0.5) / (k0 - F.col("n0") + 0.5)))
          / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
-    kept = counts.withColumn("z", F.abs(z)).orderBy(F.desc("z"), "term").limit(TERMS).where(F.col("z") >= LEAST_Z).select("term").collect()
+    share = (F.col("n0") / k0 + F.col("n1") / k1) / 2
+    told = counts.select("term", F.abs(z).alias("z"), share.alias("share"))
+    sure = told.orderBy(F.desc("z"), "term").limit(TERMS).where(F.col("z") >= LEAST_Z).select("term")
+    often = told.where(F.col("share") <= USUAL).orderBy(F.desc("share"), "term").limit(FREQUENT).select("term")
+    kept = sure.union(often).distinct().orderBy("term").collect()
     index = np.full(BUCKETS, -1, np.int32)
     index[[r.term for r in kept]] = np.arange(len(kept))
     data = rows.mapInArrow(partial(_kept_terms, index=index), "y int, terms array<int>").toArrow().combine_chunks()

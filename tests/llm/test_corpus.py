@@ -188,6 +188,31 @@ def test_toxicity_learns_a_pair_of_terms(spark, empty):
     assert {r.score for r in toxicity.toxicity(d, y.where("toxic = 0")).collect()} == {0.0} and toxicity.toxicity(empty, y).count() == 0
 
 
+def test_toxicity_learns_terms_that_matter_in_pairs_only(spark):
+    """Neither term says anything alone: the label is exactly one of the two."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice("lorem ipsum dolor sit amet elit sed".split()) for _ in range(12)] + ["insult"] * a + ["group"] * b
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    out = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(out[i].predicted, t) for i, t in labels if out[i].held_out]
+    assert sum(p == t for p, t in held) / len(held) > 0.9
+
+
+def test_machine_equals_plain_sum():
+    rng = np.random.default_rng(2)
+    m = toxicity.FactorizationMachine(12, rank=3)
+    m.w0, m.w, m.v = 0.3, rng.normal(size=12).astype(np.float32), rng.normal(size=(12, 3)).astype(np.float32)
+    texts = [[], [4], [0, 3, 7], list(range(12))]
+    rows = np.repeat(np.arange(4), [len(t) for t in texts])
+    got = m.logits(rows, np.concatenate([np.array(t, np.int64) for t in texts]), 4)
+    want = [m.w0 + sum(float(m.w[i]) for i in t) + sum(float(m.v[i] @ m.v[j]) for i in t for j in t if i < j) for t in texts]
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_passages(spark, docs, texts, empty):
     rows = suffix_dedup.repeated_passages(docs, 50).collect()
     words = {d: brute.SPACE_WORD.findall((t or "").translate(brute.LOW)) for d, t in texts if d is not None}
