@@ -2,8 +2,9 @@
 
 Only the suffixes that begin near a minimiser stay: of every WINDOW neighbouring K-grams of
 words the one of the least hash, so that a passage selects the same places wherever it stands.
-The suffixes are sorted by their next words, neighbours in that order are compared, and matches
-are extended left and right to the longest common passage.
+The suffixes are grouped by a hash of their next words, neighbours in a group (by document and
+place) are compared, and matches are extended left and right to the longest common passage. This
+is no order of suffixes: a group stands for all suffixes that agree in so many words.
 """
 
 from __future__ import annotations
