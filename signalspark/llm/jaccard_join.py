@@ -26,12 +26,12 @@ for a task is cut into tiles, and every pair of tiles is a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.llm.common import SPACE_WORDS, U64, Words, chunks, mix, shingle_sets, signed, small, text_bytes
@@ -48,6 +48,8 @@ LEAF, PIVOTS = 96, 6
 PEELS, MERGES = 2, 2
 #: Set ids that may be broadcast to pick out sets (8 bytes each).
 BROADCAST_IDS = 2_000_000
+#: More than the rings of sizes; a region's row bears size * RINGS + ring.
+RINGS = 128
 
 
 def rings(percent: int) -> list[tuple[int, int, int, int]]:
@@ -61,6 +63,33 @@ def rings(percent: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _of_ring(percent: int, ring: Column, value) -> Column:
+    return F.element_at(F.array(*[F.lit(value(*r)) for r in rings(percent)]), ring.cast("int") + 1)
+
+
+def _least_need(percent: int, ring: Column) -> Column:
+    """Regions that any two linked sets of a ring share at least."""
+    return _of_ring(percent, ring, lambda low, high, parts, spare: 1 + spare)
+
+
+def _pair_need(percent: int, ring: Column, a: Column, b: Column) -> Column:
+    """Regions of a ring that linked sets of at most a and b elements share at least: they differ in
+    at most (a + b) (100 - percent) / (100 + percent) elements, and so many parts at most are unequal."""
+    return (_of_ring(percent, ring, lambda low, high, parts, spare: parts - spare)
+            - F.floor((a + b) * (100 - percent) / F.lit(100 + percent)))
+
+
+def _own_need(percent: int, ring: Column, size: Column) -> Column:
+    """Regions of a ring that a set of at most ``size`` elements shares at least with any set it links with."""
+    most = F.least(_of_ring(percent, ring, lambda low, high, parts, spare: high), F.floor(size * 100 / F.lit(percent)))
+    return _pair_need(percent, ring, size, most)
+
+
+def _alike(percent: int, low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
+    """Whether sizes of the two ranges allow a link."""
+    return (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
+
+
 def set_id(s: np.ndarray) -> np.uint64:
     """Id of a sorted set of hashes: equal for equal sets, 0 for the empty one."""
     return U64(0) if not len(s) else mix(np.add.reduce(mix(s ^ U64(0xA5A5)), keepdims=True) + U64(len(s)))[0]
@@ -75,7 +104,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     for part, sets in _sets(batches, k):
         yield pa.RecordBatch.from_arrays([
             part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-            signed(np.array([set_id(s) for s in sets], U64))], ["doc_id", "n", "set_id"])
+            signed(np.array([set_id(s) for s in sets], U64)), part.column("th")], ["doc_id", "n", "set_id", "th"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -99,7 +128,7 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
     highs = np.array([b[1] for b in bands])
     cuts: dict[int, np.ndarray] = {}
     for _, sets in _sets(batches, k):
-        keys, ids, needs = [], [], []
+        keys, ids, needs, codes = [], [], [], []
         for s in sets:
             own = set_id(s)
             if not len(s) or own in done:
@@ -126,41 +155,47 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
                 keys.append(part)
                 ids.append(np.full(len(part), own, U64))
                 needs.append(np.full(len(part), 1 + spare, np.int32))
+                codes.append(np.full(len(part), len(s) * RINGS + r, np.int64))
         if len(done) > 1_000_000:
             done.clear()
         if keys:
             yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(np.concatenate(ids)),
-                                              pa.array(np.concatenate(needs))], ["region", "set_id", "need"])
+                                              pa.array(np.concatenate(needs)), pa.array(np.concatenate(codes))], ["region", "set_id", "need", "code"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def described(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, set_id) of every row of ``docs``."""
+    """(doc_id, n, set_id, th) of every row of ``docs``; th is a hash of the text."""
     ship_package(docs.sparkSession)
     t = _texts(docs, id_col, text_col)
     kind = t.schema["doc_id"].dataType.simpleString()
-    return t.mapInArrow(partial(_describe, k=k), f"doc_id {kind}, n long, set_id long")
+    return t.mapInArrow(partial(_describe, k=k), f"doc_id {kind}, n long, set_id long, th long")
 
 
 def _bodies(texts: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """Rows of ``wanted`` (set_id, ...) with the body of their set; copies of a set may give a
-    row several times, once for each task that holds one."""
-    every = texts.mapInArrow(partial(_contents, k=k), "set_id long, body binary")
-    return every.join(small(wanted, BROADCAST_IDS), "set_id")
+    """Rows of ``wanted`` (set_id, th, ...) with the body of their set; copies of a text may give a
+    row several times, once for each task that holds one. Only texts of a wanted hash are read into sets."""
+    held = texts.join(small(wanted.select("th").distinct(), BROADCAST_IDS), "th", "left_semi").select("doc_id", "text")
+    every = held.mapInArrow(partial(_contents, k=k), "set_id long, body binary")
+    return every.join(small(wanted.drop("th"), BROADCAST_IDS), "set_id")
 
 
 def _regions(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(region, set_id, need, pivot, second) of every member but the pivot, the least one, of each
-    region; second marks the least of them.
+    """(region, ring, set_id, size, pivot, pivot_size, second) of every member but the pivot, the least
+    one, of each region; second marks the least of them.
 
     The window streams a sorted region: it looks one row back and at the first, never at all."""
-    rows = texts.mapInArrow(partial(_parts, k=k, percent=percent), "region long, set_id long, need int")
+    rows = texts.select("doc_id", "text").mapInArrow(partial(_parts, k=k, percent=percent), "region long, set_id long, need int, code long").drop("need")
     w = Window.partitionBy("region").orderBy("set_id")
-    return (rows.withColumn("before", F.lag("set_id").over(w)).withColumn("pivot", F.first("set_id").over(w))
-            .where("set_id <> pivot and set_id <> before").withColumn("second", F.col("before") == F.col("pivot")).drop("before").checkpoint())
+    rows = (rows.withColumn("before", F.lag("set_id").over(w)).withColumn("pivot", F.first("set_id").over(w)).withColumn("lead", F.first("code").over(w))
+            .where("set_id <> pivot and set_id <> before"))
+    size = lambda c: F.floor(F.col(c) / RINGS)
+    return rows.select("region", (F.col("code") % RINGS).cast("int").alias("ring"), "set_id", size("code").alias("size"), "pivot",
+                       size("lead").alias("pivot_size"), (F.col("before") == F.col("pivot")).alias("second")).checkpoint()
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -249,115 +284,148 @@ def _tile(pdf: pd.DataFrame, percent: int, count: bool) -> pd.DataFrame:
 def _tiled(texts: DataFrame, k: int, percent: int, groups: DataFrame, sets: DataFrame, count: bool) -> DataFrame:
     """Runs ``_tile`` on groups (gid, set_id): as edges (a, b), or as counts (set_id, links).
 
-    sets: (set_id, n, copies). A group of more shingles than a tile holds is cut by hash into
+    sets: (set_id, n, copies, th). A group of more shingles than a tile holds is cut by hash into
     tiles; each pair of tiles, and each tile with itself, is one task."""
     rows = groups.join(sets, "set_id")
     cut = rows.groupBy("gid").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
     rows = rows.join(cut, "gid").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("set_id", "copies", "gid", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+    rows = rows.select("set_id", "th", "copies", "gid", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
                        (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("alone"))
     dealt = _bodies(texts, k, rows.checkpoint()).groupBy("gid", "i", "j")
     return dealt.applyInPandas(partial(_tile, percent=percent, count=count), "set_id long, links long" if count else "a long, b long")
 
 
-def _open_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` (region, need, unit, weak, ...) without the units that no stray pair can hold: its
-    units share ``need`` regions of several units with a weak one each. Exact at every round."""
+def _tiled_pairs(texts: DataFrame, k: int, percent: int, sides: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between the two sides of groups (gid, side: 0 or 1, set_id), tiles of one with tiles of the other."""
+    rows = sides.join(sets, "set_id")
+    cut = rows.groupBy("gid").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == x, F.col("n"))) / TILE)).cast("int").alias(f"tiles_{x}") for x in (0, 1)])
+    rows = rows.join(cut, "gid").withColumn("own", F.pmod(F.xxhash64("set_id"), F.when(F.col("side") == 0, F.col("tiles_0")).otherwise(F.col("tiles_1"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("tiles_1")).otherwise(F.col("tiles_0")) - 1)))
+    left = F.col("side") == 0
+    rows = rows.select("set_id", "th", "copies", "gid", F.when(left, F.col("own")).otherwise(F.col("other")).alias("i"),
+                       F.when(left, F.col("other")).otherwise(F.col("own")).alias("j"), "side", F.lit(False).alias("alone"))
+    dealt = _bodies(texts, k, rows.checkpoint()).groupBy("gid", "i", "j")
+    return dealt.applyInPandas(partial(_tile, percent=percent, count=False), "a long, b long")
+
+
+def _open_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (region, ring, unit, weak, high, ...) without the units that no stray pair can hold: its
+    units share regions of several units with a weak one each, as many as their greatest set needs.
+    Exact at every round."""
     for _ in range(PEELS):
         several = rows.groupBy("region").agg(F.max("weak").alias("any"), (F.min("unit") < F.max("unit")).alias("several"))
         rows = rows.join(several.where("any and several").select("region"), "region", "left_semi")
-        enough = rows.groupBy("unit", "need").agg(F.countDistinct("region").alias("n")).where("n >= need")
-        rows = rows.join(enough.select("unit", "need"), ["unit", "need"], "left_semi")
-    return rows.checkpoint()
+        enough = rows.groupBy("unit", "ring").agg(F.countDistinct("region").alias("n"), F.max("high").alias("high"))
+        enough = enough.where(F.col("n") >= _own_need(percent, F.col("ring"), F.col("high")))
+        rows = rows.join(enough.select("unit", "ring"), ["unit", "ring"], "left_semi").checkpoint()
+    return rows
 
 
-def _merge_units(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units, edges): each unit that shares ``need`` regions with a unit that leads them becomes
+def _merge_units(units: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(units, edges): each unit that shares enough regions with a unit that leads them becomes
     one with it; edges (a, b) tell which. Each row meets its region's leader only, never all."""
     degree = units.groupBy("unit").agg(F.count("*").alias("d"))
-    lead = units.join(degree, "unit").groupBy("region").agg(F.max(F.struct("d", "unit", "weak")).alias("lead"))
+    lead = units.join(degree, "unit").groupBy("region").agg(F.max(F.struct("d", "unit", "weak", "low", "high")).alias("lead"))
     near = (units.join(lead, "region").where("unit <> lead.unit and (weak or lead.weak)")
-            .groupBy("unit", "need", F.col("lead.unit").alias("leader")).agg(F.count("*").alias("n")).where("n >= need")
+            .groupBy("unit", "ring", F.col("lead.unit").alias("leader"))
+            .agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("lead.low").alias("lead_low"), F.max("lead.high").alias("lead_high"))
+            .where(_possible(percent, "low", "high", "lead_low", "lead_high", F.col("n")))
             .groupBy("unit").agg(F.max(F.struct("n", "leader")).alias("m")).select("unit", "m.leader").checkpoint())
     units = (units.join(near, "unit", "left").withColumn("unit", F.coalesce("leader", "unit"))
-             .groupBy("region", "need", "unit").agg(F.max("weak").alias("weak")))
+             .groupBy("region", "ring", "unit").agg(F.max("weak").alias("weak"), F.min("low").alias("low"), F.max("high").alias("high")))
     return units, near.select(F.col("unit").alias("a"), F.col("leader").alias("b"))
 
 
+def _possible(percent: int, low_a: str, high_a: str, low_b: str, high_b: str, n: Column) -> Column:
+    """Whether units with sets of such sizes may link if they share n regions of ``ring``."""
+    ends = [F.col(c) for c in (low_a, high_a, low_b, high_b)]
+    return _alike(percent, *ends) & (n >= _pair_need(percent, F.col("ring"), ends[1], ends[3]))
+
+
 def _met_in(rows: DataFrame, key: str) -> DataFrame:
     """Pairs of units of one key, with the other columns of both sides."""
     sides = [rows.select(key, *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != key]) for x in "ab"]
     return sides[0].join(sides[1], key).where("unit_a < unit_b")
 
 
-def _stray_groups(regions: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(gid, set_id): groups of the sets that may link though they share no group yet.
+def _stray_groups(regions: DataFrame, met: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets that may link though they share no group yet: groups (gid, set_id) whose sets may all
+    link, and groups (gid, side, set_id) of which those of one side may link with those of the other.
 
     In each region that such a pair shares, one of the two isn't in the group of the pivot, and
-    the pair shares ``need`` such regions. Sets of one main group have met, so main groups are
-    the units here; what two sets share, their units share. Units that share enough with the
-    leader of their regions become one (``_merge_units``), so that a large group of near copies
-    is few units, and only then are pairs of units listed. Where regions are still crowded, pairs
-    are listed by two crowded regions at once; a pair that is met in others and in no two crowded
-    ones may have one crowded region more."""
-    weak = met.where("n < need").select("pivot", "set_id", "need", F.lit(True).alias("weak"))
-    rows = regions.join(weak, ["pivot", "set_id", "need"], "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
+    the pair shares as many such regions as its sizes ask for. Sets of one main group have met, so
+    main groups are the units here; what two sets share, their units share. Units that share enough
+    with the leader of their regions become one (``_merge_units``), so that a large group of near
+    copies is few units, and only then are pairs of units listed, each to be met by itself. Where
+    regions are still crowded, pairs are listed by two crowded regions at once; a pair that is met in
+    others and in no two crowded ones may have one crowded region more."""
+    weak = met.where("not strong").select("pivot", "set_id", "ring", F.lit(True).alias("weak"))
+    rows = regions.join(weak, ["pivot", "set_id", "ring"], "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
     open_ = rows.groupBy("region").agg(F.max("weak").alias("any")).where("any")
     # each region's pivot is a member too: it comes with the second one
-    rows = rows.join(open_, "region", "left_semi").select("region", "need", F.expr(
-        "inline(if(second, array(named_struct('set_id', set_id, 'weak', weak), named_struct('set_id', pivot, 'weak', false)), "
-        "array(named_struct('set_id', set_id, 'weak', weak))))"))
-    strong = met.where("n >= need")
+    rows = rows.join(open_, "region", "left_semi").select("region", "ring", F.expr(
+        "inline(if(second, array(named_struct('set_id', set_id, 'size', size, 'weak', weak), named_struct('set_id', pivot, 'size', pivot_size, 'weak', false)), "
+        "array(named_struct('set_id', set_id, 'size', size, 'weak', weak))))")).checkpoint()
+    strong = met.where("strong")
     main = (strong.select("set_id", "pivot", "n").union(strong.select("pivot", "pivot", "n")).groupBy("set_id", "pivot").agg(F.sum("n").alias("n"))
             .groupBy("set_id").agg(F.max(F.struct("n", "pivot")).alias("m")).select("set_id", F.col("m.pivot").alias("main")))
     # first by sets: those of one root, or of too few open regions, are in no such pair
     rows = rows.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("unit", F.col("set_id"))
     several = rows.groupBy("region").agg((F.min(F.coalesce("root", "set_id")) < F.max(F.coalesce("root", "set_id"))).alias("several"))
-    rows = _open_rows(rows.join(several.where("several").select("region"), "region", "left_semi"))
+    rows = rows.join(several.where("several").select("region"), "region", "left_semi").drop("root")
+    rows = _open_rows(rows.withColumn("low", F.col("size")).withColumnRenamed("size", "high"), percent)
     rows = rows.join(main, "set_id", "left").withColumn("main", F.coalesce("main", "set_id")).checkpoint()
-    units, edges = rows.groupBy("region", "need", F.col("main").alias("unit")).agg(F.max("weak").alias("weak")), []
+    ranges = F.max("weak").alias("weak"), F.min("low").alias("low"), F.max("high").alias("high")
+    units, edges = rows.groupBy("region", "ring", F.col("main").alias("unit")).agg(*ranges), []
     for _ in range(MERGES):
-        units, merged = _merge_units(_open_rows(units))
+        units, merged = _merge_units(_open_rows(units, percent), percent)
         edges.append(merged)
-    units = _open_rows(units)
+    units = _open_rows(units, percent)
     units = units.join(units.groupBy("region").agg(F.count("*").alias("members")), "region")
-    units = units.withColumn("crowded", (F.col("members") > CROWDED) & (F.col("need") > 1)).checkpoint()
-    crowds = units.where("crowded").groupBy("unit", "need").agg(F.count("*").alias("crowds"))
-    few = units.where("not crowded").join(crowds, ["unit", "need"], "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
-    ends = [F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), F.col("need_a").alias("need")]
-    pairs = (_met_in(few.select("region", "need", "unit", "weak", "crowds"), "region").where("weak_a or weak_b")
-             .groupBy(*ends).agg(F.count("*").alias("n"), F.max(F.least("crowds_a", "crowds_b", F.lit(1))).alias("more")))
-    own = units.where("crowded").groupBy("unit", "need").agg(F.sort_array(F.collect_set("region")).alias("rs"))
-    twice = own.select("unit", "need", F.expr(
+    units = units.withColumn("crowded", (F.col("members") > CROWDED) & (_least_need(percent, F.col("ring")) > 1)).checkpoint()
+    crowds = units.where("crowded").groupBy("unit", "ring").agg(F.count("*").alias("crowds"))
+    few = units.where("not crowded").join(crowds, ["unit", "ring"], "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
+    ends = [F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), F.col("ring_a").alias("ring")]
+    spans = [f(f"{c}_{x}").alias(f"{c}_{x}") for x in "ab" for c, f in (("low", F.min), ("high", F.max))]
+    alike = _alike(percent, *[F.col(c) for c in ("low_a", "high_a", "low_b", "high_b")])
+    pairs = (_met_in(few.select("region", "ring", "unit", "weak", "low", "high", "crowds"), "region").where("weak_a or weak_b").where(alike)
+             .groupBy(*ends).agg(F.count("*").alias("n"), F.max(F.least("crowds_a", "crowds_b", F.lit(1))).alias("more"), *spans))
+    own = units.where("crowded").groupBy("unit", "ring").agg(F.sort_array(F.collect_set("region")).alias("rs"), *ranges[1:])
+    twice = own.select("unit", "ring", "low", "high", F.expr(
         "explode(flatten(transform(rs, (x, i) -> transform(slice(rs, i + 2, size(rs)), y -> xxhash64(x, y)))))").alias("both"))
     # k common crowded regions are met k (k - 1) / 2 times
-    again = (_met_in(twice, "both").groupBy(*ends).agg(F.count("*").alias("met"))
-             .select("a", "b", "need", F.lit(0).alias("n"), F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).alias("more")))
-    pairs = pairs.union(again).groupBy("a", "b", "need").agg(F.sum("n").alias("n"), F.max("more").alias("more")).where("n + more >= need")
-    joined = pairs.select("a", "b")
+    again = (_met_in(twice, "both").where(alike).groupBy(*ends).agg(F.count("*").alias("met"), *spans)
+             .select("a", "b", "ring", F.lit(0).alias("n"), F.round((1 + F.sqrt(1 + 8 * F.col("met"))) / 2).alias("more"), "low_a", "high_a", "low_b", "high_b"))
+    pairs = (pairs.unionByName(again).groupBy("a", "b", "ring").agg(F.sum("n").alias("n"), F.max("more").alias("more"), *spans)
+             .where(_possible(percent, "low_a", "high_a", "low_b", "high_b", F.col("n") + F.col("more"))).select("a", "b").distinct())
+    members = rows.select("set_id", F.col("main").alias("unit")).distinct()
+    joined = reduce(DataFrame.union, edges)
+    within = members.join(connected_components(joined), F.col("unit") == F.col("id")).select(F.col("root").alias("gid"), "set_id").distinct()
     for merged in edges:
-        joined = joined.union(merged)
-    group = connected_components(joined)
-    return rows.select("set_id", "main").distinct().join(group, F.col("main") == F.col("id")).select(F.col("root").alias("gid"), "set_id").distinct()
+        members = members.join(merged, F.col("unit") == F.col("a"), "left").select("set_id", F.coalesce("b", "unit").alias("unit"))
+    members, pairs = members.distinct().checkpoint(), pairs.checkpoint()
+    left = pairs.select(F.col("a").alias("gid"), F.col("a").alias("unit"), F.lit(0).alias("side")).distinct()
+    right = pairs.select(F.col("a").alias("gid"), F.col("b").alias("unit"), F.lit(1).alias("side"))
+    return within.checkpoint(), left.union(right).join(members, "unit").select("gid", "side", "set_id").checkpoint()
 
 
 def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, root) of all sets that link with another, by distinct set ids. sets: (set_id, n, copies)."""
+    """(id, root) of all sets that link with another, by distinct set ids. sets: (set_id, n, copies, th)."""
     checkpoint_dir(docs.sparkSession)
     ship_package(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     regions = _regions(texts, k, percent)
-    met = regions.groupBy("pivot", "set_id", "need").agg(F.count("*").alias("n")).checkpoint()
-    strong = met.where("n >= need").select(F.col("pivot").alias("gid"), "set_id")
+    met = regions.groupBy("pivot", "set_id", "ring", "size", "pivot_size").agg(F.count("*").alias("n"))
+    met = met.withColumn("strong", _possible(percent, "size", "size", "pivot_size", "pivot_size", F.col("n"))).checkpoint()
+    strong = met.where("strong").select(F.col("pivot").alias("gid"), "set_id")
     strong = strong.union(strong.select("gid", F.col("gid"))).distinct()
     edges = _tiled(texts, k, percent, strong, sets, count=False).checkpoint()
     roots = connected_components(edges).checkpoint()
-    stray = _stray_groups(regions, met, roots).checkpoint()
-    if stray.isEmpty():
-        return roots
-    more = _tiled(texts, k, percent, stray, sets, count=False)
-    return connected_components(edges.union(more)).checkpoint()
+    within, between = _stray_groups(regions, met, roots, percent)
+    more = [_tiled(texts, k, percent, within, sets, count=False)] * (not within.isEmpty())
+    more += [_tiled_pairs(texts, k, percent, between, sets)] * (not between.isEmpty())
+    return connected_components(reduce(DataFrame.union, more, edges)).checkpoint() if more else roots
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -378,7 +446,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     checkpoint_dir(docs.sparkSession)
     rows = described(docs, k, id_col, text_col).checkpoint()
     full = rows.where("n > 0")
-    sets = full.groupBy("set_id").agg(F.max("n").alias("n"), F.count("*").alias("copies")).checkpoint()
+    sets = full.groupBy("set_id").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("th").alias("th")).checkpoint()
     roots = join_sets(docs, k, percent, sets, id_col, text_col)
     named = roots.withColumnRenamed("id", "set_id")
     per_set = sets.join(named, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

@@ -79,3 +79,21 @@ def test_components_of_merged_parts(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in root)
     text = components.connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"))
     assert {tuple(r) for r in text.collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_texts_of_one_template_are_not_all_compared(spark, monkeypatch):
+    """Texts that share half of their words with all others, but link with none, are told apart by
+    the regions that they share; before, they formed one group in which all pairs were compared."""
+    from signalspark.llm import jaccard_join
+    dealt = []
+    plain, sided = jaccard_join._tiled, getattr(jaccard_join, "_tiled_pairs", None)
+    monkeypatch.setattr(jaccard_join, "_tiled", lambda texts, k, percent, groups, sets, count: (dealt.append(groups.count()), plain(texts, k, percent, groups, sets, count))[1])
+    if sided:
+        monkeypatch.setattr(jaccard_join, "_tiled_pairs", lambda texts, k, percent, sides, sets: (dealt.append(sides.count()), sided(texts, k, percent, sides, sets))[1])
+    common = " ".join(f"c{i}" for i in range(200))
+    rows = [(i, common + " " + " ".join(f"w{i}.{j}" for j in range(100 + i % 7))) for i in range(80)]
+    rows += [(100 + i, " ".join(f"n{j}" if j != 40 * i else "x" for j in range(300))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs, 5, 80, links=False).collect()}
+    assert got == {i: 100 if i >= 100 else i for i, _ in rows}
+    assert sum(dealt) < 40
