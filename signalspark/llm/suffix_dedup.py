@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import SPACE_WORDS, U64, Words, chunks, signed, small, text_bytes
+from signalspark.llm.common import CHUNK_BYTES, SPACE_WORDS, U64, Words, chunks, signed, small, text_bytes
 from signalspark.session import checkpoint_dir, ship_package
 
 #: Words of a K-gram; neighbouring K-grams of which one is selected.
@@ -68,19 +68,42 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, body): a body is the size of the text in UTF-8 (8 bytes), then the text compressed, some
+    two bytes a word where word hashes take eight."""
+    codec = pa.Codec("zstd")
     for part in chunks(batches, "text"):
-        words = Words(*text_bytes(part.column("text")), SPACE_WORDS)
-        rows = [words.hashes[a:b].tobytes() for a, b in zip(words.first, words.first[1:], strict=False)]
+        data, offsets = text_bytes(part.column("text"))
+        raw, sizes = data.tobytes(), np.diff(offsets)
+        rows = [n.tobytes() + codec.compress(raw[a:a + int(n)], asbytes=True) for a, n in zip(offsets.tolist(), sizes.astype(np.int64), strict=False)]
         yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(rows, pa.binary())], ["doc", "body"])
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
+    """Batches in steps of some CHUNK_BYTES of text, with the word hashes of each body of ``columns``."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        rows = [batch.column(c).to_pylist() for c in columns]
+        sizes = [[int.from_bytes(b[:8], "little") for b in r] for r in rows]
+        step = np.cumsum([sum(n) for n in zip(*sizes, strict=True)]) // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            out = []
+            for r, n in zip(rows, sizes, strict=True):
+                raw = b"".join(codec.decompress(memoryview(b)[8:], m, asbytes=True) if m else b"" for b, m in zip(r[lo:hi], n[lo:hi], strict=True))
+                words = Words(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(n[lo:hi])]), SPACE_WORDS)
+                out.append([words.hashes[a:b] for a, b in zip(words.first, words.first[1:], strict=False)])
+            yield batch.slice(lo, hi - lo), out
+
+
 def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the passages of min_words words around the suffixes that have a neighbour."""
-    for batch in batches:
+    for batch, (bodies,) in _unpacked(batches, "body"):
         keys, owners, starts = [], [], []
-        for doc, body, ats in zip(batch.column("doc").to_pylist(), batch.column("body"), batch.column("ats").to_pylist(), strict=True):
+        for doc, body, ats in zip(batch.column("doc").to_pylist(), bodies, batch.column("ats").to_pylist(), strict=True):
             words = object.__new__(Words)
-            words.hashes = np.frombuffer(body.as_buffer(), U64)
+            words.hashes = body
             words.first = np.array([0, len(words.hashes)])
             at, h = words.windows(min_words)
             near = np.unique(np.asarray(ats)[:, None] - np.arange(WINDOW))
@@ -94,11 +117,9 @@ def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 
 def _extend(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, (mine, theirs) in _unpacked(batches, "mine", "theirs"):
         out: list[list[int]] = [[], [], [], [], []]
-        for a, b, shift, ats, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc", "other", "shift", "ats")),
-                                          batch.column("mine"), batch.column("theirs"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+        for a, b, shift, ats, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc", "other", "shift", "ats")), mine, theirs, strict=True):
             # along the diagonal, equal stretches are the longest common passages
             lo, hi = max(0, shift), min(len(x), len(y) + shift)
             same = np.concatenate([[False], x[lo:hi] == y[lo - shift:hi - shift], [False]])
@@ -138,11 +159,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     near = (beside(rows).where((F.col("before") != own) | (F.col("after") != own))
             .groupBy("doc").agg(F.collect_set("at").alias("ats")).checkpoint())
     bodies = (texts.select("doc", "text").join(small(near.select("doc"), BROADCAST_IDS), "doc", "left_semi")
-              .mapInArrow(_bodies, "doc long, body binary").groupBy("doc").agg(F.min("body").alias("body")).checkpoint())
-    whole = bodies.join(near, "doc").mapInArrow(partial(_passages, min_words=min_words), "key long, doc long, at int")
+              .mapInArrow(_bodies, "doc long, body binary").groupBy("doc").agg(F.min("body").alias("body")).join(near, "doc").checkpoint())
+    whole = bodies.mapInArrow(partial(_passages, min_words=min_words), "key long, doc long, at int")
     pairs = (beside(whole).where(F.col("before") != own)
              .groupBy("doc", F.col("before.doc").alias("other"), (F.col("at") - F.col("before.at")).alias("shift"))
-             .agg(F.collect_set("at").alias("ats")))
+             .agg(F.collect_set("at").alias("ats")).checkpoint())
+    paired = pairs.select("doc").union(pairs.select("other")).distinct()
+    bodies = bodies.select("doc", "body").join(small(paired, BROADCAST_IDS), "doc", "left_semi")
     both = (pairs.join(bodies.withColumnRenamed("body", "mine"), "doc")
             .join(bodies.select(F.col("doc").alias("other"), F.col("body").alias("theirs")), "other"))
     runs = both.mapInArrow(partial(_extend, min_words=min_words), "doc long, other long, start int, other_start int, n_words int")
