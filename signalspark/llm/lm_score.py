@@ -7,7 +7,7 @@ score is the mean, over its words, of target loss less background loss.
 
 No table of the models is ever in one place. Every word of every text is dealt to a bucket by
 its hash, with the word before it; a bucket so holds all that is counted for its words, and sums
-the losses of each text there. A word of more than an eighth of an even bucket is dealt by its
+the losses of each text there, part by part of its words. A word of more than an eighth of an even bucket is dealt by its
 pairs, and a pair of so many goes anywhere: their counts are made first, as a table that has at
 most some eight rows a bucket. Losses are summed as whole numbers, so order changes nothing.
 """
@@ -31,10 +31,11 @@ BACKOFF = 50.0
 HELD = 1_000_000
 #: Labels that may be broadcast.
 BROADCAST_LABELS = 2_000_000
-#: Words of an even bucket (some 100 bytes each in a task), and bytes of text taken for one word.
-BUCKET, WORD_BYTES = 1_000_000, 7
+#: Words of an even bucket (some 10 bytes each in a task), of a part of it that is summed at a time
+#: (some 100 bytes each), and bytes of text taken for one word.
+BUCKET, PART, WORD_BYTES = 8_000_000, 1_000_000, 7
 #: Bytes of text that a task deals out at once.
-DEALT_BYTES = 3 * 1024 * 1024
+DEALT_BYTES = 6 * 1024 * 1024
 #: Units of a summed loss in a nat.
 UNIT = 2.0**30
 #: Stand for the place before a text's first word, and after its last.
@@ -170,16 +171,44 @@ def _deal(batches: Iterator[pa.RecordBatch], heavy: Heavy) -> Iterator[pa.Record
 
 
 def _bucket_losses(table: pa.Table, heavy: Heavy) -> pa.Table:
-    """(key, n, t, b): words of each text in a bucket, and the sums of both losses in units."""
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    last = read("last", bool)
-    w, v = [], []
-    for some, mine, prior, flags in zip(read("words", U64), table.column("word").to_pylist(), table.column("before").to_pylist(), last, strict=True):
+    """(key, n, t, b): words of each text in a bucket, and the sums of both losses in units.
+
+    A bucket is summed in parts by the hash of the word, each of about PART words: what is counted
+    for a word is counted in its part, and only sums by text outlive it."""
+    blobs = list(zip(*(table.column(c).to_pylist() for c in table.column_names if c != "bucket"), strict=True))
+    parts = sum(len(b[-1]) for b in blobs) // PART + 1
+    done: list[list[np.ndarray]] = [[], [], [], []]
+    for n in range(parts):
+        for column, x in zip(done, _part_losses(blobs, heavy, n, parts), strict=True):
+            column.append(x)
+    texts, *sums = (np.concatenate(x) for x in done)
+    return pa.table(_by_text(texts, *sums), ["key", "n", "t", "b"])
+
+
+def _by_text(texts: np.ndarray, *sums: np.ndarray) -> list[np.ndarray]:
+    by = np.argsort(texts, kind="stable")
+    begin = np.flatnonzero(np.concatenate([np.ones(min(len(by), 1), bool), texts[by][1:] != texts[by][:-1]]))
+    if not len(begin):
+        return [texts, *sums]
+    return [texts[by][begin], *(np.add.reduceat(x[by], begin) for x in sums)]
+
+
+def _part_losses(blobs: list[tuple], heavy: Heavy, part: int, parts: int) -> list[np.ndarray]:
+    """Texts, and for each the words of the part and the sums of both losses."""
+    w, v, last, target, texts = [], [], [], [], []
+    for keys, sizes, some, mine, prior, flags in blobs:
+        some, flags, sizes = np.frombuffer(some, U64), np.frombuffer(flags, bool), np.frombuffer(sizes, np.int64)
         kind = np.uint16 if len(mine) == 2 * len(flags) else np.uint32
-        w.append(some[np.frombuffer(mine, kind)])
-        v.append(some[np.frombuffer(prior, kind)])
-    w, v, last, sizes = np.concatenate(w), np.concatenate(v), np.concatenate(last), np.concatenate(read("sizes", np.int64))
-    target, texts = np.repeat(sizes & 1, sizes >> 1), np.repeat(np.concatenate(read("texts", U64)), sizes >> 1)
+        word, owner = np.frombuffer(mine, kind), np.repeat(np.arange(len(sizes)), sizes >> 1)
+        here = np.flatnonzero((mix(some + U64(0x3C6E)) % U64(parts) == U64(part))[word])
+        w.append(some[word[here]])
+        v.append(some[np.frombuffer(prior, kind)[here]])
+        last.append(flags[here])
+        target.append(sizes[owner[here]] & 1)
+        texts.append(np.frombuffer(keys, np.int64)[owner[here]])
+    w, v, last, target, texts = (np.concatenate(x) for x in (w, v, last, target, texts))
+    if not len(w):
+        return [np.zeros(0, np.int64)] * 4
     pairs, pair = np.unique(_pair(v, w), return_inverse=True)
     words, word = np.unique(w, return_inverse=True)
     head = v == HEAD
@@ -200,17 +229,15 @@ def _bucket_losses(table: pa.Table, heavy: Heavy) -> pa.Table:
         after = np.log((single - ended) * heavy.scale[c] + BACKOFF)  # the part of the next word's loss that is this word's
         loss = np.where(head, -np.log(p)[word], -np.log(joint[pair] * heavy.scale[c] + BACKOFF * p[word])) + np.where(last, 0, after[word])
         sums.append(np.rint(loss * UNIT).astype(np.int64))
-    by = np.argsort(texts, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], texts[by][1:] != texts[by][:-1]]))
-    return pa.table([pa.array(texts[by][begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(by)))),
-                     *(pa.array(np.add.reduceat(x[by], begin)) for x in sums)], ["key", "n", "t", "b"])
+    return _by_text(texts, np.ones(len(texts), np.int64), *sums)
 
 
 def lm_heavy(rows: DataFrame) -> Heavy:
     """From rows (text, target: 1 or 0). All texts are counted, in Spark; only totals and the
     counts of n-grams of more than an eighth of an even bucket reach the driver."""
     size = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / WORD_BYTES
-    buckets = max(int(size / BUCKET) + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # more buckets than the cores ask for would cut texts and shared words into more rows than they need
+    buckets = max(int(size / BUCKET) + 1, rows.sparkSession.sparkContext.defaultParallelism)
     limit = size / (8 * buckets)
     summed = lambda x: x.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     words = summed(rows.mapInArrow(_count_words, "key long, t long, b long"))

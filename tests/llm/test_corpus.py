@@ -341,3 +341,29 @@ def test_linked_sets_share_enough_regions(percent, less, more):
     ids = np.array([jaccard_join.set_id(s) for s in jaccard_join.shingle_sets(words, 1)], np.uint64).view(np.int64).tolist()
     lost = [i for i in range(n) if not any(len(a & regions[ids[2 * i + 1]].get(need, set())) >= need for need, a in regions[ids[2 * i]].items())]
     assert not lost
+
+
+def test_bodies_take_less_than_hashes():
+    """Texts travel compressed, in fewer bytes than eight a word, and read back as the same words."""
+    texts = [None, "", "one", " ".join(f"some words of text {i % 50}" for i in range(2000))]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc", "text"])
+    bodies = list(suffix_dedup._bodies(iter([rows])))
+    assert sum(len(b) for out in bodies for b in out.column("body").to_pylist()) < 8 * 10_001 / 4
+    read = [h.tolist() for _, (column,) in suffix_dedup._unpacked(iter(bodies), "body") for h in column]
+    words = suffix_dedup.Words(*suffix_dedup.text_bytes(pa.array(texts)), suffix_dedup.SPACE_WORDS)
+    assert read == [words.hashes[a:b].tolist() for a, b in zip(words.first, words.first[1:], strict=False)]
+
+
+def test_lm_parts_of_a_bucket(spark, docs, monkeypatch):
+    """Buckets follow the words and the cores, not the shuffle partitions; their parts change no sum."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    score = lambda: sorted(((r.doc_id, r.n_words, r.score) for r in lm_score.lm_score(docs, labels).collect()), key=key)
+    whole = score()
+    monkeypatch.setattr(lm_score, "PART", 300)
+    assert score() == whole
+    spark.conf.set("spark.sql.shuffle.partitions", (before := spark.conf.get("spark.sql.shuffle.partitions")) + "0")
+    try:
+        rows = docs.selectExpr("text", "xxhash64(text) as key", "1 as target")
+        assert lm_score.lm_heavy(rows).buckets <= max(2, spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
