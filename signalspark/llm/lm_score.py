@@ -7,7 +7,8 @@ score is the mean, over its words, of target loss less background loss.
 
 No table of the models is ever in one place. Every word of every text is dealt to a bucket by
 its hash, with the word before it; a bucket so holds all that is counted for its words, and sums
-the losses of each text there, part by part of its words. A word of more than an eighth of an even bucket is dealt by its
+the losses of each text there, part by part of its words; a task takes several buckets, one after
+the other, and hands on one sum a text for all of them. A word of more than an eighth of an even bucket is dealt by its
 pairs, and a pair of so many goes anywhere: their counts are made first, as a table that has at
 most some eight rows a bucket. Losses are summed as whole numbers, so order changes nothing.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,11 @@ HELD = 1_000_000
 BROADCAST_LABELS = 2_000_000
 #: Words of an even bucket (some 10 bytes each in a task), of a part of it that is summed at a time
 #: (some 100 bytes each), and bytes of text taken for one word.
-BUCKET, PART, WORD_BYTES = 8_000_000, 1_000_000, 7
-#: Bytes of text that a task deals out at once.
-DEALT_BYTES = 6 * 1024 * 1024
+BUCKET, PART, WORD_BYTES = 4_000_000, 500_000, 7
+#: Buckets of a task, if there are more than cores.
+BUCKETS_OF_TASK = 8
+#: Bytes of text that a task deals out at once (some 25 bytes each).
+DEALT_BYTES = 4 * 1024 * 1024
 #: Units of a summed loss in a nat.
 UNIT = 2.0**30
 #: Stand for the place before a text's first word, and after its last.
@@ -116,8 +120,8 @@ class Heavy:
 
     words, pairs: sorted hashes; counts: 2 rows each; ended: how often a heavy word ends a text."""
 
-    def __init__(self, buckets: int, distinct: int, totals: tuple, words: list, pairs: list, limit: float):
-        self.buckets, self.distinct, self.totals = buckets, distinct, np.array(totals, float)
+    def __init__(self, buckets: int, tasks: int, distinct: int, totals: tuple, words: list, pairs: list, limit: float):
+        self.buckets, self.tasks, self.distinct, self.totals = buckets, tasks, distinct, np.array(totals, float)
         # matched: background counts are scaled to as many words as the target has, so that smoothing weighs alike
         self.scale = (1.0, self.totals[0] / self.totals[1] if self.totals.all() else 1.0)
         self.words, self.word_counts = self._table(words)
@@ -175,14 +179,32 @@ def _bucket_losses(table: pa.Table, heavy: Heavy) -> pa.Table:
 
     A bucket is summed in parts by the hash of the word, each of about PART words: what is counted
     for a word is counted in its part, and only sums by text outlive it."""
-    blobs = list(zip(*(table.column(c).to_pylist() for c in table.column_names if c != "bucket"), strict=True))
-    parts = sum(len(b[-1]) for b in blobs) // PART + 1
-    done: list[list[np.ndarray]] = [[], [], [], []]
+    # buffers of the table itself: no word is held twice
+    blobs = list(zip(*([x.as_buffer() for x in table.column(c)] for c in table.column_names if c != "bucket"), strict=True))
+    parts = sum(b[-1].size for b in blobs) // PART + 1
+    done = [np.zeros(0, np.int64)] * 4
     for n in range(parts):
-        for column, x in zip(done, _part_losses(blobs, heavy, n, parts), strict=True):
-            column.append(x)
-    texts, *sums = (np.concatenate(x) for x in done)
-    return pa.table(_by_text(texts, *sums), ["key", "n", "t", "b"])
+        done = _merged(done, _part_losses(blobs, heavy, n, parts))
+    return pa.table(done, ["key", "n", "t", "b"])
+
+
+def _losses(batches: Iterator[pa.RecordBatch], heavy: Heavy) -> Iterator[pa.RecordBatch]:
+    """Sums by text over the buckets of a task, whose rows come bucket by bucket."""
+    names, done = ["key", "n", "t", "b"], [np.zeros(0, np.int64)] * 4
+    runs = (b.slice(lo, hi - lo) for b in batches
+            for cuts in [[*np.flatnonzero(np.diff(b.column("bucket").to_numpy(), prepend=-1)).tolist(), b.num_rows]] for lo, hi in zip(cuts, cuts[1:], strict=False))
+    for _, rows in groupby(runs, lambda b: b.column("bucket")[0].as_py()):
+        done = _merged(done, _bucket_losses(pa.Table.from_batches(rows), heavy).columns)
+        if len(done[0]) > HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names)
+            done = [np.zeros(0, np.int64)] * 4
+    if len(done[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names)
+
+
+def _merged(done: list[np.ndarray], more: list) -> list[np.ndarray]:
+    """Sums by text of two lists (texts, and for each the sums)."""
+    return _by_text(*(np.concatenate(x) for x in zip(done, more, strict=True)))
 
 
 def _by_text(texts: np.ndarray, *sums: np.ndarray) -> list[np.ndarray]:
@@ -198,7 +220,7 @@ def _part_losses(blobs: list[tuple], heavy: Heavy, part: int, parts: int) -> lis
     w, v, last, target, texts = [], [], [], [], []
     for keys, sizes, some, mine, prior, flags in blobs:
         some, flags, sizes = np.frombuffer(some, U64), np.frombuffer(flags, bool), np.frombuffer(sizes, np.int64)
-        kind = np.uint16 if len(mine) == 2 * len(flags) else np.uint32
+        kind = np.uint16 if mine.size == 2 * len(flags) else np.uint32
         word, owner = np.frombuffer(mine, kind), np.repeat(np.arange(len(sizes)), sizes >> 1)
         here = np.flatnonzero((mix(some + U64(0x3C6E)) % U64(parts) == U64(part))[word])
         w.append(some[word[here]])
@@ -237,7 +259,9 @@ def lm_heavy(rows: DataFrame) -> Heavy:
     counts of n-grams of more than an eighth of an even bucket reach the driver."""
     size = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / WORD_BYTES
     # more buckets than the cores ask for would cut texts and shared words into more rows than they need
-    buckets = max(int(size / BUCKET) + 1, rows.sparkSession.sparkContext.defaultParallelism)
+    buckets, cores = int(size / BUCKET) + 1, rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-buckets // BUCKETS_OF_TASK), cores)
+    buckets = tasks * -(-buckets // tasks)
     limit = size / (8 * buckets)
     summed = lambda x: x.groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     words = summed(rows.mapInArrow(_count_words, "key long, t long, b long"))
@@ -250,7 +274,7 @@ def lm_heavy(rows: DataFrame) -> Heavy:
         ends = _pair(known, np.full(len(known), TAIL)).view(np.int64).tolist()
         marks = rows.sparkSession.createDataFrame([(x,) for x in ends], "key long").withColumn("end", F.lit(True))
         pairs = counted.join(F.broadcast(marks), "key", "left").where((F.col("b") > limit) | F.col("end")).select("key", "t", "b").collect()
-    return Heavy(buckets, total.n, (total.t, total.b), total.heavy, pairs, limit)
+    return Heavy(buckets, tasks, total.n, (total.t, total.b), total.heavy, pairs, limit)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +300,10 @@ def lm_score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     heavy = lm_heavy(rows)
     dealt = rows.mapInArrow(partial(_deal, heavy=heavy), "bucket int, texts binary, sizes binary, words binary, word binary, before binary, last binary")
 
-    def losses(table: pa.Table) -> pa.Table:  # applyInArrow refuses a partial
-        return _bucket_losses(table, heavy)
+    dealt = dealt.repartition(F.col("bucket") % heavy.tasks).sortWithinPartitions("bucket")
 
     # copies of a text have one key: their sums are divided by the words of all of them
-    sums = (dealt.groupBy("bucket").applyInArrow(losses, "key long, n long, t long, b long")
+    sums = (dealt.mapInArrow(partial(_losses, heavy=heavy), "key long, n long, t long, b long")
             .groupBy("key").agg(*[F.sum(c).alias(c) for c in "ntb"]))
     kind = texts.schema["doc_id"].dataType.simpleString()
     out = texts.mapInArrow(_sizes, f"doc_id {kind}, key long, n_words long").join(sums, "key", "left")

@@ -367,3 +367,17 @@ def test_lm_parts_of_a_bucket(spark, docs, monkeypatch):
         assert lm_score.lm_heavy(rows).buckets <= max(2, spark.sparkContext.defaultParallelism)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lm_sums_of_a_task(spark):
+    """A task hands on one row a text, not one a text and bucket; a bucket's words aren't held twice."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 500}" for j in range(300)) for i in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts), pa.array([i % 2 for i in range(200)])], ["key", "text", "target"])
+    heavy = lambda n: lm_score.Heavy(n, 1, 500, (30_000, 60_000), [], [], 1e9)
+
+    def sums(n):
+        dealt = pa.Table.from_batches(lm_score._deal(iter([rows]), heavy(n))).sort_by("bucket")
+        return pa.Table.from_batches(lm_score._losses(iter(dealt.to_batches(max_chunksize=3)), heavy(n)))
+
+    many = sums(16)
+    assert many.num_rows == 200 and many.sort_by("key") == sums(1).sort_by("key") and set(many.column("n").to_pylist()) == {300}
