@@ -104,3 +104,17 @@ def test_batch_search_breaks_ties_by_id(spark):
     query = spark.createDataFrame([("q", "t", [3.0, 2.0, 1.0])], "query_id string, tenant_id string, qvector array<double>")
     got = semantic_search_batch(vecs, query, k=5).orderBy("rank").collect()
     assert [r.id for r in got] == ["000", "001", "002", "003", "004"]
+
+
+def test_expected_depths_of_many_values(monkeypatch):
+    """Of a long series few depths are summed value by value, and the verdict is that of all of them."""
+    from signalspark.operators import detect as DT
+    rng, exact = np.random.default_rng(3), DT._depths_at
+    for values in (rng.exponential(40, 6000), rng.lognormal(0, 4, 6000), np.concatenate([rng.random(3000) * 1e-9, rng.random(3000) * 1e9])):
+        done = []
+        monkeypatch.setattr(DT, "_depths_at", lambda d, places: done.append(len(places)) or exact(d, places))
+        monkeypatch.setattr(DT, "FAR_FROM", 2048)
+        got = DT.expected_verdict(values)
+        assert sum(done) < 60
+        monkeypatch.setattr(DT, "FAR_FROM", 10**9)
+        assert got == DT.expected_verdict(values)
