@@ -26,7 +26,9 @@ from ..session import checkpoint_dir
 from .query import clamp_limit
 
 EMBED_DIM = 384
-_SPLIT = re.compile(r"[ \t\n\r]+")
+_TOKEN = re.compile(r"[^ \t\n\r]+")
+#: Tokens whose slots a task keeps, and texts of one piece of its output.
+CACHED_TOKENS, PIECE = 100_000, 1024
 
 
 def _token_slots(tok: str, dim: int) -> tuple[int, float]:
@@ -43,11 +45,12 @@ def hash_embed(text: str | None, dim: int = EMBED_DIM, cache: dict | None = None
     v = np.zeros(dim, dtype=np.float64)
     if text:
         cache = {} if cache is None else cache
-        for tok in _SPLIT.split(text.lower()):
-            if not tok:
-                continue
+        for found in _TOKEN.finditer(text.lower()):
+            tok = found.group()
             slot = cache.get(tok)
             if slot is None:
+                if len(cache) >= CACHED_TOKENS:
+                    cache.clear()
                 slot = cache[tok] = _token_slots(tok, dim)
             v[slot[0]] += slot[1]
     n = np.linalg.norm(v)
@@ -56,14 +59,13 @@ def hash_embed(text: str | None, dim: int = EMBED_DIM, cache: dict | None = None
 
 def hashing_encoder(dim: int = EMBED_DIM):
     """Iterator pandas UDF text → array<float>; the token-slot cache lives for
-    the whole task (bounded: cleared past 1M distinct tokens)."""
+    the whole task (bounded: emptied at CACHED_TOKENS distinct tokens, also inside a text)."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict = {}
         for texts in batches:
-            if len(cache) > 1_000_000:
-                cache.clear()
-            yield pd.Series([hash_embed(t, dim, cache).astype(np.float32) for t in texts])
+            for at in range(0, len(texts), PIECE):
+                yield pd.Series([hash_embed(t, dim, cache).astype(np.float32) for t in texts[at:at + PIECE]])
     return enc
 
 

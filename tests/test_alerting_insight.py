@@ -99,3 +99,11 @@ def test_lsh_recall(spark):
 def test_hash_encoder_is_unit_and_deterministic():
     a, b = VC.hash_embed("Error K1 error"), VC.hash_embed("error k1 ERROR")
     assert np.allclose(a, b) and abs(np.linalg.norm(a) - 1) < 1e-9
+
+
+def test_embedding_keeps_few_tokens(monkeypatch):
+    """The slots that a task keeps stay bounded, inside a text too; a text's vector is the same."""
+    text = " ".join(f"w{i}" for i in range(900))
+    whole, cache = VC.hash_embed(text), {}
+    monkeypatch.setattr(VC, "CACHED_TOKENS", 100)
+    assert (VC.hash_embed(text, cache=cache) == whole).all() and 0 < len(cache) <= 100
