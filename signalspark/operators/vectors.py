@@ -29,6 +29,8 @@ EMBED_DIM = 384
 _TOKEN = re.compile(r"[^ \t\n\r]+")
 #: Tokens whose slots a task keeps, and texts of one piece of its output.
 CACHED_TOKENS, PIECE = 100_000, 1024
+#: Points (some 2 KB each) that a task of an upsert sorts.
+POINTS_OF_TASK = 50_000
 
 
 def _token_slots(tok: str, dim: int) -> tuple[int, float]:
@@ -89,13 +91,19 @@ def upsert_vectors(existing: DataFrame | None, points: DataFrame, version_col: s
     """Keyed upsert — a point replaces the stored one of its id, whatever their times.
 
     Of points of one id in ``points`` the newest counts, then the greatest in its other columns.
-    Points are reduced to one an id before the join (a partial maximum in each task), and stored
-    points pass it without being sorted or grouped."""
+    Points are counted first (without their vectors, where these are computed) and dealt by id to
+    tasks of some POINTS_OF_TASK: vectors of few tokens shrink so much in a shuffle that its
+    bytes don't tell what a task sorts. Stored points meet the ids alone, unsorted."""
     rest = [c for c in points.columns if c not in ("id", version_col)]
-    new = points.groupBy("id").agg(F.max(F.struct(version_col, *rest)).alias("p")).select("id", "p.*").select(*points.columns)
+    n = points.count()
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // POINTS_OF_TASK))
+    dealt = points.repartition(tasks, "id") if n > POINTS_OF_TASK else points
+    new = dealt.groupBy("id").agg(F.max(F.struct(version_col, *rest)).alias("p")).select("id", "p.*").select(*points.columns)
     if existing is None:
         return new
-    return existing.join(new.select("id"), "id", "left_anti").select(*points.columns).unionByName(new)
+    ids = new.select("id")
+    ids = F.broadcast(ids) if n <= POINTS_OF_TASK else ids.hint("shuffle_hash")
+    return existing.join(ids, "id", "left_anti").select(*points.columns).unionByName(new)
 
 
 def semantic_search(vectors: DataFrame, qvec, tenant_id: str, limit: int | None = None,

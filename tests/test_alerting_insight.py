@@ -107,3 +107,17 @@ def test_embedding_keeps_few_tokens(monkeypatch):
     whole, cache = VC.hash_embed(text), {}
     monkeypatch.setattr(VC, "CACHED_TOKENS", 100)
     assert (VC.hash_embed(text, cache=cache) == whole).all() and 0 < len(cache) <= 100
+
+
+def test_upsert_sorts_few_points(spark, monkeypatch):
+    """The points of a task are bounded, and stored points aren't sorted; of one id the newest incoming one counts."""
+    monkeypatch.setattr(VC, "POINTS_OF_TASK", 100)
+    at = lambda ids, time: spark.createDataFrame([(f"p{i}", [float(time)] * 4, time) for i in ids], "id string, vector array<float>, timestamp long")
+    points = at(range(0, 3000), 5).union(at(range(0, 3000, 3), 7))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert VC.upsert_vectors(None, points).rdd.getNumPartitions() == max(n, 40)
+    merged = VC.upsert_vectors(at(range(0, 6000, 2), 9), points)
+    assert "SortMergeJoin" not in merged._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.timestamp, r.vector[0]) for r in merged.collect()}
+    want = {f"p{i}": 9 for i in range(0, 6000, 2)} | {f"p{i}": 7 if i % 3 == 0 else 5 for i in range(3000)}
+    assert got == {i: (t, float(t)) for i, t in want.items()} and merged.count() == len(want)
