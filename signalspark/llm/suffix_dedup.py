@@ -68,14 +68,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, body): a body is the size of the text in UTF-8 (8 bytes), then the text compressed, some
+    """(doc, id, body): a body is the size of the text in UTF-8 (8 bytes), then the text compressed, some
     two bytes a word where word hashes take eight."""
     codec = pa.Codec("zstd")
     for part in chunks(batches, "text"):
         data, offsets = text_bytes(part.column("text"))
         raw, sizes = data.tobytes(), np.diff(offsets)
         rows = [n.tobytes() + codec.compress(raw[a:a + int(n)], asbytes=True) for a, n in zip(offsets.tolist(), sizes.astype(np.int64), strict=False)]
-        yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(rows, pa.binary())], ["doc", "body"])
+        yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("id"), pa.array(rows, pa.binary())], ["doc", "id", "body"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
@@ -112,8 +112,9 @@ def _passages(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
             starts.append(near.astype(np.int32))
             owners.append(np.full(len(near), doc, np.int64))
         if keys:
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.concatenate(owners)),
-                                              pa.array(np.concatenate(starts))], ["key", "doc", "at"])
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), ids, pa.array(np.concatenate(owners)),
+                                              pa.array(np.concatenate(starts))], ["key", "id", "doc", "at"])
 
 
 def _extend(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     lesser place).
 
     Every such passage of every text is in a pair with a copy of it, if there is one; of many
-    copies, neighbours are paired, never all with all. Words end at ASCII white space, A-Z
+    copies, neighbours in the order of ids are paired, never all with all, so that every copy but
+    the first has a row of its own that names an earlier one. Words end at ASCII white space, A-Z
     counts as a-z. A passage may repeat inside its own text. Rows that agree in id and text
     count once. Null and short texts have no passages; a null id comes first. Other columns
     are ignored; an empty table gives an empty result."""
@@ -149,19 +151,21 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     text = F.col(text_col).cast("string")
     texts = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("doc"))
     rows = texts.select("doc", "text").mapInArrow(partial(_suffixes, min_words=min_words), "key long, doc long, at int")
-    w = Window.partitionBy("key").orderBy("doc", "at")
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
-    def beside(x: DataFrame) -> DataFrame:
-        """Rows with the neighbour before them in sorted order, copies of a row passed over."""
+    def beside(x: DataFrame, *order: str) -> DataFrame:
+        """Rows with the neighbours before and after them in sorted order."""
+        w = Window.partitionBy("key").orderBy(*order, "doc", "at")
         return x.select("*", F.lag(F.struct("doc", "at")).over(w).alias("before"), F.lead(F.struct("doc", "at")).over(w).alias("after"))
 
     own = F.struct("doc", "at")
     near = (beside(rows).where((F.col("before") != own) | (F.col("after") != own))
             .groupBy("doc").agg(F.collect_set("at").alias("ats")).checkpoint())
-    bodies = (texts.select("doc", "text").join(small(near.select("doc"), BROADCAST_IDS), "doc", "left_semi")
-              .mapInArrow(_bodies, "doc long, body binary").groupBy("doc").agg(F.min("body").alias("body")).join(near, "doc").checkpoint())
-    whole = bodies.mapInArrow(partial(_passages, min_words=min_words), "key long, doc long, at int")
-    pairs = (beside(whole).where(F.col("before") != own)
+    bodies = (texts.select("doc", F.col("doc_id").alias("id"), "text").join(small(near.select("doc"), BROADCAST_IDS), "doc", "left_semi")
+              .mapInArrow(_bodies, f"doc long, id {kind}, body binary").groupBy("doc").agg(F.min("id").alias("id"), F.min("body").alias("body"))
+              .join(near, "doc").checkpoint())
+    whole = bodies.mapInArrow(partial(_passages, min_words=min_words), f"key long, id {kind}, doc long, at int")
+    pairs = (beside(whole, "id").where(F.col("before") != own)
              .groupBy("doc", F.col("before.doc").alias("other"), (F.col("at") - F.col("before.at")).alias("shift"))
              .agg(F.collect_set("at").alias("ats")).checkpoint())
     paired = pairs.select("doc").union(pairs.select("other")).distinct()

@@ -381,3 +381,12 @@ def test_lm_sums_of_a_task(spark):
 
     many = sums(16)
     assert many.num_rows == 200 and many.sort_by("key") == sums(1).sort_by("key") and set(many.column("n").to_pylist()) == {300}
+
+
+def test_every_later_copy_has_a_row(spark):
+    """Of many copies of a passage all but the first are listed, each with an earlier source."""
+    shared = " ".join(f"p{j}" for j in range(60))
+    texts = [(None if not i else i, f"a{i} b{i} {shared} c{i}") for i in range(30)]
+    rows = suffix_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"), 50).collect()
+    assert {r.doc_id for r in rows} == set(range(1, 30)) and len(rows) == 29
+    assert all((r.src_doc_id or 0) < r.doc_id and (r.start, r.src_start, r.n_words) == (2, 2, 60) for r in rows)
