@@ -68,14 +68,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, id, body): a body is the size of the text in UTF-8 (8 bytes), then the text compressed, some
+    """The rows with a body for the text: a body is the size of the text in UTF-8 (8 bytes), then the text compressed, some
     two bytes a word where word hashes take eight."""
     codec = pa.Codec("zstd")
     for part in chunks(batches, "text"):
         data, offsets = text_bytes(part.column("text"))
         raw, sizes = data.tobytes(), np.diff(offsets)
         rows = [n.tobytes() + codec.compress(raw[a:a + int(n)], asbytes=True) for a, n in zip(offsets.tolist(), sizes.astype(np.int64), strict=False)]
-        yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("id"), pa.array(rows, pa.binary())], ["doc", "id", "body"])
+        rest = [c for c in part.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(part.column, rest), pa.array(rows, pa.binary())], [*rest, "body"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
