@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalspark.llm.common import stored
 from signalspark.session import checkpoint_dir, ship_package
 
 #: Edges that a task merges at a time.
 MERGE_EDGES = 1_000_000
+#: Edges (16 bytes each) for which a round takes one more task.
+TASK_EDGES = 250_000
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,29 +50,36 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) for every end of the edges (a, b): root is the component's least id.
 
-    Tasks first merge the edges that they hold; then alternating large and small stars (Kiveris
-    et al., 2014): every round links neighbours to the least one they know, until all edges point
-    at roots. Rounds grow with the
-    logarithm of the diameter. Each round is checkpointed into the shared folder; only a
+    Tasks first merge the edges that they hold, as they come and again in as few tasks as their
+    number asks for; then alternating large and small stars (Kiveris et al., 2014): every round
+    links neighbours to the least one they know, until all edges point at roots. Rounds grow with
+    the logarithm of the diameter. Each round is checkpointed into the shared folder; only a
     count and a checksum reach the driver. Null ends and loops are dropped."""
     checkpoint_dir(edges.sparkSession)
     e = (edges.where("a is not null and b is not null and a <> b")
-         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    few = lambda e, state: e.coalesce(state[0] // TASK_EDGES + 1)
     if dict(e.dtypes) == {"u": "bigint", "v": "bigint"}:
         ship_package(e.sparkSession)
-        e = e.mapInArrow(_merged, "u long, v long").distinct()
-    e = e.checkpoint()
+        merge = lambda e: e.mapInArrow(_merged, "u long, v long").distinct()
+        e = stored(merge(e))
+        e = merge(few(e, _state(e))).checkpoint()
+    else:
+        e = e.distinct().checkpoint()
     state = _state(e)
     while state[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # no unions: what fits one task stays there, without a shuffle
+        both = few(e, state).select(F.expr("inline(array(named_struct('u', u, 'v', v), named_struct('u', v, 'v', u)))"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(least, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = (large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-             .union(down.select("u", F.col("m").alias("v"))).distinct().checkpoint())
+        # the least neighbour of u is bound to u, all others to the least one
+        e = (large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+             .distinct().checkpoint())
         state, before = _state(e), state
         if state == before:
             break
+    e = few(e, state)
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v"), F.col("v")).distinct())

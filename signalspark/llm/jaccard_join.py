@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import SPACE_WORDS, U64, Words, chunks, mix, shingle_sets, signed, small, text_bytes
+from signalspark.llm.common import SPACE_WORDS, U64, Words, chunks, mix, shingle_sets, signed, small, stored, text_bytes
 from signalspark.llm.components import connected_components
 from signalspark.session import checkpoint_dir, ship_package
 
@@ -194,8 +194,8 @@ def _regions(texts: DataFrame, k: int, percent: int) -> DataFrame:
     rows = (rows.withColumn("before", F.lag("set_id").over(w)).withColumn("pivot", F.first("set_id").over(w)).withColumn("lead", F.first("code").over(w))
             .where("set_id <> pivot and set_id <> before"))
     size = lambda c: F.floor(F.col(c) / RINGS)
-    return rows.select("region", (F.col("code") % RINGS).cast("int").alias("ring"), "set_id", size("code").alias("size"), "pivot",
-                       size("lead").alias("pivot_size"), (F.col("before") == F.col("pivot")).alias("second")).checkpoint()
+    return stored(rows.select("region", (F.col("code") % RINGS).cast("int").alias("ring"), "set_id", size("code").alias("size"), "pivot",
+                              size("lead").alias("pivot_size"), (F.col("before") == F.col("pivot")).alias("second")))
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -292,7 +292,7 @@ def _tiled(texts: DataFrame, k: int, percent: int, groups: DataFrame, sets: Data
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("set_id", "th", "copies", "gid", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
                        (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("alone"))
-    dealt = _bodies(texts, k, rows.checkpoint()).groupBy("gid", "i", "j")
+    dealt = _bodies(texts, k, stored(rows)).groupBy("gid", "i", "j")
     return dealt.applyInPandas(partial(_tile, percent=percent, count=count), "set_id long, links long" if count else "a long, b long")
 
 
@@ -305,7 +305,7 @@ def _tiled_pairs(texts: DataFrame, k: int, percent: int, sides: DataFrame, sets:
     left = F.col("side") == 0
     rows = rows.select("set_id", "th", "copies", "gid", F.when(left, F.col("own")).otherwise(F.col("other")).alias("i"),
                        F.when(left, F.col("other")).otherwise(F.col("own")).alias("j"), "side", F.lit(False).alias("alone"))
-    dealt = _bodies(texts, k, rows.checkpoint()).groupBy("gid", "i", "j")
+    dealt = _bodies(texts, k, stored(rows)).groupBy("gid", "i", "j")
     return dealt.applyInPandas(partial(_tile, percent=percent, count=False), "a long, b long")
 
 
@@ -318,7 +318,7 @@ def _open_rows(rows: DataFrame, percent: int) -> DataFrame:
         rows = rows.join(several.where("any and several").select("region"), "region", "left_semi")
         enough = rows.groupBy("unit", "ring").agg(F.countDistinct("region").alias("n"), F.max("high").alias("high"))
         enough = enough.where(F.col("n") >= _own_need(percent, F.col("ring"), F.col("high")))
-        rows = rows.join(enough.select("unit", "ring"), ["unit", "ring"], "left_semi").checkpoint()
+        rows = stored(rows.join(enough.select("unit", "ring"), ["unit", "ring"], "left_semi"))
     return rows
 
 
@@ -327,11 +327,11 @@ def _merge_units(units: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     one with it; edges (a, b) tell which. Each row meets its region's leader only, never all."""
     degree = units.groupBy("unit").agg(F.count("*").alias("d"))
     lead = units.join(degree, "unit").groupBy("region").agg(F.max(F.struct("d", "unit", "weak", "low", "high")).alias("lead"))
-    near = (units.join(lead, "region").where("unit <> lead.unit and (weak or lead.weak)")
+    near = stored(units.join(lead, "region").where("unit <> lead.unit and (weak or lead.weak)")
             .groupBy("unit", "ring", F.col("lead.unit").alias("leader"))
             .agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("lead.low").alias("lead_low"), F.max("lead.high").alias("lead_high"))
             .where(_possible(percent, "low", "high", "lead_low", "lead_high", F.col("n")))
-            .groupBy("unit").agg(F.max(F.struct("n", "leader")).alias("m")).select("unit", "m.leader").checkpoint())
+            .groupBy("unit").agg(F.max(F.struct("n", "leader")).alias("m")).select("unit", "m.leader"))
     units = (units.join(near, "unit", "left").withColumn("unit", F.coalesce("leader", "unit"))
              .groupBy("region", "ring", "unit").agg(F.max("weak").alias("weak"), F.min("low").alias("low"), F.max("high").alias("high")))
     return units, near.select(F.col("unit").alias("a"), F.col("leader").alias("b"))
@@ -364,9 +364,9 @@ def _stray_groups(regions: DataFrame, met: DataFrame, roots: DataFrame, percent:
     rows = regions.join(weak, ["pivot", "set_id", "ring"], "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
     open_ = rows.groupBy("region").agg(F.max("weak").alias("any")).where("any")
     # each region's pivot is a member too: it comes with the second one
-    rows = rows.join(open_, "region", "left_semi").select("region", "ring", F.expr(
+    rows = stored(rows.join(open_, "region", "left_semi").select("region", "ring", F.expr(
         "inline(if(second, array(named_struct('set_id', set_id, 'size', size, 'weak', weak), named_struct('set_id', pivot, 'size', pivot_size, 'weak', false)), "
-        "array(named_struct('set_id', set_id, 'size', size, 'weak', weak))))")).checkpoint()
+        "array(named_struct('set_id', set_id, 'size', size, 'weak', weak))))")))
     strong = met.where("strong")
     main = (strong.select("set_id", "pivot", "n").union(strong.select("pivot", "pivot", "n")).groupBy("set_id", "pivot").agg(F.sum("n").alias("n"))
             .groupBy("set_id").agg(F.max(F.struct("n", "pivot")).alias("m")).select("set_id", F.col("m.pivot").alias("main")))
@@ -375,7 +375,7 @@ def _stray_groups(regions: DataFrame, met: DataFrame, roots: DataFrame, percent:
     several = rows.groupBy("region").agg((F.min(F.coalesce("root", "set_id")) < F.max(F.coalesce("root", "set_id"))).alias("several"))
     rows = rows.join(several.where("several").select("region"), "region", "left_semi").drop("root")
     rows = _open_rows(rows.withColumn("low", F.col("size")).withColumnRenamed("size", "high"), percent)
-    rows = rows.join(main, "set_id", "left").withColumn("main", F.coalesce("main", "set_id")).checkpoint()
+    rows = stored(rows.join(main, "set_id", "left").withColumn("main", F.coalesce("main", "set_id")))
     ranges = F.max("weak").alias("weak"), F.min("low").alias("low"), F.max("high").alias("high")
     units, edges = rows.groupBy("region", "ring", F.col("main").alias("unit")).agg(*ranges), []
     for _ in range(MERGES):
@@ -383,7 +383,7 @@ def _stray_groups(regions: DataFrame, met: DataFrame, roots: DataFrame, percent:
         edges.append(merged)
     units = _open_rows(units, percent)
     units = units.join(units.groupBy("region").agg(F.count("*").alias("members")), "region")
-    units = units.withColumn("crowded", (F.col("members") > CROWDED) & (_least_need(percent, F.col("ring")) > 1)).checkpoint()
+    units = stored(units.withColumn("crowded", (F.col("members") > CROWDED) & (_least_need(percent, F.col("ring")) > 1)))
     crowds = units.where("crowded").groupBy("unit", "ring").agg(F.count("*").alias("crowds"))
     few = units.where("not crowded").join(crowds, ["unit", "ring"], "left").withColumn("crowds", F.coalesce("crowds", F.lit(0)))
     ends = [F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), F.col("ring_a").alias("ring")]
@@ -404,10 +404,10 @@ def _stray_groups(regions: DataFrame, met: DataFrame, roots: DataFrame, percent:
     within = members.join(connected_components(joined), F.col("unit") == F.col("id")).select(F.col("root").alias("gid"), "set_id").distinct()
     for merged in edges:
         members = members.join(merged, F.col("unit") == F.col("a"), "left").select("set_id", F.coalesce("b", "unit").alias("unit"))
-    members, pairs = members.distinct().checkpoint(), pairs.checkpoint()
+    members, pairs = stored(members.distinct()), stored(pairs)
     left = pairs.select(F.col("a").alias("gid"), F.col("a").alias("unit"), F.lit(0).alias("side")).distinct()
     right = pairs.select(F.col("a").alias("gid"), F.col("b").alias("unit"), F.lit(1).alias("side"))
-    return within.checkpoint(), left.union(right).join(members, "unit").select("gid", "side", "set_id").checkpoint()
+    return stored(within), stored(left.union(right).join(members, "unit").select("gid", "side", "set_id"))
 
 
 def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,15 +417,15 @@ def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: st
     texts = _texts(docs, id_col, text_col)
     regions = _regions(texts, k, percent)
     met = regions.groupBy("pivot", "set_id", "ring", "size", "pivot_size").agg(F.count("*").alias("n"))
-    met = met.withColumn("strong", _possible(percent, "size", "size", "pivot_size", "pivot_size", F.col("n"))).checkpoint()
+    met = stored(met.withColumn("strong", _possible(percent, "size", "size", "pivot_size", "pivot_size", F.col("n"))))
     strong = met.where("strong").select(F.col("pivot").alias("gid"), "set_id")
     strong = strong.union(strong.select("gid", F.col("gid"))).distinct()
-    edges = _tiled(texts, k, percent, strong, sets, count=False).checkpoint()
-    roots = connected_components(edges).checkpoint()
+    edges = stored(_tiled(texts, k, percent, strong, sets, count=False))
+    roots = stored(connected_components(edges))
     within, between = _stray_groups(regions, met, roots, percent)
     more = [_tiled(texts, k, percent, within, sets, count=False)] * (not within.isEmpty())
     more += [_tiled_pairs(texts, k, percent, between, sets)] * (not between.isEmpty())
-    return connected_components(reduce(DataFrame.union, more, edges)).checkpoint() if more else roots
+    return stored(connected_components(reduce(DataFrame.union, more, edges))) if more else roots
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -446,7 +446,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     checkpoint_dir(docs.sparkSession)
     rows = described(docs, k, id_col, text_col).checkpoint()
     full = rows.where("n > 0")
-    sets = full.groupBy("set_id").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("th").alias("th")).checkpoint()
+    sets = stored(full.groupBy("set_id").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("th").alias("th")))
     roots = join_sets(docs, k, percent, sets, id_col, text_col)
     named = roots.withColumnRenamed("id", "set_id")
     per_set = sets.join(named, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

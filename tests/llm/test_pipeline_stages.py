@@ -97,3 +97,44 @@ def test_texts_of_one_template_are_not_all_compared(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs, 5, 80, links=False).collect()}
     assert got == {i: 100 if i >= 100 else i for i, _ in rows}
     assert sum(dealt) < 40
+
+
+@pytest.fixture
+def tasks_of(spark):
+    """Counts the tasks of a call with 32 shuffle partitions that stay apart."""
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+    def count(name, call):
+        spark.sparkContext.setJobGroup(name, name)
+        out, track = call(), spark.sparkContext.statusTracker()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = {s for j in track.getJobIdsForGroup(name) for s in track.getJobInfo(j).stageIds}
+        return out, sum(i.numCompletedTasks for i in map(track.getStageInfo, stages) if i)
+    yield count
+    for c, value in before.items():
+        spark.conf.set(c, value)
+
+
+def test_components_take_few_tasks(spark, tasks_of):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400) if i % 100 != 99], "a long, b long").repartition(32)
+    got, tasks = tasks_of("components", lambda: components.connected_components(chain).collect())
+    assert {r.id: r.root for r in got} == {i: i // 100 * 100 for i in range(400)}
+    assert tasks < 300  # 32 for each step of a round otherwise
+
+
+def test_large_components_take_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 20)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400) if i % 100 != 99] * 2 + [(500, 500), (None, 3)], "a long, b long").repartition(9)
+    assert {r.id: r.root for r in components.connected_components(chain).collect()} == {i: i // 100 * 100 for i in range(400)}
+
+
+def test_join_takes_few_tasks(spark, tasks_of):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randint(0, 500)}" for _ in range(n))
+    base = [line(80) for _ in range(30)]
+    docs = spark.createDataFrame([(i, base[i % 30] + (f" x{i}" if i % 4 else "")) for i in range(120)], "doc_id long, text string").repartition(4)
+    got, tasks = tasks_of("join", lambda: jaccard_join.jaccard_join(docs, 4, 85).collect())
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 30 for i in range(120)}
+    assert tasks < 1800  # 1,100 as written; every table read in 32 tasks and every last stage run twice otherwise
