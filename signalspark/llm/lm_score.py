@@ -40,6 +40,8 @@ BUCKET, PART, WORD_BYTES = 4_000_000, 500_000, 7
 BUCKETS_OF_TASK = 8
 #: Bytes of text that a task deals out at once (some 25 bytes each).
 DEALT_BYTES = 4 * 1024 * 1024
+#: Bytes of an Arrow batch; the JVM holds a batch up to four times over for each task, and Python twice.
+BATCH_BYTES = 8 * 1024 * 1024
 #: Units of a summed loss in a nat.
 UNIT = 2.0**30
 #: Stand for the place before a text's first word, and after its last.
@@ -174,6 +176,12 @@ def _deal(batches: Iterator[pa.RecordBatch], heavy: Heavy) -> Iterator[pa.Record
                                          ["bucket", "texts", "sizes", "words", "word", "before", "last"])
 
 
+def _by_task(dealt: DataFrame, heavy: Heavy) -> DataFrame:
+    """The rows of each bucket as one partition of the shuffle; a task reads as many buckets as any other,
+    one after the other, so that nothing is sorted and no task holds more than the bucket at hand."""
+    return dealt.repartitionById(heavy.buckets, "bucket").coalesce(heavy.tasks)
+
+
 def _bucket_losses(table: pa.Table, heavy: Heavy) -> pa.Table:
     """(key, n, t, b): words of each text in a bucket, and the sums of both losses in units.
 
@@ -293,6 +301,7 @@ def lm_score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     gives an empty result."""
     checkpoint_dir(docs.sparkSession)
     ship_package(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     good = labels.where(F.col(label_col) == 1).select(F.col("doc_id").alias("good_id")).where("good_id is not null").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     rows = texts.join(small(good, BROADCAST_LABELS), F.col("doc_id") == F.col("good_id"), "left").select(
@@ -300,10 +309,9 @@ def lm_score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     heavy = lm_heavy(rows)
     dealt = rows.mapInArrow(partial(_deal, heavy=heavy), "bucket int, texts binary, sizes binary, words binary, word binary, before binary, last binary")
 
-    dealt = dealt.repartition(F.col("bucket") % heavy.tasks).sortWithinPartitions("bucket")
 
     # copies of a text have one key: their sums are divided by the words of all of them
-    sums = (dealt.mapInArrow(partial(_losses, heavy=heavy), "key long, n long, t long, b long")
+    sums = (_by_task(dealt, heavy).mapInArrow(partial(_losses, heavy=heavy), "key long, n long, t long, b long")
             .groupBy("key").agg(*[F.sum(c).alias(c) for c in "ntb"]))
     kind = texts.schema["doc_id"].dataType.simpleString()
     out = texts.mapInArrow(_sizes, f"doc_id {kind}, key long, n_words long").join(sums, "key", "left")

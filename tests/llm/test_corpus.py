@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -390,3 +392,16 @@ def test_every_later_copy_has_a_row(spark):
     rows = suffix_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"), 50).collect()
     assert {r.doc_id for r in rows} == set(range(1, 30)) and len(rows) == 29
     assert all((r.src_doc_id or 0) < r.doc_id and (r.start, r.src_start, r.n_words) == (2, 2, 60) for r in rows)
+
+
+def test_lm_buckets_of_a_task(spark):
+    heavy = lm_score.Heavy(20, 5, 500, (30_000, 60_000), [], [], 1e9)
+    rng = random.Random(11)
+    rows = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(60)), i % 2) for i in range(300)],
+                                 "key long, text string, target int").repartition(6)
+    dealt = rows.mapInArrow(partial(lm_score._deal, heavy=heavy), "bucket int, texts binary, sizes binary, words binary, word binary, before binary, last binary")
+    held = lm_score._by_task(dealt, heavy)
+    assert "Sort" not in held._jdf.queryExecution().simpleString()
+    tasks = held.select("bucket").rdd.mapPartitions(lambda rows: [[r.bucket for r in rows]]).collect()
+    runs = [[b for b, _ in groupby(t)] for t in tasks]
+    assert sorted(b for t in runs for b in t) == list(range(20)) and [len(t) for t in runs] == [4] * 5
