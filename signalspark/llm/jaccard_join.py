@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +43,12 @@ CROWDED = 200
 TILE = 400_000
 #: Members from which a region is cut by pivots, and the pivots.
 LEAF, PIVOTS = 96, 6
+#: Sets of a side that are compared at once (a matrix of 2 * BLOCK rows and 4,096 elements), and links that are held before they count.
+BLOCK, HELD_LINKS = 512, 1_000_000
 #: Rounds that take out what no stray pair can hold, and that merge units (each exact; more only save work).
 PEELS, MERGES = 2, 2
+#: Arrow batches to and from Python, as in ``lm_score``; a batch has a copy or two on both sides.
+BATCH_BYTES = 8 * 1024 * 1024
 #: Set ids that may be broadcast to pick out sets (8 bytes each).
 BROADCAST_IDS = 2_000_000
 #: More than the rings of sizes; a region's row bears size * RINGS + ring.
@@ -177,9 +180,9 @@ def described(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "
 
 
 def _bodies(texts: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """Rows of ``wanted`` (set_id, th, ...) with the body of their set; copies of a text may give a
-    row several times, once for each task that holds one. Only texts of a wanted hash are read into sets."""
-    held = texts.join(small(wanted.select("th").distinct(), BROADCAST_IDS), "th", "left_semi").select("doc_id", "text")
+    """Rows of ``wanted`` (set_id, th, ...) with the body of their set. Only texts of a wanted hash are read
+    into sets, and of copies one, so that a group gets each body once however many tasks hold a copy."""
+    held = texts.join(small(wanted.select("th").distinct(), BROADCAST_IDS), "th", "left_semi").select("th", "text").distinct()
     every = held.mapInArrow(partial(_contents, k=k), "set_id long, body binary")
     return every.join(small(wanted.drop("th"), BROADCAST_IDS), "set_id")
 
@@ -218,21 +221,61 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _meet(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray, percent: int, found: list) -> None:
-    """Links among ``home``, and between home and ``guest``, by recursive Voronoi regions.
+class _Links:
+    """Links of one pair of tiles, taken as they are found: as counts for each set or as what they tie together."""
 
-    A pair is met once: in the region that both are at home in, or in the lesser of their two
-    homes, where the other one is a guest if the window lets it in. found gets (i, j) arrays."""
+    def __init__(self, copies: np.ndarray | None, n: int):
+        self.copies, self.links, self.root = copies, np.zeros(n, np.int64), np.arange(n)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def append(self, pair: tuple[np.ndarray, np.ndarray]) -> None:
+        self.held.append(pair)
+        if sum(len(x) for x, _ in self.held) >= HELD_LINKS:
+            self.take()
+
+    def take(self) -> None:
+        if not self.held:
+            return
+        i, j = (np.concatenate([h[c] for h in self.held]) for c in (0, 1))
+        self.held.clear()
+        if self.copies is not None:
+            np.add.at(self.links, i, self.copies[j])
+            np.add.at(self.links, j, self.copies[i])
+            return
+        root = self.root
+        while (root[i] != root[j]).any():
+            least = np.minimum(root[i], root[j])
+            for end in (root[i], root[j]):
+                np.minimum.at(root, end, least)
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+
+def _compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, found: _Links | list, once: bool = False) -> None:
+    """Links of ``left`` with ``right``, block by block; ``once``: right begins with left, and a pair counts once."""
     sizes = np.array([len(s) for s in sets])
+    for at in range(0, len(left), BLOCK):
+        for to in range(at if once else 0, len(right), BLOCK):
+            a, b = left[at:at + BLOCK], right[to:to + BLOCK]
+            c = _common([sets[i] for i in a], [sets[j] for j in b])
+            linked = 100 * c >= percent * (sizes[a][:, None] + sizes[b][None, :] - c) - 1e-3
+            i, j = np.nonzero(np.triu(linked, 1) if once and at == to else linked)
+            found.append((a[i], b[j]))
+
 
-    def same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = _common([sets[i] for i in a], [sets[i] for i in b])
-        return c, sizes[a][:, None] + sizes[b][None, :] - c
+def _meet(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray, percent: int, found: _Links | list) -> None:
+    """Links among ``home``, and between home and ``guest``, by recursive Voronoi regions.
 
+    A pair is met once: in the region that both are at home in, or in the lesser of their two
+    homes, where the other one is a guest if the window lets it in. found gets (i, j) arrays."""
+    every = np.concatenate([home, guest])
     if len(home) > LEAF:
         pivots = home[:: len(home) // PIVOTS][:PIVOTS]
-        c, u = same(np.concatenate([home, guest]), pivots)
-        d = 1 - c / u
+        d = np.empty((len(every), len(pivots)))
+        for at in range(0, len(every), BLOCK):
+            some = every[at:at + BLOCK]
+            c = _common([sets[i] for i in some], [sets[i] for i in pivots])
+            d[at:at + BLOCK] = 1 - c / (np.array([len(sets[i]) for i in some])[:, None] + np.array([len(sets[i]) for i in pivots])[None, :] - c)
         near, cell = d.min(1), d.argmin(1)[:len(home)]
         if np.bincount(cell).max() < 0.8 * len(home):
             window = d <= near[:, None] + 2 * (1 - percent / 100) + 1e-6
@@ -241,44 +284,27 @@ def _meet(sets: list[np.ndarray], home: np.ndarray, guest: np.ndarray, percent:
                     visits = home[(cell > r) & window[:len(home), r]]
                     _meet(sets, home[cell == r], np.concatenate([visits, guest[window[len(home):, r]]]), percent, found)
             return
-    every = np.concatenate([home, guest])
-    c, u = same(home, every)
-    i, j = np.nonzero(np.triu(100 * c >= percent * u - 1e-3, 1))
-    found.append((home[i], every[j]))
+    _compare(sets, home, every, percent, found, once=True)
 
 
-def _tile(pdf: pd.DataFrame, percent: int, count: bool) -> pd.DataFrame:
+def _tile(rows: pa.Table, percent: int, count: bool) -> pa.Table:
     """Links of one pair of tiles: as counts for each set, or as edges that span what is linked."""
-    pdf = pdf.drop_duplicates("set_id")
-    sets = [np.frombuffer(b, U64) for b in pdf["body"]]
-    side = pdf["side"].to_numpy()
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    ids, first = np.unique(rows.column("set_id").to_numpy(), return_index=True)
+    rows = rows.take(pa.array(first))
+    body, cuts = text_bytes(rows.column("body").combine_chunks())
+    sets = [body[cuts[i]:cuts[i + 1]].view(U64) for i in range(len(ids))]
+    side = rows.column("side").to_numpy()
+    found = _Links(rows.column("copies").to_numpy() if count else None, len(ids))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if len(right) and len(left):
-        for at in range(0, len(left), LEAF):  # pairs of a tile with itself are met elsewhere
-            part = left[at:at + LEAF]
-            c = _common([sets[i] for i in part], [sets[j] for j in right])
-            u = np.array([len(sets[i]) for i in part])[:, None] + np.array([len(sets[j]) for j in right])[None, :] - c
-            i, j = np.nonzero(100 * c >= percent * u - 1e-3)
-            found.append((part[i], right[j]))
-    elif bool(pdf["alone"].iloc[0]):
+    if len(right) and len(left):  # pairs of a tile with itself are met elsewhere
+        _compare(sets, left, right, percent, found)
+    elif rows.column("alone")[0].as_py():
         _meet(sets, np.arange(len(sets)), np.zeros(0, np.int64), percent, found)
-    i, j = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in (0, 1))
-    ids = pdf["set_id"].to_numpy()
+    found.take()
     if count:
-        copies = pdf["copies"].to_numpy()
-        links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        return pd.DataFrame({"set_id": ids, "links": links.astype(np.int64)})
-    label = np.arange(len(ids))
-    while True:
-        before = label.copy()
-        least = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        if (label == before).all():
-            break
-    tied = label != np.arange(len(ids))
-    return pd.DataFrame({"a": ids[label[tied]], "b": ids[tied]})
+        return pa.table({"set_id": ids, "links": found.links})
+    tied = found.root != np.arange(len(ids))
+    return pa.table({"a": ids[found.root[tied]], "b": ids[tied]})
 
 
 def _tiled(texts: DataFrame, k: int, percent: int, groups: DataFrame, sets: DataFrame, count: bool) -> DataFrame:
@@ -293,7 +319,7 @@ def _tiled(texts: DataFrame, k: int, percent: int, groups: DataFrame, sets: Data
     rows = rows.select("set_id", "th", "copies", "gid", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
                        (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("alone"))
     dealt = _bodies(texts, k, stored(rows)).groupBy("gid", "i", "j")
-    return dealt.applyInPandas(partial(_tile, percent=percent, count=count), "set_id long, links long" if count else "a long, b long")
+    return dealt.applyInArrow(lambda rows: _tile(rows, percent, count), "set_id long, links long" if count else "a long, b long")
 
 
 def _tiled_pairs(texts: DataFrame, k: int, percent: int, sides: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,7 +332,7 @@ def _tiled_pairs(texts: DataFrame, k: int, percent: int, sides: DataFrame, sets:
     rows = rows.select("set_id", "th", "copies", "gid", F.when(left, F.col("own")).otherwise(F.col("other")).alias("i"),
                        F.when(left, F.col("other")).otherwise(F.col("own")).alias("j"), "side", F.lit(False).alias("alone"))
     dealt = _bodies(texts, k, stored(rows)).groupBy("gid", "i", "j")
-    return dealt.applyInPandas(partial(_tile, percent=percent, count=False), "a long, b long")
+    return dealt.applyInArrow(lambda rows: _tile(rows, percent, False), "a long, b long")
 
 
 def _open_rows(rows: DataFrame, percent: int) -> DataFrame:
@@ -423,8 +449,9 @@ def join_sets(docs: DataFrame, k: int, percent: int, sets: DataFrame, id_col: st
     edges = stored(_tiled(texts, k, percent, strong, sets, count=False))
     roots = stored(connected_components(edges))
     within, between = _stray_groups(regions, met, roots, percent)
-    more = [_tiled(texts, k, percent, within, sets, count=False)] * (not within.isEmpty())
-    more += [_tiled_pairs(texts, k, percent, between, sets)] * (not between.isEmpty())
+    # stored, so that no task runs a Python worker for tiles and another one for components behind it
+    more = [stored(_tiled(texts, k, percent, within, sets, count=False))] * (not within.isEmpty())
+    more += [stored(_tiled_pairs(texts, k, percent, between, sets))] * (not between.isEmpty())
     return stored(connected_components(reduce(DataFrame.union, more, edges))) if more else roots
 
 
@@ -444,6 +471,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     checkpoint_dir(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = described(docs, k, id_col, text_col).checkpoint()
     full = rows.where("n > 0")
     sets = stored(full.groupBy("set_id").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("th").alias("th")))

@@ -1,7 +1,9 @@
 """Stages of the pipeline and their operators on nulls, repeats, empty tables and columns of clashing names."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,32 @@ def test_join_takes_few_tasks(spark, tasks_of):
     got, tasks = tasks_of("join", lambda: jaccard_join.jaccard_join(docs, 4, 85).collect())
     assert {r.doc_id: r.component_id for r in got} == {i: i % 30 for i in range(120)}
     assert tasks < 1800  # 1,100 as written; every table read in 32 tasks and every last stage run twice otherwise
+
+
+def test_tiles_are_compared_in_blocks():
+    """1,500 near copies link with each other; neither the matrices nor the pairs are held whole (74 MB before)."""
+    rng = np.random.default_rng(1)
+    core = rng.integers(0, 2**60, 90, dtype=np.uint64)
+    sets = [np.unique(np.append(core, rng.integers(0, 2**60, 2, dtype=np.uint64))) for _ in range(1500)]
+
+    class Seen:
+        n = 0
+
+        def append(self, pair):
+            self.n += len(pair[0])
+    seen = Seen()
+    tracemalloc.start()
+    jaccard_join._meet(sets, np.arange(1500), np.zeros(0, np.int64), 85, seen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.n == 1500 * 1499 // 2 and peak < 45e6
+
+
+def test_groups_get_each_body_once(spark):
+    """Copies lie in all tasks; a body goes to its group once, not once for each task."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, text if i % 2 else text + " x") for i in range(40)], "doc_id long, text string").repartition(8)
+    rows = jaccard_join.described(docs, 4)
+    wanted = rows.groupBy("set_id").agg(F.min("th").alias("th"))
+    got = jaccard_join._bodies(jaccard_join._texts(docs, "doc_id", "text"), 4, wanted).collect()
+    assert sorted(len(r.body) for r in got) == [8 * 27, 8 * 28]
